@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from foliarc.llm.exact_dedup import exact_dedup
 from foliarc.llm.mixing import mix
 from foliarc.llm.packing import pack
+from foliarc.llm.secrets import secret_report
+from foliarc.llm.url_filters import judge_urls
+from foliarc.llm.warc import archive
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +20,18 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -24,5 +39,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_warc_normaliser": op6_warc_normaliser,
+    "op7_url_filter": op7_url_filter,
     "op9_best_fit_packing": op9_best_fit_packing,
 }

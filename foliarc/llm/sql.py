@@ -7,3 +7,42 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.h AS t
 FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents) d
 JOIN (SELECT sha256(coalesce(text, '')) AS h, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1) g ON d.h = g.h
 """
+
+ORACLES["op6_warc_normaliser"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+g AS (SELECT h, max(page_id) AS top FROM p GROUP BY h),
+b AS (SELECT p.page_id, p.n, g.top, unhex(sha1(p.h)) AS d FROM p JOIN g ON p.h = g.h)
+SELECT page_id, n AS payload_bytes, list_aggregate(l, 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM (SELECT page_id, n, top, list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + 16 * CAST(substr(s, CAST(i * 5 + 1 AS BIGINT), 1) AS INTEGER) + 8 * CAST(substr(s, CAST(i * 5 + 2 AS BIGINT), 1) AS INTEGER)
+      + 4 * CAST(substr(s, CAST(i * 5 + 3 AS BIGINT), 1) AS INTEGER) + 2 * CAST(substr(s, CAST(i * 5 + 4 AS BIGINT), 1) AS INTEGER)
+      + CAST(substr(s, CAST(i * 5 + 5 AS BIGINT), 1) AS INTEGER) AS BIGINT), 1)) AS l
+  FROM (SELECT page_id, n, top, CAST(CAST(d AS BIT) AS VARCHAR) AS s FROM b) y) z
+"""
+
+ORACLES["op7_url_filter"] = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, html, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+q AS (SELECT page_id, html, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM p),
+rules(verdict, h, pa) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+tags AS (SELECT host, path, host || tail AS a, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM q),
+links AS (SELECT host, path, a, CASE
+    WHEN regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) END AS t FROM tags),
+far AS (SELECT a, CASE WHEN strpos(t, '://') > 0 THEN substr(t, strpos(t, '://') + 3) WHEN starts_with(t, '//') THEN substr(t, 3)
+    WHEN starts_with(t, '/') THEN host || t ELSE host || regexp_replace(path, '[^/]*$', '') || t END AS r FROM links WHERE t <> ''),
+e AS (SELECT a, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(r, '^[^/?#]*([^#]*)', 1) AS b FROM far),
+both_ways AS (SELECT a, b FROM e WHERE a <> '' AND b <> '' UNION SELECT b, a FROM e WHERE a <> '' AND b <> ''),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
+nodes AS (SELECT DISTINCT b AS node, regexp_extract(b, '^[^/?#]*') AS host, regexp_extract(b, '^[^/?#]*([^?#]*)', 1) AS path FROM both_ways),
+own AS (SELECT node, (SELECT verdict FROM rules WHERE (n.host = h OR ends_with(n.host, '.' || h)) AND starts_with(n.path, pa) ORDER BY length(h || pa) DESC LIMIT 1) AS v FROM nodes n),
+said AS (SELECT r.a AS node, bool_or(o.v = 'block') AS blocks, bool_or(o.v = 'allow') AS allows FROM reach r JOIN own o ON o.node = r.b GROUP BY 1),
+judged AS (SELECT q.page_id, q.host, q.path, q.host || q.tail AS node,
+  (SELECT {'rule': h || pa, 'verdict': verdict} FROM rules WHERE (q.host = h OR ends_with(q.host, '.' || h)) AND starts_with(q.path, pa) ORDER BY length(h || pa) DESC LIMIT 1) AS f FROM q)
+SELECT j.page_id, j.host, j.path, j.f.rule AS rule,
+  coalesce(j.f.verdict, CASE WHEN s.blocks AND NOT coalesce(s.allows, false) THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN said s ON s.node = j.node
+"""
