@@ -8,6 +8,7 @@ from foliarc.llm.exact_dedup import exact_dedup
 from foliarc.llm.mixing import mix
 from foliarc.llm.packing import pack
 from foliarc.llm.secrets import secret_report
+from foliarc.llm.token_ids import round_trip
 from foliarc.llm.url_filters import judge_urls
 from foliarc.llm.warc import archive
 
@@ -16,6 +17,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -37,6 +44,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_token_ids": op2_token_ids,
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_secret_scan": op5_secret_scan,
