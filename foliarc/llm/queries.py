@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foliarc.llm.exact_dedup import exact_dedup
 from foliarc.llm.mixing import mix
 from foliarc.llm.packing import pack
+from foliarc.llm.quality import classify
 from foliarc.llm.secrets import secret_report
 from foliarc.llm.token_ids import round_trip
 from foliarc.llm.url_filters import judge_urls
@@ -39,6 +40,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -50,5 +55,6 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_warc_normaliser": op6_warc_normaliser,
     "op7_url_filter": op7_url_filter,
+    "op8_quality": op8_quality,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
