@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foliarc.llm.cover_tree import link
 from foliarc.llm.exact_dedup import exact_dedup
 from foliarc.llm.mixing import mix
+from foliarc.llm.order_minhash import near_duplicates
 from foliarc.llm.packing import pack
 from foliarc.llm.quality import classify
 from foliarc.llm.secrets import secret_report
@@ -53,6 +54,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES = {
     "op1_cover_tree": op1_cover_tree,
     "op2_token_ids": op2_token_ids,
@@ -63,4 +68,5 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_quality": op8_quality,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_order_minhash": op10_order_minhash,
 }
