@@ -27,6 +27,8 @@ K = 5
 SKETCHES = 16
 LENGTH = 4
 SIMILARITY = 0.8
+CELLS = 64
+TURNS = 3  # further leaders tried in buckets that hold several classes, before what is left is compared in full
 CACHE = 400_000
 GOLD, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -197,6 +199,49 @@ def _labels(links: DataFrame) -> DataFrame:
     return written(connected_components(links), "omh-labels")
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, rid, kmers, central, label, most): members of the buckets that hold several labels, most being the commonest."""
+    m = members.join(labels, F.col("rid") == F.col("node"), "left").select("bucket", "rid", "kmers", "central", F.coalesce("component", "rid").alias("label"))
+    m = written(m, "omh-labelled")
+    n = m.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("of"))
+    return m.join(n.where("of > 1").select("bucket", "most"), "bucket")
+
+
+def _led(members: DataFrame, lead: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a bucket's leading text and its others that have another label, where their sizes allow a link."""
+    lead = lead.distinct().select(F.col("bucket").bitwiseXOR(F.lit(0)).alias("b2"), "lead")
+    first = members.select("rid", F.col("kmers").alias("k1"), F.col("label").alias("l1")).distinct()
+    m = members.join(lead, F.col("bucket") == F.col("b2")).select("lead", "rid", "kmers", "label").where("rid != lead").distinct()
+    m = m.join(first.select(F.col("rid").alias("r1"), "k1", "l1"), F.col("lead") == F.col("r1"))
+    m = m.where((F.col("label") != F.col("l1")) & (F.least("kmers", "k1") >= similarity * F.greatest("kmers", "k1")))
+    return m.select(F.least("lead", "rid").alias("a"), F.greatest("lead", "rid").alias("b")).distinct()
+
+
+def _shared(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """(rid, shared, cells): how many of a text's labelled k-mers a text of another label in members has too, in all and by cell of their hash.
+
+    Two texts of different labels cannot have more in common than that, so a text that passes on a common
+    passage but is otherwise its own, a copy with many edits of its own, or a member of a family that
+    differs from all others, needs no comparisons.  Nor can they have more in common in any cell than the
+    lesser of their counts, which tells apart copies whose edits lie in different places.
+    """
+    some = texts.join(members.select(F.col("rid").alias("r"), "label").distinct(), F.col("rid") == F.col("r")).select("rid", "label", "words")
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for rid, label, w in zip(batch["rid"].to_pylist(), batch["label"].to_pylist(), batch["words"], strict=True):
+                x = kmers(np.frombuffer(w.as_buffer(), "<u4"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), rid, np.int64)), pa.array(np.full(len(x), label, np.int64)), pa.array(x.view(np.int64))], ["rid", "label", "kmer"])
+
+    each = some.mapInArrow(work, "rid long, label long, kmer long")
+    known = each.groupBy("kmer").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select(F.col("kmer").bitwiseXOR(F.lit(0)).alias("k2"))
+    cells = each.join(known, F.col("kmer") == F.col("k2"), "left_semi").groupBy("rid", F.pmod("kmer", F.lit(CELLS)).cast("int").alias("cell")).agg(F.count("*").cast("int").alias("n"))
+    cells = cells.groupBy("rid").agg(F.sum("n").alias("shared"), F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("at"))
+    return cells.select("rid", "shared", F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.coalesce(F.col("at")[i], F.lit(0))).alias("cells"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Class of every row of docs: ``id_col``, class_id (the smallest id in the class), class_size (rows), kept.
 
@@ -211,23 +256,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.join(classes.select("rid"), "rid", "left_semi")
 
     each = texts.select("rid", "kmers", F.posexplode("sketch").alias("i", "s")).select("rid", "kmers", F.xxhash64("i", "s").alias("bucket"))
-    buckets = each.groupBy("bucket").agg(F.min("rid").alias("first"), F.count("*").alias("g")).where("g > 1")
-    members = written(each.join(buckets.select(F.col("bucket").bitwiseXOR(F.lit(0)).alias("b2"), "first"), F.col("bucket") == F.col("b2")).select("bucket", "first", "rid", "kmers"), "omh-members")
+    buckets = each.groupBy("bucket").agg(F.count("*").alias("g")).where("g > 1").select(F.col("bucket").bitwiseXOR(F.lit(0)).alias("b2"), "g")
+    members = written(each.join(buckets, F.col("bucket") == F.col("b2")).select("bucket", "rid", "kmers", "g"), "omh-members")
+    central = members.groupBy("rid").agg(F.sum("g").alias("central")).select(F.col("rid").bitwiseXOR(F.lit(0)).alias("r2"), "central")
+    members = written(members.join(central, F.col("rid") == F.col("r2")).select("bucket", "rid", "kmers", "central"), "omh-central")
     some = texts.join(members.select("rid").distinct(), "rid", "left_semi").select("rid", "kmers", "words")
     some = written(some, "omh-texts")
 
-    size = members.where("rid = first").select("bucket", F.col("kmers").alias("k1"))
-    star = members.where("rid != first").join(size, "bucket").where(F.least("kmers", "k1") >= similarity * F.greatest("kmers", "k1"))
-    links = _verified(star.select(F.col("first").alias("a"), F.col("rid").alias("b")).distinct(), some, similarity)
-    labels = _labels(links)
-
-    m = members.join(labels, F.col("rid") == F.col("node"), "left").select("bucket", "first", "rid", "kmers", F.coalesce("component", "rid").alias("label"))
-    mixed_buckets = m.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("bucket")
-    m = written(m.join(mixed_buckets, "bucket", "left_semi"), "omh-residue")
-    x, y = m.alias("x"), m.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.rid") != F.col("x.first")))
-    rest = rest.where(F.least("x.kmers", "y.kmers") >= similarity * F.greatest("x.kmers", "y.kmers"))
-    rest = rest.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
+    lead = members.groupBy("bucket").agg(F.max_by("rid", F.struct("central", "rid")).alias("lead"))
+    links = _verified(_led(members.withColumn("label", F.col("rid")), lead, similarity), some, similarity)
+    for _ in range(TURNS):
+        m = _mixed(members, _labels(links))
+        lead = m.groupBy("bucket").agg(F.max_by("rid", F.struct(F.col("label") != F.col("most"), "central", "rid")).alias("lead"))
+        links = links.union(_verified(_led(m, lead, similarity), some, similarity))
+
+    m = _mixed(members, _labels(links))
+    m = written(m.join(_shared(some, m), "rid").where(F.col("shared") >= similarity * F.col("kmers")), "omh-residue")
+    x, y = m.where("label != most").alias("x"), m.alias("y")
+    once = (F.col("y.label") == F.col("y.most")) | (F.col("x.rid") < F.col("y.rid"))
+    enough = F.least("x.shared", "y.shared") * (1 + similarity) >= similarity * (F.col("x.kmers") + F.col("y.kmers")) - 1e-6
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & once & enough)
+    rest = rest.where(f"aggregate(zip_with(x.cells, y.cells, (p, q) -> least(p, q)), 0, (p, q) -> p + q) * {1 + similarity} >= {similarity} * (x.kmers + y.kmers) - 1e-6")
+    rest = rest.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
     links = links.union(_verified(rest, some, similarity))
     labels = connected_components(links)
 
