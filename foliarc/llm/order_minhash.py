@@ -19,6 +19,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliarc.llm.common import prepare, written
 from foliarc.llm.graph import connected_components
@@ -154,8 +155,8 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, k: int
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, doc_id, key, kmers, words, sketch) of every row, written: rid numbers rows, key is equal for equal texts."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """(rid, doc_id, h, key, kmers, words, sketch) of every row, written: rid numbers rows, h is a hash of the text as it is, key is equal for texts of equal words."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
 
     def work(batches):
         import pyarrow as pa
@@ -173,9 +174,9 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sketches.append(sketch(x))
             at = np.concatenate([[0], np.cumsum([len(s) for s in sketches])]).astype(np.int32)
             flat = np.concatenate([*sketches, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([batch["rid"], batch["doc_id"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(coded, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["rid", "doc_id", "key", "kmers", "words", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch["rid"], batch["doc_id"], batch["h"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(coded, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["rid", "doc_id", "h", "key", "kmers", "words", "sketch"])
 
-    return written(rows.mapInArrow(work, "rid long, doc_id long, key binary, kmers int, words binary, sketch array<long>"), "omh-rows")
+    return written(rows.mapInArrow(work, "rid long, doc_id long, h long, key binary, kmers int, words binary, sketch array<long>"), "omh-rows")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -250,6 +251,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat an id are rows of their own; a null id never names a class that has another id.  An
     empty table gives no rows; other columns are not read.
     """
+    out = _classes(docs, id_col, text_col, similarity)
+    return out.select(F.col("doc_id").alias(id_col), "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row of every class, with its columns: that of the smallest id, and of least text hash where rows repeat it."""
+    c = _classes(docs, id_col, text_col, similarity)
+    stay = c.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("m")).select("m.doc_id", "m.h")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text_col).alias("h1"))
+    rows = rows.join(stay.distinct(), F.col(f"row.{id_col}").eqNullSafe(F.col("doc_id")) & (F.col("h1") == F.col("h")))
+    once = Window.partitionBy("doc_id", "h").orderBy(F.lit(0))
+    return rows.withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(doc_id, h, label, class_id, class_size) of every row of docs."""
     prepare(docs.sparkSession)
     rows = _sketched(docs, id_col, text_col)
     classes = written(rows.groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("low"), F.count("*").alias("n")), "omh-classes")
@@ -283,6 +300,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     c = classes.join(labels, F.col("rid") == F.col("node"), "left").select("key", "low", "n", F.coalesce("component", "rid").alias("label"))
     whole = c.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size")).select(F.col("label").bitwiseXOR(F.lit(0)).alias("l2"), "class_id", "class_size")
-    c = c.join(whole, F.col("label") == F.col("l2")).select(F.concat("key", F.lit(b"")).alias("k2"), "class_id", "class_size")
-    out = rows.select("doc_id", "key").join(c, F.col("key") == F.col("k2"))
-    return out.select(F.col("doc_id").alias(id_col), "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    c = c.join(whole, F.col("label") == F.col("l2")).select(F.concat("key", F.lit(b"")).alias("k2"), "label", "class_id", "class_size")
+    return rows.select("doc_id", "h", "key").join(c, F.col("key") == F.col("k2")).select("doc_id", "h", "label", "class_id", "class_size")
