@@ -1,10 +1,526 @@
-"""Every query of the library by name, with equivalent DuckDB SQL where there is one."""
+"""Every query of the library by name: an operator applied to the fixture views."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from foliarc.functions import color, text
+from foliarc.operators import batching, crown, enrich, files, hull, lineage, metrics, rays, results, voxel
+from foliarc.plans import features as plan
+from foliarc.plans.oracle import ORACLES
+from foliarc.schema import AnalysisConfig, ChannelLimit
+from foliarc.sources.fixtures import table, view
+
+__all__ = ["ORACLES", "QUERIES"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SIZE, RAYS = 0.5, 400
+CONFIG = AnalysisConfig(voxel_sizes=(SIZE,), ray_sample_count=RAYS)
+K = ["tree_id", "voxel_size"]
+CELL = [*K, *voxel.CELL]
+POINT = ["tree_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def six(*names: str) -> list[Column]:
+    """Columns rounded to six places under their names."""
+    return [F.round(F.col(n), 6).alias(n) for n in names]
+
+
+def points(spark, sf):
+    return view(spark, sf, "points")
+
+
+def indexed(spark, sf):
+    return voxel.voxel_index(voxel.class_codes(points(spark, sf)), [SIZE])
+
+
+def voxels(spark, sf):
+    return voxel.voxelise(points(spark, sf), [SIZE], 5)
+
+
+def trimmed(spark, sf):
+    return enrich.trim(enrich.remove_ground(voxels(spark, sf)))
+
+
+def enriched(spark, sf):
+    return enrich.enrich(voxels(spark, sf))
+
+
+@query
+def class_dense_rank(spark, sf):
+    return voxel.class_codes(points(spark, sf)).select(*POINT, "raw_class", F.col("cls").cast("long").alias("cls"))
+
+
+@query
+def hsv_convert(spark, sf):
+    h, s, v = color.hsv(F.col("red"), F.col("green"), F.col("blue"))
+    return points(spark, sf).select(*POINT, F.round(h, 6).alias("h"), F.round(s, 6).alias("s"), F.round(v, 6).alias("v"))
+
+
+@query
+def mask_blue(spark, sf):
+    return points(spark, sf).where(~color.is_sky(F.col("red"), F.col("green"), F.col("blue"))).select(*POINT, "red", "green", "blue")
+
+
+@query
+def axis_permute(spark, sf):
+    p = points(spark, sf)
+    out = [voxel.permute_axes(p, a).select(*POINT, F.lit(a).cast("long").alias("axis"), *six("x", "y", "z")) for a in (0, 1, 2)]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query
+def voxel_index(spark, sf):
+    return indexed(spark, sf).select(*POINT, *voxel.CELL)
+
+
+@query
+def voxelize_percentile(spark, sf):
+    return voxel.accumulate(indexed(spark, sf), 5).select(*CELL, "n", *six("sr", "sg", "sb"), "ground", "treeid")
+
+
+@query
+def voxelize_plain(spark, sf):
+    return voxel.accumulate(indexed(spark, sf), None).select(*CELL, "n", *six("sr", "sg", "sb"), "ground", "treeid")
+
+
+@query
+def voxel_finalize(spark, sf):
+    return voxels(spark, sf).select(*CELL, "n", *six("r", "g", "b", "density"), F.col("cls").cast("long").alias("cls"), "treeid")
+
+
+@query
+def ground_removal(spark, sf):
+    return enrich.remove_ground(voxels(spark, sf)).select(*CELL, *six("r", "g", "b", "density"))
+
+
+@query
+def density_mask(spark, sf):
+    return enrich.density_mask(voxels(spark, sf), 0.25).select(*CELL, *six("density"))
+
+
+@query
+def noise_floor(spark, sf):
+    return enrich.noise_floor(voxels(spark, sf), 1.5).select(*CELL, *six("r", "g", "b"))
+
+
+@query
+def channel_at_least(spark, sf):
+    return enrich.at_least(voxels(spark, sf), "density", 0.5).select(*CELL, *six("density"))
+
+
+@query
+def trim_bbox(spark, sf):
+    return trimmed(spark, sf).select(*CELL, "nx", "ny", "nz", *six("r", "density"))
+
+
+@query
+def gli(spark, sf):
+    return voxels(spark, sf).select(*CELL, F.round(color.gli(F.col("r"), F.col("g"), F.col("b")), 6).alias("gli"))
+
+
+@query
+def ngrdi(spark, sf):
+    return voxels(spark, sf).select(*CELL, F.round(color.ngrdi(F.col("r"), F.col("g")), 6).alias("ngrdi"))
+
+
+@query
+def exr(spark, sf):
+    return voxels(spark, sf).select(*CELL, F.round(color.exr(F.col("r"), F.col("g"), F.col("b")), 6).alias("exr"))
+
+
+@query
+def density_norm(spark, sf):
+    return enriched(spark, sf).select(*CELL, *six("density_norm"))
+
+
+@query
+def normalize_grid(spark, sf):
+    return enrich.proportions(voxels(spark, sf)).select(*CELL, *six("r_part", "g_part", "b_part", "rgri", "bgri", "luminosity", "balance"))
+
+
+@query
+def dense_share(spark, sf):
+    return enrich.dense_share(voxels(spark, sf), 0.5).select(*K, *six("dense_percent"))
+
+
+LIMITS = {
+    "max": ChannelLimit("gli", max=0.1), "max_inclusive": ChannelLimit("gli", max=0.1, inclusive=True),
+    "min": ChannelLimit("ngrdi", min=0.005), "min_inclusive": ChannelLimit("ngrdi", min=0.005, inclusive=True),
+    "both": ChannelLimit("exr", min=0.35, max=0.5), "both_inclusive": ChannelLimit("exr", min=0.35, max=0.5, inclusive=True),
+    "mask_na": ChannelLimit("density_norm", mask_na=True),
+}
+
+
+@query
+def channel_limits(spark, sf):
+    v = enriched(spark, sf)
+    cases = F.array(*[F.when(enrich.limit_predicate(x), F.lit(name)) for name, x in LIMITS.items()])
+    passing = enrich.channel_limits(v, CONFIG.limits).select(*CELL, F.lit("production").alias("case"))
+    return v.select(*CELL, F.explode(F.array_compact(cases)).alias("case")).union(passing)
+
+
+@query
+def tree_height(spark, sf):
+    return metrics.height(enrich.remove_ground(voxels(spark, sf))).select(*K, *six("height"))
+
+
+@query
+def canopy_dimensions(spark, sf):
+    return metrics.canopy_dimensions(enrich.remove_ground(voxels(spark, sf))).select(*K, *six("width", "length"))
+
+
+@query
+def z_histogram(spark, sf):
+    return crown.profile(enriched(spark, sf)).select(*K, "nz", F.posexplode("counts").alias("z", "c")).withColumn("z", F.col("z").cast("long"))
+
+
+@query
+def savgol_profile(spark, sf):
+    return crown.smoothed(crown.profile(enriched(spark, sf))).select(*K, F.posexplode("smooth").alias("z", "s")).select(*K, F.col("z").cast("long").alias("z"), *six("s"))
+
+
+@query
+def profile_derivative(spark, sf):
+    p = crown.crown_range(crown.slopes(crown.smoothed(crown.profile(enriched(spark, sf)))))
+    return p.select(*K, "base_index", "top_index", F.round(F.array_max("slope"), 6).alias("rise"), F.round(F.array_min("slope"), 6).alias("fall"))
+
+
+@query
+def live_crown(spark, sf):
+    return crown.live_crown(enriched(spark, sf)).select(*K, "base_index", "top_index", *six("base", "top"), "status")
+
+
+@query
+def camera_percentile_filter(spark, sf):
+    c = view(spark, sf, "cameras")
+    return metrics.within_box(c, metrics.percentile_box(c, 0.05)).select("tree_id", "cam_id", *six("x", "y", "z"))
+
+
+@query
+def camera_bbox(spark, sf):
+    b = metrics.percentile_box(view(spark, sf, "cameras"), 0.05, 0.15)
+    return b.select("tree_id", *six(*[f"{n}_{a}" for a in "xyz" for n in ("lo", "hi")]))
+
+
+@query
+def box_trim(spark, sf):
+    t = view(spark, sf, "tiepoints").withColumnRenamed("chunk_id", "tree_id")
+    return metrics.within_box(t, metrics.percentile_box(view(spark, sf, "cameras"), 0.05, 0.15)).select(*POINT, *six("x", "y", "z"))
+
+
+@query
+def max_pairwise_distance(spark, sf):
+    return metrics.largest_distance(view(spark, sf, "cameras")).select("tree_id", *six("max_distance"))
+
+
+def box_planes(extents: DataFrame) -> DataFrame:
+    """The box of all cells as planes, for oracles without a hull."""
+    plane = lambda i, s: F.struct(*[F.lit(float(s if i == j else 0)).alias(c) for j, c in enumerate("abc")], (F.lit(0.0) if s < 0 else -(F.col(f"n{'xyz'[i]}") - 1).cast("double")).alias("d"))
+    return extents.select(*K, F.array(*[plane(i, s) for i in range(3) for s in (-1, 1)]).alias("planes"))
+
+
+def extents(spark, sf):
+    return enriched(spark, sf).groupBy(*K).agg(*[F.max(f"n{a}").alias(f"n{a}") for a in "xyz"])
+
+
+@query
+def halfspace_clip(spark, sf):
+    c = view(spark, sf, "cameras").groupBy("tree_id").agg(*[f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    plane = lambda i, s: F.struct(*[F.lit(float(s if i == j else 0)).alias(k) for j, k in enumerate("abc")], (F.col(f"lo_{'xyz'[i]}") if s < 0 else -F.col(f"hi_{'xyz'[i]}")).alias("d"))
+    planes = c.select("tree_id", F.array(*[plane(i, s) for i in range(3) for s in (-1, 1)]).alias("planes"))
+    return points(spark, sf).join(planes, "tree_id").where(hull.inside(F.col("planes"), F.col("x"), F.col("y"), F.col("z"), 0.1)).select(*POINT, *six("x", "y", "z"))
+
+
+@query
+def fibonacci_rays(spark, sf):
+    return rays.rays(extents(spark, sf), RAYS).select(*K, "ray_id", *[F.round(c, 8).alias(c) for c in ("ox", "oy", "oz", "dx", "dy", "dz")])
+
+
+@query
+def hashed_rays(spark, sf):
+    return rays.rays(extents(spark, sf), RAYS, "hashed").select(*K, "ray_id", *[F.round(c, 8).alias(c) for c in ("dx", "dy", "dz")])
+
+
+@query
+def ray_lines(spark, sf):
+    r = rays.rays(extents(spark, sf), RAYS).withColumns({c: F.round(c, 9) for c in ("ox", "oy", "oz", "dx", "dy", "dz")})
+    return rays.ray_lines(r)
+
+
+def box_kept(spark, sf):
+    e = extents(spark, sf)
+    return rays.kept_rays(rays.rays(e, RAYS), box_planes(e))
+
+
+@query
+def ray_march_hits(spark, sf):
+    return rays.hits(box_kept(spark, sf), enriched(spark, sf))
+
+
+@query
+def ray_voxel_support(spark, sf):
+    h = rays.hits(box_kept(spark, sf), enrich.channel_limits(enriched(spark, sf), CONFIG.limits))
+    return h.groupBy(*CELL).agg(F.count("*").alias("support"))
+
+
+@query
+def transparency_boxhull(spark, sf):
+    kept = box_kept(spark, sf)
+    return rays.transmission(kept, rays.hits(kept, enrich.channel_limits(enriched(spark, sf), CONFIG.limits))).select(*K, "valid", "unobstructed", *six("transparency"))
+
+
+@query
+def hull3d_planes(spark, sf):
+    return hull.voxel_hull(enriched(spark, sf)).select(*K, *six("a", "b", "c", "d"))
+
+
+@query
+def hull_volume(spark, sf):
+    return hull.hull_volume(hull.voxel_hull(enriched(spark, sf)), K).select(*K, *six("volume"))
+
+
+@query
+def hull_obj(spark, sf):
+    return hull.obj_lines(hull.voxel_hull(enriched(spark, sf)), K)
+
+
+@query
+def clip_hull(spark, sf):
+    return hull.clip(points(spark, sf), view(spark, sf, "cameras"), 0.02, 0.1).select(*POINT, *six("x", "y", "z"))
+
+
+@query
+def clip_hull_flat(spark, sf):
+    return hull.clip(points(spark, sf), view(spark, sf, "cameras"), 0.02, 0.1, ignore_z=True).select(*POINT, *six("x", "y", "z"))
+
+
+@query
+def sliding_window_chunks(spark, sf):
+    return batching.sliding_windows(view(spark, sf, "frames"), 100, 30).select("chunk_id", "window", F.col("position").cast("long").alias("position"), "event_id")
+
+
+@query
+def match_batches(spark, sf):
+    return batching.match_batches(view(spark, sf, "frames"), 150).select("chunk_id", F.col("batch").cast("long").alias("batch"), "start", "stop")
+
+
+@query
+def unaligned_runs(spark, sf):
+    return batching.unaligned_runs(view(spark, sf, "frames"), 2).select("chunk_id", "event_id", F.col("run").cast("long").alias("run"), F.col("batch").cast("long").alias("batch"))
+
+
+@query
+def following_unaligned(spark, sf):
+    f = batching.following_unaligned(view(spark, sf, "frames"), 3)
+    return f.select("chunk_id", F.col("leader").cast("long").alias("leader"), F.col("member").cast("long").alias("member"))
+
+
+@query
+def camera_counts(spark, sf):
+    return metrics.camera_counts(view(spark, sf, "frames"))
+
+
+@query
+def frame_masks(spark, sf):
+    f = view(spark, sf, "frames").select("event_id", "name")
+    masks = f.where("event_id % 3 = 0").select(F.concat(F.lit("masks/"), F.regexp_replace("name", r"\.png$", "_mask.png")).alias("mask"))
+    return batching.frame_masks(f, masks)
+
+
+@query
+def chosen_chunk(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("project"), F.col("n_nationkey").alias("idx"), F.when(F.col("n_nationkey") % 10 == 3, "Merged Chunk").otherwise(F.col("n_name")).alias("label"))
+    return batching.chosen_chunk(n)
+
+
+@query
+def numeric_sort_key(spark, sf):
+    return view(spark, sf, "frames").select("event_id", text.number_in(F.col("name")).cast("long").alias("number"), text.number_in(F.regexp_replace("name", "[0-9]", "")).cast("long").alias("none"))
+
+
+@query
+def quality_threshold(spark, sf):
+    return metrics.quality_thresholds(view(spark, sf, "frames")).select("chunk_id", *six("mean", "std", "threshold"))
+
+
+@query
+def low_quality_filter(spark, sf):
+    return metrics.low_quality(view(spark, sf, "frames")).select("chunk_id", "event_id", *six("quality"))
+
+
+@query
+def image_scale_factor(spark, sf):
+    return metrics.image_scale(view(spark, sf, "frames"), 1000, 700).select("chunk_id", *six("ratio"), "scale")
+
+
+@query
+def error_filter_step(spark, sf):
+    goals = {"err_accuracy": 48, "err_reprojection": 1, "err_uncertainty": 100}
+    left = metrics.error_filter_step(view(spark, sf, "tiepoints"), goals)
+    return left.groupBy("chunk_id").agg(F.count("*").alias("n"), *[F.round(F.max(c), 6).alias(c) for c in goals])
+
+
+def paths(spark, sf):
+    return table(spark, sf, "pages").select(F.regexp_replace("url", "^[a-z]+://|[?#].*$", "").alias("path"))
+
+
+@query
+def leaf_directories(spark, sf):
+    folders = paths(spark, sf).select(F.explode(F.array("path", F.regexp_replace("path", r"/[^/]*$", ""), F.regexp_replace("path", r"/.*$", ""))).alias("path")).distinct()
+    return files.leaf_folders(folders, "en/1")
+
+
+@query
+def file_patterns(spark, sf):
+    return files.matching(paths(spark, sf), ["*.HTML", "m.*/de/*"])
+
+
+@query
+def file_pairs(spark, sf):
+    p = paths(spark, sf).distinct().select(F.concat(F.lit("data/input/"), "path").alias("path"))
+    return files.analysed(p, ".html", ["/fr/"], limit=20)
+
+
+@query
+def subfolders(spark, sf):
+    return files.subfolders(paths(spark, sf).select(F.concat(F.lit("root/"), "path").alias("path")), "root")
+
+
+@query
+def stale_outputs(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.md5("text").alias("hash"))
+    made = d.where("cast(path as long) % 3 > 0").withColumn("hash", F.when(F.col("path").cast("long") % 3 == 1, F.col("hash")).otherwise("x"))
+    return files.stale(made, d)
+
+
+@query
+def first_record(spark, sf):
+    lines = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("path"), F.col("o_orderkey").alias("line_no"), F.concat(F.lit(" "), F.col("o_orderkey").cast("string"), F.lit("  0.25 1 2")).alias("value"))
+    return files.first_record(lines)
+
+
+@query
+def flat_folder_name(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.flat_name(F.col("url")).alias("name"))
+
+
+@query
+def elapsed_format(spark, sf):
+    return table(spark, sf, "events").select("event_id", text.elapsed(F.col("event_id") * 7 % 20000).alias("elapsed"))
+
+
+@query
+def without_characters(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.without(F.col("url"), ["https", "/", "."], "-").alias("text"))
+
+
+@query
+def site_and_tree(spark, sf):
+    site, tree = text.site_and_tree(F.col("path"))
+    return view(spark, sf, "tree_results").select("path", site.alias("site"), tree.alias("tree"))
+
+
+@query
+def requirements_consolidate(spark, sf):
+    return lineage.consolidate_requirements(view(spark, sf, "requirements"))
+
+
+@query
+def results_union(spark, sf):
+    r = view(spark, sf, "tree_results")
+    return results.union_results([r.where("dbh < 3").drop("height"), r.where("dbh >= 3")]).select("path", *six("height", "dbh"))
+
+
+@query
+def results_clean(spark, sf):
+    r = results.named(view(spark, sf, "tree_results")).withColumns({"Input": F.col("path"), "DBH2": F.col("dbh"), "CWidth": F.col("height")})
+    return results.clean(results.rounded(r.withColumnRenamed("dbh", "DBH")).drop("path"))
+
+
+@query
+def json_records(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.from_json("props", "k long").k.alias("k")).where("k is not null")
+
+
+@query
+def content_hash(spark, sf):
+    return lineage.content_hash(table(spark, sf, "documents"), "text", "doc_id")
+
+
+@query
+def project_hash(spark, sf):
+    return lineage.project_hash(table(spark, sf, "documents"), "text", "doc_id")
+
+
+@query
+def pairs_needed(spark, sf):
+    return table(spark, sf, "nation").select("n_nationkey", lineage.pairs_needed((F.col("n_nationkey") + 2).cast("double") * 1000, 0.01, 1024).cast("long").alias("pairs"))
+
+
+@query
+def brightness_filter(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("length"))
+    return e.where("length > 0.9").select("vec_id", F.round("length", 5).alias("length"))
+
+
+@query
+def voxel_brightness(spark, sf):
+    v = voxels(spark, sf).select(*CELL, color.brightness(F.col("r"), F.col("g"), F.col("b"), F.col("density")).alias("brightness"))
+    return v.where("brightness > 1").select(*CELL, *six("brightness"))
+
+
+@query
+def voxel_csv(spark, sf):
+    v = voxels(spark, sf).where("r != 0 or g != 0 or b != 0")
+    return v.select("tree_id", *[F.col(f"i{a}").alias(a) for a in "xyz"], *[F.round(F.col(c) * 255, 6).alias(c) for c in "rgb"])
+
+
+@query
+def layer(spark, sf):
+    return enrich.layer(enrich.remove_ground(voxels(spark, sf)), 2).select(*CELL, *six("r", "g", "b"))
+
+
+@query
+def box_mean_mask(spark, sf):
+    return enrich.box_mean_mask(trimmed(spark, sf), 0.2).select(*CELL, *six("mean"))
+
+
+@query
+def bottom_outlier_trim(spark, sf):
+    return enrich.trim_bottom(trimmed(spark, sf)).select(*CELL, *six("r", "g", "b"))
+
+
+@query
+def largest_component(spark, sf):
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliarc-"))
+    return enrich.largest_component(trimmed(spark, sf), 5, 2)
+
+
+def record(df: DataFrame) -> DataFrame:
+    """Feature columns under the names of the result table, rounded to three places."""
+    return results.rounded(df)
+
+
+@query
+def features_core(spark, sf):
+    config = AnalysisConfig(voxel_sizes=(SIZE,), calculate_transparency=False)
+    f = plan.features(points(spark, sf), config)
+    return record(f.toDF(*[c.lower().replace(" ", "_") for c in f.columns]))
+
+
+@query
+def features_full(spark, sf):
+    return record(plan.features(points(spark, sf), CONFIG))
