@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -53,6 +54,12 @@ def forget(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete shuffles and checkpoints that no table refers to any more; else they stay until the driver's heap fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a URI, for whole files that Spark has no writer for."""
     from pyarrow import fs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliarc.llm.common import prepare
+from foliarc.llm.common import prepare, tidy
 
 
 def _apart(key: Column, kind: str) -> Column:
@@ -44,6 +44,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int
         if after == before:
             break
         before = after
+        tidy(edges.sparkSession)
     else:
         raise RuntimeError(f"components have not settled after {most} steps")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

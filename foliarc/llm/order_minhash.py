@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliarc.llm.common import prepare, written
+from foliarc.llm.common import forget, prepare, tidy, written
 from foliarc.llm.graph import connected_components
 
 K = 5
@@ -29,7 +29,6 @@ SKETCHES = 16
 LENGTH = 4
 SIMILARITY = 0.8
 CELLS = 64
-TURNS = 3  # further leaders tried in buckets that hold several classes, before what is left is compared in full
 CACHE = 400_000
 GOLD, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -155,7 +154,11 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, k: int
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, doc_id, h, key, kmers, words, sketch) of every row, written: rid numbers rows, h is a hash of the text as it is, key is equal for texts of equal words."""
+    """(rid, doc_id, h, key, kmers, words, sketch) of every row, written: rid numbers rows, h is a hash of the text as it is, key is equal for texts of equal words.
+
+    words are 16-bit codes: five in a row are 80 bits, so shingles are as good as exact.  Texts of fewer than
+    five words have no sketch, since they link only where their keys are equal.
+    """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
 
     def work(batches):
@@ -170,8 +173,8 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 c = words.codes(w)
                 x = kmers(c)
                 sizes.append(len(x))
-                coded.append(c.astype("<u4").tobytes())
-                sketches.append(sketch(x))
+                coded.append(c.astype("<u2").tobytes())
+                sketches.append(sketch(x) if len(w) >= K else x[:0].view(np.int64))
             at = np.concatenate([[0], np.cumsum([len(s) for s in sketches])]).astype(np.int32)
             flat = np.concatenate([*sketches, np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([batch["rid"], batch["doc_id"], batch["h"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(coded, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["rid", "doc_id", "h", "key", "kmers", "words", "sketch"])
@@ -188,7 +191,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     def work(batches):
         for batch in batches:
             x, y = batch["x"], batch["y"]
-            ok = [similar(np.frombuffer(x[i].as_buffer(), "<u4"), np.frombuffer(y[i].as_buffer(), "<u4"), similarity) for i in range(len(x))]
+            ok = [similar(np.frombuffer(x[i].as_buffer(), "<u2"), np.frombuffer(y[i].as_buffer(), "<u2"), similarity) for i in range(len(x))]
             import pyarrow as pa
 
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -233,7 +236,7 @@ def _shared(texts: DataFrame, members: DataFrame) -> DataFrame:
 
         for batch in batches:
             for rid, label, w in zip(batch["rid"].to_pylist(), batch["label"].to_pylist(), batch["words"], strict=True):
-                x = kmers(np.frombuffer(w.as_buffer(), "<u4"))
+                x = kmers(np.frombuffer(w.as_buffer(), "<u2"))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), rid, np.int64)), pa.array(np.full(len(x), label, np.int64)), pa.array(x.view(np.int64))], ["rid", "label", "kmer"])
 
     each = some.mapInArrow(work, "rid long, label long, kmer long")
@@ -270,24 +273,19 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     prepare(docs.sparkSession)
     rows = _sketched(docs, id_col, text_col)
     classes = written(rows.groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("low"), F.count("*").alias("n")), "omh-classes")
-    texts = rows.join(classes.select("rid"), "rid", "left_semi")
-
-    each = texts.select("rid", "kmers", F.posexplode("sketch").alias("i", "s")).select("rid", "kmers", F.xxhash64("i", "s").alias("bucket"))
+    each = rows.select("rid", "kmers", "sketch").join(classes.select("rid"), "rid", "left_semi")
+    each = each.select("rid", "kmers", F.posexplode("sketch").alias("i", "s")).select("rid", "kmers", F.xxhash64("i", "s").alias("bucket"))
     buckets = each.groupBy("bucket").agg(F.count("*").alias("g")).where("g > 1").select(F.col("bucket").bitwiseXOR(F.lit(0)).alias("b2"), "g")
-    members = written(each.join(buckets, F.col("bucket") == F.col("b2")).select("bucket", "rid", "kmers", "g"), "omh-members")
+    members = each.join(buckets, F.col("bucket") == F.col("b2")).select("bucket", "rid", "kmers", "g")
     central = members.groupBy("rid").agg(F.sum("g").alias("central")).select(F.col("rid").bitwiseXOR(F.lit(0)).alias("r2"), "central")
     members = written(members.join(central, F.col("rid") == F.col("r2")).select("bucket", "rid", "kmers", "central"), "omh-central")
-    some = texts.join(members.select("rid").distinct(), "rid", "left_semi").select("rid", "kmers", "words")
+    some = rows.select("rid", "words").join(members.select("rid").distinct(), "rid", "left_semi")
     some = written(some, "omh-texts")
 
     lead = members.groupBy("bucket").agg(F.max_by("rid", F.struct("central", "rid")).alias("lead"))
     links = _verified(_led(members.withColumn("label", F.col("rid")), lead, similarity), some, similarity)
-    for _ in range(TURNS):
-        m = _mixed(members, _labels(links))
-        lead = m.groupBy("bucket").agg(F.max_by("rid", F.struct(F.col("label") != F.col("most"), "central", "rid")).alias("lead"))
-        links = links.union(_verified(_led(m, lead, similarity), some, similarity))
-
     m = _mixed(members, _labels(links))
+    tidy(docs.sparkSession)
     m = written(m.join(_shared(some, m), "rid").where(F.col("shared") >= similarity * F.col("kmers")), "omh-residue")
     x, y = m.where("label != most").alias("x"), m.alias("y")
     once = (F.col("y.label") == F.col("y.most")) | (F.col("x.rid") < F.col("y.rid"))
@@ -297,6 +295,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     rest = rest.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
     links = links.union(_verified(rest, some, similarity))
     labels = connected_components(links)
+    for used in (members, some, m, links):
+        forget(used)
+    tidy(docs.sparkSession)
 
     c = classes.join(labels, F.col("rid") == F.col("node"), "left").select("key", "low", "n", F.coalesce("component", "rid").alias("label"))
     whole = c.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size")).select(F.col("label").bitwiseXOR(F.lit(0)).alias("l2"), "class_id", "class_size")
