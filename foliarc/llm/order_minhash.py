@@ -25,8 +25,8 @@ from foliarc.llm.common import forget, prepare, tidy, written
 from foliarc.llm.graph import connected_components
 
 K = 5
-SKETCHES = 16
-LENGTH = 4
+SKETCHES = 18
+LENGTH = 5
 SIMILARITY = 0.8
 CELLS = 64
 CACHE = 400_000
@@ -199,10 +199,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return written(full.mapInArrow(work, "a long, b long"), "omh-links")
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    return written(connected_components(links), "omh-labels")
-
-
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, rid, kmers, central, label, most): members of the buckets that hold several labels, most being the commonest."""
     m = members.join(labels, F.col("rid") == F.col("node"), "left").select("bucket", "rid", "kmers", "central", F.coalesce("component", "rid").alias("label"))
@@ -211,16 +207,6 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return m.join(n.where("of > 1").select("bucket", "most"), "bucket")
 
 
-def _led(members: DataFrame, lead: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of a bucket's leading text and its others that have another label, where their sizes allow a link."""
-    lead = lead.distinct().select(F.col("bucket").bitwiseXOR(F.lit(0)).alias("b2"), "lead")
-    first = members.select("rid", F.col("kmers").alias("k1"), F.col("label").alias("l1")).distinct()
-    m = members.join(lead, F.col("bucket") == F.col("b2")).select("lead", "rid", "kmers", "label").where("rid != lead").distinct()
-    m = m.join(first.select(F.col("rid").alias("r1"), "k1", "l1"), F.col("lead") == F.col("r1"))
-    m = m.where((F.col("label") != F.col("l1")) & (F.least("kmers", "k1") >= similarity * F.greatest("kmers", "k1")))
-    return m.select(F.least("lead", "rid").alias("a"), F.greatest("lead", "rid").alias("b")).distinct()
-
-
 def _shared(texts: DataFrame, members: DataFrame) -> DataFrame:
     """(rid, shared, cells): how many of a text's labelled k-mers a text of another label in members has too, in all and by cell of their hash.
 
@@ -282,9 +268,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     some = rows.select("rid", "words").join(members.select("rid").distinct(), "rid", "left_semi")
     some = written(some, "omh-texts")
 
-    lead = members.groupBy("bucket").agg(F.max_by("rid", F.struct("central", "rid")).alias("lead"))
-    links = _verified(_led(members.withColumn("label", F.col("rid")), lead, similarity), some, similarity)
-    m = _mixed(members, _labels(links))
+    lead = members.groupBy("bucket").agg(F.max_by(F.struct("rid", "kmers"), F.struct("central", "rid")).alias("lead"))
+    star = members.join(lead.select(F.col("bucket").bitwiseXOR(F.lit(0)).alias("b2"), "lead"), F.col("bucket") == F.col("b2"))
+    star = star.where((F.col("rid") != F.col("lead.rid")) & (F.least("kmers", "lead.kmers") >= similarity * F.greatest("kmers", "lead.kmers")))
+    links = _verified(star.select(F.least("lead.rid", "rid").alias("a"), F.greatest("lead.rid", "rid").alias("b")).distinct(), some, similarity)
+
+    m = _mixed(members, connected_components(links))
     tidy(docs.sparkSession)
     m = written(m.join(_shared(some, m), "rid").where(F.col("shared") >= similarity * F.col("kmers")), "omh-residue")
     x, y = m.where("label != most").alias("x"), m.alias("y")
