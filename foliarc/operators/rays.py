@@ -53,11 +53,11 @@ def kept_rays(r: DataFrame, planes: DataFrame, keys: Sequence[str] = KEYS, step:
     """Rays with a step inside the hull; planes: (keys, voxel_size, planes: array of a, b, c, d), at most a hull per cloud.  No planes: no rays."""
     k = [*keys, "voxel_size"]
     j = r.join(planes.where(F.size("planes") > 0), k)
-    speed = lambda p: p.a * F.col("dx") + p.b * F.col("dy") + p.c * F.col("dz")
-    at = lambda p: p.a * F.col("ox") + p.b * F.col("oy") + p.c * F.col("oz") + p.d - TOLERANCE
-    enter = F.array_max(F.transform(F.filter("planes", lambda p: speed(p) < 0), lambda p: -at(p) / speed(p)))
-    leave = F.array_min(F.transform(F.filter("planes", lambda p: speed(p) > 0), lambda p: -at(p) / speed(p)))
-    miss = F.exists("planes", lambda p: (speed(p) == 0) & (at(p) > 0))
+    term = lambda p: F.struct((p.a * F.col("dx") + p.b * F.col("dy") + p.c * F.col("dz")).alias("speed"), (p.a * F.col("ox") + p.b * F.col("oy") + p.c * F.col("oz") + p.d - TOLERANCE).alias("side"))
+    j = j.withColumn("planes", F.transform("planes", term))
+    enter = F.array_max(F.transform(F.filter("planes", lambda p: p.speed < 0), lambda p: -p.side / p.speed))
+    leave = F.array_min(F.transform(F.filter("planes", lambda p: p.speed > 0), lambda p: -p.side / p.speed))
+    miss = F.exists("planes", lambda p: (p.speed == 0) & (p.side > 0))
     first = F.greatest(F.lit(1.0), F.ceil(F.coalesce(enter, F.lit(-math.inf)) / step))
     last = F.least(F.lit(float(STEPS)), F.floor(F.coalesce(leave, F.lit(math.inf)) / step))
     return j.where(~miss & (first <= last)).drop("planes")
@@ -65,12 +65,12 @@ def kept_rays(r: DataFrame, planes: DataFrame, keys: Sequence[str] = KEYS, step:
 
 def march(kept: DataFrame, step: float = 0.5) -> DataFrame:
     """A row for every step inside the grid box: adds k, ix, iy, iz."""
-    lo, hi = F.lit(1.0), F.lit(float(STEPS))
-    for a in "xyz":
-        o, d, n = F.col(f"o{a}"), F.col(f"d{a}"), F.col(f"n{a}")
-        near, far = F.when(d > 0, -o / d).when(d < 0, (n - o) / d).otherwise(-1e9), F.when(d > 0, (n - o) / d).when(d < 0, -o / d).otherwise(1e9)
-        lo, hi = F.greatest(lo, F.floor(near / step) - 1), F.least(hi, F.ceil(far / step) + 1)
-    m = kept.withColumns({"lo": lo.cast("long"), "hi": hi.cast("long")}).where("lo <= hi")
+    axes = F.array(*[F.struct(F.col(f"o{a}").alias("o"), F.col(f"d{a}").alias("d"), F.col(f"n{a}").cast("double").alias("n")) for a in "xyz"])
+    ends = lambda x: F.struct(F.when(x.d > 0, -x.o / x.d).when(x.d < 0, (x.n - x.o) / x.d).otherwise(-1e9).alias("near"), F.when(x.d > 0, (x.n - x.o) / x.d).when(x.d < 0, -x.o / x.d).otherwise(1e9).alias("far"))
+    m = kept.withColumn("ends", F.transform(axes, ends))
+    near, far = F.array_max(F.transform("ends", lambda e: e.near)), F.array_min(F.transform("ends", lambda e: e.far))
+    lo, hi = F.greatest(F.lit(1.0), F.floor(near / step) - 1), F.least(F.lit(float(STEPS)), F.ceil(far / step) + 1)
+    m = m.withColumns({"lo": lo.cast("long"), "hi": hi.cast("long")}).where("lo <= hi").drop("ends")
     m = m.withColumn("k", F.explode(F.sequence("lo", "hi")))
     m = m.withColumns({f"p{a}": F.round(F.col(f"o{a}") + F.col(f"d{a}") * (F.col("k") * step), 9) for a in "xyz"})
     for a in "xyz":

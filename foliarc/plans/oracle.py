@@ -59,11 +59,11 @@ FROM der JOIN ends USING ({K}) GROUP BY ALL""",
 FROM (SELECT *, 1e0 + (-2e0) * (ray_id + 0.5e0) / {N} AS zz FROM ray0)""",
     "ray2": "SELECT *, ox - 2e0 * (ox - nx / 2e0) - ox AS vx, oy - 2e0 * (oy - ny / 2e0) - oy AS vy, oz - 2e0 * (oz - nz / 2e0) - oz AS vz FROM ray1",
     "ray": "SELECT *, vx / sqrt(vx * vx + vy * vy + vz * vz) AS dx, vy / sqrt(vx * vx + vy * vy + vz * vz) AS dy, vz / sqrt(vx * vx + vy * vy + vz * vz) AS dz FROM ray2",
-    "pl": """SELECT *, p.a * dx + p.b * dy + p.c * dz AS sp, p.a * ox + p.b * oy + p.c * oz + p.d - 1e-12 AS at FROM (SELECT *, unnest([
+    "pl": """SELECT *, p.a * dx + p.b * dy + p.c * dz AS sp, p.a * ox + p.b * oy + p.c * oz + p.d - 1e-12 AS side FROM (SELECT *, unnest([
   {'a': -1e0, 'b': 0e0, 'c': 0e0, 'd': 0e0}, {'a': 1e0, 'b': 0e0, 'c': 0e0, 'd': -(nx - 1)::DOUBLE}, {'a': 0e0, 'b': -1e0, 'c': 0e0, 'd': 0e0},
   {'a': 0e0, 'b': 1e0, 'c': 0e0, 'd': -(ny - 1)::DOUBLE}, {'a': 0e0, 'b': 0e0, 'c': -1e0, 'd': 0e0}, {'a': 0e0, 'b': 0e0, 'c': 1e0, 'd': -(nz - 1)::DOUBLE}]) AS p FROM ray)""",
-    "kept": f"""SELECT {K}, ray_id FROM pl GROUP BY ALL HAVING NOT bool_or(sp = 0 AND at > 0)
-  AND greatest(1, ceil(max(CASE WHEN sp < 0 THEN -at / sp END) / 0.5e0)) <= least(3000, floor(min(CASE WHEN sp > 0 THEN -at / sp END) / 0.5e0))""",
+    "kept": f"""SELECT {K}, ray_id FROM pl GROUP BY ALL HAVING NOT bool_or(sp = 0 AND side > 0)
+  AND greatest(1, ceil(max(CASE WHEN sp < 0 THEN -side / sp END) / 0.5e0)) <= least(3000, floor(min(CASE WHEN sp > 0 THEN -side / sp END) / 0.5e0))""",
     "steps": f"""SELECT {K}, ray_id, k, floor(px)::BIGINT AS ix, floor(py)::BIGINT AS iy, floor(pz)::BIGINT AS iz FROM (
   SELECT *, round(ox + dx * (k * 0.5e0), 9) AS px, round(oy + dy * (k * 0.5e0), 9) AS py, round(oz + dz * (k * 0.5e0), 9) AS pz FROM (
     SELECT r.*, unnest(range(1, 301)) AS k FROM ray r SEMI JOIN kept USING ({K}, ray_id)))

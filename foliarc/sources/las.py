@@ -47,7 +47,7 @@ def layout(path: str) -> Layout:
         h = HEADER.unpack(f.read(HEADER.size))
         if h[0] != b"LASF":
             raise ValueError(f"{path} is not a LAS file")
-        size, start, vlrs, fmt, length, count = h[13 - 1], h[14 - 1], h[15 - 1], h[16 - 1], h[17 - 1], h[18 - 1]
+        size, start, vlrs, fmt, length, count = h[13], h[14], h[15], h[16], h[17], h[18]
         if fmt not in FORMATS:
             raise ValueError(f"{path} has point format {fmt}; 0 to 3 are read")
         fields = list(FORMATS[fmt])
@@ -63,7 +63,7 @@ def layout(path: str) -> Layout:
         if used > length:
             raise ValueError(f"{path}: records of {length} bytes are shorter than their fields")
         fields += extra + ([("pad", f"V{length - used}")] if length > used else [])
-    return Layout(start, count, np.dtype(fields), h[23:26], h[26:29])
+    return Layout(start, count, np.dtype(fields), h[24:27], h[27:30])
 
 
 class Range(InputPartition):
