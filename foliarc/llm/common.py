@@ -9,6 +9,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 _OWN: dict[str, str] = {}
@@ -46,6 +47,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def likely(rows: DataFrame, keys: DataFrame, key: str, bits: int = 24) -> DataFrame:
+    """The rows whose ``key`` is in keys, and few others: a filter ahead of an exact join, so that less is shuffled.
+
+    A hash of a key names one of 2**bits bits; 64 of them are a row of the table that is broadcast, which so
+    has at most 2**(bits - 6) rows (262,144, about 8 MB) however many keys there are.  With far more keys than
+    bits it lets most rows pass, and the exact join does the work.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    word, bit = F.shiftright(slot, 6), F.pmod(slot, F.lit(64)).cast("int")
+    set_ = keys.select(word.alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64({key}), {1 << bits}L), 64L) as int))").alias("_bit"))
+    table = set_.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return rows.join(F.broadcast(table), word == F.col("_word")).where(F.getbit("_bits", bit) == 1).select(*rows.columns)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` that nothing reads any more."""
     spark = df.sparkSession

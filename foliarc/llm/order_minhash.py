@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliarc.llm.common import forget, prepare, tidy, written
+from foliarc.llm.common import forget, likely, prepare, tidy, written
 from foliarc.llm.graph import connected_components
 
 K = 5
@@ -200,8 +200,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, rid, kmers, central, label, most): members of the buckets that hold several labels, most being the commonest."""
-    m = members.join(labels, F.col("rid") == F.col("node"), "left").select("bucket", "rid", "kmers", "central", F.coalesce("component", "rid").alias("label"))
+    """(bucket, rid, kmers, label, most): members of the buckets that hold several labels, most being the commonest."""
+    m = members.join(labels, F.col("rid") == F.col("node"), "left").select("bucket", "rid", "kmers", F.coalesce("component", "rid").alias("label"))
     m = written(m, "omh-labelled")
     n = m.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("of"))
     return m.join(n.where("of > 1").select("bucket", "most"), "bucket")
@@ -259,16 +259,22 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     prepare(docs.sparkSession)
     rows = _sketched(docs, id_col, text_col)
     classes = written(rows.groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("low"), F.count("*").alias("n")), "omh-classes")
+    ids = written(rows.select("doc_id", "h", "key"), "omh-ids")
     each = rows.select("rid", "kmers", "sketch").join(classes.select("rid"), "rid", "left_semi")
     each = each.select("rid", "kmers", F.posexplode("sketch").alias("i", "s")).select("rid", "kmers", F.xxhash64("i", "s").alias("bucket"))
-    buckets = each.groupBy("bucket").agg(F.count("*").alias("g")).where("g > 1").select(F.col("bucket").bitwiseXOR(F.lit(0)).alias("b2"), "g")
-    members = each.join(buckets, F.col("bucket") == F.col("b2")).select("bucket", "rid", "kmers", "g")
-    central = members.groupBy("rid").agg(F.sum("g").alias("central")).select(F.col("rid").bitwiseXOR(F.lit(0)).alias("r2"), "central")
-    members = written(members.join(central, F.col("rid") == F.col("r2")).select("bucket", "rid", "kmers", "central"), "omh-central")
-    some = rows.select("rid", "words").join(members.select("rid").distinct(), "rid", "left_semi")
+    each = written(each, "omh-each")
+    buckets = written(each.groupBy("bucket").agg(F.count("*").alias("g")).where("g > 1"), "omh-buckets")
+    full = buckets.select(F.col("bucket").bitwiseXOR(F.lit(0)).alias("b2"), "g")
+    members = likely(each, buckets, "bucket").join(full, F.col("bucket") == F.col("b2"))
+    members = written(members.select("bucket", "rid", "kmers", "g"), "omh-members")
+    some = likely(rows.select("rid", "words"), members, "rid").join(members.select("rid").distinct(), "rid")  # inner: a semi join would be moved ahead of the filter
     some = written(some, "omh-texts")
+    for used in (rows, each, buckets):
+        forget(used)
+    tidy(docs.sparkSession)
 
-    lead = members.groupBy("bucket").agg(F.max_by(F.struct("rid", "kmers"), F.struct("central", "rid")).alias("lead"))
+    central = members.groupBy("rid").agg(F.sum("g").alias("central")).select(F.col("rid").bitwiseXOR(F.lit(0)).alias("r2"), "central")
+    lead = members.join(central, F.col("rid") == F.col("r2")).groupBy("bucket").agg(F.max_by(F.struct("rid", "kmers"), F.struct("central", "rid")).alias("lead"))
     star = members.join(lead.select(F.col("bucket").bitwiseXOR(F.lit(0)).alias("b2"), "lead"), F.col("bucket") == F.col("b2"))
     star = star.where((F.col("rid") != F.col("lead.rid")) & (F.least("kmers", "lead.kmers") >= similarity * F.greatest("kmers", "lead.kmers")))
     links = _verified(star.select(F.least("lead.rid", "rid").alias("a"), F.greatest("lead.rid", "rid").alias("b")).distinct(), some, similarity)
@@ -291,4 +297,4 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     c = classes.join(labels, F.col("rid") == F.col("node"), "left").select("key", "low", "n", F.coalesce("component", "rid").alias("label"))
     whole = c.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size")).select(F.col("label").bitwiseXOR(F.lit(0)).alias("l2"), "class_id", "class_size")
     c = c.join(whole, F.col("label") == F.col("l2")).select(F.concat("key", F.lit(b"")).alias("k2"), "label", "class_id", "class_size")
-    return rows.select("doc_id", "h", "key").join(c, F.col("key") == F.col("k2")).select("doc_id", "h", "label", "class_id", "class_size")
+    return ids.join(c, F.col("key") == F.col("k2")).select("doc_id", "h", "label", "class_id", "class_size")
