@@ -25,8 +25,8 @@ from foliarc.llm.common import forget, likely, prepare, tidy, written
 from foliarc.llm.graph import connected_components
 
 K = 5
-SKETCHES = 18
-LENGTH = 5
+SKETCHES = 16
+LENGTH = 4
 SIMILARITY = 0.8
 CELLS = 64
 CACHE = 400_000

@@ -293,3 +293,8 @@ def test_near_duplicates_against_brute_force(spark):
     one = order_minhash.keep_one(docs(spark, ODD))
     assert sorted(r.doc_id or -1 for r in one.collect()) == [-1, 1, 3, 5]
     assert order_minhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_sketches_miss_no_more_than_sixteen_of_four():
+    for similarity, most in ((0.8, 1 / 4_500), (0.85, 1 / 130_000)):
+        assert (1 - similarity**order_minhash.LENGTH) ** order_minhash.SKETCHES < most
