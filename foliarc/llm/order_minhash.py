@@ -5,15 +5,20 @@ repeats count.  For each of m hash functions a sketch takes the ``length`` label
 keeps them in text order: two texts share a sketch about as often as their k-mers agree in what they are and
 in how they follow each other, which is what edit similarity asks for.
 
-Texts that share a sketch are candidates.  A candidate pair is a link where at least 0.8 of its labelled
-five-word shingles are common (of those in either text) and an alignment of its words within a band of 0.2
-of the longer text succeeds.  Classes are the components of the links.  Equal texts are collapsed first, so
-any number of copies is one text.
+Texts that share a sketch are candidates.  A short text has too few k-mers for that: one word more can change
+all its sketches.  So texts of fewer than ``SHORT`` k-mers get their candidates exactly, by prefix filtering:
+in one order of all k-mers, two texts that agree enough share one of the first few of each, where "few" is
+one more than a text can lack.  Texts long enough to link with a short one take part.
+
+A candidate pair is a link where at least 0.8 of its labelled five-word shingles are common (of those in
+either text) and an alignment of its words within a band of 0.2 of the longer text succeeds.  Classes are the
+components of the links.  Equal texts are collapsed first, so any number of copies is one text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -27,6 +32,7 @@ from foliarc.llm.graph import connected_components
 K = 5
 SKETCHES = 16
 LENGTH = 4
+SHORT = 50  # k-mers: below, candidates are exact
 SIMILARITY = 0.8
 CELLS = 64
 CACHE = 400_000
@@ -102,6 +108,17 @@ def sketch(keys: np.ndarray, m: int = SKETCHES, length: int = LENGTH) -> np.ndar
     return out.view(np.int64)
 
 
+def buckets(keys: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Values of which two texts' labelled k-mers share one if they may link: certainly if either has fewer than SHORT, else as sketches go."""
+    n, out = len(keys), []
+    if n >= SHORT:
+        out.append(mixed(sketch(keys).view(np.uint64) + np.arange(SKETCHES, dtype=np.uint64) * GOLD))
+    if n and n * similarity < SHORT:  # a text of fewer than SHORT links with none longer
+        few = n - max(1, math.ceil(similarity * n - 1e-6)) + 1
+        out.append(np.sort(mixed(keys ^ MIX2))[:few])
+    return np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64)
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Word edits between a and b where at most band, else band + 1; bit-parallel over a band of 2 * band + 1 diagonals."""
     n = min(len(a), len(b))
@@ -153,11 +170,11 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, k: int
     return edit_distance(a, b, band) <= band
 
 
-def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, doc_id, h, key, kmers, words, sketch) of every row, written: rid numbers rows, h is a hash of the text as it is, key is equal for texts of equal words.
+def _sketched(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(rid, doc_id, h, key, kmers, words, buckets) of every row, written: rid numbers rows, h is a hash of the text as it is, key is equal for texts of equal words.
 
     words are 16-bit codes: five in a row are 80 bits, so shingles are as good as exact.  Texts of fewer than
-    five words have no sketch, since they link only where their keys are equal.
+    five words have no buckets, since they link only where their keys are equal.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
 
@@ -166,7 +183,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         words = Words()
         for batch in batches:
-            keys, sizes, coded, sketches = [], [], [], []
+            keys, sizes, coded, places = [], [], [], []
             for text in batch["text"].to_pylist():
                 w = (text or "").lower().split()
                 keys.append(hashlib.blake2b(" ".join(w).encode(), digest_size=16).digest())
@@ -174,12 +191,12 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 x = kmers(c)
                 sizes.append(len(x))
                 coded.append(c.astype("<u2").tobytes())
-                sketches.append(sketch(x) if len(w) >= K else x[:0].view(np.int64))
-            at = np.concatenate([[0], np.cumsum([len(s) for s in sketches])]).astype(np.int32)
-            flat = np.concatenate([*sketches, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([batch["rid"], batch["doc_id"], batch["h"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(coded, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["rid", "doc_id", "h", "key", "kmers", "words", "sketch"])
+                places.append(buckets(x, similarity) if len(w) >= K else x[:0].view(np.int64))
+            at = np.concatenate([[0], np.cumsum([len(s) for s in places])]).astype(np.int32)
+            flat = np.concatenate([*places, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([batch["rid"], batch["doc_id"], batch["h"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(coded, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["rid", "doc_id", "h", "key", "kmers", "words", "buckets"])
 
-    return written(rows.mapInArrow(work, "rid long, doc_id long, h long, key binary, kmers int, words binary, sketch array<long>"), "omh-rows")
+    return written(rows.mapInArrow(work, "rid long, doc_id long, h long, key binary, kmers int, words binary, buckets array<long>"), "omh-rows")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -257,11 +274,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """(doc_id, h, label, class_id, class_size) of every row of docs."""
     prepare(docs.sparkSession)
-    rows = _sketched(docs, id_col, text_col)
+    rows = _sketched(docs, id_col, text_col, similarity)
     classes = written(rows.groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("low"), F.count("*").alias("n")), "omh-classes")
     ids = written(rows.select("doc_id", "h", "key"), "omh-ids")
-    each = rows.select("rid", "kmers", "sketch").join(classes.select("rid"), "rid", "left_semi")
-    each = each.select("rid", "kmers", F.posexplode("sketch").alias("i", "s")).select("rid", "kmers", F.xxhash64("i", "s").alias("bucket"))
+    each = rows.select("rid", "kmers", "buckets").join(classes.select("rid"), "rid", "left_semi")
+    each = each.select("rid", "kmers", F.explode("buckets").alias("bucket"))
     each = written(each, "omh-each")
     buckets = written(each.groupBy("bucket").agg(F.count("*").alias("g")).where("g > 1"), "omh-buckets")
     full = buckets.select(F.col("bucket").bitwiseXOR(F.lit(0)).alias("b2"), "g")

@@ -298,3 +298,20 @@ def test_near_duplicates_against_brute_force(spark):
 def test_sketches_miss_no_more_than_sixteen_of_four():
     for similarity, most in ((0.8, 1 / 4_500), (0.85, 1 / 130_000)):
         assert (1 - similarity**order_minhash.LENGTH) ** order_minhash.SKETCHES < most
+
+
+def test_short_near_duplicates_are_all_found(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows, pairs = [], []
+    for n, more in [(8, 1)] * 60 + [(9, 1)] * 300 + [(12, 2)] * 100 + [(12, 3)] * 100 + [(50, 8)] * 20 + [(53, 13)] * 20:
+        w = [f"v{i}" for i in rng.integers(0, 10**8, n + more)]
+        cut = int(rng.integers(0, more + 1))
+        pairs.append((len(rows), n, more))
+        rows += [" ".join(w[cut : cut + n]), " ".join(w)]
+    docs(spark, list(enumerate(rows))).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op10_order_minhash(spark, str(tmp_path)).toPandas().set_index("doc_id").class_id
+    words = order_minhash.Words()
+    for i, n, more in pairs:
+        a, b = (words.codes(rows[k].split()) for k in (i, i + 1))
+        assert order_minhash.similar(a, b) == (n - 4 >= 0.8 * (n + more - 4)), (n, more)
+        assert (got[i] == got[i + 1]) == order_minhash.similar(a, b), (n, more)
