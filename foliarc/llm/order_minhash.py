@@ -173,7 +173,7 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, k: int
 def _sketched(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """(rid, doc_id, h, key, kmers, words, buckets) of every row, written: rid numbers rows, h is a hash of the text as it is, key is equal for texts of equal words.
 
-    words are 16-bit codes: five in a row are 80 bits, so shingles are as good as exact.  Texts of fewer than
+    words are 32-bit codes, on which pairs are verified: two different words have one code once in 2**32.  Texts of fewer than
     five words have no buckets, since they link only where their keys are equal.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
@@ -190,7 +190,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
                 c = words.codes(w)
                 x = kmers(c)
                 sizes.append(len(x))
-                coded.append(c.astype("<u2").tobytes())
+                coded.append(c.astype("<u4").tobytes())
                 places.append(buckets(x, similarity) if len(w) >= K else x[:0].view(np.int64))
             at = np.concatenate([[0], np.cumsum([len(s) for s in places])]).astype(np.int32)
             flat = np.concatenate([*places, np.zeros(0, np.int64)])
@@ -208,7 +208,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     def work(batches):
         for batch in batches:
             x, y = batch["x"], batch["y"]
-            ok = [similar(np.frombuffer(x[i].as_buffer(), "<u2"), np.frombuffer(y[i].as_buffer(), "<u2"), similarity) for i in range(len(x))]
+            ok = [similar(np.frombuffer(x[i].as_buffer(), "<u4"), np.frombuffer(y[i].as_buffer(), "<u4"), similarity) for i in range(len(x))]
             import pyarrow as pa
 
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -239,7 +239,7 @@ def _shared(texts: DataFrame, members: DataFrame) -> DataFrame:
 
         for batch in batches:
             for rid, label, w in zip(batch["rid"].to_pylist(), batch["label"].to_pylist(), batch["words"], strict=True):
-                x = kmers(np.frombuffer(w.as_buffer(), "<u2"))
+                x = kmers(np.frombuffer(w.as_buffer(), "<u4"))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), rid, np.int64)), pa.array(np.full(len(x), label, np.int64)), pa.array(x.view(np.int64))], ["rid", "label", "kmer"])
 
     each = some.mapInArrow(work, "rid long, label long, kmer long")

@@ -315,3 +315,16 @@ def test_short_near_duplicates_are_all_found(spark, tmp_path):
         a, b = (words.codes(rows[k].split()) for k in (i, i + 1))
         assert order_minhash.similar(a, b) == (n - 4 >= 0.8 * (n + more - 4)), (n, more)
         assert (got[i] == got[i + 1]) == order_minhash.similar(a, b), (n, more)
+
+
+def test_words_that_agree_in_sixteen_bits_differ(spark):
+    low: dict = {}
+    for i in range(100_000):
+        low.setdefault(zlib.crc32(b"c%d" % i) & 0xFFFF, []).append(f"c{i}")
+    twins = [x[:2] for x in low.values() if len(x) > 1]
+    rows = []
+    for k in range(8):
+        own = twins[100 * k : 100 * k + 100]
+        rows += [" ".join(a for a, _ in own), " ".join(b if i in (20, 50, 80) else a for i, (a, b) in enumerate(own))]  # 81 of 111 shingles
+    got = order_minhash.near_duplicates(docs(spark, list(enumerate(rows)))).toPandas()
+    assert (got.class_size == 1).all() and len(got) == 16
