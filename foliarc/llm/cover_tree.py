@@ -176,10 +176,17 @@ def traverse(p: Tree, q: Tree, threshold: float, own: bool) -> Links:
             many = int(((c[1] - c[0]) * (d[1] - d[0])).sum())
         if pairs is None or many > 0.05 * len(pa) * len(qa):
             found = []
+            if pairs is not None:  # what linked or was pruned above stays so
+                up, uq = np.searchsorted(fa, pa, "right") - 1, np.searchsorted(ga, qa, "right") - 1
+                open_ = np.zeros((len(fa), len(ga)), bool)
+                open_[pairs] = True
             least = 1 - (t + pr.max() + qr.max()) ** 2 / 2 - SLACK
             cp, cq = p.x32[pa], np.ascontiguousarray(q.x32[qa].T)
             for k in range(0, len(pa), CHUNK):
-                i, j = np.nonzero(cp[k : k + CHUNK] @ cq >= least)
+                near = cp[k : k + CHUNK] @ cq >= least
+                if pairs is not None:
+                    near &= open_[up[k : k + CHUNK]][:, uq]
+                i, j = np.nonzero(near)
                 found.append((i + k, j))
             i, j = (np.concatenate(x) for x in zip(*found))
         else:

@@ -63,6 +63,25 @@ def test_cover_tree_against_brute_force(spark, monkeypatch):
     assert cover_tree.link(d.limit(0)).count() == 0
 
 
+def test_cover_tree_tight_and_loose_groups():
+    rng = np.random.default_rng(8)
+    for weights in (False, True):
+        for spread in (0.4, 0.7, 1.0):
+            direction = cover_tree.unit(rng.normal(0, 1, (80, 24)))
+            centre = np.repeat(np.eye(24)[:2], 40, axis=0)
+            x = cover_tree.unit(centre + direction * np.repeat([0.03, spread], 40)[:, None])
+            w = rng.integers(1, 4, 80) if weights else np.ones(80, np.int64)
+            p = cover_tree.Tree(x, w)
+            got = cover_tree.traverse(p, p, 0.9, True)
+            s = p.x @ p.x.T >= 0.9
+            np.fill_diagonal(s, False)
+            assert (got.count[0] == s @ p.weight).all(), (spread, weights)
+            q = cover_tree.Tree(cover_tree.unit(centre + rng.permutation(direction) * np.repeat([0.03, spread], 40)[:, None]), w)
+            got = cover_tree.traverse(p, q, 0.9, False)
+            s = p.x @ q.x.T >= 0.9
+            assert (got.count[0] == s @ q.weight).all() and (got.count[1] == p.weight @ s).all(), (spread, weights)
+
+
 # 2
 def test_packing_bits():
     for bits in (1, 7, 13, 16, 17):
