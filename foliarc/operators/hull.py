@@ -137,6 +137,19 @@ def inside(planes: Column, x: Column, y: Column, z: Column, buffer: Column | flo
     return (F.size(planes) > 0) & F.forall(planes, lambda p: p.a * x + p.b * y + p.c * z + p.d <= b)
 
 
+def corners(faces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The vertices of each cloud's hull, each once."""
+    return faces.select(*keys, F.explode(F.array("v0", "v1", "v2")).alias("v")).where("v is not null").select(*keys, *[F.col("v")[i].alias(a) for i, a in enumerate("xyz")]).distinct()
+
+
+def spread(points: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Largest distance between two points of a cloud, of which only the hull's vertices are paired; all points where there is no hull."""
+    k = list(keys)
+    ends = corners(hull_faces(points, k), k)
+    flat = points.select(*k, "x", "y", "z").join(ends.select(*k).distinct(), k, "left_anti")
+    return largest_distance(ends.union(flat), k)
+
+
 def clip(points: DataFrame, cameras: DataFrame, quantile: float = 0.0, buffer_percent: float = 0.1, ignore_z: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:
     """Points of each cloud within the hull of its cameras, widened by a share of the cameras' largest distance.
 
@@ -145,8 +158,7 @@ def clip(points: DataFrame, cameras: DataFrame, quantile: float = 0.0, buffer_pe
     k = list(keys)
     cams = within_box(cameras, percentile_box(cameras, quantile, 0.0, keys), keys)
     faces = hull_faces(cams, k, flat=ignore_z)
-    corners = faces.select(*k, F.explode(F.array("v0", "v1", "v2")).alias("v")).where("v is not null").select(*k, *[F.col("v")[i].alias(a) for i, a in enumerate("xyz")]).distinct()
-    planes = plane_arrays(faces, k).join(largest_distance(corners, keys), k)
+    planes = plane_arrays(faces, k).join(largest_distance(corners(faces, k), keys), k)
     p = points.join(planes, k)
     return p.where(inside(F.col("planes"), F.col("x"), F.col("y"), F.col("z"), F.col("max_distance") * buffer_percent)).drop("planes", "max_distance")
 

@@ -220,7 +220,7 @@ def box_trim(spark, sf):
 
 @query
 def max_pairwise_distance(spark, sf):
-    return metrics.largest_distance(view(spark, sf, "cameras")).select("tree_id", *six("max_distance"))
+    return hull.spread(view(spark, sf, "cameras")).select("tree_id", *six("max_distance"))
 
 
 def box_planes(extents: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ VIEWS = {
 FROM lineitem""",
     "cameras": """SELECT o_custkey % 4 AS tree_id, o_orderkey AS cam_id, 1.0e0 + mod(o_totalprice, 2.0e0) AS x,
        1.0e0 + mod(o_totalprice / 7.0e0, 2.0e0) AS y, 1.0e0 + mod(o_totalprice / 13.0e0, 3.0e0) AS z
-FROM orders WHERE o_orderkey % 50 = 0""",
+FROM orders""",
     "frames": """SELECT user_id % 4 AS chunk_id, event_id, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS idx,
        concat('frame_', lpad(CAST(event_id AS STRING), 6, '0'), '.png') AS name,
        CASE WHEN event_type = 'error' THEN false ELSE true END AS aligned, CASE WHEN event_type = 'signup' THEN false ELSE true END AS enabled,

@@ -10,6 +10,7 @@ from foliarc.functions import color, text
 from foliarc.operators import batching, crown, enrich, hull, lineage, metrics, rays, voxel
 from foliarc.plans import tasks
 from foliarc.schema import AnalysisConfig, ChannelLimit
+from foliarc.sources import fixtures
 
 
 def cloud(spark, rows):
@@ -177,3 +178,17 @@ def test_settings():
         AnalysisConfig(voxel_sizes=())
     with pytest.raises(ValueError):
         AnalysisConfig(heading="random")
+
+
+def test_cameras_are_all_orders(spark):
+    from conftest import SF
+
+    assert fixtures.view(spark, SF, "cameras").count() == fixtures.table(spark, SF, "orders").count()
+
+
+def test_spread_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    clouds = {1: rng.normal(0, 1, (300, 3)), 2: rng.normal(0, 1, (40, 3)) * [1, 1, 0], 3: rng.normal(0, 1, (2, 3)), 4: np.ones((3, 3))}
+    rows = [(k, *map(float, r)) for k, c in clouds.items() for r in c]
+    got = {r.tree_id: r.max_distance for r in hull.spread(spark.createDataFrame(rows, "tree_id int, x double, y double, z double")).collect()}
+    assert got == pytest.approx({k: np.linalg.norm(c[:, None] - c[None], axis=2).max() for k, c in clouds.items()}, abs=1e-9)
