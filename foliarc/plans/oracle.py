@@ -186,7 +186,7 @@ CTES["dirs"] = r"SELECT DISTINCT unnest([path, regexp_replace(path, '/[^/]*$', '
 oracle("leaf_directories", r"SELECT path FROM dirs WHERE path NOT IN (SELECT regexp_replace(path, '/[^/]*$', '') FROM dirs WHERE contains(path, '/')) AND NOT contains(path, 'en/1')")
 oracle("file_patterns", "SELECT DISTINCT path FROM paths WHERE path ILIKE '%.html' OR path ILIKE 'm.%/de/%'")
 oracle("file_pairs", r"""SELECT path, 'data/output/' || regexp_replace(rel, '\.[^./]*$', '') || '/' || regexp_extract(rel, '[^/]*$') AS output FROM (
-  SELECT DISTINCT 'data/input/' || path AS path, path AS rel FROM paths WHERE ends_with(path, '.html') AND NOT contains('data/input/' || path, '/fr/')) ORDER BY path LIMIT 20""")
+  SELECT DISTINCT 'data/input/' || path AS path, path AS rel FROM paths WHERE ends_with(path, '.html') AND NOT contains('data/input/' || path, '/fr/'))""")
 oracle("subfolders", "SELECT DISTINCT 'root/' || split_part(path, '/', 1) AS path FROM paths WHERE contains(path, '/') AND split_part(path, '/', 1) <> ''")
 ORACLES["stale_outputs"] = "SELECT CAST(doc_id AS VARCHAR) AS path, md5(text) AS hash, CASE WHEN doc_id % 3 = 2 THEN 'x' END AS made_from FROM documents WHERE doc_id % 3 <> 1"
 ORACLES["first_record"] = "SELECT CAST(o_custkey AS VARCHAR) AS path, min(o_orderkey)::DOUBLE AS height, 25e0 AS dbh FROM orders GROUP BY ALL"

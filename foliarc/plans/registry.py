@@ -388,7 +388,7 @@ def file_patterns(spark, sf):
 @query
 def file_pairs(spark, sf):
     p = paths(spark, sf).distinct().select(F.concat(F.lit("data/input/"), "path").alias("path"))
-    return files.analysed(p, ".html", ["/fr/"], limit=20)
+    return files.analysed(p, ".html", ["/fr/"])
 
 
 @query

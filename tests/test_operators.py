@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliarc.functions import color, text
-from foliarc.operators import batching, crown, enrich, hull, lineage, metrics, rays, voxel
-from foliarc.plans import tasks
+from foliarc.operators import batching, crown, enrich, files, hull, lineage, metrics, rays, voxel
+from foliarc.plans import registry, tasks
 from foliarc.schema import AnalysisConfig, ChannelLimit
 from foliarc.sources import fixtures
 
@@ -192,3 +192,14 @@ def test_spread_against_brute_force(spark):
     rows = [(k, *map(float, r)) for k, c in clouds.items() for r in c]
     got = {r.tree_id: r.max_distance for r in hull.spread(spark.createDataFrame(rows, "tree_id int, x double, y double, z double")).collect()}
     assert got == pytest.approx({k: np.linalg.norm(c[:, None] - c[None], axis=2).max() for k, c in clouds.items()}, abs=1e-9)
+
+
+def test_file_pairs_are_whole_and_first_n_is_an_option(spark):
+    from conftest import SF
+
+    sf = SF.replace("0.001", "0.01")
+    paths = [r.path for r in registry.paths(spark, sf).distinct().collect()]
+    want = sorted(f"data/input/{p}" for p in paths if p.endswith(".html") and "/fr/" not in f"data/input/{p}")
+    assert len(want) > 20 and sorted(r.path for r in registry.file_pairs(spark, sf).collect()) == want
+    few = spark.createDataFrame([(f"data/input/{c}.las",) for c in "dbca"] + [("data/input/a.txt",)], "path string")
+    assert [(r.path, r.output) for r in files.analysed(few, limit=2).collect()] == [(f"data/input/{c}.las", f"data/output/{c}/{c}.las") for c in "ab"]
