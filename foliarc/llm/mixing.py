@@ -13,11 +13,13 @@ from the smallest on.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliarc.llm.common import prepare, written
+from foliarc.llm.common import forget, prepare, quoted, whole_row, written
 
 ONE = 2**30
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,7 +58,8 @@ def _tilts(cells: DataFrame, targets: DataFrame, most: int = 2, steps: int = 60)
     lam = targets.alias("t").join(mean.alias("m"), F.col("t.source").eqNullSafe(F.col("m.source"))).select(
         "t.source", "mean", F.round(F.col("target") * F.lit(float(ONE))).cast(BIG).alias("goal"),
         ((F.col("words") > 0) & (F.col("target") < most * F.col("words"))).alias("open"))
-    lam = lam.select("*", F.lit(0.0).alias("x"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")).checkpoint()
+    lam = lam.select("*", F.lit(0.0).alias("x"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+    lam = written(lam, "mix-tilts")
     for _ in range(steps):
         now = cells.alias("c").join(lam.where("open").alias("l"), F.col("c.source").eqNullSafe(F.col("l.source"))).select("c.source", "size", "n", "x", "mean")
         tilt = F.col("x") * F.col("size") / F.col("mean")
@@ -73,71 +76,104 @@ def _tilts(cells: DataFrame, targets: DataFrame, most: int = 2, steps: int = 60)
         inside = (newton > F.coalesce("lo", F.lit(float("-inf")))) & (newton < F.coalesce("hi", F.lit(float("inf"))))
         middle = F.when(F.col("lo").isNull(), F.col("hi") * 2 - 1).when(F.col("hi").isNull(), F.col("lo") * 2 + 1).otherwise((F.col("lo") + F.col("hi")) / 2)
         done = ~F.col("open") | (F.abs("gap") <= F.greatest(F.col("goal").cast("double") * 1e-9, F.lit(float(ONE)) / 8)) | (F.col("hi") - F.col("lo") < 1e-14)
-        lam = was.select("source", "mean", "goal", (~F.coalesce(done, F.lit(True))).alias("open"), F.when(F.coalesce(done, F.lit(True)), F.col("x0")).when(inside, newton).otherwise(middle).alias("x"), "lo", "hi").checkpoint()
+        now = was.select("source", "mean", "goal", (~F.coalesce(done, F.lit(True))).alias("open"), F.when(F.coalesce(done, F.lit(True)), F.col("x0")).when(inside, newton).otherwise(middle).alias("x"), "lo", "hi")
+        was, lam = lam, written(now, "mix-tilts")
+        forget(was)
         if lam.where("open").isEmpty():
             break
     return lam.select("source", (F.col("x") / F.col("mean")).alias("tilt"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), budget: float = 1.5, salts: int = 256) -> DataFrame:
-    """Say for every row of docs how often the mix takes it.
+def _cell(source: Column, size: Column, salt: Column) -> Column:
+    """Documents that are alike for the mix, as one key; a null source is a value of its own."""
+    return F.struct(source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("source"), size.alias("size"), salt.alias("salt"))
 
-    Returns one row per row of docs: ``id_col``, ``source_col``, size, source_size, target, copies (0 to 2),
-    taken (copies * size).  A null or empty text has size 0 and takes part with one copy; a null source is a
-    source of its own; rows that repeat an id are separate documents; an empty table gives no rows.  Other
-    columns are not read.  Each source's taken words differ from its target by less than its smallest
-    document that could still be added or left out.
 
-    Documents of one source and size are alike up to ``salts`` hash cells, in each of which copies are dealt
-    by rank of id, so neither a hot source nor thousands of equal texts meet in one task.
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, salts: int) -> list[Column]:
+    text = F.col(quoted(text_col))
+    salt = F.pmod(F.xxhash64(F.col(quoted(id_col)), text), F.lit(salts)).cast("int")
+    return [F.col(quoted(id_col)).alias("id"), F.col(quoted(source_col)).cast("string").alias("source"), word_count(text).alias("size"), salt.alias("salt")]
+
+
+def _dealt(rows: DataFrame, weights: tuple, budget: float) -> DataFrame:
+    """(cell, n, copies, source_size, target): how many copies the n rows of a cell get together.
+
+    Rounding and making up run over the sizes of a source, of which there are as many as documents differ in
+    length, whatever their number; a size's copies are then dealt to its salts in proportion.
     """
-    prepare(docs.sparkSession)
-    salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int")
-    rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), salt.alias("salt")), "mix-sizes")
     cells = written(rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "mix-cells")
-    sizes = cells.groupBy("source", "size").agg(F.sum("n").alias("n")).checkpoint()
-    targets = source_targets(sizes.select("source", (F.col("size") * F.col("n")).alias("size")), weights, budget).checkpoint()
+    sizes = written(cells.groupBy("source", "size").agg(F.sum("n").alias("n")), "mix-counts")
+    targets = written(source_targets(sizes.select("source", (F.col("size") * F.col("n")).alias("size")), weights, budget), "mix-targets")
     tilts = _tilts(sizes, targets)
 
     known = targets.alias("t").join(tilts.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source"))).select("t.source", "t.source_size", "t.target", "l.tilt")
     full = F.col("target") >= 2 * F.col("source_size")
     rate = F.when(F.col("size") == 0, F.lit(1.0)).when(full, F.lit(2.0)).otherwise(F.least(F.exp(F.least(F.col("tilt") * F.col("size"), F.lit(1.0))), F.lit(2.0)))
-    c = cells.alias("c").join(known.alias("k"), F.col("c.source").eqNullSafe(F.col("k.source"))).select("c.source", "size", "salt", "n", "source_size", "target", (F.floor(rate * ONE).cast(BIG) * F.col("n").cast("decimal(12,0)")).cast(BIG).alias("want"))
+    c = sizes.alias("c").join(known.alias("k"), F.col("c.source").eqNullSafe(F.col("k.source"))).select("c.source", "size", "n", "source_size", "target", (F.floor(rate * ONE).cast(BIG) * F.col("n").cast("decimal(12,0)")).cast(BIG).alias("want"))
 
-    down = Window.partitionBy("source").orderBy(F.col("size").desc(), "salt").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, 0)
     upto = F.sum("want").over(down)
     at = lambda x: F.floor((x + ONE // 2) / ONE).cast("long")
-    c = c.select("*", upto.alias("upto")).select("source", "size", "salt", "n", "source_size", "target", F.greatest(F.lit(0), F.least(2 * F.col("n"), at(F.col("upto").cast("double")) - at((F.col("upto") - F.col("want")).cast("double")))).alias("copies"))
+    c = c.select("*", upto.alias("upto")).select("source", "size", "n", "source_size", "target", F.greatest(F.lit(0), F.least(2 * F.col("n"), at(F.col("upto").cast("double")) - at((F.col("upto") - F.col("want")).cast("double")))).alias("copies"))
     c = c.withColumn("copies", F.when(F.col("size") == 0, F.col("n")).otherwise(F.col("copies")))
     for order in (F.col("size").desc(),) * 3 + (F.col("size").asc(),):
         lack = F.col("target") - F.sum(F.col("copies") * F.col("size")).over(Window.partitionBy("source"))
         c = c.withColumn("lack", lack)
         fits = (F.col("size") > 0) & (F.col("size") <= F.abs("lack"))
         c = c.withColumn("room", F.when(~fits, F.lit(0)).when(F.col("lack") > 0, 2 * F.col("n") - F.col("copies")).otherwise(F.col("copies")))
-        before = Window.partitionBy("source").orderBy(order, "salt").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         c = c.withColumn("used", F.coalesce(F.sum(F.col("room") * F.col("size")).over(before), F.lit(0)))
         more = F.greatest(F.lit(0), F.least(F.col("room"), F.floor(F.try_divide(F.abs("lack") - F.col("used"), F.col("size")))))
         c = c.withColumn("copies", F.col("copies") + F.when(F.col("room") > 0, F.signum("lack").cast("long") * more).otherwise(0))
-    c = c.select("source", "size", "salt", "n", "source_size", "target", "copies")
-
-    rank = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("id"))
-    r = rows.select("*", rank.cast("long").alias("k"))
-    same = F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.size") == F.col("c.size")) & (F.col("r.salt") == F.col("c.salt"))
+    same = (F.col("c.source").eqNullSafe(F.col("s.source"))) & (F.col("c.size") == F.col("s.size"))
+    c = cells.alias("s").join(c.alias("c"), same).select("s.source", "s.size", "s.salt", "s.n", F.col("c.n").alias("all"), "copies", "source_size", "target")
+    salts = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)
+    share = lambda x: F.floor(F.col("copies").cast(BIG) * x.cast("decimal(18,0)") / F.col("all").cast("decimal(18,0)")).cast("long")
+    c = c.withColumn("upto", F.sum("n").over(salts))
+    c = c.select(_cell(F.col("source"), F.col("size"), F.col("salt")).alias("cell"), "n", (share(F.col("upto")) - share(F.col("upto") - F.col("n"))).alias("copies"), "source_size", "target")
+    return written(c, "mix-plan")
+
+
+def _each(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (with id, source, size, salt) with source_size, target and copies: a cell's copies are dealt by rank of id."""
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy("id")).cast("long")
+    r = rows.withColumn("cell", _cell(F.col("source"), F.col("size"), F.col("salt"))).withColumn("k", rank)
     mine = F.expr("k * copies div n - (k - 1) * copies div n")
-    out = r.alias("r").join(c.alias("c"), same).select("r.id", "r.source", "r.size", "c.source_size", "c.target", "k", "copies", "n")
-    out = out.select("id", "source", "size", "source_size", "target", mine.alias("copies"))
+    p = plan.withColumnRenamed("cell", "cell2")
+    return r.join(p, F.col("cell") == F.col("cell2")).withColumn("copies", mine).drop("cell", "cell2", "k", "n")
+
+
+def _salts(docs: DataFrame, salts: int | None) -> int:
+    """So many that a source's documents of one size lie in cells of about a million at most."""
+    return salts or max(256, math.ceil(docs.count() / 1_000_000))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), budget: float = 1.5, salts: int | None = None) -> DataFrame:
+    """Say for every row of docs how often the mix takes it.
+
+    Returns one row per row of docs: ``id_col``, ``source_col``, size, source_size, target, copies (0 to 2),
+    taken (copies * size).  A null or empty text has size 0 and takes part with one copy; a null source is a
+    source of its own; rows that repeat an id are separate documents; an empty table gives no rows.  Other
+    columns are not read.  Each source's taken words differ from its target by less than its smallest
+    document that could still be added or left out.
+
+    Documents of one source and size are alike up to hash cells of id and text, in each of which copies are
+    dealt by rank of id, so neither a hot source nor thousands of equal texts meet in one task.
+    """
+    prepare(docs.sparkSession)
+    rows = written(docs.select(*_sized(docs, id_col, text_col, source_col, _salts(docs, salts))), "mix-sizes")
+    out = _each(rows, _dealt(rows, weights, budget))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), budget: float = 1.5, salts: int | None = None) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with the columns of docs.
 
-    Ids should be unique: rows of one id and size are dealt their copies in no stated order.
+    Null ids are dealt by their texts.  Rows alike in id, text and source count as alike: which of them is
+    repeated where a cell's copies do not divide evenly is not stated.
     """
-    plan = mix(docs, id_col, **options).select(F.col(id_col).alias("id"), "copies", "size")
-    plan = plan.groupBy("id").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    out = rows.join(plan, F.col(f"row.{id_col}").eqNullSafe(F.col("id")))
-    each = F.row_number().over(Window.partitionBy("id").orderBy(F.lit(0))).cast("long")
-    out = out.withColumn("k", each).withColumn("c", F.expr("k * copies div n - (k - 1) * copies div n"))
-    return out.where("c > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("copy")).select("row.*")
+    prepare(docs.sparkSession)
+    sized = _sized(docs, id_col, text_col, source_col, _salts(docs, salts))
+    plan = _dealt(docs.select(*sized), weights, budget)
+    out = _each(docs.select(*sized, whole_row(docs).alias("row")), plan)
+    return out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
