@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliarc.llm.common import forget, likely, prepare, tidy, written
+from foliarc.llm.common import forget, likely, prepare, quoted, whole_row, written
 from foliarc.llm.graph import connected_components
 
 K = 5
@@ -176,7 +176,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     words are 32-bit codes, on which pairs are verified: two different words have one code once in 2**32.  Texts of fewer than
     five words have no buckets, since they link only where their keys are equal.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(quoted(id_col)).cast("long").alias("doc_id"), F.xxhash64(quoted(text_col)).alias("h"), F.col(quoted(text_col)).alias("text"))
 
     def work(batches):
         import pyarrow as pa
@@ -265,9 +265,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """One row of every class, with its columns: that of the smallest id, and of least text hash where rows repeat it."""
     c = _classes(docs, id_col, text_col, similarity)
     stay = c.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("m")).select("m.doc_id", "m.h")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text_col).alias("h1"))
-    rows = rows.join(stay.distinct(), F.col(f"row.{id_col}").eqNullSafe(F.col("doc_id")) & (F.col("h1") == F.col("h")))
-    once = Window.partitionBy("doc_id", "h").orderBy(F.lit(0))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(quoted(id_col)).cast("long").alias("id1"), F.xxhash64(quoted(text_col)).alias("h1"))
+    rows = rows.join(stay.distinct(), F.col("id1").eqNullSafe(F.col("doc_id")) & (F.col("h1") == F.col("h")))
+    once = Window.partitionBy("doc_id", "h").orderBy(F.xxhash64("row"))
     return rows.withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")
 
 
@@ -286,9 +286,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     members = written(members.select("bucket", "rid", "kmers", "g"), "omh-members")
     some = likely(rows.select("rid", "words"), members, "rid").join(members.select("rid").distinct(), "rid")  # inner: a semi join would be moved ahead of the filter
     some = written(some, "omh-texts")
-    for used in (rows, each, buckets):
-        forget(used)
-    tidy(docs.sparkSession)
+    forget(rows, each, buckets)
 
     central = members.groupBy("rid").agg(F.sum("g").alias("central")).select(F.col("rid").bitwiseXOR(F.lit(0)).alias("r2"), "central")
     lead = members.join(central, F.col("rid") == F.col("r2")).groupBy("bucket").agg(F.max_by(F.struct("rid", "kmers"), F.struct("central", "rid")).alias("lead"))
@@ -297,7 +295,6 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     links = _verified(star.select(F.least("lead.rid", "rid").alias("a"), F.greatest("lead.rid", "rid").alias("b")).distinct(), some, similarity)
 
     m = _mixed(members, connected_components(links))
-    tidy(docs.sparkSession)
     m = written(m.join(_shared(some, m), "rid").where(F.col("shared") >= similarity * F.col("kmers")), "omh-residue")
     x, y = m.where("label != most").alias("x"), m.alias("y")
     once = (F.col("y.label") == F.col("y.most")) | (F.col("x.rid") < F.col("y.rid"))
@@ -307,9 +304,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     rest = rest.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
     links = links.union(_verified(rest, some, similarity))
     labels = connected_components(links)
-    for used in (members, some, m, links):
-        forget(used)
-    tidy(docs.sparkSession)
+    forget(members, some, m, links)
 
     c = classes.join(labels, F.col("rid") == F.col("node"), "left").select("key", "low", "n", F.coalesce("component", "rid").alias("label"))
     whole = c.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size")).select(F.col("label").bitwiseXOR(F.lit(0)).alias("l2"), "class_id", "class_size")
