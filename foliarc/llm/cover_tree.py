@@ -3,10 +3,11 @@
 Vectors are normalised in double precision; two link where their cosine is at least the threshold, that is,
 where they lie within t = sqrt(2 - 2 * threshold) of each other.  Vectors are dealt to blocks by the nearest
 of a bounded number of pivots (a cell that holds too many is cut further by hash).  Each block is a cover
-tree: nested levels of centres with halving radii, each node knowing its true covering radius.  Two blocks
-are compared only if their own radii allow it, by descending both trees at once: a pair of nodes whose
-centres are further apart than both radii plus t is pruned, one whose radii fit within t links wholesale, and
-only what lies between is decided vector by vector.
+tree, built once and written to the shared folder: nested levels of centres with halving radii, down to where
+two members of a node must link, each node knowing its true covering radius.  Two blocks are compared only if
+their own radii allow it, by descending both trees at once: a pair of nodes whose centres are further apart
+than both radii plus t is pruned, one whose radii fit within t links wholesale, and only what lies between is
+decided vector by vector.
 
 A traversal returns per vector the number of links found and a member of its local component, never the
 pairs, so a dense group of g vectors costs g rows and not g squared.
@@ -14,22 +15,31 @@ pairs, so a dense group of g vectors costs g rows and not g squared.
 
 from __future__ import annotations
 
+import io
 import math
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliarc.llm.common import prepare, written
-from foliarc.llm.graph import connected_components
+from foliarc.llm.common import file_system, new_folder, prepare, put_file, quoted, written
+from foliarc.llm.graph import connected_components, smallest_reached
 
 BLOCK = 8192  # vectors of a block, about
-MOST_BLOCKS = 4096  # pivots, at most: their vectors and radii reach the driver
-LEVELS = (1.0, 0.5, 0.25, 0.125)  # covering radii; the root covers everything
+BLOCK_BYTES = 1 << 25  # of a block's vectors, about, where they are long
+MOST_CELLS = 4096  # pivots, at most: their vectors, radii and counts reach the driver
 CHUNK = 1024
 SLACK = 1e-5  # of single-precision products, which only propose
 
 
+def levels(threshold: float) -> list[float]:
+    """Covering radii below the root's: halved until any two members of a node link."""
+    t, out = math.sqrt(max(0.0, 2 - 2 * threshold)), [1.0]
+    while 2 * out[-1] > t and len(out) < 24:
+        out.append(out[-1] / 2)
+    return out
+
+
 def unit(raw: list | np.ndarray) -> np.ndarray:
     """Rows scaled to length 1 in double precision."""
     x = np.asarray(raw, np.float64)
@@ -67,10 +77,10 @@ def cover(x: np.ndarray, radius: float) -> np.ndarray:
 class Tree:
     """A block's vectors in tree order with its levels, each a list of runs of them: start, end, centre, true radius."""
 
-    def __init__(self, x: np.ndarray, weight: np.ndarray):
+    def __init__(self, x: np.ndarray, weight: np.ndarray, threshold: float = 0.9):
         runs, order = [(0, len(x))], np.arange(len(x))
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        for radius in LEVELS:
+        for radius in levels(threshold):
             out = []
             for a, b in runs:
                 if b - a == 1:
@@ -97,6 +107,24 @@ class Tree:
         return np.where(b - a == 1, 0.0, np.sqrt(np.maximum(0, 2 - 2 * far)) + 1e-9)
 
 
+    def save(self, out, node: np.ndarray) -> None:
+        """Write the tree and the numbers of its vectors, given in the order of the rows it was made of."""
+        runs = {f"{k}{i}": v for i, lv in enumerate(self.levels) for k, v in zip("abr", lv)}
+        np.savez(out, x=self.x, weight=self.weight, node=node[self.order], **runs)
+
+    @classmethod
+    def load(cls, uri: str) -> "Tree":
+        """A tree as written, with the numbers of its vectors as ``node``."""
+        system, path = file_system(uri)
+        with system.open_input_stream(path, compression=None) as f:
+            got = np.load(io.BytesIO(f.read()))
+        self = cls.__new__(cls)
+        self.x, self.weight, self.node = got["x"], got["weight"], got["node"]
+        self.x32 = self.x.astype(np.float32)
+        self.levels = [tuple(got[f"{k}{i}"] for k in "abr") for i in range(sum(k.startswith("a") for k in got.files))]
+        return self
+
+
 def ragged(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (i, j) with a[k] <= i < b[k] and c[k] <= j < d[k], for every k."""
     n, m = b - a, d - c
@@ -144,21 +172,7 @@ class Links:
 
     def components(self) -> np.ndarray:
         n = len(self.p.x) + (0 if self.own else len(self.q.x))
-        label = np.arange(n)
-        if not self.a:
-            return label
-        a, b = np.concatenate(self.a), np.concatenate(self.b)
-        while True:
-            low = np.minimum(label[a], label[b])
-            new = label.copy()
-            np.minimum.at(new, label[a], low)
-            np.minimum.at(new, label[b], low)
-            np.minimum.at(new, a, low)
-            np.minimum.at(new, b, low)
-            new = new[new]
-            if (new == label).all():
-                return label
-            label = new
+        return smallest_reached(np.concatenate(self.a), np.concatenate(self.b), n) if self.a else np.arange(n)
 
 
 def traverse(p: Tree, q: Tree, threshold: float, own: bool) -> Links:
@@ -222,10 +236,10 @@ def traverse(p: Tree, q: Tree, threshold: float, own: bool) -> Links:
     return out
 
 
-def _pivots(x: DataFrame, n: int) -> np.ndarray:
-    """Blocks' pivots: the first of a hash order, at most MOST_BLOCKS."""
-    k = min(MOST_BLOCKS, max(1, math.ceil(n / BLOCK)))
-    got = x.orderBy(F.xxhash64("id"), "id").limit(k).select("v").collect()
+def _pivots(x: DataFrame, n: int, block: int) -> np.ndarray:
+    """Cells' pivots: the first of a hash order, at most MOST_CELLS."""
+    k = min(MOST_CELLS, max(1, math.ceil(n / block)))
+    got = x.orderBy(F.xxhash64("v"), "v").limit(k).select("v").collect()
     return unit([np.frombuffer(r.v, np.float64) for r in got])
 
 
@@ -236,100 +250,121 @@ def link(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec
     smallest id reachable by links, its own included), kept (id is component_id).  A vector that is null,
     empty, zero, or holds a null or a component that is not finite links with nothing and is its own
     component; vectors of different lengths do not link; rows that repeat an id or a vector are vectors of
-    their own; a null id has a component but never names one, save its own.  Other columns are not read.
+    their own, and links are between vectors, so a repeated id joins nothing; a null id has a component but
+    never names one, save where all its ids are null.  Other columns are not read.
     """
     spark = vectors.sparkSession
     prepare(spark)
     v = F.col("v")
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("ok", F.coalesce(fine, F.lit(False)))
+    rows = vectors.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vector_col)).cast("array<double>").alias("v")).withColumn("ok", F.coalesce(fine, F.lit(False)))
 
     def packed(batches):
         for pdf in batches:
             pdf["v"] = [np.asarray(x, np.float64).tobytes() if ok else None for x, ok in zip(pdf["v"], pdf["ok"], strict=True)]
             yield pdf[["id", "v"]]
 
-    rows = written(rows.mapInPandas(packed, "id long, v binary"), "vectors")
-    same = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("w"))
-    same = written(same.select(F.coalesce("id", F.lit(-(2**63))).alias("id"), "w", "v", F.xxhash64("v").alias("row")), "vector-classes")
-    parts = []
+    rows = written(rows.mapInPandas(packed, "id long, v binary").withColumn("key", F.unhex(F.sha2("v", 256))), "vectors")
+    same = rows.where("v is not null").groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("w"), F.first("v").alias("v"))
+    same = written(same.select("key", "low", "w", "v", F.monotonically_increasing_id().alias("node")), "vector-classes")
+    found = spark.createDataFrame([], "node long, links long, to long")
     for d in [r[0] for r in same.select((F.octet_length("v") / 8).cast("int").alias("d")).distinct().collect()]:
-        parts.append(_link_classes(same.where(F.octet_length("v") == 8 * d), threshold))
-    none = spark.createDataFrame([], "v binary, links long, component long")
-    found = none
-    for x in parts:
-        found = found.union(x)
-    found = found.select(F.concat("v", F.lit(b"")).alias("v2"), "links", "component")
-    out = rows.join(found, F.col("v") == F.col("v2"), "left")
-    component = F.when(F.col("component") == -(2**63), None).otherwise(F.col("component"))
-    component = F.when(F.col("v").isNull(), F.col("id")).otherwise(component)
+        found = found.union(_traversed(same.where(F.octet_length("v") == 8 * d), threshold, d))
+    found = written(found, "vector-links")
+    comps = connected_components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
+    links = found.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "n1")
+    each = same.select("key", "low", "w", "node").join(links, F.col("node") == F.col("n1"), "left").drop("n1")
+    each = each.join(comps.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left")
+    each = each.select("key", "low", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("component", "node").alias("label"))
+    names = each.groupBy("label").agg(F.min("low").alias("component")).withColumnRenamed("label", "l2")
+    each = each.join(names, F.col("label") == F.col("l2")).select(F.concat("key", F.lit(b"")).alias("k2"), "links", "component")
+    out = rows.select("id", "key").join(each, F.col("key") == F.col("k2"), "left")
+    component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component"))
     out = out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", F.col(quoted(id_col)).eqNullSafe(F.col("component_id")))
+
 
+def _traversed(x: DataFrame, threshold: float, d: int) -> DataFrame:
+    """(node, links, to) of distinct vectors (node, w: how many rows have it, v) of d components, several rows a node: links found and a node of the same component.
 
-def _link_classes(x: DataFrame, threshold: float) -> DataFrame:
-    """(v, links, component) of distinct vectors (id, w: how many rows have it, v, row: a hash)."""
+    Cells are at most MOST_CELLS, so that what concerns cells fits the driver; blocks, of bounded size, and
+    pairs of blocks are rows of tables.
+    """
     spark = x.sparkSession
-    n = x.count()
-    pivots = _pivots(x, n)
+    block = max(256, min(BLOCK, BLOCK_BYTES // (8 * d)))
+    pivots = _pivots(x, x.count(), block)
 
     def nearest(batches):
         for pdf in batches:
-            z = unit([np.frombuffer(b, np.float64) for b in pdf["v"]])
-            pdf["cell"] = (z @ pivots.T).argmax(1).astype(np.int32)
-            yield pdf[["id", "w", "v", "cell"]]
-
-    x = written(x.mapInPandas(nearest, "id long, w long, v binary, cell int"), "vector-cells")
-    size = max(BLOCK, math.ceil(n / MOST_BLOCKS))
-    counts = {r[0]: r[1] for r in x.groupBy("cell").count().collect()}  # at most MOST_BLOCKS rows
-    cut, base, at = {}, {}, 0
-    for c in sorted(counts):
-        cut[c], base[c] = max(1, round(counts[c] / size)), at
-        at += cut[c]
-    table = spark.createDataFrame([(c, base[c], cut[c]) for c in sorted(counts)], "cell int, base int, cut int")
-    x = x.join(F.broadcast(table), "cell")
-    x = x.select("id", "w", "v", (F.col("base") + F.pmod(F.xxhash64("v"), F.col("cut"))).cast("int").alias("block"))
-
-    def reach(pdf):
+            dots = unit([np.frombuffer(b, np.float64) for b in pdf["v"]]) @ pivots.T
+            pdf["cell"] = dots.argmax(1).astype(np.int32)
+            pdf["dot"] = dots.max(1)
+            yield pdf[["node", "w", "v", "cell", "dot"]]
+
+    x = written(x.select("node", "w", "v").mapInPandas(nearest, "node long, w long, v binary, cell int, dot double"), "vector-cells")
+    cells = x.groupBy("cell").agg(F.count("*").alias("n"), F.min("dot").alias("dot")).orderBy("cell").collect()
+    number = np.array([c.cell for c in cells])
+    cut = np.array([math.ceil(c.n / block) for c in cells])
+    base = np.cumsum(cut) - cut
+    far = np.array([math.sqrt(max(0.0, 2 - 2 * c.dot)) + 1e-9 for c in cells])
+    t = math.sqrt(max(0.0, 2 - 2 * threshold))
+    table = spark.createDataFrame([(int(c), int(b), int(k)) for c, b, k in zip(number, base, cut)], "cell int, base long, cut int")
+    x = x.join(F.broadcast(table), "cell").select("node", "w", "v", (F.col("base") + F.pmod(F.xxhash64("v"), F.col("cut"))).alias("block"))
+    folder = new_folder(spark, "vector-trees")
+
+    def build(pdf):
         import pandas as pd
 
+        pdf = pdf.sort_values("v", kind="stable")
         z = unit([np.frombuffer(b, np.float64) for b in pdf["v"]])
+        tree = Tree(z, pdf["w"].to_numpy(np.int64), threshold)
+        k = int(pdf["block"].iloc[0])
+        put_file(f"{folder}/{k}.npz", lambda out: tree.save(out, pdf["node"].to_numpy(np.int64)))
         middle = z.mean(0)
-        middle = middle / (np.linalg.norm(middle) or 1.0) if np.linalg.norm(middle) > 1e-9 else z[0]
-        far = math.sqrt(max(0.0, 2 - 2 * float((z @ middle).min()))) + 1e-9
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "middle": [middle.tobytes()], "far": [far]})
+        middle = middle / np.linalg.norm(middle) if np.linalg.norm(middle) > 1e-9 else z[0]
+        radius = math.sqrt(max(0.0, 2 - 2 * float((z @ middle).min()))) + 1e-9
+        return pd.DataFrame({"block": [k], "middle": [middle.tobytes()], "far": [radius]})
 
-    blocks = x.groupBy("block").applyInPandas(reach, "block int, middle binary, far double").orderBy("block").collect()
-    t = math.sqrt(max(0.0, 2 - 2 * threshold))
-    m, far = np.array([np.frombuffer(b.middle, np.float64) for b in blocks]), np.array([b.far for b in blocks])
-    near = np.sqrt(np.maximum(0, 2 - 2 * m @ m.T)) <= far[:, None] + far[None, :] + t + 1e-9
-    i, j = np.nonzero(np.triu(near))
-    keys = [b.block for b in blocks]
-    sides = [(keys[a], k, 0, a == b) for k, (a, b) in enumerate(zip(i, j))] + [(keys[b], k, 1, False) for k, (a, b) in enumerate(zip(i, j)) if a != b]
-    sides = spark.createDataFrame([(int(a), int(k), s, bool(o)) for a, k, s, o in sides], "block int, pair long, side int, own boolean")
-    dealt = x.join(sides, "block").select("pair", "side", "own", "id", "w", "v")
-
-    def compare(pdf):
+    blocks = written(x.groupBy("block").applyInPandas(build, "block long, middle binary, far double"), "vector-blocks")
+
+    def near_cells(batches):
+        """Pairs of blocks of cells whose pivots and radii allow a link, a cell at a time."""
+        import pandas as pd
+
+        for pdf in batches:
+            for i in pdf["id"]:
+                dist = np.sqrt(np.maximum(0, 2 - 2 * pivots[number[i:]] @ pivots[number[i]]))
+                for j in i + np.flatnonzero(dist <= far[i] + far[i:] + t + 1e-9):
+                    for a in range(base[i], base[i] + cut[i]):
+                        q = np.arange(a if i == j else base[j], base[j] + cut[j])
+                        yield pd.DataFrame({"p": np.full(len(q), a), "q": q})
+
+    def near_blocks(batches):
+        for pdf in batches:
+            m, n = (np.array([np.frombuffer(b, np.float64) for b in pdf[c]]).reshape(-1, d) for c in ("mp", "mq"))
+            dist = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", m, n)))
+            yield pdf[dist <= pdf["fp"].to_numpy() + pdf["fq"].to_numpy() + t + 1e-9][["p", "q"]]
+
+    pairs = spark.range(0, len(cells), 1, min(len(cells), spark.sparkContext.defaultParallelism) or 1).mapInPandas(near_cells, "p long, q long")
+    for s in "pq":
+        pairs = pairs.join(blocks.select(F.col("block").alias(s), F.col("middle").alias(f"m{s}"), F.col("far").alias(f"f{s}")), s)
+    pairs = written(pairs.mapInPandas(near_blocks, "p long, q long"), "block-pairs")
+    tasks = max(1, min(pairs.count(), 100_000))
+
+    def compare(batches):
         import pandas as pd
 
-        pdf = pdf.sort_values(["side", "v"], kind="stable")
-        one, own = pdf[pdf["side"] == 0], bool(pdf["own"].iloc[0])
-        two = one if own else pdf[pdf["side"] == 1]
-        tree = lambda f: Tree(unit([np.frombuffer(b, np.float64) for b in f["v"]]), f["w"].to_numpy(np.int64))
-        p = tree(one)
-        q = p if own else tree(two)
-        got = traverse(p, q, threshold, own)
-        both = [(one, p, got.count[0])] + ([] if own else [(two, q, got.count[1])])
-        v = np.concatenate([f["v"].to_numpy()[tr.order] for f, tr, _ in both])
-        ids = np.concatenate([f["id"].to_numpy()[tr.order] for f, tr, _ in both])
-        count, label = np.concatenate([c for *_, c in both]), got.components()
-        low = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(low, label, ids)
-        some = count > 0
-        return pd.DataFrame({"v": v[some], "id": ids[some], "links": count[some], "to": low[label][some]})
-
-    found = written(dealt.groupBy("pair").applyInPandas(compare, "v binary, id long, links long, to long"), "vector-links")
-    comps = connected_components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
-    links = found.groupBy("v").agg(F.sum("links").alias("links"), F.min("id").alias("id"))
-    out = x.alias("x").join(links.alias("l"), F.col("x.v") == F.col("l.v"), "left").join(comps, F.col("x.id") == F.col("node"), "left")
-    return out.select(F.col("x.v").alias("v"), (F.coalesce("l.links", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("component", F.col("x.id")).alias("component"))
+        held: dict[int, Tree] = {}
+        for pdf in batches:
+            for k, j in pdf[["p", "q"]].itertuples(index=False):
+                held = {b: held.get(b) or Tree.load(f"{folder}/{b}.npz") for b in {k, j}}
+                p, q = held[k], held[j]
+                got = traverse(p, q, threshold, k == j)
+                nodes = p.node if k == j else np.concatenate([p.node, q.node])
+                count, label = got.count[0] if k == j else np.concatenate(got.count), got.components()
+                low = np.full(len(nodes), np.iinfo(np.int64).max)
+                np.minimum.at(low, label, nodes)
+                some = count > 0
+                yield pd.DataFrame({"node": nodes[some], "links": count[some], "to": low[label][some]})
+
+    return pairs.repartition(tasks).mapInPandas(compare, "node long, links long, to long")

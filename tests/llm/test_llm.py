@@ -347,3 +347,33 @@ def test_words_that_agree_in_sixteen_bits_differ(spark):
         rows += [" ".join(a for a, _ in own), " ".join(b if i in (20, 50, 80) else a for i, (a, b) in enumerate(own))]  # 81 of 111 shingles
     got = order_minhash.near_duplicates(docs(spark, list(enumerate(rows)))).toPandas()
     assert (got.class_size == 1).all() and len(got) == 16
+
+
+def test_cover_tree_null_and_repeated_ids(spark):
+    """Links join vectors, not ids, and a null id names no component that has another id."""
+    e = np.eye(8)
+    tilt = lambda i, j: (e[i] + 0.2 * e[j]).tolist()
+    rows = [(None, e[0].tolist()), (7, tilt(0, 1)), (9, tilt(0, 2)), (3, e[3].tolist()), (3, e[4].tolist()), (2, tilt(3, 5)), (5, tilt(4, 6)), (None, e[7].tolist()), (4, e[7].tolist()), (None, e[5].tolist())]
+    got = cover_tree.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(None, 2, 7, False), (None, 1, 4, False), (None, 0, None, True), (2, 1, 2, True), (3, 1, 2, False), (3, 1, 3, True), (4, 1, 4, True), (5, 1, 3, False), (7, 2, 7, True), (9, 2, 7, False)]
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_cover_tree_levels_reach_the_threshold():
+    for threshold in (0.5, 0.9, 0.98, 0.999):
+        assert 2 * cover_tree.levels(threshold)[-1] <= (2 - 2 * threshold) ** 0.5
+    x = cover_tree.unit(np.random.default_rng(1).normal(0, 1, (50, 6)) * 0.01 + np.eye(6)[0])
+    p = cover_tree.Tree(x, np.ones(50, np.int64), 0.9999)
+    s = p.x @ p.x.T >= 0.9999
+    np.fill_diagonal(s, False)
+    assert (cover_tree.traverse(p, p, 0.9999, True).count[0] == s.sum(1)).all()
+
+
+def test_components_of_a_long_path_and_of_text(spark):
+    rng = np.random.default_rng(0)
+    path = rng.permutation(400).tolist()
+    e = spark.createDataFrame(list(zip(path, path[1:])), "a long, b long").repartition(16)
+    assert {r.component for r in connected_components(e).collect()} == {0}
+    e = spark.createDataFrame([("b", "c"), ("é", "a"), ("c", "d"), (None, "x")], "a string, b string")
+    assert {r.node: r.component for r in connected_components(e).collect()} == {"b": "b", "c": "b", "d": "b", "a": "a", "é": "a"}
