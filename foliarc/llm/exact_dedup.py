@@ -3,7 +3,8 @@
 The index is a table of one row per distinct text, bucketed and sorted by the text's SHA-256.  A batch is
 reduced to one row per digest (map-side first, so a text that is a third of all rows shuffles as a few rows),
 its digests are matched with the index by a sort-merge anti-join on the buckets, and only new ones are
-appended.  Texts never leave the scan: 32-byte digests are what is shuffled.
+appended.  What is known already is noted in a second table, bucketed alike, as a count to be added.  Texts
+never leave the scan: digests are what is shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from foliarc.llm.common import prepare
+from foliarc.llm.common import forget, prepare, quoted, whole_row, written
 
 INDEX = T.StructType([T.StructField("digest", T.StringType()), T.StructField("keep_id", T.LongType()), T.StructField("group_size", T.LongType())])
 
@@ -26,61 +27,99 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A bucketed table of digests with the row that stays for each, kept in Spark's warehouse under ``name``."""
+    """A bucketed table of digests with the row that stays for each, kept in Spark's warehouse under ``name``; ``name``_again counts rows of known texts."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
         prepare(spark)
         self.spark, self.name = spark, name or f"digest_index_{uuid.uuid4().hex}"
+        self.again = f"{self.name}_again"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.table(name) if self.spark.catalog.tableExists(name) else self.spark.createDataFrame([], INDEX)
+
     def rows(self) -> DataFrame:
-        """The index as appended so far; empty where nothing has been."""
-        if not self.spark.catalog.tableExists(self.name):
-            return self.spark.createDataFrame([], INDEX)
-        return self.spark.read.table(self.name)
+        """(digest, keep_id, group_size) of all texts added so far; empty where nothing has been."""
+        if not self.spark.catalog.tableExists(self.again):
+            return self._table(self.name)
+        more = self._table(self.again).groupBy("digest").agg(F.sum("group_size").alias("more"))
+        size = F.col("group_size") + F.coalesce("more", F.lit(0))
+        return self._table(self.name).hint("merge").join(more, "digest", "left").select("digest", "keep_id", size.alias("group_size"))
+
+    def _add(self, rows: DataFrame, name: str) -> None:
+        rows.select(*INDEX.names).write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(name)
 
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Add the texts of docs that the index does not have yet.
+        """Add the texts of docs that the index does not have yet, and count the rows of those it has.
 
         Of equal texts within the batch the row with the largest id stays; a text that an earlier batch
-        brought keeps the row it has.  A null id stays only if all rows of its text have a null id.
+        brought keeps the row it has.  A null id stays only if all rows of its text in its batch have a null id.
         """
-        d = docs.select(F.col(id_col).cast("long").alias("keep_id"), text_digest(F.col(text_col)).alias("digest"))
-        batch = d.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.count("*").alias("group_size"))
-        there = self.rows().select("digest").hint("merge")
-        new = batch.join(there, "digest", "left_anti").select("digest", "keep_id", "group_size")
-        new.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
+        d = docs.select(F.col(quoted(id_col)).cast("long").alias("keep_id"), text_digest(F.col(quoted(text_col))).alias("digest"))
+        batch = written(d.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.count("*").alias("group_size")), "digest-batch")
+        there = self._table(self.name).select("digest").hint("merge")
+        known = self.spark.catalog.tableExists(self.name)
+        if known:  # before the new ones are there
+            self._add(batch.join(there, "digest", "left_semi"), self.again)
+        self._add(batch.join(there, "digest", "left_anti"), self.name)
+        forget(batch)
+
+    def compact(self) -> None:
+        """Rewrite both tables as one with a file a bucket; many small batches leave many small files."""
+        whole = f"{self.name}_{uuid.uuid4().hex}"
+        self._add(self.rows().repartition(self.buckets, "digest"), whole)
+        self.drop()
+        self.spark.sql(f"ALTER TABLE {whole} RENAME TO {self.name}")
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for name in (self.name, self.again):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _decided(docs: DataFrame, index: DigestIndex | None, id_col: str, text_col: str, batches: int) -> DataFrame:
+    """(digest, keep_id, group_size) after docs were added from the largest ids down, so that what the index has is what stays; an index of our own is dropped."""
+    own = index is None
+    index = index or DigestIndex(docs.sparkSession)
+    key = F.col(quoted(id_col)).cast("long")
+    cuts, top = [], None
+    if batches > 1:
+        cuts = docs.select(F.percentile_approx(key, [i / batches for i in range(1, batches)])).first()[0] or []
+    for low in [*sorted(set(cuts), reverse=True), None]:
+        part = docs if low is None else docs.where(key >= low)
+        if top is not None:
+            part = part.where((key < top) | key.isNull())
+        index.append(part, id_col, text_col)
+        top = low
+    out = written(index.rows(), "digest-decisions")
+    if own:
+        index.drop()
+    return out
+
+
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
     """Add docs to the index and say for every row which row of its text stays.
 
     Returns one row per row of docs: ``id_col``, keep_id, group_size, kept, text_sha256.  Texts are equal when
-    identical, null being the empty text.  Rows that repeat an id share its decision; a null id is kept only
-    where its text has no other id.  An empty table gives no rows; other columns of docs are not read.
-    Joining the decisions back is a join on the digest whose rows side is dealt anew, so that adaptive
-    execution can split a hot text.
+    identical, null being the empty text.  docs are added in ``batches`` ranges of ids, the largest first, so
+    of equal texts the largest id stays, unless an index is given that has the text from before: then its row
+    stays.  group_size counts all rows added to the index.  Rows that repeat an id share its decision; a null
+    id is kept only where its text has no other id.  An empty table gives no rows; other columns of docs are
+    not read.  Joining the decisions back is a join on the digest whose rows side is dealt anew, so that
+    adaptive execution can split a hot text.
     """
-    index = index or DigestIndex(docs.sparkSession)
-    index.append(docs, id_col, text_col)
-    d = docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("text_sha256"))
-    there = index.rows().select(F.concat("digest", F.lit("")).alias("digest"), "keep_id", "group_size")
+    there = _decided(docs, index, id_col, text_col, batches)
+    d = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_digest(F.col(quoted(text_col))).alias("text_sha256"))
     out = d.join(there, F.col("text_sha256") == F.col("digest"))
     return out.select(F.col("doc_id").alias(id_col), "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def keep_distinct(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_distinct(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
     """The rows of docs that stay, with all their columns: one row of each text, repeated rows being one.
 
-    Which of several rows with one id stays is settled by the text's digest first, so each text keeps a row.
+    Of several rows with the text and the id that stay, the one whose whole row has the least hash is kept.
     """
-    index = index or DigestIndex(docs.sparkSession)
-    index.append(docs, id_col, text_col)
-    stay = index.rows().select(F.col("keep_id").alias("keep"), "digest")
-    marked = docs.select(F.struct(*docs.columns).alias("row"), text_digest(F.col(text_col)).alias("sha"))
-    out = marked.join(stay, F.col(f"row.{id_col}").eqNullSafe(F.col("keep")) & (F.col("sha") == F.col("digest")))
-    one = Window.partitionBy("digest", "keep").orderBy(F.lit(0))
+    stay = _decided(docs, index, id_col, text_col, batches).select(F.col("keep_id").alias("keep"), "digest")
+    marked = docs.select(whole_row(docs).alias("row"), F.col(quoted(id_col)).cast("long").alias("id"), text_digest(F.col(quoted(text_col))).alias("sha"))
+    out = marked.join(stay, F.col("id").eqNullSafe(F.col("keep")) & (F.col("sha") == F.col("digest")))
+    one = Window.partitionBy("digest", "keep").orderBy(F.xxhash64("row"))
     return out.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")

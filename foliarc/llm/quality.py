@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliarc.llm.common import prepare, written
+from foliarc.llm.common import prepare, quoted, whole_row, written
 
 ROWS = 1 << 14  # hashed words
 WIDTH = 32  # of a word vector
@@ -226,7 +226,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of docs that the classifier does not reject, with their columns."""
     prepare(docs.sparkSession)
     model = fit(docs, labels, id_col, text_col, **options)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(quoted(text_col)).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
