@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliarc.llm.common import prepare, written
+from foliarc.llm.common import prepare, quoted, written
 
 # The kinds in the order in which spans that start together are listed, with their patterns.
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
@@ -27,17 +27,34 @@ PATTERNS = {
     "endpoint": r"""(?i)\b(?:https?|wss?|s3|jdbc:[a-z]+|amqps?|rediss?|mysql|postgres(?:ql)?|mongodb(?:\+srv)?)://[^\s"'<>]+""",
 }
 SPAN = "array<struct<s:int,k:int,e:int>>"
+RUN, STRETCH = 256, 4096
 
 
 def _spans(matches: str, pieces: str, k: int, keep: str = "true") -> Column:
-    """Spans of one kind from its matches and the pieces between them, in order; keep is SQL on the match m."""
+    """Spans of one kind from its matches and the pieces between them, in order; keep is SQL on the match m.
+
+    Spans are gathered in runs of RUN, so that a text with very many costs about in proportion to them.
+    """
     return F.expr(f"""
         aggregate(
           zip_with({matches}, slice({pieces}, 1, size({matches})), (m, p) -> named_struct('a', length(p), 'b', length(m), 'keep', {keep})),
-          named_struct('at', 0, 'out', cast(array() as {SPAN})),
-          (acc, x) -> named_struct('at', acc.at + x.a + x.b, 'out', if(x.keep,
-              concat(acc.out, array(named_struct('s', acc.at + x.a, 'k', {k}, 'e', acc.at + x.a + x.b))), acc.out)),
-          acc -> acc.out)""")
+          named_struct('at', 0, 'runs', cast(array() as array<{SPAN}>), 'run', cast(array() as {SPAN})),
+          (acc, x) -> named_struct('at', acc.at + x.a + x.b,
+              'runs', if(size(acc.run) = {RUN}, concat(acc.runs, array(acc.run)), acc.runs),
+              'run', concat(if(size(acc.run) = {RUN}, cast(array() as {SPAN}), acc.run),
+                  if(x.keep, array(named_struct('s', acc.at + x.a, 'k', {k}, 'e', acc.at + x.a + x.b)), cast(array() as {SPAN})))),
+          acc -> concat(flatten(acc.runs), acc.run))""")
+
+
+def _apart(spans: str, others: str) -> Column:
+    """The spans that overlap none of others, which are looked up by the stretch of text they lie in."""
+    return F.expr(f"""
+        case when size({spans}) = 0 or size({others}) = 0 then {spans} else
+          aggregate(array(transform(sequence(0, array_max(transform({others}, b -> b.e div {STRETCH}))),
+              i -> filter({others}, b -> b.s div {STRETCH} <= i and b.e div {STRETCH} >= i))),
+            cast(array() as {SPAN}),
+            (none, at) -> filter({spans}, x -> not exists(slice(at, cast(x.s div {STRETCH} + 1 as int), cast(x.e div {STRETCH} - x.s div {STRETCH} + 1 as int)),
+                some -> exists(some, b -> b.s < x.e and x.s < b.e)))) end""")
 
 
 def _listed(spans: Column) -> Column:
@@ -48,7 +65,7 @@ def _listed(spans: Column) -> Column:
 
 def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, h, base, weak): spans of every row; h tells the texts of one id apart."""
-    t = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    t = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     none = F.lit(None).cast("array<string>")
     found = []
     for i, k in enumerate(KINDS):
@@ -61,8 +78,8 @@ def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     empty = F.expr(f"cast(array() as {SPAN})")
     each = [F.coalesce(_spans(f"m{i}", f"p{i}", i, keep.get(k, "true")), empty).alias(f"s{i}") for i, k in enumerate(KINDS)]
     t = t.select("doc_id", "h", *each).select("doc_id", "h", F.concat("s0", "s1", "s2").alias("base"), "s3", "s4", "s5")
-    clear = F.expr("filter(s4, x -> not exists(base, b -> b.s < x.e and x.s < b.e) and not exists(s5, b -> b.s < x.e and x.s < b.e) and not exists(s3, b -> b.s < x.e and x.s < b.e))")
-    return t.select("doc_id", "h", "base", F.concat("s3", clear, "s5").alias("weak"))
+    t = t.withColumn("strong", F.concat("base", "s3", "s5"))
+    return t.select("doc_id", "h", "base", F.concat("s3", _apart("s4", "strong"), "s5").alias("weak"))
 
 
 def _linked(parts: DataFrame, scope: int) -> DataFrame:
