@@ -5,24 +5,26 @@ range of ids in ascending order: a header, the documents' ids and ends, block of
 BLOCK ids, each starting on a whole byte, so that a block or any run of ids is unpacked by numpy without
 reading what lies before it.
 
-Documents are dealt by ranges of doc_id, encoded and written in one pass over each range; a lost task writes
-its shard again.
+Documents are dealt by ranges of doc_id that hold about as many characters each; an id with more than that
+has several ranges.  A range is encoded and written in one pass, as one shard or, where its ids are more
+than a task should hold, as several; a lost task writes its shards again.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import math
 import struct
 import zlib
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliarc.llm.common import file_system, new_folder, prepare, put_file
+from foliarc.llm.common import file_system, new_folder, prepare, put_file, quoted
 
 MAGIC = b"IDPACK01"
 HEAD = struct.Struct("<8sIIQQQ")  # magic, bits, ids per block, documents, ids, blocks
@@ -31,6 +33,8 @@ END_ID = 2
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves
 BYTES = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in SHOWN)}
 CACHE = 1_000_000  # words whose ids a worker remembers, at most
+HELD = 1 << 24  # ids a task gathers before it writes a shard
+WEIGHT = 4096  # characters to a unit, when ranges are cut
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
@@ -106,8 +110,9 @@ class Encoder:
 
     Such an encoding cuts a text into words before it merges bytes, and a single space or newline between
     other characters always starts a word of its own or with what follows.  So each piece between them is
-    encoded once by the library and then looked up.  Texts with other white space, and those that contain
-    a special token, are encoded whole.  Only for vocabularies of that kind; others are refused.
+    encoded once by the library and then looked up.  Texts with other white space, those that contain a
+    special token, and all texts where the vocabulary's pre-tokenizer is not exactly of that kind (it has
+    a pattern of its own, adds a space before a text, or normalises), are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -117,18 +122,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if '"ByteLevel"' not in self.tokenizer.to_str()[:4000] or self.tokenizer.normalizer is not None:
-            raise ValueError("only byte-level vocabularies without a normaliser can be encoded word by word")
+        parts = json.loads(self.tokenizer.to_str())
+        pre = parts["pre_tokenizer"] or {}
+        plain = parts["model"].get("dropout") is None and not parts["model"].get("ignore_merges")
+        self.by_word = plain and parts["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
-        self.known: dict[str, bytes] = {x: self.whole(x) for x in ("\n", ".", ",")}
+        self.known: dict[str, bytes] = {x: self.whole(x) for x in ("\n", ".", ",")} if self.by_word else {}
 
     def whole(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text, encoded in one piece."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> np.ndarray:
-        if not text or "\x00" in text or " ".join(text.split()) != text.replace("\n", " ") or any(s in text for s in self.special):
+        if not self.by_word or not text or "\x00" in text or " ".join(text.split()) != text.replace("\n", " ") or any(s in text for s in self.special):
             return np.frombuffer(self.whole(text), "<u4")
         known = self.known
         words = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
@@ -160,50 +167,68 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _ranges(d: DataFrame, shard_chars: int) -> tuple[list, int, int]:
+    """(cuts, ranges of ids, ranges of null ids): ranges end at the cuts; a cut that repeats is an id that fills several."""
+    tasks = d.sparkSession.sparkContext.defaultParallelism
+    units = F.ceil((F.length("text") + 1) / WEIGHT).cast("long")
+    s = d.agg(F.sum(F.when(F.col("doc_id").isNotNull(), units)).alias("ids"), F.sum(F.when(F.col("doc_id").isNull(), units)).alias("none")).first()
+    size = max(1, min(shard_chars // WEIGHT, math.ceil(((s["ids"] or 0) + (s["none"] or 0)) / tasks)))
+    n, none = max(1, math.ceil((s["ids"] or 0) / size)), max(1, math.ceil((s["none"] or 0) / size))
+    if n == 1:
+        return [], 1, none
+    each = d.where("doc_id is not null").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), units)))
+    return each.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0], n, none
+
+
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = 40_000_000, end_id: int = END_ID) -> DataFrame:
-    """Encode every whole text of docs, append end_id to each and write shards; returns (shard, path, documents, ids).
+    """Encode every whole text of docs, append end_id to each and write shards; returns (shard, part, path, documents, ids), in this order.
 
-    tokenizer: path of a tokenizers file that exists on every worker.  Shards are cut at quantiles of doc_id
-    for about shard_chars characters each; a null text is empty; null ids come last; rows that repeat an id
-    lie beside each other.
+    tokenizer: path of a tokenizers file that exists on every worker.  Ranges of doc_id are cut for about
+    shard_chars characters each; a null text is empty; null ids come last; rows that repeat an id follow each
+    other, in as many ranges as they need.  A task holds at most HELD ids and one document more.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chars = d.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(int(spark.sparkContext.defaultParallelism), math.ceil(chars / shard_chars))
-    cuts = d.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    shard = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in cuts]), lambda x: x < F.col("doc_id")))) if cuts else F.lit(0)
-    dealt = d.withColumn("shard", shard.cast("int")).repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last())
+    d = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
+    cuts, n, none = _ranges(d, shard_chars)
+    salt = lambda k: F.pmod(F.xxhash64("text"), k.cast("long") if isinstance(k, Column) else F.lit(k)).cast("int")
+    shard = F.lit(0)
+    if cuts:
+        each = F.array(*[F.lit(x).cast("long") for x in cuts])
+        own = F.size(F.filter(each, lambda x: x == F.col("doc_id")))
+        shard = F.size(F.filter(each, lambda x: x < F.col("doc_id"))) + F.when(own > 1, salt(F.greatest(own, F.lit(1)))).otherwise(0)
+    shard = F.when(F.col("doc_id").isNull(), n + salt(none)).otherwise(shard)
+    dealt = d.withColumn("shard", shard.cast("int")).repartitionById(n + none, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last())
 
     def write(batches):
         import pyarrow as pa
 
-        enc, now, keys, lengths, ids = encoder(tokenizer), None, [], [], []
+        enc, now, part, keys, lengths, ids, held = encoder(tokenizer), None, 0, [], [], [], 0
 
         def put():
-            path = f"{folder}/shard-{now:08d}.ids"
+            path = f"{folder}/shard-{now:08d}-{part:04d}.ids"
             flat = np.concatenate(ids)
             ends = np.cumsum(np.array(lengths, np.int64))
             parts = shard_bytes(keys, ends, flat, enc.bits)
             put_file(path, lambda out: [out.write(x) for x in parts])
-            return pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int32()), "path": [path], "documents": pa.array([len(keys)], pa.int64()), "ids": pa.array([len(flat)], pa.int64())})
+            return pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int32()), "part": pa.array([part], pa.int32()), "path": [path], "documents": pa.array([len(keys)], pa.int64()), "ids": pa.array([len(flat)], pa.int64())})
 
         for batch in batches:
-            for key, text, part in zip(batch["doc_id"], batch["text"], batch["shard"], strict=True):
-                part = part.as_py()
-                if part != now:
+            for key, text, to in zip(batch["doc_id"], batch["text"], batch["shard"], strict=True):
+                to = to.as_py()
+                if to != now or held >= HELD:
                     if keys:
                         yield put()
-                    now, keys, lengths, ids = part, [], [], []
+                    now, part = to, part + 1 if to == now else 0
+                    keys, lengths, ids, held = [], [], [], 0
                 got = np.append(enc.ids(text.as_py()), np.uint32(end_id))
                 keys.append(key.as_py())
                 lengths.append(len(got))
                 ids.append(got)
+                held += len(got)
         if keys:
             yield put()
 
-    kind = "shard int, path string, documents long, ids long"
+    kind = "shard int, part int, path string, documents long, ids long"
     dealt.mapInArrow(write, kind).write.parquet(f"{folder}/manifest")
     return spark.read.schema(kind).parquet(f"{folder}/manifest")
 
@@ -213,8 +238,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     The manifest has a row a shard; that is all that meets in one task to add up starts.
     """
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    m = manifest.select("shard", "path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first"))
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
+    m = manifest.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first"))
     m = m.repartition(max(1, manifest.count()))
 
     def read(batches):
