@@ -16,8 +16,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from foliarc.llm.common import prepare, written
+from foliarc.llm.common import prepare, quoted, written
 from foliarc.llm.mixing import word_count
 
 LENGTHS = (512, 1024, 2048, 4096)
@@ -31,9 +32,10 @@ def cost(length: int) -> float:
 def best_fit(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> list[tuple[int, int, int]]:
     """(bin, capacity, offset) of each size, all of which lie in 1..max(lengths).
 
-    Deterministic: ties go to the earlier piece and to the bin opened last.  The length of a new bin is the
-    one with the least cost per word among those that hold the piece, each counted as filled by as many
-    of the remaining pieces, from the longest that fits on, as it can take.
+    Deterministic: ties go to the earlier piece and to the bin that came to its room last.  The length of a
+    new bin is the one with the least cost per word among those that hold the piece, each counted as filled
+    by as many of the remaining pieces, from the longest that fits on, as it can take; it is decided as the
+    first bin for a size is opened and holds for that size.
     """
     lengths = sorted(lengths)
     top = lengths[-1]
@@ -94,18 +96,22 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     the shard), capacity (of the bin after cutting down), bin_offset.  Every word of every row is in exactly
     one piece; the pieces of a bin do not overlap.  Rows with a null or empty text have no words and no
     pieces; rows that repeat an id are packed as separate rows; an empty table gives no rows.  Shards are
-    cut by a hash of id and piece, so repeated or very long rows spread; their number follows from the
+    cut by a hash of id, text, piece and, among rows alike in these, a count, so repeated or very long rows
+    spread and the result does not depend on how docs is partitioned.  The number of shards follows from the
     number of pieces, about shard_pieces each.
     """
     prepare(docs.sparkSession)
     top = max(lengths)
-    d = docs.select(F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size")).where("size > 0")
-    d = d.select("id", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / top))).alias("piece"))
-    d = d.select("id", "piece", (F.col("piece") * top).alias("first_word"), F.least(F.lit(top), F.col("size") - F.col("piece") * top).cast("int").alias("length"), F.monotonically_increasing_id().alias("row"))
+    text = F.col(quoted(text_col))
+    d = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("h"), word_count(text).alias("size")).where("size > 0")
+    d = written(d, "pack-sizes")
+    d = d.select("id", "h", "size", F.row_number().over(Window.partitionBy("id", "h").orderBy("size")).alias("nth"))
+    d = d.select("id", "h", "size", "nth", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / top))).alias("piece"))
+    d = d.select("id", "piece", (F.col("piece") * top).alias("first_word"), F.least(F.lit(top), F.col("size") - F.col("piece") * top).cast("int").alias("length"), F.xxhash64("id", "h", "piece", "nth").alias("row"))
     d = written(d, "pack-pieces")
     shards = max(1, math.ceil(d.count() / shard_pieces))
-    d = d.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("int"))
-    kind = dict(docs.dtypes)[id_col]
+    d = d.withColumn("shard", F.pmod("row", F.lit(shards)).cast("int"))
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def one(pdf):
         pdf = pdf.sort_values(["id", "piece", "row"], kind="stable", na_position="last").reset_index(drop=True)
