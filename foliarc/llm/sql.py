@@ -29,9 +29,9 @@ q AS (SELECT page_id, html, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'A
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM p),
 rules(verdict, h, pa) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 tags AS (SELECT host, path, host || tail AS a, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM q),
-links AS (SELECT host, path, a, CASE
-    WHEN regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-    WHEN regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) END AS t FROM tags),
+links AS (SELECT host, path, a, replace(CASE
+    WHEN regexp_matches(tag, '(?i)\brel\s*=\s*(?:canonical\b|"(?:[^">]*\s)?canonical[\s"]|''(?:[^''>]*\s)?canonical[\s''])') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) END, '&amp;', '&') AS t FROM tags),
 far AS (SELECT a, CASE WHEN strpos(t, '://') > 0 THEN substr(t, strpos(t, '://') + 3) WHEN starts_with(t, '//') THEN substr(t, 3)
     WHEN starts_with(t, '/') THEN host || t ELSE host || regexp_replace(path, '[^/]*$', '') || t END AS r FROM links WHERE t <> ''),
 e AS (SELECT a, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(r, '^[^/?#]*([^#]*)', 1) AS b FROM far),

@@ -19,6 +19,7 @@ from foliarc.llm.graph import connected_components
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MOST_RULES = 1000
+CANONICAL = r"""(?i)\brel\s*=\s*(?:canonical\b|"(?:[^">]*\s)?canonical[\s"]|'(?:[^'>]*\s)?canonical[\s'])"""
 
 
 def after_scheme(url: Column) -> Column:
@@ -51,9 +52,9 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     tags = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     d = pages.where(F.col(html_col).rlike(r"(?i)canonical|refresh")).select(F.col(url_col).alias("url"), tags.alias("tags"))
     d = d.select("url", F.explode("tags").alias("tag"))
-    link = F.when(F.col("tag").rlike(r"""(?i)\brel\s*=\s*["']?canonical"""), F.regexp_extract("tag", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
+    link = F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
     link = link.when(F.col("tag").rlike(r"""(?i)http-equiv\s*=\s*["']?refresh"""), F.regexp_extract("tag", r"""(?i)\burl\s*=\s*["']?([^"'\s>;]+)""", 1))
-    d = d.select("url", link.alias("to")).where("to != '' and to is not null")
+    d = d.select("url", F.replace(link, F.lit("&amp;"), F.lit("&")).alias("to")).where("to != '' and to is not null")
     d = d.select("to", after_scheme(F.col("url")).alias("rest"))
     d = d.select("to", host_of(F.col("rest")).alias("host"), path_of(F.col("rest")).alias("path"), F.regexp_extract("rest", r"^[^/?#]*([^#]*)", 1).alias("tail"))
     to = F.col("to")
@@ -82,7 +83,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     said = nodes.withColumn("own", fitting_rule(host_of(F.col("node")), path_of(F.col("node")), rules, 0))
     sides = said.groupBy("component").agg(F.bool_or(F.col("own") == "block").alias("block"), F.bool_or(F.col("own") == "allow").alias("allow"))
     reached = nodes.join(sides.where("block and not coalesce(allow, false)").select(F.concat("component", F.lit("")).alias("c")), F.col("component") == F.col("c")).select("node")
-    out = p.join(reached, F.col("address") == F.col("node"), "left")
+    alone = F.concat(F.lit("\x00"), F.coalesce(F.col("id").cast("string"), F.lit("")))  # pages without address are dealt by id
+    out = p.join(reached, F.when(F.col("address") != "", F.col("address")).otherwise(alone) == F.col("node"), "left")
     verdict = F.coalesce("own", F.when(F.col("node").isNotNull(), F.lit("block")).otherwise("allow"))
     by = F.when(F.col("own").isNotNull(), "rule").when(F.col("node").isNotNull(), "alias").otherwise("default")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "address", by.alias("by"))

@@ -108,6 +108,44 @@ def test_token_round_trip(spark, tmp_path):
     assert token_ids.round_trip(docs(spark, []), P.path("byte_bpe_50k.json"), f"file://{tmp_path}/e").count() == 0
 
 
+def test_token_ranges_by_characters(spark, tmp_path, monkeypatch):
+    """A hot id, null ids and a text longer than a shard: ids in order, shards bounded, as if encoded whole."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    rows = [(5, f"hot row {i} " * 40) for i in range(200)] + [(i, f"doc {i}") for i in range(10, 40)] + [(50, "long text here. " * 20_000)] + [(None, f"none {i} " * 50) for i in range(60)]
+    monkeypatch.setattr(token_ids, "WEIGHT", 64)
+    d = docs(spark, rows).repartition(7)
+    manifest = token_ids.write_shards(d, path, f"file://{tmp_path}/r", shard_chars=20_000)
+    got = token_ids.read_shards(manifest).orderBy("start").collect()
+    assert manifest.where("documents > 0").count() > 5
+    keys = [r.doc_id for r in got]
+    assert keys == sorted(keys, key=lambda x: (x is None, x or 0)) and got[0].start == 0
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    want = sorted((i is None, i or 0, zlib.crc32(np.array(t.encode(s, add_special_tokens=False).ids + [2], "<u4").tobytes())) for i, s in rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.ids_crc32) for r in got) == want
+    monkeypatch.setattr(token_ids, "HELD", 1000)
+    small = token_ids.write_shards(docs(spark, rows[:200]).coalesce(1), path, f"file://{tmp_path}/s", shard_chars=10**9)
+    whole = token_ids.read_shards(small).agg({"start": "max", "n_tokens": "sum"}).first()
+    assert whole[0] < whole[1] and token_ids.read_shards(small).count() == 200
+
+
+def test_other_pre_tokenizers_encode_whole(tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    import json
+
+    raw = json.loads(open(P.path("byte_bpe_50k.json")).read())
+    raw["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, raw["pre_tokenizer"]]}
+    p = tmp_path / "digits.json"
+    p.write_text(json.dumps(raw))
+    e = token_ids.Encoder(str(p))
+    text = "in 1234 words\nand 56"
+    assert not e.by_word and e.ids(text).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert token_ids.Encoder(P.path("byte_bpe_50k.json")).by_word
+
+
 # 3
 def targets_of(size, weights=(5, 2, 1)):
     """Shares of 150% with stops at twice a source's size, reshared until none is above."""
@@ -286,13 +324,14 @@ def test_inflate_many_members():
 # 7
 def test_urls_and_aliases(spark, duck, same):
     link = '<link rel="canonical" href="{}">'
-    rows = [(1, "http://A.example.net/x", None), (2, "http://example.net/en/", ""), (3, None, None), (4, "nohost", ""), (5, "http://net", ""), (6, "http://shop.com/1", link.format("http://b.com/2")), (7, "https://b.com/2", '<meta http-equiv="refresh" content="0;url=//x.net/q">'), (8, "http://c.org/a", link.format("/fr/home")), (9, "http://c.org/b", link.format("/a")), (10, "http://d.com/a", link.format("http://evil.net/")), (11, "http://d.com/b", link.format("http://d.com/a")), (12, "http://t.org/fr/z", link.format("http://d.com/b")), (6, "http://shop.com/1", None)]
+    rows = [(1, "http://A.example.net/x", None), (2, "http://example.net/en/", ""), (3, None, None), (4, "nohost", ""), (5, "http://net", ""), (6, "http://shop.com/1", link.format("http://b.com/2")), (7, "https://b.com/2", '<meta http-equiv="refresh" content="0;url=//x.net/q">'), (8, "http://c.org/a", link.format("/fr/home")), (9, "http://c.org/b", link.format("/a")), (10, "http://d.com/a", link.format("http://evil.net/")), (11, "http://d.com/b", link.format("http://d.com/a")), (12, "http://t.org/fr/z", link.format("http://d.com/b")), (13, "http://e.com/a", '<link href="http://f.net/?a=1&amp;b=2" rel="alternate canonical">'), (14, "http://e.com/c", '<link rel="noncanonical" href="http://g.net/">'), (15, None, link.format("http://g.net/")), (None, None, None), (6, "http://shop.com/1", None)]
     p = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = judge_urls(p).toPandas()
     v = {r.page_id: (r.verdict, r.by) for r in got.itertuples()}
     assert v[1] == ("block", "rule") and v[2] == ("allow", "rule") and v[3][0] == v[4][0] == v[5][0] == "allow"
     assert v[6] == v[7] == ("block", "alias") and v[8][0] == v[9][0] == "allow"
     assert v[10] == v[11] == ("allow", "default") and v[12] == ("allow", "rule")
+    assert v[13] == ("block", "alias") and v[14] == ("allow", "default") and v[15][0] == "allow"
     import duckdb
 
     c = duckdb.connect()
@@ -334,6 +373,47 @@ def test_best_fit():
     assert packing.best_fit([]) == []
 
 
+def slow_best_fit(sizes, lengths):
+    """Best fit by looking at every bin and every remaining piece."""
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    bins, place, chosen = [], {}, {}  # bins: [room, when it came to it, used]
+    for n, i in enumerate(order):
+        s = sizes[i]
+        fit = [b for b in bins if b[0] >= s]
+        if fit:
+            b = min(fit, key=lambda b: (b[0], -b[1]))
+        else:
+            if s not in chosen:
+                def price(x):
+                    room, words = x - s, s
+                    for j in order[n + 1 :]:
+                        if sizes[j] <= room:
+                            room, words = room - sizes[j], words + sizes[j]
+                    return packing.cost(x) / words, x
+                chosen[s] = min((x for x in lengths if x >= s), key=price)
+            b = [chosen[s], n, 0]
+            bins.append(b)
+        place[i] = (next(k for k, x in enumerate(bins) if x is b), b[2])
+        b[0], b[1], b[2] = b[0] - s, n, b[2] + s
+    cap = [min(x for x in lengths if x >= b[2]) for b in bins]
+    return [(place[i][0], cap[place[i][0]], place[i][1]) for i in range(len(sizes))]
+
+
+def test_best_fit_against_brute_force():
+    rng = np.random.default_rng(12)
+    for lengths in ((512, 1024, 2048, 4096), (16, 40, 100), (7,)):
+        for n in (1, 5, 60, 200):
+            sizes = [int(x) for x in rng.integers(1, lengths[-1] + 1, n) // rng.integers(1, 9, n)]
+            sizes = [max(1, s) for s in sizes]
+            assert packing.best_fit(sizes, lengths) == slow_best_fit(sizes, lengths), (lengths, n)
+
+
+def test_pack_does_not_depend_on_partitions(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.read.parquet(f"{SF}/documents.parquet").limit(20))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(packing.pack(d.repartition(3), shard_pieces=50)) == key(packing.pack(d.repartition(7), shard_pieces=50))
+
+
 def test_pack_covers_every_word(spark):
     d = docs(spark, ODD)
     got = packing.pack(d).toPandas()
