@@ -2,15 +2,17 @@
 
 Words and their shapes (runs of letters, digits and each other character) are hashed into a fixed number of
 rows.  Random indexing gives each row a sparse random index vector; a row's word vector is the sum of the
-index vectors seen near it.  A document is the mean and the spread of its word vectors, those of its shapes
-and a few counts.  A two-layer network scores it; a temperature fitted on labelled rows that the network
-has not seen makes its probabilities fit.
+index vectors seen near it in any document, which needs no labels.  A document is the mean and the spread of
+its word vectors, those of its shapes and a few counts.  A two-layer network scores it; a temperature fitted
+on labelled rows that the network has not seen makes its probabilities fit.
 
-The model is fitted on at most ``sample`` labelled rows, those of least hash; every row is scored on its whole text.
+The network is fitted on at most ``sample`` labelled rows, those of least hash; word vectors are of all
+documents, and every row is scored on its whole text.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from dataclasses import dataclass
@@ -19,13 +21,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliarc.llm.common import prepare, quoted, whole_row, written
+from foliarc.llm.common import forget, prepare, quoted, whole_row, written
 
 ROWS = 1 << 14  # hashed words
 WIDTH = 32  # of a word vector
 NEAR = 2  # words to either side that count as context
 SPARSE = 4  # entries of an index vector
 CACHE = 400_000
+CHUNK = 200_000  # words whose contexts are added at once
 LETTERS, DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 
 
@@ -39,38 +42,89 @@ def shape(word: str) -> str:
     return DIGITS.sub("0", LETTERS.sub("a", word))
 
 
+def code(word: str) -> int:
+    """The rows of a word and of its shape in one number."""
+    return zlib.crc32(word.lower().encode()) % ROWS + zlib.crc32(b"\x00" + shape(word).encode()) % ROWS * ROWS
+
+
 class Words:
     """Rows of words and of their shapes, remembered up to a bound."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, int] = {}
 
     def rows(self, text: str) -> np.ndarray:
         """(words, 2): the rows of each word and its shape, in order."""
-        known, out = self.known, []
-        for w in text.split():
-            r = known.get(w)
-            if r is None:
-                r = (zlib.crc32(w.lower().encode()) % ROWS, zlib.crc32(b"\x00" + shape(w)[:40].encode()) % ROWS)
-                if len(known) < CACHE:
-                    known[w] = r
-            out.append(r)
-        return np.array(out, np.int64).reshape(-1, 2)
+        known, words = self.known, text.split()
+        try:
+            got = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            new = {w: code(w) for w in set(words) if w not in known}
+            got = np.fromiter((known[w] if w in known else new[w] for w in words), np.int64, len(words))
+            if len(known) + len(new) <= CACHE:
+                known.update((w, c) for w, c in new.items() if len(w) <= 64)
+        return np.stack([got % ROWS, got // ROWS], axis=1)
 
 
 def context_sums(texts, words: Words) -> np.ndarray:
-    """(ROWS, WIDTH): for each row the sum of the index vectors near it in the texts."""
+    """(ROWS * WIDTH,): for each row the sum of the index vectors near it in the texts; whole numbers, so their order does not matter."""
     place, sign = index_vectors()
-    out = np.zeros(ROWS * WIDTH)
-    for text in texts:
-        r = words.rows(text or "")
+    out, held, n = np.zeros(ROWS * WIDTH, np.int64), [], 0
+    gap = np.full((NEAR, 2), -1)  # texts are no context of each other
+
+    def add(r):
         for k in range(1, NEAR + 1):
-            if len(r) <= k:
-                break
-            a, b = r[:-k], r[k:]
-            for x, ctx in ((a[:, 0], b[:, 0]), (b[:, 0], a[:, 0]), (a[:, 1], b[:, 1]), (b[:, 1], a[:, 1])):
-                np.add.at(out, x[:, None] * WIDTH + place[ctx], sign[ctx])
-    return out.reshape(ROWS, WIDTH).astype(np.float32)
+            for c in (0, 1):
+                a, b = r[:-k, c], r[k:, c]
+                for i in range(0, len(a), CHUNK):
+                    x, y = a[i : i + CHUNK], b[i : i + CHUNK]
+                    real = (x >= 0) & (y >= 0)
+                    for row, ctx in ((x[real], y[real]), (y[real], x[real])):
+                        got = np.bincount((row[:, None] * WIDTH + place[ctx]).ravel(), sign[ctx].ravel(), ROWS * WIDTH)
+                        np.add(out, got.astype(np.int64), out=out)
+
+    for text in texts:
+        held += [words.rows(text or ""), gap]
+        n += len(held[-2])
+        if n >= CHUNK:
+            add(np.concatenate(held))
+            held, n = [], 0
+    if held:
+        add(np.concatenate(held))
+    return out
+
+
+def corpus_vectors(docs: DataFrame, text_col: str = "text", fan: int = 8, rows_a_task: int = 50_000) -> np.ndarray:
+    """Word vectors from all documents: a table of sums a task, added ``fan`` at a time until ``fan`` are left for the driver (at most 32 MB)."""
+    texts = docs.select(F.col(quoted(text_col)).alias("text"))
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(docs.count() / rows_a_task))
+    kind = "task long, sums binary"
+
+    def pack(x: np.ndarray) -> bytes:
+        return zlib.compress(x.tobytes(), 1)
+
+    def unpack(x: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(x), np.int64)
+
+    def sums(batches):
+        import pandas as pd
+        from pyspark import TaskContext
+
+        words = Words()
+        total = context_sums((t for pdf in batches for t in pdf["text"]), words)
+        yield pd.DataFrame({"task": [TaskContext.get().partitionId()], "sums": [pack(total)]})
+
+    def add(pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"task": [int(pdf["task"].iloc[0])], "sums": [pack(sum(map(unpack, pdf["sums"])))]})
+
+    got = written(texts.coalesce(tasks).mapInPandas(sums, kind), "quality-sums")
+    while got.count() > fan:
+        below, got = got, written(got.withColumn("task", F.expr(f"task div {fan}")).groupBy("task").applyInPandas(add, kind), "quality-sums")
+        forget(below)
+    whole = sum((unpack(r.sums) for r in got.select("sums").collect()), np.zeros(ROWS * WIDTH, np.int64))
+    return word_vectors(whole.reshape(ROWS, WIDTH).astype(np.float64)).astype(np.float32)
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
@@ -165,24 +219,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on labelled rows whose id is not held out.
 
     At most ``sample`` labels are used, those of least hash of the id; their documents are found by a join
-    that broadcasts only these labels, and only sums and features reach the driver.  Null labels and labels
-    without a document are left out.
+    that broadcasts only these labels, and only features and sums of word contexts reach the driver.  Null
+    labels and labels without a document are left out.
     """
     ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     ids = ids.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id", "y").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).join(F.broadcast(ids), "id")
     rows = written(rows.select("id", "text", "y").repartition(tasks, "id"), "quality-sample")
-
-    def sums(batches):
-        import pandas as pd
-
-        words, total = Words(), np.zeros((ROWS, WIDTH), np.float32)
-        for pdf in batches:
-            total += context_sums(pdf["text"], words)
-        yield pd.DataFrame({"sums": [total.tobytes()]})
-
-    got = rows.mapInPandas(sums, "sums binary").collect()
-    vectors = word_vectors(sum((np.frombuffer(r.sums, np.float32).reshape(ROWS, WIDTH) for r in got), np.zeros((ROWS, WIDTH), np.float32)))
+    vectors = corpus_vectors(docs, text_col)
 
     def features(batches):
         import pandas as pd
@@ -198,17 +242,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text") -> DataFrame:
     """The given columns of every row of docs and ``score``, the probability of good quality, on the whole text."""
-    keep = docs.select(*[F.col(c) for c in columns], F.col(text_col).alias("__text"))
+    keep = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)], F.col(quoted(text_col)).alias("text"))
+    own = [f"c{i}" for i in range(len(columns))]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
         words, m = Words(), shared.value
         for pdf in batches:
-            x = np.array([pooled(t, m.vectors, words) for t in pdf["__text"]], np.float64).reshape(-1, FEATURES)
-            yield pdf[columns].assign(score=m.score(x))
+            x = np.array([pooled(t, m.vectors, words) for t in pdf["text"]], np.float64).reshape(-1, FEATURES)
+            yield pdf[own].assign(score=m.score(x))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields[:-1])
-    return keep.mapInPandas(work, f"{schema}, score double")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep.schema.fields[:-1])
+    return keep.mapInPandas(work, f"{schema}, score double").toDF(*columns, "score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **options) -> DataFrame:

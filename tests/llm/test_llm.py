@@ -350,6 +350,43 @@ def test_quality_held_out(spark):
     assert (h.predicted == h.quality).mean() > 0.93 and got.score.between(0, 1).all()
 
 
+def test_context_sums_against_brute_force():
+    place, sign = quality.index_vectors()
+    texts, words, want = ["a b c d", None, "", "b a 12-x", "lone"], quality.Words(), np.zeros((quality.ROWS, quality.WIDTH), np.int64)
+    for t in texts:
+        r = words.rows(t or "")
+        for i in range(len(r)):
+            for j in range(len(r)):
+                if 0 < abs(i - j) <= quality.NEAR:
+                    for c in (0, 1):
+                        np.add.at(want[r[i, c]], place[r[j, c]], sign[r[j, c]].astype(np.int64))
+    assert (quality.context_sums(texts, words) == want.ravel()).all()
+
+
+def test_word_vectors_cover_all_documents(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    sums = quality.context_sums([r.text for r in d.collect()], quality.Words()).reshape(quality.ROWS, quality.WIDTH)
+    want = quality.word_vectors(sums.astype(np.float64)).astype(np.float32)
+    assert (quality.corpus_vectors(d.repartition(23), fan=2, rows_a_task=10) == want).all() and (quality.corpus_vectors(d.coalesce(1)) == want).all()
+    assert not quality.corpus_vectors(d.limit(0)).any()
+
+
+def test_quality_holds_on_word_vectors_alone(spark):
+    """Without the hand counts, and whatever the temperature, pooled vectors tell good texts from bad."""
+    sf = SF.replace("0.001", "0.01")
+    d = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    words = quality.Words()
+    vectors = quality.corpus_vectors(spark.read.parquet(f"{sf}/documents.parquet"))
+    x = np.array([quality.pooled(t, vectors, words) for t in d.text], np.float64)
+    x[:, 4 * quality.WIDTH :] = 0
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in d.doc_id])
+    m = quality.fit_network(vectors, x[~held], d.quality.to_numpy(float)[~held])
+    assert ((m.score(x[held]) >= 0.3) == d.quality.to_numpy(bool)[held]).mean() > 0.9
+    long = "good prose " * 400_000 + "end"
+    r = quality.pooled(long, vectors, words)
+    assert np.isclose(r[4 * quality.WIDTH + 2], 400_000 / 800_001) and np.isclose(r[4 * quality.WIDTH], np.log1p(800_001) / 8)
+
+
 def test_quality_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1)], "doc_id long, quality int")
     got = quality.classify(docs(spark, ODD), labels).toPandas()
