@@ -20,6 +20,23 @@ def smoothing_matrix(window: int, order: int = 2) -> list[list[float]]:
     return m.tolist()
 
 
+def short_matrix(layers: int, window: int, order: int = 2) -> list[list[float]] | None:
+    """Smoothing of a profile of no more layers than the window, as a matrix: the window shrinks to the even number below the layers.
+
+    Ends are values of the polynomials fitted to the first and the last window; between them a window's
+    polynomial is read halfway, since an even window has no middle.  None where the window gets too small.
+    """
+    w = layers - 1 if layers % 2 else layers - 2
+    if w <= order or layers > window:
+        return None
+    fit = np.linalg.pinv(np.vander(np.arange(w, dtype=float), order + 1))
+    out = np.zeros((layers, layers))
+    for z in range(layers):
+        start, at = (0, z) if z < w // 2 else (layers - w, z - layers + w) if z >= layers - w // 2 else (z - w // 2 + 1, w / 2 - 0.5)
+        out[z, start : start + w] = np.vander([at], order + 1)[0] @ fit
+    return out.tolist()
+
+
 def profile(voxels: DataFrame, keys: Sequence[str] = KEYS, channel: str = "gli", threshold: float = 0.0) -> DataFrame:
     """(keys, voxel_size, nz, counts): voxels above the threshold in every layer, empty layers being 0; voxels need nz."""
     k = [*keys, "voxel_size"]
@@ -30,7 +47,7 @@ def profile(voxels: DataFrame, keys: Sequence[str] = KEYS, channel: str = "gli",
 
 
 def smoothed(prof: DataFrame, window: int = 5) -> DataFrame:
-    """Add smooth, the Savitzky-Golay values of order 2 with fitted ends; null where there are not more layers than the window."""
+    """Add smooth, the Savitzky-Golay values of order 2 with fitted ends; see ``short_matrix`` for profiles no longer than the window, null where that has none."""
     window += 1 - window % 2
     exact = window == 5
     rows = smoothing_matrix(window)
@@ -46,7 +63,12 @@ def smoothed(prof: DataFrame, window: int = 5) -> DataFrame:
         return total / 35.0 if exact else total
 
     p = prof.withColumn("w", w)
-    return p.withColumn("smooth", F.when(F.col("nz") > window, F.transform(F.sequence(F.lit(0).cast("long"), F.col("nz") - 1), at))).drop("w")
+    smooth = F.when(F.col("nz") > window, F.transform(F.sequence(F.lit(0).cast("long"), F.col("nz") - 1), at))
+    for layers in range(1, window + 1):
+        if m := short_matrix(layers, window):
+            rows = [sum((F.element_at("counts", j + 1) * v for j, v in enumerate(r)), F.lit(0.0)) for r in m]
+            smooth = smooth.when(F.col("nz") == layers, F.array(*rows))
+    return p.withColumn("smooth", smooth).drop("w")
 
 
 def slopes(prof: DataFrame) -> DataFrame:

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliarc.functions import color
+from foliarc.operators.components import connected_components
 from foliarc.operators.voxel import CELL, KEYS
 from foliarc.schema import ChannelLimit
+from foliarc.shared import attach, written
 
 EPSILON = 2.0**-23  # of single precision
 
@@ -53,7 +55,7 @@ def bounding_box(voxels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def trim(voxels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Cut to the bounding box and count indices from its corner; adds nx, ny, nz.  All rows in the box stay, black ones too."""
-    v = voxels.join(bounding_box(voxels, keys), [*keys, "voxel_size"])
+    v = attach(voxels, bounding_box(voxels, keys), [*keys, "voxel_size"])
     for c in CELL:
         v = v.where(F.col(c).between(F.col(f"lo_{c}"), F.col(f"hi_{c}")))
     v = v.withColumns({c: F.col(c) - F.col(f"lo_{c}") for c in CELL})
@@ -65,7 +67,7 @@ def density_norm(voxels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     k = [*keys, "voxel_size"]
     s = voxels.groupBy(*k).agg(F.count_if(F.col("density") > 0).alias("full"), F.min("density").alias("mn"), F.max("density").alias("mx"), F.first("nx").alias("x1"), F.first("ny").alias("y1"), F.first("nz").alias("z1"))
     s = s.select(*k, F.when(F.col("full") < F.col("x1") * F.col("y1") * F.col("z1"), 0.0).otherwise(F.col("mn")).alias("mn"), "mx")
-    v = voxels.join(s, k)
+    v = attach(voxels, s, k)
     return v.withColumn("density_norm", F.when(F.col("mx") == F.col("mn"), F.lit(float("nan"))).otherwise((F.col("density") - F.col("mn")) / (F.col("mx") - F.col("mn")))).drop("mn", "mx")
 
 
@@ -141,7 +143,7 @@ def trim_bottom(voxels: DataFrame, keys: Sequence[str] = KEYS, count: int = 10)
     up = Window.partitionBy(*k).orderBy("iz")
     cut = layers.withColumn("sum", F.sum("n").over(up)).where(F.col("sum") >= count).groupBy(*k).agg(F.min("iz").alias("at"))
     cut = cut.select(*k, F.when(F.col("at") - 1 > 0, F.col("at") - 1).otherwise(0).alias("cut"))
-    v = voxels.join(cut, k, "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
+    v = attach(voxels, cut, k, "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
     return v.where(F.col("iz") >= F.col("cut")).withColumn("iz", F.col("iz") - F.col("cut")).drop("cut")
 
 
@@ -150,38 +152,39 @@ def layer(voxels: DataFrame, z: int) -> DataFrame:
     return voxels.where(F.col("iz") == z).withColumns({c: F.nullif(F.col(c), F.lit(0.0)) for c in "rgb"})
 
 
-def largest_component(voxels: DataFrame, size_threshold: int = 25, distance: int = 10, keys: Sequence[str] = KEYS, checkpoint: bool = True) -> DataFrame:
+def cell(voxels: DataFrame, ix: int, iy: int, iz: int) -> DataFrame:
+    """The voxel at a place, in every cloud that has one there."""
+    return voxels.where((F.col("ix") == ix) & (F.col("iy") == iy) & (F.col("iz") == iz))
+
+
+def with_cell(voxels: DataFrame, ix: int, iy: int, iz: int, **channels: float) -> DataFrame:
+    """The table with channels of the voxel at a place set, in every cloud that has one there."""
+    here = (F.col("ix") == ix) & (F.col("iy") == iy) & (F.col("iz") == iz)
+    return voxels.withColumns({c: F.when(here, F.lit(float(v))).otherwise(F.col(c)) for c, v in channels.items()})
+
+
+def largest_component(voxels: DataFrame, size_threshold: int = 25, distance: int = 10, keys: Sequence[str] = KEYS) -> DataFrame:
     """The largest 6-connected component of coloured voxels of each cloud, grown by components near it.
 
-    Labels spread as smallest cell numbers along neighbours, in joins; components of at least size_threshold
-    voxels join the largest where any of their voxels lies within distance cells of it on every axis.
+    Components of at least size_threshold voxels join the largest where any of their voxels lies within
+    distance cells of it on every axis.  Of equally large components that with the first cell counts.
     """
     k = [*keys, "voxel_size"]
-    v = voxels.where(coloured()).select(*k, *CELL)
-    v = v.withColumn("label", (F.col("ix") * 1_048_576 + F.col("iy")) * 1_048_576 + F.col("iz"))
-    step = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
-    moves = F.array(*[F.struct(*[F.lit(d).alias(f"d{c}") for d, c in zip(s, CELL)]) for s in step])
-    sum_before = None
-    while True:
-        out = v.withColumn("d", F.explode(moves)).select(*k, *[(F.col(c) + F.col(f"d.d{c}")).alias(c) for c in CELL], F.col("label").alias("other"))
-        near = out.groupBy(*k, *CELL).agg(F.min("other").alias("other"))
-        v = v.join(near, [*k, *CELL], "left").select(*k, *CELL, F.least("label", F.coalesce("other", "label")).alias("label"))
-        hop = v.withColumn("c", (F.col("ix") * 1_048_576 + F.col("iy")) * 1_048_576 + F.col("iz")).select(*k, F.col("c").alias("label"), F.col("label").alias("up"))
-        v = v.join(hop, [*k, "label"]).select(*k, *CELL, F.col("up").alias("label"))
-        if checkpoint:
-            v = v.checkpoint()
-        now = v.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now == sum_before:
-            break
-        sum_before = now
-    sizes = v.groupBy(*k, "label").agg(F.count("*").alias("n"))
-    first = sizes.groupBy(*k).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
-    main = v.join(first, [*k, "label"])
-    others = v.join(sizes.where(F.col("n") >= size_threshold).select(*k, "label"), [*k, "label"]).join(first, [*k, "label"], "left_anti")
-    cell = lambda t: [F.floor(F.col(f"{t}.{c}") / max(1, distance)) for c in CELL]
-    grid = main.withColumn("d", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn("e", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn("f", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
+    v = written(voxels.where(coloured()).select(*k, *CELL, F.monotonically_increasing_id().alias("node")), "component-voxels")
+    ahead = F.array(*[F.struct(*[F.lit(int(i == j)).alias(f"d{c}") for j, c in enumerate(CELL)]) for i in range(3)])
+    out = v.withColumn("d", F.explode(ahead)).select(*k, *[(F.col(c) + F.col(f"d.d{c}")).alias(c) for c in CELL], F.col("node").alias("a"))
+    labels = connected_components(out.join(v.withColumnRenamed("node", "b"), [*k, *CELL]).select("a", "b")).withColumnRenamed("node", "of")
+    v = written(v.join(labels, F.col("node") == F.col("of"), "left").select(*k, *CELL, F.coalesce("component", "node").alias("label")), "component-labels")
+    sizes = written(v.groupBy(*k, "label").agg(F.count("*").alias("n"), F.min(F.struct(*CELL)).alias("first")), "component-sizes")
+    largest = sizes.groupBy(*k).agg(F.min_by("label", F.struct(-F.col("n"), "first")).alias("most"))
+    v = attach(v, largest, k)
+    main, others = v.where("label = most").select(*k, *CELL), v.where("label != most").join(sizes.where(F.col("n") >= size_threshold).select(F.col("label").alias("large")), F.col("label") == F.col("large"))
+    bin_ = lambda t, d=None: [F.floor(F.col(f"{t}.{c}") / max(1, distance)) + (F.col(f"{t}.d{c}") if d else 0) for c in CELL]
+    grid = main
+    for c in CELL:
+        grid = grid.withColumn(f"d{c}", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
     on = [F.col(f"m.{x}") == F.col(f"o.{x}") for x in k]
-    on += [a + F.col(f"m.{d}") == b for a, b, d in zip(cell("m"), cell("o"), "def")]
+    on += [a == b for a, b in zip(bin_("m", True), bin_("o"))]
     on += [F.abs(F.col(f"m.{c}") - F.col(f"o.{c}")) <= distance for c in CELL]
-    near = grid.alias("m").join(others.alias("o"), on).select(*[F.col(f"o.{x}") for x in [*k, "label"]]).distinct()
-    return main.select(*k, *CELL).union(v.join(near, [*k, "label"]).select(*k, *CELL))
+    near = grid.alias("m").join(others.alias("o"), on).select(F.col("o.label").alias("close")).distinct()
+    return main.union(others.join(near, F.col("label") == F.col("close")).select(*k, *CELL))

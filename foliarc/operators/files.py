@@ -27,7 +27,7 @@ def analysed(files: DataFrame, extension: str = ".las", skip: Sequence[str] = ()
     f = files.where(F.col("path").endswith(extension))
     for s in skip:
         f = f.where(~F.col("path").contains(s))
-    rel = F.regexp_replace("path", f"^{base}/", "")
+    rel = F.when(F.startswith("path", F.lit(f"{base}/")), F.substring("path", len(base) + 2, 1 << 30)).otherwise(F.col("path"))
     stem = F.regexp_replace(rel, r"\.[^./]*$", "")
     f = f.select("path", F.concat(F.lit(f"{out}/"), stem, F.lit("/"), F.regexp_extract(rel, "[^/]*$", 0)).alias("output"))
     return f.orderBy("path").limit(limit) if limit > 0 else f
@@ -58,6 +58,21 @@ def first_record(lines: DataFrame) -> DataFrame:
     return f.select("path", F.try_element_at(part, F.lit(1)).cast("double").alias("height"), (F.try_element_at(part, F.lit(2)).cast("double") * 100).alias("dbh"))
 
 
-def decoded(files: DataFrame, charset: str = "UTF-8") -> DataFrame:
-    """(path, text) of binary files."""
-    return files.select("path", F.decode("content", charset).alias("text"))
+def decoded(files: DataFrame, charset: str | None = None) -> DataFrame:
+    """(path, text) of binary files; without a charset by byte order mark, else UTF-8 where the bytes are that, else Latin-1."""
+    c = F.col("content")
+    if charset:
+        return files.select("path", F.decode(c, charset).alias("text"))
+    start = lambda x: F.hex(F.substring(c, 1, len(x) // 2)) == x
+    rest = lambda n: F.substring(c, n + 1, F.octet_length(c))
+    text = F.when(start("EFBBBF"), rest(3).cast("string")).when(start("FFFE"), F.decode(rest(2), "UTF-16LE")).when(start("FEFF"), F.decode(rest(2), "UTF-16BE"))
+    text = text.when(F.is_valid_utf8(c.cast("string")), c.cast("string")).otherwise(F.decode(c, "ISO-8859-1"))
+    return files.select("path", text.alias("text"))
+
+
+def cloud_pairs(files: DataFrame, cloud: str = "pointcloud.las", cameras: str = "camera_positions.las") -> DataFrame:
+    """(folder, cloud, cameras, status) of the folders that hold either file: ok, or which of the two is missing."""
+    f = files.select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", r"[^/]*$", 0).alias("name"))
+    f = f.groupBy("folder").agg(*[F.max(F.when(F.col("name") == n, F.col("path"))).alias(c) for c, n in (("cloud", cloud), ("cameras", cameras))])
+    status = F.when(F.col("cameras").isNull(), "no_cameras").when(F.col("cloud").isNull(), "no_cloud").otherwise("ok")
+    return f.where("cloud is not null or cameras is not null").withColumn("status", status)

@@ -1,7 +1,8 @@
 """Convex hulls as planes, and clipping against them.
 
-Only hull construction needs a grouped Python function.  Voxel hulls are built from the lowest and highest
-cell of each column, since no other cell can be a vertex; that bounds the group by the box's floor.
+Only hull construction needs a grouped Python function.  It runs in two rounds: first over tiles of a cloud, of
+which only the corners of each tile's own hull go on to the round that takes a cloud as a whole.  Voxel hulls
+are built from the lowest and highest cell of each column, since no other cell can be a vertex.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from foliarc.operators.enrich import coloured
 from foliarc.operators.metrics import largest_distance, percentile_box, within_box
 from foliarc.operators.voxel import CELL, KEYS
+from foliarc.shared import attach, written
 
+TILE = 20_000  # points of a tile, about, where points are spread evenly
 FACE = "a double, b double, c double, d double, v0 array<double>, v1 array<double>, v2 array<double>"
 
 
@@ -42,26 +45,50 @@ def facets(p: np.ndarray) -> np.ndarray:
         x, y, z = p[f[0]], p[f[1]], p[f[2]]
         return f if np.cross(y - x, z - x) @ (x - middle) > 0 else (f[0], f[2], f[1])
 
-    faces = [outward(f) for f in ((a, b, c), (a, b, d), (a, c, d), (b, c, d))]
-
-    def plane(fs):
-        q = p[np.array(fs)]
-        n = np.cross(q[:, 1] - q[:, 0], q[:, 2] - q[:, 0])
-        n /= np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-300)
-        return n, -(n * q[:, 0]).sum(1)
-
-    normal, offset = plane(faces)
-    order = np.argsort(-np.linalg.norm(p - middle, axis=1), kind="stable")  # far points first: fewer faces are made in vain
-    for i in order:
-        seen = normal @ p[i] + offset > eps
-        if not seen.any():
-            continue
-        edges = {(f[j], f[(j + 1) % 3]) for f, s in zip(faces, seen) if s for j in range(3)}
-        new = [(u, v, int(i)) for u, v in edges if (v, u) not in edges]
-        faces = [f for f, s in zip(faces, seen) if not s] + new
-        n2, o2 = plane(new)
-        normal, offset = np.concatenate([normal[~seen], n2]), np.concatenate([offset[~seen], o2])
-    return p[np.array(faces)]
+    verts = np.zeros((64, 3), np.int64)
+    normal, offset, alive = np.zeros((64, 3)), np.zeros(64), np.zeros(64, bool)
+    outside: dict[int, np.ndarray] = {}  # points a face has in front of it, each point with one face
+    n = 0
+
+    def add(new: list, pool: np.ndarray) -> None:
+        """Append faces and deal the points in front of any of them."""
+        nonlocal verts, normal, offset, alive, n
+        while n + len(new) > len(verts):
+            verts, normal, offset, alive = (np.concatenate([x, np.zeros_like(x)]) for x in (verts, normal, offset, alive))
+        at = slice(n, n + len(new))
+        verts[at] = new
+        q = p[verts[at]]
+        m = np.cross(q[:, 1] - q[:, 0], q[:, 2] - q[:, 0])
+        normal[at] = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        offset[at] = -(normal[at] * q[:, 0]).sum(1)
+        alive[at] = True
+        for i in range(0, len(pool), 100_000):
+            part = pool[i : i + 100_000]
+            far = p[part] @ normal[at].T + offset[at]
+            best = far.argmax(1)
+            part, best = part[far.max(1) > eps], best[far.max(1) > eps]
+            for j in np.unique(best):
+                f = n + int(j)
+                outside[f] = np.concatenate([outside.get(f, part[:0]), part[best == j]])
+        n += len(new)
+
+    add([outward(f) for f in ((a, b, c), (a, b, d), (a, c, d), (b, c, d))], np.arange(len(p)))
+    while outside:
+        f, pool = next(iter(outside.items()))
+        i = int(pool[(p[pool] @ normal[f] + offset[f]).argmax()])
+        seen = np.flatnonzero(alive[:n] & (normal[:n] @ p[i] + offset[:n] > eps))
+        edges = {(int(u), int(v)) for x in verts[seen] for u, v in zip(x, np.roll(x, -1))}
+        pool = np.concatenate([outside.pop(int(x), pool[:0]) for x in seen])
+        alive[seen] = False
+        add([(u, v, i) for u, v in edges if (v, u) not in edges], pool[pool != i])
+        if n > 256 and alive[:n].sum() * 2 < n:  # drop the faces that are gone
+            stay = np.flatnonzero(alive[:n])
+            number = {int(x): k for k, x in enumerate(stay)}
+            verts, normal, offset, alive = (x[stay].copy() for x in (verts, normal, offset, alive))
+            outside = {number[x]: y for x, y in outside.items()}
+            n = len(stay)
+    q = p[verts[:n][alive[:n]]]
+    return q[np.linalg.norm(np.cross(q[:, 1] - q[:, 0], q[:, 2] - q[:, 0]), axis=1) > 0]
 
 
 def facets_2d(p: np.ndarray) -> np.ndarray:
@@ -109,7 +136,24 @@ def hull_faces(points: DataFrame, keys: Sequence[str], flat: bool = False) -> Da
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    return points.select(*keys, "x", "y", "z").groupBy(*keys).applyInPandas(work, f"{schema}, {FACE}")
+    def tile_corners(pdf):
+        """The points of a tile that can be corners of the whole; all of them where the tile is flat."""
+        import pandas as pd
+
+        got = facets_2d(pdf[["x", "y"]].to_numpy(float)) if flat else facets(pdf[["x", "y", "z"]].to_numpy(float))
+        if not len(got):
+            return pdf[[*keys, "x", "y", "z"]]
+        ends = np.unique(got.reshape(-1, got.shape[-1]), axis=0)
+        axes = ["x", "y", "z"][: ends.shape[1]]
+        return pdf[[*keys, "x", "y", "z"]].merge(pd.DataFrame(ends, columns=axes), on=axes)
+
+    p = points.select(*keys, "x", "y", "z").where("x is not null and y is not null and z is not null")
+    box = p.groupBy(*keys).agg(*[f(a).cast("double").alias(f"{n}_{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))], F.ceil(F.pow(F.count("*") / TILE, 0.5)).alias("side"))
+    tile = lambda a: F.least(F.floor((F.col(a) - F.col(f"lo_{a}")) / F.greatest(F.col(f"hi_{a}") - F.col(f"lo_{a}"), F.lit(1e-9)) * F.col("side")), F.col("side") - 1)
+    p = attach(p, box, keys).withColumns({"tx": tile("x"), "ty": tile("y")})
+    axes = ", x {}, y {}, z {}".format(*[points.schema[a].dataType.simpleString() for a in "xyz"])
+    p = p.groupBy(*keys, "tx", "ty").applyInPandas(tile_corners, f"{schema}{axes}")
+    return p.groupBy(*keys).applyInPandas(work, f"{schema}, {FACE}")
 
 
 def voxel_hull(voxels: DataFrame, floor: float = 0.0, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -145,7 +189,7 @@ def corners(faces: DataFrame, keys: Sequence[str]) -> DataFrame:
 def spread(points: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Largest distance between two points of a cloud, of which only the hull's vertices are paired; all points where there is no hull."""
     k = list(keys)
-    ends = corners(hull_faces(points, k), k)
+    ends = corners(written(hull_faces(points, k), "hull"), k)
     flat = points.select(*k, "x", "y", "z").join(ends.select(*k).distinct(), k, "left_anti")
     return largest_distance(ends.union(flat), k)
 
@@ -157,9 +201,9 @@ def clip(points: DataFrame, cameras: DataFrame, quantile: float = 0.0, buffer_pe
     """
     k = list(keys)
     cams = within_box(cameras, percentile_box(cameras, quantile, 0.0, keys), keys)
-    faces = hull_faces(cams, k, flat=ignore_z)
+    faces = written(hull_faces(cams, k, flat=ignore_z), "hull")
     planes = plane_arrays(faces, k).join(largest_distance(corners(faces, k), keys), k)
-    p = points.join(planes, k)
+    p = attach(points, planes, k)
     return p.where(inside(F.col("planes"), F.col("x"), F.col("y"), F.col("z"), F.col("max_distance") * buffer_percent)).drop("planes", "max_distance")
 
 

@@ -9,17 +9,36 @@ from pyspark.sql import functions as F
 
 from foliarc.operators.enrich import bounding_box
 from foliarc.operators.voxel import KEYS
+from foliarc.shared import attach, forget, kept, written
 
 
-def height(voxels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Extent of the coloured voxels along z, less one, in units of length."""
-    return bounding_box(voxels, keys).select(*keys, "voxel_size", ((F.col("nz") - 1) * F.col("voxel_size")).alias("height"))
+def height_of(box: DataFrame) -> Column:
+    """From a bounding box: extent along z, less one, in units of length."""
+    return (box["nz"] - 1) * box["voxel_size"]
+
+
+def dimensions_of(box: DataFrame) -> tuple[Column, Column]:
+    """From a bounding box: larger and smaller horizontal extent, less one."""
+    a, b = (box["nx"] - 1) * box["voxel_size"], (box["ny"] - 1) * box["voxel_size"]
+    return F.greatest(a, b), F.least(a, b)
+
+
+def height(voxels: DataFrame, keys: Sequence[str] = KEYS, percentile: float | None = None) -> DataFrame:
+    """Extent of the coloured voxels along z, less one, in units of length; with a percentile, that of the layers of their colour values above 0, counted from the lowest."""
+    if percentile is None:
+        box = bounding_box(voxels, keys)
+        return box.select(*keys, "voxel_size", height_of(box).alias("height"))
+    values = sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in "rgb"), F.lit(0))
+    v = voxels.withColumn("values", values).where("values > 0").groupBy(*keys, "voxel_size", "iz").agg(F.sum("values").alias("values"))
+    top = (F.percentile("iz", percentile / 100.0, F.col("values")) - F.min("iz")) * F.col("voxel_size")
+    return v.groupBy(*keys, "voxel_size").agg(top.alias("height"))
 
 
 def canopy_dimensions(voxels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Larger and smaller horizontal extent, less one."""
-    a, b = (F.col("nx") - 1) * F.col("voxel_size"), (F.col("ny") - 1) * F.col("voxel_size")
-    return bounding_box(voxels, keys).select(*keys, "voxel_size", F.greatest(a, b).alias("width"), F.least(a, b).alias("length"))
+    box = bounding_box(voxels, keys)
+    a, b = dimensions_of(box)
+    return box.select(*keys, "voxel_size", a.alias("width"), b.alias("length"))
 
 
 def percentile_box(cameras: DataFrame, quantile: float = 0.0, buffer_ratio: float = 0.0, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -31,7 +50,7 @@ def percentile_box(cameras: DataFrame, quantile: float = 0.0, buffer_ratio: floa
 
 def within_box(points: DataFrame, box: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Points inside the box of their cloud, ends included."""
-    p = points.join(box, list(keys))
+    p = attach(points, box, keys)
     for a in "xyz":
         p = p.where(F.col(a).between(F.col(f"lo_{a}"), F.col(f"hi_{a}")))
     return p.drop(*[f"{n}_{a}" for a in "xyz" for n in ("lo", "hi")])
@@ -79,20 +98,40 @@ def error_filter_step(tiepoints: DataFrame, goals: dict[str, float], reduction:
 
 
 def filter_errors(tiepoints: DataFrame, goals: dict[str, float], reduction: float = 0.75, passes: Sequence[int] = (4, 3, 2), steps: int = 10, least: float = 0.5, key: str = "chunk_id") -> DataFrame:
-    """Passes with goals times 4, 3 and 2, each of steps until all criteria are met; stops when fewer than least of the points would be left."""
-    start, now = tiepoints.where("valid").count(), tiepoints
-    for k in passes:
-        want = {c: g * k for c, g in goals.items()}
+    """Passes with goals times 4, 3 and 2, each of steps in which the chunks that miss a criterion lose points, until all meet them.
+
+    A chunk of which fewer than least of its valid points would be left stays as it is from then on.  Each
+    step is written, so lineage does not grow; one row a chunk is what is joined back.
+    """
+    now = written(tiepoints.where("valid").join(tiepoints.where("valid").groupBy(key).agg(F.count("*").alias("_start")), key), "tie-points")
+    first = now
+    for times in passes:
+        want = {c: g * times for c, g in goals.items()}
         for _ in range(steps):
-            worst = now.where("valid").agg(*[F.max(c).alias(c) for c in want]).first()
-            if all(worst[c] is None or worst[c] <= g for c, g in want.items()):
+            most = {c: F.greatest(F.max(c) * reduction, F.lit(float(g))).alias(f"_most_{c}") for c, g in want.items()}
+            missed = [F.max(c) > g for c, g in want.items()]
+            top = now.groupBy(key).agg(*most.values(), F.array_max(F.array(*missed)).alias("_missed"))
+            marked = attach(now, top, [key]).withColumn("_stay", ~F.col("_missed") | F.forall(F.array(*[F.col(c) <= F.col(f"_most_{c}") for c in want]), lambda x: x))
+            left = marked.groupBy(key).agg(F.count_if("_stay").alias("_left"), F.count("*").alias("_now"), F.first("_start").alias("_of"))
+            left = kept(left.select(key, ((F.col("_left") >= least * F.col("_of")) & (F.col("_left") < F.col("_now"))).alias("_cut")), "tie-counts")
+            if left.where("_cut").isEmpty():
                 break
-            then = error_filter_step(now, want, reduction, key)
-            if then.count() < least * start:
-                return now
+            then = written(attach(marked, left, [key]).where("_stay or not _cut").select(*first.columns), "tie-points")
+            forget(now)
             now = then
-    return now
+    return now.drop("_start")
 
 
 def camera_counts(frames: DataFrame, key: str = "chunk_id") -> DataFrame:
     return frames.groupBy(key).agg(F.count("*").alias("cameras"), F.count_if("enabled").alias("enabled"), F.count_if(~F.col("aligned")).alias("unaligned"))
+
+
+def camera_positions(cameras: DataFrame, matrix: Sequence[Sequence[float]]) -> DataFrame:
+    """Aligned cameras with x, y, z carried over by a 4 x 4 transform; projecting to a reference system is left to the program that knows it."""
+    at = [sum((float(m) * F.col(a) for m, a in zip(row, "xyz")), F.lit(float(row[3]))) for row in matrix]
+    return cameras.where("aligned").withColumns({a: at[i] / at[3] for i, a in enumerate("xyz")})
+
+
+def alignment_version(version: int | None) -> int:
+    """0 none, 1 and 2 the two ways to form batches of cameras; what is missing or neither is 0."""
+    return version if version in (1, 2) else 0

@@ -11,11 +11,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliarc.operators.voxel import CELL, KEYS
+from foliarc.shared import attach
 
 GOLDEN = 2 * math.pi * (1 - 2 / (1 + math.sqrt(5)))
 STEPS = 3000
+RUN = 256
 TOLERANCE = 1e-12
 
 
@@ -37,11 +40,15 @@ def hashed(i: Column, axis: int) -> Column:
 
 def rays(extents: DataFrame, n: int = 15_000, heading: str = "antipodal", exclusion: float = 0.0) -> DataFrame:
     """n rays for each row of extents (with nx, ny, nz): adds ray_id, ox, oy, oz and the unit direction dx, dy, dz."""
-    e = extents.withColumn("ray_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    spark = extents.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"), F.lit(RUN).cast("long")))
+    e = extents.withColumn("first", first).repartition(tasks)  # runs of rays are what is dealt, so few clouds make many tasks
+    e = e.withColumn("ray_id", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + RUN - 1, F.lit(n - 1))))).drop("first")
     e = e.withColumn("radius", math.sqrt(3) * F.greatest("nx", "ny", "nz") / 2)
     e = e.withColumns({f"o{a}": F.col(f"n{a}") / 2 + F.col("radius") * s for a, s in zip("xyz", sphere(n, F.col("ray_id"), exclusion))})
     if heading == "antipodal":
-        to = {a: F.col(f"o{a}") - 2.0 * (F.col(f"o{a}") - F.col(f"n{a}") / 2) for a in "xyz"}
+        to = {a: F.col(f"n{a}") - F.col(f"o{a}") for a in "xyz"}
     else:
         to = {a: hashed(F.col("ray_id"), j) * F.col(f"n{a}") for j, a in enumerate("xyz")}
     e = e.withColumns({f"v{a}": to[a] - F.col(f"o{a}") for a in "xyz"})
@@ -52,7 +59,7 @@ def rays(extents: DataFrame, n: int = 15_000, heading: str = "antipodal", exclus
 def kept_rays(r: DataFrame, planes: DataFrame, keys: Sequence[str] = KEYS, step: float = 0.5) -> DataFrame:
     """Rays with a step inside the hull; planes: (keys, voxel_size, planes: array of a, b, c, d), at most a hull per cloud.  No planes: no rays."""
     k = [*keys, "voxel_size"]
-    j = r.join(planes.where(F.size("planes") > 0), k)
+    j = attach(r, planes.where(F.size("planes") > 0), k)
     term = lambda p: F.struct((p.a * F.col("dx") + p.b * F.col("dy") + p.c * F.col("dz")).alias("speed"), (p.a * F.col("ox") + p.b * F.col("oy") + p.c * F.col("oz") + p.d - TOLERANCE).alias("side"))
     j = j.withColumn("planes", F.transform("planes", term))
     enter = F.array_max(F.transform(F.filter("planes", lambda p: p.speed < 0), lambda p: -p.side / p.speed))
@@ -91,11 +98,13 @@ def transmission(kept: DataFrame, hit: DataFrame, keys: Sequence[str] = KEYS, en
     A hit counts where its voxel has at least ``required`` hits in all; each takes a share of the ray's energy.
     """
     k = [*keys, "voxel_size"]
-    support = hit.groupBy(*k, *CELL).agg(F.count("*").alias("support")).where(F.col("support") >= required)
-    per = hit.join(support, [*k, *CELL]).groupBy(*k, "ray_id").agg(F.count("*").alias("hits"))
-    r = kept.select(*k, "ray_id").join(per, [*k, "ray_id"], "left")
-    through = energy * F.pow(F.lit(1.0 - dissipation), F.coalesce("hits", F.lit(0)).cast("double")) > threshold
-    out = r.groupBy(*k).agg(F.count("*").alias("valid"), F.count_if(through).alias("unobstructed"))
+    lit = lambda hits: energy * F.pow(F.lit(1.0 - dissipation), hits.cast("double")) > threshold
+    per = hit.groupBy(*k, *CELL, "ray_id").agg(F.count("*").alias("n"))
+    per = per.withColumn("support", F.sum("n").over(Window.partitionBy(*k, *CELL))).where(F.col("support") >= required)
+    per = per.groupBy(*k, "ray_id").agg(F.sum("n").alias("hits")).groupBy(*k).agg(F.count("*").alias("met"), F.count_if(lit(F.col("hits"))).alias("through"))
+    out = kept.groupBy(*k).agg(F.count("*").alias("valid")).join(per, k, "left")
+    free = F.col("valid") - F.coalesce("met", F.lit(0))
+    out = out.select(*k, "valid", (F.coalesce("through", F.lit(0)) + F.when(lit(F.lit(0)), free).otherwise(0)).alias("unobstructed"))
     return out.withColumn("transparency", 100.0 * F.col("unobstructed") / F.col("valid"))
 
 

@@ -1,17 +1,19 @@
 """From coloured, classified points to sparse voxel tables.
 
 Every table is keyed by ``keys`` (the cloud) and, once voxelised, by voxel_size and ix, iy, iz.  Points are
-dealt by voxel, never by cloud, so one giant cloud spreads over all tasks; per-cloud values (minima, ranks,
-largest counts) are small grouped aggregates joined back.
+dealt by voxel, never by cloud, so one giant cloud spreads over all tasks.  Values of a whole cloud (minima,
+class codes, largest counts) come from one aggregate that is written and joined back by ``attach``; the voxel
+table is written once and is what all later operators read, so points are scanned three times in all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from foliarc.shared import attach, written
 
 KEYS = ("tree_id",)
 AXES = {0: ("y", "z", "x"), 1: ("x", "z", "y"), 2: ("x", "y", "z")}
@@ -24,18 +26,38 @@ def permute_axes(points: DataFrame, vertical_axis: int = 2) -> DataFrame:
     return points.withColumns({"x": F.col(a), "y": F.col(b), "z": F.col(c)})
 
 
+def _codes() -> Column:
+    """The distinct class codes of a cloud, ascending: a LAS file has at most 256."""
+    return F.array_sort(F.collect_set("raw_class")).alias("codes")
+
+
+def _lows(mask: Column | None = None) -> list[Column]:
+    return [F.min(F.col(a) if mask is None else F.when(mask, F.col(a))).alias(f"min_{a}") for a in "xyz"]
+
+
+def _coded(points: DataFrame) -> DataFrame:
+    return points.withColumn("cls", (F.array_position("codes", F.col("raw_class")) - 1).cast("int")).drop("codes")
+
+
+def _celled(points: DataFrame, sizes: Sequence[float]) -> DataFrame:
+    p = points.withColumn("voxel_size", F.explode(F.array(*[F.lit(float(s)) for s in sizes])))
+    return p.withColumns({f"i{a}": F.floor((F.col(a) - F.col(f"min_{a}")) * (1.0 / F.col("voxel_size"))).cast("long") for a in "xyz"}).drop("min_x", "min_y", "min_z")
+
+
 def class_codes(points: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Add cls: the dense rank from 0 of raw_class within the cloud.  Only the distinct codes are ranked."""
-    codes = points.select(*keys, "raw_class").distinct()
-    codes = codes.withColumn("cls", F.dense_rank().over(Window.partitionBy(*keys).orderBy("raw_class")) - 1)
-    return points.join(codes, [*keys, "raw_class"])
+    """Add cls: the dense rank from 0 of raw_class within the cloud."""
+    return _coded(attach(points, points.groupBy(*keys).agg(_codes()), keys))
 
 
 def voxel_index(points: DataFrame, sizes: Sequence[float] = (0.1,), keys: Sequence[str] = KEYS) -> DataFrame:
     """Add voxel_size and the cell of every point, truncating (p - min) / size; one copy of the points per size."""
-    low = points.groupBy(*keys).agg(*[F.min(a).alias(f"min_{a}") for a in "xyz"])
-    p = points.join(low, list(keys)).withColumn("voxel_size", F.explode(F.array(*[F.lit(float(s)) for s in sizes])))
-    return p.withColumns({f"i{a}": F.floor((F.col(a) - F.col(f"min_{a}")) * (1.0 / F.col("voxel_size"))).cast("long") for a in "xyz"}).drop("min_x", "min_y", "min_z")
+    return _celled(attach(points, points.groupBy(*keys).agg(*_lows()), keys), sizes)
+
+
+def indexed(points: DataFrame, sizes: Sequence[float] = (0.1,), keys: Sequence[str] = KEYS, mask: Column | None = None) -> DataFrame:
+    """``class_codes`` of all points, then ``voxel_index`` of those that the mask keeps, from one aggregate."""
+    p = attach(points if mask is None else points.where(mask), points.groupBy(*keys).agg(_codes(), *_lows(mask)), keys)
+    return _celled(_coded(p), sizes)
 
 
 def band_filter(points: DataFrame, percentage: float, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -67,13 +89,12 @@ def accumulate(points: DataFrame, percentage: float | None = 5, keys: Sequence[s
 
 def finalise(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Voxel table: mean colours 0..1, density relative to the fullest voxel, class 2 (ground) or 4; a tie is 4."""
-    most = cells.groupBy(*keys, "voxel_size").agg(F.max("n").alias("most"))
-    v = cells.join(most, [*keys, "voxel_size"])
+    v = attach(cells, cells.groupBy(*keys, "voxel_size").agg(F.max("n").alias("most")), [*keys, "voxel_size"])
     mean = {c: F.col(f"s{c}") / F.col("n") / 255.0 for c in "rgb"}
     v = v.withColumns(mean | {"density": F.least(F.col("n") / F.col("most"), F.lit(1.0)), "cls": F.when(F.col("ground") > F.col("n") - F.col("ground"), 2).otherwise(4)})
     return v.select(*keys, "voxel_size", *CELL, "n", "r", "g", "b", "density", "cls", "treeid")
 
 
-def voxelise(points: DataFrame, sizes: Sequence[float] = (0.1,), percentage: float | None = 5, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Points with raw_class to the voxel table."""
-    return finalise(accumulate(voxel_index(class_codes(points, keys), sizes, keys), percentage, keys), keys)
+def voxelise(points: DataFrame, sizes: Sequence[float] = (0.1,), percentage: float | None = 5, keys: Sequence[str] = KEYS, mask: Column | None = None) -> DataFrame:
+    """Points with raw_class to the voxel table; cells are written once."""
+    return finalise(written(accumulate(indexed(points, sizes, keys, mask), percentage, keys), "voxel-cells"), keys)

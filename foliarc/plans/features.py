@@ -11,22 +11,22 @@ from foliarc.functions.color import is_sky
 from foliarc.operators import crown, enrich, hull, metrics, rays, voxel
 from foliarc.operators.voxel import KEYS
 from foliarc.schema import AnalysisConfig
+from foliarc.shared import attach, kept, written
 
 
 def enriched(points: DataFrame, config: AnalysisConfig, keys: Sequence[str] = KEYS) -> DataFrame:
     """Class codes, colour mask, voxels, masks and index channels, for every voxel size of the settings."""
-    p = voxel.class_codes(voxel.permute_axes(points, config.vertical_axis), keys)
-    if config.mask_blue:
-        p = p.where(~is_sky(F.col("red"), F.col("green"), F.col("blue")))
-    cells = voxel.accumulate(voxel.voxel_index(p, config.voxel_sizes, keys), config.rgb_outlier_percentage if config.rgb_outlier_filter else None, keys)
-    return enrich.enrich(voxel.finalise(cells, keys), config.density_threshold, keys)
+    sky = is_sky(F.col("red"), F.col("green"), F.col("blue"))
+    p = voxel.permute_axes(points, config.vertical_axis)
+    v = voxel.voxelise(p, config.voxel_sizes, config.rgb_outlier_percentage if config.rgb_outlier_filter else None, keys, ~sky if config.mask_blue else None)
+    return enrich.enrich(v, config.density_threshold, keys)
 
 
 def canopy(voxels: DataFrame, crowns: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Voxels from the live base up, counted from there; nz is the depth that is left."""
     k = [*keys, "voxel_size"]
     base = crowns.where("status = 'ok'").select(*k, F.ceil("base").cast("long").alias("floor"))
-    v = voxels.join(base, k).where(F.col("iz") >= F.col("floor"))
+    v = attach(voxels, base, k).where(F.col("iz") >= F.col("floor"))
     return v.withColumns({"iz": F.col("iz") - F.col("floor"), "nz": F.col("nz") - F.col("floor")}).drop("floor")
 
 
@@ -37,33 +37,39 @@ def transparency(voxels: DataFrame, crowns: DataFrame, config: AnalysisConfig, k
     if planes is None:
         planes = hull.plane_arrays(hull.voxel_hull(v, config.brightness_floor, keys), k)
     full = enrich.channel_limits(v, config.limits) if config.filter_non_photosynthetic_voxels else v
-    extents = v.groupBy(*k).agg(*[F.max(f"n{a}").alias(f"n{a}") for a in "xyz"])
-    r = rays.rays(extents, config.ray_sample_count, config.heading)
-    kept = rays.kept_rays(r, planes, keys)
-    t = rays.transmission(kept, rays.hits(kept, full, keys), keys, config.initial_energy, config.required_hits, config.energy_threshold, config.ray_dissipation_factor)
-    return extents.select(*k).join(t, k, "left").select(*k, F.lit(config.ray_sample_count).cast("long").alias("sample"), F.coalesce("transparency", F.lit(-100.0)).alias("transparency"))
+    extents = kept(v.groupBy(*k).agg(*[F.max(f"n{a}").alias(f"n{a}") for a in "xyz"]), "extents")
+    aimed = rays.kept_rays(rays.rays(extents, config.ray_sample_count, config.heading), kept(planes, "planes"), keys)
+    t = rays.transmission(aimed, rays.hits(aimed, full, keys), keys, config.initial_energy, config.required_hits, config.energy_threshold, config.ray_dissipation_factor)
+    return attach(extents.select(*k), t, k, "left").select(*k, F.lit(config.ray_sample_count).cast("long").alias("sample"), F.coalesce("transparency", F.lit(-100.0)).alias("transparency"))
 
 
 def features(points: DataFrame, config: AnalysisConfig = AnalysisConfig(), keys: Sequence[str] = KEYS, dbh: DataFrame | None = None) -> DataFrame:
     """One row per cloud and voxel size; analyses that are off, or fail for a cloud, are null there with a status.
 
-    dbh: (keys, dbh, height) measured elsewhere.  The enriched table is kept for the analyses that share it.
+    dbh: (keys, dbh, height) measured elsewhere.  The enriched table and the crowns are written once, for all
+    the analyses that share them; every analysis is a row per cloud, and those are what is joined.
     """
     k = [*keys, "voxel_size"]
-    v = enriched(points, config, keys).persist()
+    v = written(enriched(points, config, keys), "enriched")
     out = v.select(*k).distinct()
     if dbh is not None:
-        out = out.join(dbh.select(*keys, F.col("dbh").alias("DBH"), F.col("height").alias("Height 3df")), list(keys), "left")
-    if config.calculate_height:
-        out = out.join(metrics.height(v, keys).withColumnRenamed("height", "Height"), k, "left")
-    if config.calculate_dimensions:
-        out = out.join(metrics.canopy_dimensions(v, keys).withColumnsRenamed({"width": "CWidth", "length": "CLength"}), k, "left")
+        out = attach(out, dbh.select(*keys, F.col("dbh").alias("DBH"), F.col("height").alias("Height 3df")), keys, "left")
+    if config.calculate_height or config.calculate_dimensions:
+        box = enrich.bounding_box(v, keys)
+        sizes = []
+        if config.calculate_height:
+            sizes.append(metrics.height_of(box).alias("Height"))
+        if config.calculate_dimensions:
+            sizes += [c.alias(n) for c, n in zip(metrics.dimensions_of(box), ("CWidth", "CLength"))]
+        out = attach(out, box.select(*k, *sizes), k, "left")
     if config.calculate_live_canopy or config.calculate_transparency:
-        c = crown.live_crown(v, keys, window=config.smoothing_window)
+        c = kept(crown.live_crown(v, keys, window=config.smoothing_window), "crowns")
         if config.calculate_live_canopy:
             size = F.col("voxel_size")
-            out = out.join(c.select(*k, (F.col("base") * size).alias("Live Canopy Base"), (F.col("top") * size).alias("Live Canopy Top"), "status"), k, "left")
+            live = c.select(*k, (F.col("base") * size).alias("Live Canopy Base"), (F.col("top") * size).alias("Live Canopy Top"), "status")
+            live.rows = c.rows
+            out = attach(out, live, k, "left")
         if config.calculate_transparency:
             t = transparency(v, c, config, keys).withColumnsRenamed({"sample": "Transparency Sample", "transparency": "Transparency"})
-            out = out.join(t, k, "left")
+            out = attach(out, t, k, "left")
     return out.withColumnRenamed("voxel_size", "Voxel Size")

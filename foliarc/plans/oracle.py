@@ -5,11 +5,11 @@ from __future__ import annotations
 from foliarc.sources.fixtures import VIEWS
 
 ORACLES: dict[str, str] = {}
-MIN, N = "0.5e0", 400
+MIN, N = "0.5e0", 15000
 POINT = "tree_id, l_orderkey, l_linenumber, l_partkey, l_suppkey"
 K = "tree_id, voxel_size"
 CELL = f"{K}, ix, iy, iz"
-GOLDEN = "2.399963229728653e0"
+GOLDEN = "2.3999632297286535e0"
 
 HSV = """SELECT *, CASE WHEN mx = mn THEN 0e0 WHEN mx = r1 THEN fmod(60e0 * ((g1 - b1) / (mx - mn)) + 360e0, 360e0)
     WHEN mx = g1 THEN 60e0 * ((b1 - r1) / (mx - mn)) + 120e0 ELSE 60e0 * ((r1 - g1) / (mx - mn)) + 240e0 END AS h,
@@ -149,7 +149,7 @@ oracle("fibonacci_rays", f"SELECT {K}, ray_id, {RAY8} FROM ray")
 U = {a: f"(((ray_id * 1103515 + 12345 + {j * 7919}) % 2147483) * 48271 + {j * 104729}) % 2147483 / 2147483e0" for j, a in enumerate("xyz")}
 oracle("hashed_rays", f"SELECT {K}, ray_id, round(vx / l, 8) AS dx, round(vy / l, 8) AS dy, round(vz / l, 8) AS dz FROM (SELECT *, sqrt(vx * vx + vy * vy + vz * vz) AS l FROM ray2)",
        ray2="SELECT *, " + ", ".join(f"{U[a]} * n{a} - o{a} AS v{a}" for a in "xyz") + " FROM ray1")
-NINE = {c: f"round(round({c}, 9), 6)" if c[0] == "o" else f"round({c}, 9)" for c in ("ox", "oy", "oz", "dx", "dy", "dz")}
+NINE = {c: c if c[0] == "o" else f"round({c}, 9)" for c in ("ox", "oy", "oz", "dx", "dy", "dz")}
 oracle("ray_lines", f"SELECT {K}, ray_id, printf('%.6f %.6f %.6f %d %d %d', {NINE['ox']}, {NINE['oy']}, {NINE['oz']}, " + ", ".join(f"trunc(({NINE[c]} + 1) / 2 * 255)::BIGINT" for c in ("dx", "dy", "dz")) + ") AS line FROM ray")
 CTES["hit"] = f"SELECT {K}, ray_id, k, ix, iy, iz FROM steps SEMI JOIN (SELECT * FROM lim WHERE density_norm > 0 AND NOT isnan(density_norm)) USING ({CELL})"
 oracle("ray_march_hits", f"SELECT {K}, ray_id, k, ix, iy, iz FROM steps SEMI JOIN (SELECT * FROM enr WHERE density_norm > 0 AND NOT isnan(density_norm)) USING ({CELL})")
@@ -196,13 +196,14 @@ ORACLES["elapsed_format"] = """SELECT event_id, concat_ws(' ', CASE WHEN h > 0 T
 FROM (SELECT event_id, t // 3600 AS h, t % 3600 // 60 AS m, t % 60 AS s FROM (SELECT event_id, event_id * 7 % 20000 AS t FROM events))"""
 ORACLES["without_characters"] = "SELECT page_id, replace(replace(replace(url, 'https', '-'), '/', '-'), '.', '-') AS text FROM pages"
 oracle("site_and_tree", "SELECT path, split_part(path, '/', 3) AS site, split_part(path, '/', 4) AS tree FROM tree_results")
-oracle("requirements_consolidate", r"""SELECT DISTINCT package, line FROM (
-  SELECT package, arg_max(line, (minor, line)) AS line FROM (SELECT *, regexp_extract(line, '==(\d+)', 1)::INT AS major, regexp_extract(line, '==\d+\.(\d+)', 1)::INT AS minor FROM requirements) GROUP BY package, major)""")
+oracle("requirements_consolidate", r"""SELECT package, arg_max(line, (major, minor, patch, line)) AS line FROM (
+  SELECT package, line, v[1] AS major, v[2] AS minor, v[3] AS patch FROM (SELECT *, list_transform(string_split(regexp_extract(line, '[=~]=(.*)', 1), '.'), lambda x: x::INT) AS v FROM requirements WHERE line NOT LIKE '#%'))
+GROUP BY package, major""")
 oracle("results_union", "SELECT path, CASE WHEN dbh >= 3 THEN round(height, 6) END AS height, round(dbh, 6) AS dbh FROM tree_results")
 oracle("results_clean", """SELECT round(height, 3) AS "Height", round(dbh, 3) AS "DBH", replace(split_part(path, '/', 3), 'site', '') AS "Site", replace(split_part(path, '/', 4), 'tree', '') AS "Tree", round(height, 3) AS "Cwidth" FROM tree_results""")
 ORACLES["json_records"] = "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL"
 ORACLES["content_hash"] = "SELECT doc_id, md5(text) AS hash FROM documents"
-ORACLES["project_hash"] = "SELECT sha256(string_agg(p || h, '' ORDER BY p, h)) AS version FROM (SELECT CAST(doc_id AS VARCHAR) AS p, sha256(text) AS h FROM documents)"
+ORACLES["project_hash"] = "SELECT sha256(string_agg(h, '' ORDER BY g)) AS version FROM (SELECT substr(md5(p), 1, 3) AS g, sha256(string_agg(p || h, '' ORDER BY p, h)) AS h FROM (SELECT CAST(doc_id AS VARCHAR) AS p, sha256(text) AS h FROM documents) GROUP BY 1)"
 ORACLES["pairs_needed"] = "SELECT n_nationkey, ceil(ln(n * n / (-2 * ln(0.99e0))) / ln(1024e0))::BIGINT AS pairs FROM (SELECT n_nationkey, (n_nationkey + 2) * 1000e0 AS n FROM nation)"
 ORACLES["brightness_filter"] = "SELECT vec_id, round(l, 5) AS length FROM (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS l FROM embeddings) WHERE l > 0.9e0"
 oracle("voxel_brightness", f"SELECT {CELL}, round(s, 6) AS brightness FROM (SELECT *, sqrt(r * r + g * g + b * b + density * density) AS s FROM vox) WHERE s > 1")

@@ -12,13 +12,14 @@ from foliarc.operators import batching, crown, enrich, files, hull, lineage, met
 from foliarc.plans import features as plan
 from foliarc.plans.oracle import ORACLES
 from foliarc.schema import AnalysisConfig, ChannelLimit
+from foliarc.shared import kept, written
 from foliarc.sources.fixtures import table, view
 
 __all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SIZE, RAYS = 0.5, 400
+SIZE, RAYS = 0.5, 15_000
 CONFIG = AnalysisConfig(voxel_sizes=(SIZE,), ray_sample_count=RAYS)
 K = ["tree_id", "voxel_size"]
 CELL = [*K, *voxel.CELL]
@@ -229,8 +230,12 @@ def box_planes(extents: DataFrame) -> DataFrame:
     return extents.select(*K, F.array(*[plane(i, s) for i in range(3) for s in (-1, 1)]).alias("planes"))
 
 
+def extents_of(v: DataFrame) -> DataFrame:
+    return kept(v.groupBy(*K).agg(*[F.max(f"n{a}").alias(f"n{a}") for a in "xyz"]), "extents")
+
+
 def extents(spark, sf):
-    return enriched(spark, sf).groupBy(*K).agg(*[F.max(f"n{a}").alias(f"n{a}") for a in "xyz"])
+    return extents_of(enriched(spark, sf))
 
 
 @query
@@ -253,30 +258,33 @@ def hashed_rays(spark, sf):
 
 @query
 def ray_lines(spark, sf):
-    r = rays.rays(extents(spark, sf), RAYS).withColumns({c: F.round(c, 9) for c in ("ox", "oy", "oz", "dx", "dy", "dz")})
+    r = rays.rays(extents(spark, sf), RAYS).withColumns({c: F.round(c, 9) for c in ("dx", "dy", "dz")})
     return rays.ray_lines(r)
 
 
-def box_kept(spark, sf):
-    e = extents(spark, sf)
+def box_kept(v):
+    e = extents_of(v)
     return rays.kept_rays(rays.rays(e, RAYS), box_planes(e))
 
 
 @query
 def ray_march_hits(spark, sf):
-    return rays.hits(box_kept(spark, sf), enriched(spark, sf))
+    v = written(enriched(spark, sf), "enriched")
+    return rays.hits(box_kept(v), v)
 
 
 @query
 def ray_voxel_support(spark, sf):
-    h = rays.hits(box_kept(spark, sf), enrich.channel_limits(enriched(spark, sf), CONFIG.limits))
+    v = written(enriched(spark, sf), "enriched")
+    h = rays.hits(box_kept(v), enrich.channel_limits(v, CONFIG.limits))
     return h.groupBy(*CELL).agg(F.count("*").alias("support"))
 
 
 @query
 def transparency_boxhull(spark, sf):
-    kept = box_kept(spark, sf)
-    return rays.transmission(kept, rays.hits(kept, enrich.channel_limits(enriched(spark, sf), CONFIG.limits))).select(*K, "valid", "unobstructed", *six("transparency"))
+    v = written(enriched(spark, sf), "enriched")
+    aimed = box_kept(v)
+    return rays.transmission(aimed, rays.hits(aimed, enrich.channel_limits(v, CONFIG.limits))).select(*K, "valid", "unobstructed", *six("transparency"))
 
 
 @query
@@ -502,10 +510,6 @@ def bottom_outlier_trim(spark, sf):
 
 @query
 def largest_component(spark, sf):
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliarc-"))
     return enrich.largest_component(trimmed(spark, sf), 5, 2)
 
 

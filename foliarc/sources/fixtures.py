@@ -31,7 +31,8 @@ FROM lineitem""",
     "tree_results": """SELECT concat('data/output/site', CAST(n_regionkey AS STRING), '/tree', CAST(n_nationkey AS STRING), '.csv') AS path,
        n_nationkey * 0.1e0 AS height, n_regionkey * 1.5e0 AS dbh
 FROM nation""",
-    "requirements": """SELECT lower(p_brand) AS package, concat(lower(p_brand), '==', CAST(p_size % 5 AS STRING), '.', CAST(p_size AS STRING)) AS line
+    "requirements": """SELECT replace(lower(p_brand), '#', '-') AS package, CASE WHEN p_partkey % 50 = 0 THEN concat('# ', p_brand) ELSE
+       concat(replace(lower(p_brand), '#', '-'), CASE WHEN p_partkey % 3 = 0 THEN '~=' ELSE '==' END, CAST(p_size % 5 AS STRING), '.', CAST(p_size AS STRING), '.', CAST(p_partkey % 12 AS STRING)) END AS line
 FROM part""",
 }
 

@@ -37,7 +37,7 @@ def same_rows(left, right):
     def norm(x):
         if x is None or pd.isna(x):
             return "null"
-        return repr(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+        return repr(float(x) + 0.0) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
     assert sorted(left.columns) == sorted(right.columns)
     cols = sorted(left.columns)

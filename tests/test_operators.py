@@ -58,7 +58,7 @@ def test_equal_density_is_nan(spark):
 
 def test_weighted_percentile_and_too_few_layers(spark):
     v = spark.createDataFrame([(1, 0.5, 0, 0, z, 0.5, 9) for z in (0, 1, 1, 2, 3)], "tree_id int, voxel_size double, ix long, iy long, iz long, gli double, nz long")
-    assert crown.live_crown(v.withColumn("nz", F.lit(5).cast("long"))).first().status == "too_few_layers"
+    assert crown.live_crown(v.withColumn("nz", F.lit(4).cast("long"))).first().status == "too_few_layers"  # five layers shorten the window to four
     d = spark.createDataFrame([(1.0, 2), (5.0, 7), (9.0, 1)], "z double, n long")
     got = d.agg(F.percentile("z", [0.05, 0.95], F.col("n"))).first()[0]
     assert got[0] == 1.0 and math.isclose(got[1], 7.2)
@@ -203,3 +203,83 @@ def test_file_pairs_are_whole_and_first_n_is_an_option(spark):
     assert len(want) > 20 and sorted(r.path for r in registry.file_pairs(spark, sf).collect()) == want
     few = spark.createDataFrame([(f"data/input/{c}.las",) for c in "dbca"] + [("data/input/a.txt",)], "path string")
     assert [(r.path, r.output) for r in files.analysed(few, limit=2).collect()] == [(f"data/input/{c}.las", f"data/output/{c}/{c}.las") for c in "ab"]
+
+
+def test_profiles_no_longer_than_the_window(spark):
+    """Five layers: window four, ends from the first and last fit, the middle read halfway in the last."""
+    c = [1.0, 4.0, 2.0, 7.0, 3.0]
+    p = spark.createDataFrame([(1, 0.5, 5, [int(x) for x in c]), (2, 0.5, 4, [1, 2, 3, 4])], "tree_id int, voxel_size double, nz long, counts array<long>")
+    got = {r.tree_id: r.smooth for r in crown.smoothed(p).collect()}
+    a, b = np.polyfit(range(4), c[:4], 2), np.polyfit(range(4), c[1:], 2)
+    assert np.allclose(got[1], [np.polyval(a, 0), np.polyval(a, 1), np.polyval(b, 1.5), np.polyval(b, 2), np.polyval(b, 3)]) and got[2] is None
+
+
+def test_versions_and_requirements(spark):
+    lines = ["a==1.2.9", "a==1.2.10", "a~=1.2.3", "A==2.0rc1", "a==2.0", "a==2.0.post1", "b", "b", "b>=3", "# c==1", "", "  ", None, "not a requirement", "d==1.10", "d~=1.9.9", "e[x]==1.0 ; python_version>'3'", "f==1.*"]
+    got = {r.line for r in lineage.consolidate_requirements(spark.createDataFrame([(x,) for x in lines], "line string")).collect()}
+    assert got == {"a==1.2.10", "a==2.0.post1", "b", "b>=3", "d==1.10", "e[x]==1.0 ; python_version>'3'", "f==1.*"}
+
+
+def test_word_names(spark):
+    import hashlib
+
+    a, b = ["red", "old", "wet"], ["elm", "oak", "fir", "ash", "yew"]
+    digests = [hashlib.md5(str(i).encode()).hexdigest() for i in range(30)] + ["f"]
+    d = spark.createDataFrame([(x,) for x in digests], "d string").select("d", lineage.word_names(F.col("d"), a, b, 3).alias("w"))
+    assert all(r.w == lineage.word_name(r.d, a, b, 3) for r in d.collect())
+
+
+def test_tiled_hull_is_the_whole_hull(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    p = np.concatenate([rng.normal(0, 1, (3000, 3)), [[4, 0, 0], [4, 0, 0]]])
+    d = spark.createDataFrame([(1, *map(float, r)) for r in p] + [(2, 0.0, 0.0, 0.0)], "tree_id int, x double, y double, z double")
+    for flat in (False, True):
+        monkeypatch.setattr(hull, "TILE", 100)
+        small = sorted(tuple(np.round(r[1:5], 9)) for r in hull.hull_faces(d, ["tree_id"], flat).collect())
+        monkeypatch.setattr(hull, "TILE", 10**9)
+        whole = sorted(tuple(np.round(r[1:5], 9)) for r in hull.hull_faces(d, ["tree_id"], flat).collect())
+        assert np.allclose(small, whole, atol=1e-8) and len(whole) > 5
+
+
+def test_hull_of_half_a_million_cells():
+    import time
+
+    x, y = (a.ravel() for a in np.meshgrid(np.arange(500), np.arange(1000)))
+    z = np.floor(400 * np.sqrt(np.maximum(0, 1 - ((x - 250) / 250) ** 2 - ((y - 500) / 500) ** 2)))
+    start, p = time.time(), np.column_stack([x, y, z])
+    f = hull.facets(p)
+    assert time.time() - start < 30
+    n = np.cross(f[:, 1] - f[:, 0], f[:, 2] - f[:, 0])
+    n = n / np.linalg.norm(n, axis=1, keepdims=True)
+    assert max((p[i : i + 50_000] @ n.T - (n * f[:, 0]).sum(1)).max() for i in range(0, len(p), 50_000)) < 1e-5
+
+
+def test_error_filter_passes(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, int(i), float(e), True) for k, scale in ((1, 10), (2, 300)) for i, e in enumerate(rng.exponential(scale, 400))] + [(1, 999, 1e9, False)]
+    t = spark.createDataFrame(rows, "chunk_id int, id int, err double, valid boolean")
+    got = metrics.filter_errors(t, {"err": 10.0}, passes=(4, 3, 2)).toPandas()
+    for k in (1, 2):
+        e = now = np.array([r[2] for r in rows if r[0] == k and r[3]])
+        for times in (4, 3, 2):
+            for _ in range(10):
+                if now.max() <= 10 * times:
+                    break
+                then = now[now <= max(now.max() * 0.75, 10 * times)]
+                if len(then) < 0.5 * len(e):
+                    break
+                now = then
+        assert sorted(got[got.chunk_id == k].err) == sorted(now)
+
+
+def test_cells_cameras_and_pairs(spark):
+    v = spark.createDataFrame([(1, 0.5, 0, 0, 0, 0.1), (1, 0.5, 1, 0, 0, 0.2)], "tree_id int, voxel_size double, ix long, iy long, iz long, r double")
+    assert enrich.cell(v, 1, 0, 0).first().r == 0.2 and enrich.cell(enrich.with_cell(v, 1, 0, 0, r=0.7), 1, 0, 0).first().r == 0.7
+    c = spark.createDataFrame([(1.0, 2.0, 3.0, True), (0.0, 0.0, 0.0, False)], "x double, y double, z double, aligned boolean")
+    r = metrics.camera_positions(c, [[2, 0, 0, 1], [0, 2, 0, 1], [0, 0, 2, 1], [0, 0, 0, 2]]).collect()
+    assert [(x.x, x.y, x.z) for x in r] == [(1.5, 2.5, 3.5)]
+    assert [metrics.alignment_version(x) for x in (None, 0, 1, 2, 3)] == [0, 0, 1, 2, 0]
+    f = spark.createDataFrame([("a/pointcloud.las",), ("a/camera_positions.las",), ("b/pointcloud.las",), ("c/camera_positions.las",), ("d/x.las",)], "path string")
+    assert {r.folder: r.status for r in files.cloud_pairs(f).collect()} == {"a": "ok", "b": "no_cameras", "c": "no_cloud"}
+    b = spark.createDataFrame([("u", "é".encode()), ("l", "é".encode("latin1")), ("m", b"\xff\xfe" + "é".encode("utf-16-le")), ("s", b"\xef\xbb\xbfx"), ("e", b"")], "path string, content binary")
+    assert {r.path: r.text for r in files.decoded(b).collect()} == {"u": "é", "l": "é", "m": "é", "s": "x", "e": ""}
