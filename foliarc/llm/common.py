@@ -1,87 +1,13 @@
-"""What the operators share: the shared folder, written intermediate tables, whole-file access."""
+"""What the operators share, beside the library's shared folder."""
 
 from __future__ import annotations
 
-import contextlib
-import os
-import tempfile
-import uuid
-from collections.abc import Iterator
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_ROOT = str(Path(__file__).resolve().parents[2])
-_OWN: dict[str, str] = {}
-
-
-def prepare(spark: SparkSession) -> str:
-    """Make the package importable on Python workers and return the shared folder's URI.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where that is unset and the
-    master is local (tests, one machine) a temporary one is made; elsewhere that is an error, since executors
-    do not see the driver's folders.
-    """
-    sc = spark.sparkContext
-    path = sc.environment.get("PYTHONPATH", "")
-    if _ROOT not in path.split(os.pathsep):
-        sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, path) if x)
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = _OWN.get(sc.applicationId)
-        if not place:
-            if not sc.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            place = _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="foliarc-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(place)
-    return place.rstrip("/")
-
-
-def _hadoop(spark: SparkSession, place: str):
-    """(file system, path) of a URI as Hadoop has them."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """URI of a folder in the shared folder that nothing else uses; it is not created, and what it holds by then is deleted as the application ends."""
-    place = f"{prepare(spark)}/{name}-{uuid.uuid4().hex}"
-    system, path = _hadoop(spark, place)
-    system.deleteOnExit(path)
-    return place
-
-
-@contextlib.contextmanager
-def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Have Spark delete the shuffle files of each query run inside as that query ends; they are not read again."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, was)
-
+from foliarc.shared import file_system, forget, new_folder, prepare, put_file, quoted, whole_row, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    place = new_folder(spark, name)
-    with short_lived_shuffles(spark):
-        df.write.option("compression", "zstd").parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
-
-
-def quoted(name: str) -> str:
-    """A column's name as an expression, whatever characters it has."""
-    return "`" + name.replace("`", "``") + "`"
-
-
-def whole_row(df: DataFrame):
-    """All columns of df as one struct, so that their names clash with nothing."""
-    return F.struct(*[F.col(quoted(c)) for c in df.columns])
+__all__ = ["file_system", "forget", "likely", "new_folder", "prepare", "put_file", "quoted", "whole_row", "written"]
 
 
 def likely(rows: DataFrame, keys: DataFrame, key: str, bits: int = 24) -> DataFrame:
@@ -96,28 +22,3 @@ def likely(rows: DataFrame, keys: DataFrame, key: str, bits: int = 24) -> DataFr
     set_ = keys.select(word.alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64({key}), {1 << bits}L), 64L) as int))").alias("_bit"))
     table = set_.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     return rows.join(F.broadcast(table), word == F.col("_word")).where(F.getbit("_bits", bit) == 1).select(*rows.columns)
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete the files of tables made by ``written`` that nothing reads any more."""
-    for df in tables:
-        for place in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            system, path = _hadoop(df.sparkSession, place)
-            system.delete(path, True)
-
-
-def file_system(uri: str):
-    """(pyarrow file system, path) of a URI, for whole files that Spark has no writer for."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
-def put_file(uri: str, write) -> None:
-    """Call write(binary stream) on a temporary name beside uri, then move it there: a repeated or lost task leaves a whole file or none."""
-    system, path = file_system(uri)
-    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(part) as out:
-        write(out)
-    system.move(part, path)
