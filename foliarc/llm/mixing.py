@@ -139,7 +139,7 @@ def _each(rows: DataFrame, plan: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("cell").orderBy("id")).cast("long")
     r = rows.withColumn("cell", _cell(F.col("source"), F.col("size"), F.col("salt"))).withColumn("k", rank)
     mine = F.expr("k * copies div n - (k - 1) * copies div n")
-    p = plan.withColumnRenamed("cell", "cell2")
+    p = plan.withColumnRenamed("cell", "cell2").hint("merge")  # grows with the documents: never broadcast
     return r.join(p, F.col("cell") == F.col("cell2")).withColumn("copies", mine).drop("cell", "cell2", "k", "n")
 
 
