@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foliarc.functions.text import capitalised, site_and_tree
 
@@ -42,6 +43,12 @@ def write_results(results: DataFrame, path: str, by: Sequence[str] = ()) -> None
     results.write.mode("overwrite").partitionBy(*by).option("header", True).csv(path)
 
 
+def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A table as ``write_results`` wrote it, folders' values included, with the given schema."""
+    r = spark.read.option("header", True).schema(schema).csv(path)
+    return r.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in schema.fields])
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """All CSV results below a folder, with path; folders with debug in their name are skipped."""
     r = spark.read.option("header", True).option("inferSchema", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)

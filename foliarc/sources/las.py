@@ -1,12 +1,14 @@
 """LAS files as a Spark data source, read in ranges of records and written one file per task.
 
-    spark.dataSource.register(LasSource)
-    spark.read.format("las").load(path)          # x, y, z, intensity, red, green, blue, raw_class, treeid, file
+    register(spark)
+    spark.read.format("las").load(path)          # x, y, z, intensity, red, green, blue, raw_class, treeid, file, ord, error
     df.write.format("las").option("path", folder).mode("append").save()
 
-Point formats 0 to 3 of LAS 1.0 to 1.3 are read; an extra-bytes field named treeid is found by its record.
-Written files are LAS 1.2, point format 3, with treeid as an extra field of four bytes.  Paths are local or
-shared folders that all executors see.
+Point formats 0 to 10 of LAS 1.0 to 1.4 are read (not their compressed form); an extra-bytes field named treeid
+is found by its record.  A file that cannot be read is one row with its error and nothing else, unless option
+``errors`` is ``raise``.  With option ``raw`` every point has its whole record as well, which ``write_like`` puts
+into a file with the header of the one it came from.  Files written from columns are LAS 1.2, point format 3,
+with treeid as an extra field of four bytes.  Paths may be on any file system that Arrow reads.
 """
 
 from __future__ import annotations
@@ -17,18 +19,26 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-SCHEMA = "x double, y double, z double, intensity int, red int, green int, blue int, raw_class int, treeid long, file string, ord long"
+from foliarc.shared import attach, file_system, prepare, put_file
+
+SCHEMA = "x double, y double, z double, intensity int, red int, green int, blue int, raw_class int, treeid long, file string, ord long, error string"
 RECORDS = 1_000_000  # of a read task
 
 # Fields of the point formats.
 CORE = [("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("intensity", "<u2"), ("flags", "u1"), ("raw", "u1"), ("angle", "i1"), ("user", "u1"), ("source", "<u2")]
+CORE6 = [("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("intensity", "<u2"), ("returns", "u1"), ("flags", "u1"), ("raw", "u1"), ("user", "u1"), ("angle", "<i2"), ("source", "<u2"), ("time", "<f8")]
 TIME = [("time", "<f8")]
 RGB = [("red", "<u2"), ("green", "<u2"), ("blue", "<u2")]
-FORMATS = {0: CORE, 1: CORE + TIME, 2: CORE + RGB, 3: CORE + TIME + RGB}
+NIR = [("nir", "<u2")]
+WAVE = [("wave", "V29")]
+FORMATS = {0: CORE, 1: CORE + TIME, 2: CORE + RGB, 3: CORE + TIME + RGB, 4: CORE + TIME + WAVE, 5: CORE + TIME + RGB + WAVE, 6: CORE6, 7: CORE6 + RGB, 8: CORE6 + RGB + NIR, 9: CORE6 + WAVE, 10: CORE6 + RGB + NIR + WAVE}
 EXTRA = {1: "u1", 2: "i1", 3: "<u2", 4: "<i2", 5: "<u4", 6: "<i4", 7: "<u8", 8: "<i8", 9: "<f4", 10: "<f8"}
 HEADER = struct.Struct("<4sHHIHH8sBB32s32sHHHIIBHI5I12d")  # LAS 1.2, 227 bytes
+COUNT_14 = 247  # where LAS 1.4 has the number of points, eight bytes, followed by fifteen numbers by return
 
 
 @dataclass
@@ -42,14 +52,19 @@ class Layout:
     offset: tuple
 
 
-def layout(path: str) -> Layout:
-    with open(path, "rb") as f:
-        h = HEADER.unpack(f.read(HEADER.size))
-        if h[0] != b"LASF":
-            raise ValueError(f"{path} is not a LAS file")
+def layout(uri: str) -> Layout:
+    system, path = file_system(uri)
+    with system.open_input_file(path) as f:
+        raw = f.read(HEADER.size)
+        if len(raw) < HEADER.size or raw[:4] != b"LASF":
+            raise ValueError("not a LAS file")
+        h = HEADER.unpack(raw)
         size, start, vlrs, fmt, length, count = h[13], h[14], h[15], h[16], h[17], h[18]
         if fmt not in FORMATS:
-            raise ValueError(f"{path} has point format {fmt}; 0 to 3 are read")
+            raise ValueError(f"point format {fmt} is not read; 0 to 10 without compression are")
+        if h[8] >= 4:
+            f.seek(COUNT_14)
+            count = struct.unpack("<Q", f.read(8))[0]
         fields = list(FORMATS[fmt])
         f.seek(size)
         extra: list = []
@@ -59,42 +74,72 @@ def layout(path: str) -> Layout:
             body = f.read(n)
             if user == b"LASF_Spec" and record == 4:
                 extra = [(body[i + 4 : i + 36].rstrip(b"\0").decode(), EXTRA[body[i + 2]]) for i in range(0, n, 192) if body[i + 2] in EXTRA]
+        taken = {name for name, _ in fields}
+        extra = [(name if name and name not in taken else f"extra{i}", kind) for i, (name, kind) in enumerate(extra)]
         used = np.dtype(fields + extra).itemsize
         if used > length:
-            raise ValueError(f"{path}: records of {length} bytes are shorter than their fields")
+            raise ValueError(f"records of {length} bytes are shorter than their fields")
         fields += extra + ([("pad", f"V{length - used}")] if length > used else [])
+        if f.size() < start + count * length:
+            raise ValueError(f"the file ends before its {count} records do")
     return Layout(start, count, np.dtype(fields), h[24:27], h[27:30])
 
 
 class Range(InputPartition):
-    def __init__(self, path: str, first: int, count: int):
-        self.path, self.first, self.count = path, first, count
+    def __init__(self, path: str, first: int, count: int, error: str | None = None):
+        self.path, self.first, self.count, self.error = path, first, count, error
 
 
 class LasReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.step = options["path"], int(options.get("records", RECORDS))
+        self.raw, self.strict = options.get("raw", "false").lower() == "true", options.get("errors", "row") == "raise"
 
     def partitions(self):
-        p = self.path.removeprefix("file://")
-        files = [p] if os.path.isfile(p) else sorted(os.path.join(d, f) for d, _, names in os.walk(p) for f in names if f.endswith(".las"))
-        out = [Range(f, i, min(self.step, n - i)) for f in files for n in [layout(f).count] for i in range(0, n, self.step)]
+        from pyarrow import fs
+
+        system, path = file_system(self.path)
+        head = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
+        if system.get_file_info(path).type == fs.FileType.File:
+            names = [path]
+        else:
+            names = sorted(i.path for i in system.get_file_info(fs.FileSelector(path, recursive=True)) if i.type == fs.FileType.File and i.path.endswith(".las"))
+        out = []
+        for name in names:
+            try:
+                n = layout(head + name).count
+                out += [Range(head + name, i, min(self.step, n - i)) for i in range(0, n, self.step)]
+            except Exception as e:
+                if self.strict:
+                    raise ValueError(f"{head}{name}: {e}") from e
+                out.append(Range(head + name, 0, 0, str(e)))
         return out or [Range("", 0, 0)]
 
     def read(self, part):
         import pyarrow as pa
 
+        if part.error:
+            nulls = [None] * 9
+            row = dict(zip("x y z intensity red green blue raw_class treeid".split(), nulls), file=part.path, ord=0, error=part.error) | ({"record": None} if self.raw else {})
+            kinds = [pa.float64()] * 3 + [pa.int32()] * 5 + [pa.int64(), pa.string(), pa.int64(), pa.string()] + [pa.binary()] * self.raw
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
         if not part.count:
             return
         lay = layout(part.path)
-        a = np.fromfile(part.path, lay.dtype, part.count, offset=lay.start + part.first * lay.dtype.itemsize)
+        system, path = file_system(part.path)
+        with system.open_input_file(path) as f:
+            f.seek(lay.start + part.first * lay.dtype.itemsize)
+            a = np.frombuffer(f.read(part.count * lay.dtype.itemsize), lay.dtype)
         n, names = len(a), lay.dtype.names
         col = {c.lower(): a[c].astype(np.float64) * lay.scale[i] + lay.offset[i] for i, c in enumerate("XYZ")}
         col |= {c: a[c].astype(np.int32) if c in names else np.zeros(n, np.int32) for c in ("intensity", "red", "green", "blue")}
-        col["raw_class"] = (a["raw"] & 31).astype(np.int32)
+        col["raw_class"] = (a["raw"] & (255 if "returns" in names else 31)).astype(np.int32)
         col["treeid"] = a["treeid"].astype(np.int64) if "treeid" in names else np.zeros(n, np.int64)
         col["file"] = pa.array([part.path]).take(pa.array(np.zeros(n, np.int32)))
         col["ord"] = np.arange(part.first, part.first + n)
+        col["error"] = pa.nulls(n, pa.string())
+        if self.raw:
+            col["record"] = pa.array([r.tobytes() for r in a], pa.binary())
         yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in col.items()})
 
 
@@ -168,10 +213,71 @@ class LasSource(DataSource):
         return "las"
 
     def schema(self):
-        return SCHEMA
+        return SCHEMA + (", record binary" if self.options.get("raw", "false").lower() == "true" else "")
 
     def reader(self, schema):
         return LasReader(self.options)
 
     def writer(self, schema, overwrite):
         return LasWriter(self.options, overwrite)
+
+
+def register(spark: SparkSession) -> None:
+    prepare(spark)
+    spark.dataSource.register(LasSource)
+
+
+def write_like(points: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Write points, read with option raw, to files with the header and all point fields of the ones they came from.
+
+    outputs: (file, output), where the points of a file go; returns (file, output, points), one row per file
+    of outputs, those without points included.  A file is written by one task, a batch of records at a time.
+    """
+    spark = points.sparkSession
+    prepare(spark)
+    ends = points.groupBy("file").agg(F.count("*").alias("n"), *[f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("hi", F.max), ("lo", F.min))])
+    todo = outputs.select("file", "output").join(ends, "file", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    p = attach(points.select("file", "ord", "record"), todo, ["file"], "right").repartition("output").sortWithinPartitions("output", "ord")
+
+    def work(batches):
+        import pandas as pd
+
+        def runs():
+            for pdf in batches:
+                for out, x in pdf.groupby("output", sort=False):
+                    yield out, x
+
+        held = None
+        it = runs()
+        nxt = next(it, None)
+        while nxt is not None:
+            held, first = nxt[0], nxt[1].iloc[0]
+
+            def fill(to):
+                nonlocal nxt
+                to.write(header_like(first["file"], int(first["n"]), [float(first[f"{n}_{a}"]) if first["n"] else 0.0 for a in "xyz" for n in ("hi", "lo")]))
+                while nxt is not None and nxt[0] == held:
+                    for r in nxt[1]["record"]:
+                        if r is not None:
+                            to.write(r)
+                    nxt = next(it, None)
+
+            put_file(held, fill)
+            yield pd.DataFrame({"file": [first["file"]], "output": [held], "points": [int(first["n"])]})
+
+    return p.mapInPandas(work, "file string, output string, points long")
+
+
+def header_like(uri: str, count: int, ends: list[float]) -> bytes:
+    """All that lies before the points of a file, with another number of points and other bounds; numbers by return are left at 0."""
+    system, path = file_system(uri)
+    with system.open_input_file(path) as f:
+        raw = bytearray(f.read(layout(uri).start))
+    struct.pack_into("<I5I", raw, 107, count if count < 2**32 and raw[104] < 6 else 0, *[0] * 5)
+    struct.pack_into("<6d", raw, 179, *ends)
+    if raw[24] == 1 and raw[25] >= 3:
+        struct.pack_into("<Q", raw, 227, 0)  # no waveforms are carried over
+    if raw[24] == 1 and raw[25] >= 4:
+        struct.pack_into("<QI", raw, 235, 0, 0)  # nor extended records
+        struct.pack_into("<Q15Q", raw, COUNT_14, count, *[0] * 15)
+    return bytes(raw)
