@@ -62,3 +62,8 @@ def brightness(*channels: Column) -> Column:
     for c in channels:
         total = total + c * c
     return F.sqrt(total)
+
+
+def brightness_of(vector: Column) -> Column:
+    """``brightness`` of the elements of an array."""
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

@@ -16,7 +16,7 @@ from foliarc.functions import color
 from foliarc.operators.components import connected_components
 from foliarc.operators.voxel import CELL, KEYS
 from foliarc.schema import ChannelLimit
-from foliarc.shared import attach, written
+from foliarc.shared import attach, kept, written
 
 EPSILON = 2.0**-23  # of single precision
 
@@ -31,6 +31,25 @@ def remove_ground(voxels: DataFrame) -> DataFrame:
     return voxels.withColumns({c: F.when(F.col("cls").isin(0, 2), 0.0).otherwise(F.col(c)) for c in "rgb"})
 
 
+def colours_at(voxels: DataFrame, cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """r, g, b of the given cells (keys, voxel_size, ix, iy, iz), each once; black where there is no voxel."""
+    k = [*keys, "voxel_size", *CELL]
+    found = cells.select(*k).distinct().join(voxels.select(*k, "r", "g", "b"), k, "left")
+    return found.select(*k, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in "rgb"])
+
+
+def recolour(voxels: DataFrame, cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Voxels with the colours that cells (keys, voxel_size, ix, iy, iz, r, g, b) gives for theirs.
+
+    A cell without a voxel becomes a row whose other columns are null; of rows that repeat a cell the largest colours count.
+    """
+    k = [*keys, "voxel_size", *CELL]
+    new = kept(cells.groupBy(*k).agg(F.max(F.struct("r", "g", "b")).alias("_new")), "cells")
+    v = attach(voxels, new, k, "left").withColumns({c: F.coalesce(F.col(f"_new.{c}"), F.col(c)) for c in "rgb"}).drop("_new")
+    more = new.join(voxels.select(*k), k, "left_anti").select(*k, "_new.*")
+    return v.unionByName(more, allowMissingColumns=True)
+
+
 def density_mask(voxels: DataFrame, threshold: float = 0.25) -> DataFrame:
     return voxels.where(F.col("density") >= threshold)
 

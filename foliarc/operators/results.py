@@ -56,6 +56,13 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return r.where(~F.regexp_replace("path", r"[^/]*$", "").contains("debug"))
 
 
+def json_records(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """Fields of JSON objects held in a column in place of it; rows without any of them, malformed ones too, are left out."""
+    r = rows.withColumn("_json", F.from_json(column, schema))
+    fields = r.select("_json.*").columns
+    return r.where(F.coalesce(*[F.col(f"_json.{f}").cast("string") for f in fields]).isNotNull()).drop(column).select(*[c for c in rows.columns if c != column], "_json.*")
+
+
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per JSON file; malformed and empty files are skipped."""
     return spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)

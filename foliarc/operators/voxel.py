@@ -95,6 +95,12 @@ def finalise(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return v.select(*keys, "voxel_size", *CELL, "n", "r", "g", "b", "density", "cls", "treeid")
 
 
+def colour_rows(voxels: DataFrame, keys: Sequence[str] = KEYS, offset: Sequence[float] = (0, 0, 0)) -> DataFrame:
+    """(keys, x, y, z, r, g, b) of voxels that are not black: cells moved by an offset, colours to 255."""
+    at = [(F.col(c) + F.lit(o)).alias(c[1]) for c, o in zip(CELL, offset, strict=True)]
+    return voxels.where("r != 0 or g != 0 or b != 0").select(*keys, *at, *[(F.col(c) * 255).alias(c) for c in "rgb"])
+
+
 def voxelise(points: DataFrame, sizes: Sequence[float] = (0.1,), percentage: float | None = 5, keys: Sequence[str] = KEYS, mask: Column | None = None) -> DataFrame:
     """Points with raw_class to the voxel table; cells are written once."""
     return finalise(written(accumulate(indexed(points, sizes, keys, mask), percentage, keys), "voxel-cells"), keys)

@@ -208,6 +208,17 @@ ORACLES["pairs_needed"] = "SELECT n_nationkey, ceil(ln(n * n / (-2 * ln(0.99e0))
 ORACLES["brightness_filter"] = "SELECT vec_id, round(l, 5) AS length FROM (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS l FROM embeddings) WHERE l > 0.9e0"
 oracle("voxel_brightness", f"SELECT {CELL}, round(s, 6) AS brightness FROM (SELECT *, sqrt(r * r + g * g + b * b + density * density) AS s FROM vox) WHERE s > 1")
 oracle("voxel_csv", "SELECT tree_id, ix AS x, iy AS y, iz AS z, round(r * 255, 6) AS r, round(g * 255, 6) AS g, round(b * 255, 6) AS b FROM vox WHERE r <> 0 OR g <> 0 OR b <> 0")
+oracle("cell_colours", f"""SELECT {CELL}, {six('r', 'g', 'b')} FROM vox WHERE ix = iy
+UNION ALL SELECT {K}, -1, iy, iz, 0e0, 0e0, 0e0 FROM vox WHERE ix = 0 AND iy = 1""")
+oracle("recolour", f"""SELECT {CELL}, round(CASE WHEN ix = iy THEN 1e0 - r ELSE r END, 6) AS r, round(CASE WHEN ix = iy THEN 0.5e0 ELSE g END, 6) AS g,
+  round(CASE WHEN ix = iy THEN 1e0 ELSE b END, 6) AS b, round(density, 6) AS density FROM vox
+UNION ALL SELECT {K}, -1, iy, iz, {six('r', 'g', 'b')}, NULL FROM vox WHERE ix = 0 AND iy = 1""")
+oracle("camera_projection", """SELECT tree_id, cam_id, round((10e0 - 2e0 * y) / 4e0, 6) AS x, round((2e0 * x - 5e0) / 4e0, 6) AS y, round((y + 2e0 * z + 1e0) / 4e0, 6) AS z
+FROM cameras WHERE cam_id % 10 <> 0""")
+ORACLES["word_pair_names"] = "SELECT doc_id, " + " || '-' || ".join(f"""['calm', 'dry', 'old', 'red'][1 + x{i} // 4] || '-' || ['ash', 'elm', 'fir', 'oak'][1 + x{i} % 4]""" for i in (1, 2, 3)) + " AS name FROM (SELECT doc_id, " + ", ".join(f"strpos('0123456789abcdef', substr(md5(text), {i}, 1)) - 1 AS x{i}" for i in (1, 2, 3)) + " FROM documents)"
+ORACLES["cloud_pairs"] = """SELECT folder, CASE WHEN a THEN folder || '/pointcloud.las' END AS cloud, CASE WHEN b THEN folder || '/camera_positions.las' END AS cameras,
+  CASE WHEN NOT b THEN 'no_cameras' WHEN NOT a THEN 'no_cloud' ELSE 'ok' END AS status
+FROM (SELECT 'data/' || c_custkey // 2 AS folder, bool_or(c_custkey % 5 <> 0 AND c_custkey % 2 = 0) AS a, bool_or(c_custkey % 5 <> 0 AND c_custkey % 2 = 1) AS b FROM customer GROUP BY 1) WHERE a OR b"""
 oracle("layer", f"SELECT {CELL}, {', '.join(f'round(nullif({c}, 0), 6) AS {c}' for c in 'rgb')} FROM bare WHERE iz = 2")
 oracle("box_mean_mask", f"""SELECT {CELL}, round(m, 6) AS mean FROM (SELECT {K}, ix + a AS ix, iy + b2 AS iy, iz + c AS iz, sum((r + g + b) / 3e0) / 27e0 AS m
   FROM cut, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b2), (SELECT unnest([-1, 0, 1]) AS c)

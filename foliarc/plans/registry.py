@@ -219,6 +219,13 @@ def box_trim(spark, sf):
     return metrics.within_box(t, metrics.percentile_box(view(spark, sf, "cameras"), 0.05, 0.15)).select(*POINT, *six("x", "y", "z"))
 
 
+@query
+def camera_projection(spark, sf):
+    c = view(spark, sf, "cameras").withColumn("aligned", F.expr("cam_id % 10 <> 0"))
+    moved = metrics.camera_positions(c, [[0, -2, 0, 10], [2, 0, 0, -5], [0, 1, 2, 1], [0, 0, 0, 4]])
+    return moved.select("tree_id", "cam_id", *six("x", "y", "z"))
+
+
 @query
 def max_pairwise_distance(spark, sf):
     return hull.spread(view(spark, sf, "cameras")).select("tree_id", *six("max_distance"))
@@ -457,7 +464,7 @@ def results_clean(spark, sf):
 
 @query
 def json_records(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.from_json("props", "k long").k.alias("k")).where("k is not null")
+    return results.json_records(table(spark, sf, "events").select("event_id", "props"), "props", "k long")
 
 
 @query
@@ -470,6 +477,19 @@ def project_hash(spark, sf):
     return lineage.project_hash(table(spark, sf, "documents"), "text", "doc_id")
 
 
+@query
+def word_pair_names(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("hash"))
+    return d.select("doc_id", lineage.word_names(F.col("hash"), ["calm", "dry", "old", "red"], ["ash", "elm", "fir", "oak"], 3).alias("name"))
+
+
+@query
+def cloud_pairs(spark, sf):
+    name = F.when(F.expr("c_custkey % 5 = 0"), "notes.txt").when(F.expr("c_custkey % 2 = 0"), "pointcloud.las").otherwise("camera_positions.las")
+    path = F.concat_ws("/", F.lit("data"), F.expr("c_custkey div 2").cast("string"), name)
+    return files.cloud_pairs(table(spark, sf, "customer").select(path.alias("path")))
+
+
 @query
 def pairs_needed(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", lineage.pairs_needed((F.col("n_nationkey") + 2).cast("double") * 1000, 0.01, 1024).cast("long").alias("pairs"))
@@ -477,7 +497,7 @@ def pairs_needed(spark, sf):
 
 @query
 def brightness_filter(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("length"))
+    e = table(spark, sf, "embeddings").select("vec_id", color.brightness_of(F.col("embedding")).alias("length"))
     return e.where("length > 0.9").select("vec_id", F.round("length", 5).alias("length"))
 
 
@@ -489,8 +509,22 @@ def voxel_brightness(spark, sf):
 
 @query
 def voxel_csv(spark, sf):
-    v = voxels(spark, sf).where("r != 0 or g != 0 or b != 0")
-    return v.select("tree_id", *[F.col(f"i{a}").alias(a) for a in "xyz"], *[F.round(F.col(c) * 255, 6).alias(c) for c in "rgb"])
+    return voxel.colour_rows(voxels(spark, sf)).select("tree_id", "x", "y", "z", *six("r", "g", "b"))
+
+
+@query
+def cell_colours(spark, sf):
+    v = voxels(spark, sf)
+    cells = v.where("ix = iy").select(*CELL).union(v.where("ix = 0 and iy = 1").select(*K, F.lit(-1), "iy", "iz"))
+    return enrich.colours_at(v, cells).select(*CELL, *six("r", "g", "b"))
+
+
+@query
+def recolour(spark, sf):
+    v = voxels(spark, sf)
+    cells = v.where("ix = iy").select(*CELL, (1 - F.col("r")).alias("r"), F.lit(0.5).alias("g"), F.lit(1.0).alias("b"))
+    cells = cells.union(v.where("ix = 0 and iy = 1").select(*K, F.lit(-1), "iy", "iz", "r", "g", "b"))
+    return enrich.recolour(v, cells).select(*CELL, *six("r", "g", "b", "density"))
 
 
 @query

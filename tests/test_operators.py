@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliarc.functions import color, text
-from foliarc.operators import batching, crown, enrich, files, hull, lineage, metrics, rays, voxel
+from foliarc.operators import batching, crown, enrich, files, hull, lineage, metrics, rays, results, voxel
 from foliarc.plans import registry, tasks
 from foliarc.schema import AnalysisConfig, ChannelLimit
 from foliarc.sources import fixtures
@@ -283,3 +283,24 @@ def test_cells_cameras_and_pairs(spark):
     assert {r.folder: r.status for r in files.cloud_pairs(f).collect()} == {"a": "ok", "b": "no_cameras", "c": "no_cloud"}
     b = spark.createDataFrame([("u", "é".encode()), ("l", "é".encode("latin1")), ("m", b"\xff\xfe" + "é".encode("utf-16-le")), ("s", b"\xef\xbb\xbfx"), ("e", b"")], "path string, content binary")
     assert {r.path: r.text for r in files.decoded(b).collect()} == {"u": "é", "l": "é", "m": "é", "s": "x", "e": ""}
+
+
+def test_results_from_files(spark, tmp_path):
+    for name, body in {"a/t1.csv": "Height,DBH\n1.5,2\n", "b/t2.csv": "Height,DBH\n3.5,\n", "debug/t3.csv": "Height,DBH\n9,9\n", "a/t4.txt": "x"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(body)
+    assert sorted((r.path[-8:], r.Height, r.DBH) for r in results.read_results(spark, str(tmp_path)).collect()) == [("a/t1.csv", 1.5, 2), ("b/t2.csv", 3.5, None)]
+    for name, body in {"a/x.json": '{"k": 1,\n "m": "u"}', "b/y.json": '{"k": 2}', "b/z.json": "{broken", "b/e.json": ""}.items():
+        (tmp_path / name).write_text(body)
+    assert sorted((r.k, r.m) for r in results.read_json_records(spark, str(tmp_path)).collect()) == [(1, "u"), (2, None)]
+    d = spark.createDataFrame([(1, '{"k": 1}'), (2, "{broken"), (3, None), (4, '{"m": "u"}'), (5, "{}")], "i int, j string")
+    assert sorted(tuple(r) for r in results.json_records(d, "j", "k long, m string").collect()) == [(1, 1, None), (4, None, "u")]
+
+
+def test_cells_by_colour(spark):
+    v = spark.createDataFrame([(1, 1.0, 0, 0, 0, 0.1, 0.2, 0.3, 0.5)], "tree_id int, voxel_size double, ix int, iy int, iz int, r double, g double, b double, density double")
+    c = v.drop("density").withColumn("r", F.lit(0.9))
+    c = c.union(c).union(c.withColumn("ix", F.lit(7)))
+    assert sorted((r.ix, r.r, r.density) for r in enrich.recolour(v, c).collect()) == [(0, 0.9, 0.5), (7, 0.9, None)]
+    assert sorted((r.ix, r.r, r.b) for r in enrich.colours_at(v, c).collect()) == [(0, 0.1, 0.3), (7, 0.0, 0.0)]
+    assert enrich.recolour(v, c.limit(0)).collect() == v.collect()
