@@ -146,13 +146,16 @@ def dense_share(voxels: DataFrame, floor: float, keys: Sequence[str] = KEYS) ->
 
 
 def box_mean_mask(voxels: DataFrame, threshold: float, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Cells whose 3 x 3 x 3 mean of the mean colour, zeros outside, is above the threshold: (keys, voxel_size, cell, mean)."""
+    """Cells whose 3 x 3 x 3 mean of the mean colour, zeros outside, is above the threshold: (keys, voxel_size, cell, mean).
+
+    The mean is compared at nine places, so a cell that equals the threshold is out in whatever order its parts are summed.
+    """
     k = [*keys, "voxel_size"]
     v = voxels.select(*k, *CELL, ((F.col("r") + F.col("g") + F.col("b")) / 3.0).alias("m"), "nx", "ny", "nz")
     d = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     for c in CELL:
         v = v.withColumn("d", F.explode(d)).withColumn(c, F.col(c) + F.col("d")).where((F.col(c) >= 0) & (F.col(c) < F.col(f"n{c[1]}")))
-    return v.groupBy(*k, *CELL).agg((F.sum("m") / 27.0).alias("mean")).where(F.col("mean") > threshold)
+    return v.groupBy(*k, *CELL).agg((F.sum("m") / 27.0).alias("mean")).where(F.round("mean", 9) > threshold)
 
 
 def trim_bottom(voxels: DataFrame, keys: Sequence[str] = KEYS, count: int = 10) -> DataFrame:

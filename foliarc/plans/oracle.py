@@ -222,7 +222,7 @@ FROM (SELECT 'data/' || c_custkey // 2 AS folder, bool_or(c_custkey % 5 <> 0 AND
 oracle("layer", f"SELECT {CELL}, {', '.join(f'round(nullif({c}, 0), 6) AS {c}' for c in 'rgb')} FROM bare WHERE iz = 2")
 oracle("box_mean_mask", f"""SELECT {CELL}, round(m, 6) AS mean FROM (SELECT {K}, ix + a AS ix, iy + b2 AS iy, iz + c AS iz, sum((r + g + b) / 3e0) / 27e0 AS m
   FROM cut, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b2), (SELECT unnest([-1, 0, 1]) AS c)
-  WHERE ix + a >= 0 AND ix + a < nx AND iy + b2 >= 0 AND iy + b2 < ny AND iz + c >= 0 AND iz + c < nz GROUP BY ALL) WHERE m > 0.2e0""")
+  WHERE ix + a >= 0 AND ix + a < nx AND iy + b2 >= 0 AND iy + b2 < ny AND iz + c >= 0 AND iz + c < nz GROUP BY ALL) WHERE round(m, 9) > 0.2e0""")
 oracle("bottom_outlier_trim", f"""SELECT {K}, ix, iy, iz - cut_at AS iz, {six('r', 'g', 'b')} FROM cut JOIN (
   SELECT {K}, coalesce(min(CASE WHEN n >= 10 THEN greatest(iz - 1, 0) END), 0) AS cut_at FROM (
     SELECT {K}, iz, sum(c) OVER (PARTITION BY {K} ORDER BY iz) AS n FROM (SELECT {K}, iz, count(*) AS c FROM cut WHERE r > 0 OR g > 0 OR b > 0 GROUP BY ALL)) GROUP BY ALL) USING ({K}) WHERE iz >= cut_at""")
