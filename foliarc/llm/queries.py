@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliarc.llm.cover_tree import link
 from foliarc.llm.exact_dedup import exact_dedup
+from foliarc.llm.hard_negatives import mine
+from foliarc.llm.language import identify
 from foliarc.llm.mixing import mix
 from foliarc.llm.order_minhash import near_duplicates
 from foliarc.llm.packing import pack
@@ -14,6 +17,7 @@ from foliarc.llm.secrets import secret_report
 from foliarc.llm.token_ids import round_trip
 from foliarc.llm.url_filters import judge_urls
 from foliarc.llm.warc import archive
+from foliarc.llm.whitening import whiten
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +62,19 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return mine(vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op1_cover_tree": op1_cover_tree,
     "op2_token_ids": op2_token_ids,
@@ -69,4 +86,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_order_minhash": op10_order_minhash,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_whitening": op12_whitening,
+    "op13_language_id": op13_language_id,
 }
