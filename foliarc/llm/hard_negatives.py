@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliarc.llm.common import file_system, new_folder, prepare, put_file, quoted, written
@@ -179,7 +179,8 @@ def filed(cells: DataFrame, rows: int, each: int, piece: int, folder: str) -> Da
         table = pd.DataFrame(made, columns=[x.split()[0] for x in PIECES.split(", ")])
         yield pa.RecordBatch.from_pandas(table.astype({"d": "int32", "width": "int32", "cell": "int32"}), preserve_index=False)
 
-    return written(dealt.mapInArrow(save, PIECES), "negative-pieces")
+    made = written(dealt.mapInArrow(save, PIECES), "negative-made")
+    return made.withColumn("nth", F.row_number().over(Window.partitionBy("d", "cell").orderBy("low", "number")))
 
 
 def _chain(first, rest):
@@ -190,17 +191,15 @@ def _chain(first, rest):
 class Wants:
     """What a group's anchors still look for: entries of an anchor's index, slot, least and greatest score."""
 
-    def __init__(self, anchors: np.ndarray, d: int, wants: list | None, fill: bool, most: float):
+    def __init__(self, anchors: np.ndarray, d: int, wants: tuple | None, most: float):
+        """wants: nodes, slots, least and greatest scores; None: any score, once for each anchor."""
         self.node, self.label = anchors["node"], anchors["label"]
         self.x = anchors["x"].astype(np.float64).reshape(len(anchors), d)
+        n = len(anchors)
+        node, slot, low, top = (self.node, np.zeros(n), np.full(n, -TOP), np.full(n, TOP)) if wants is None else wants
+        slot, low, top = (np.asarray(v, np.int64) for v in (slot, low, top))
         by = np.argsort(self.node, kind="stable")
-        got = np.array([(w["node"], w["slot"], w["low"], w["top"]) for w in ([] if wants is None else wants)], np.int64).reshape(-1, 4)
-        anchor = by[np.searchsorted(self.node[by], got[:, 0])] if len(got) else np.zeros(0, np.int64)
-        slot, low, top = got[:, 1], got[:, 2], got[:, 3]
-        if fill:  # anchors without an entry look for anything
-            rest = np.setdiff1d(np.arange(len(anchors)), anchor)
-            anchor, slot = np.concatenate([anchor, rest]), np.concatenate([slot, np.zeros(len(rest), np.int64)])
-            low, top = np.concatenate([low, np.full(len(rest), -TOP)]), np.concatenate([top, np.full(len(rest), TOP)])
+        anchor = by[np.searchsorted(self.node[by], np.asarray(node, np.int64))]
         order = np.lexsort((slot, anchor))
         self.anchor, self.slot, self.low, self.top = anchor[order], slot[order], low[order], top[order]
         self.reach = np.einsum("ij,ij->i", self.x, self.x) + most  # |a|^2 + M^2
@@ -213,10 +212,10 @@ class Wants:
         inner = np.where(self.top >= TOP, 0.0, np.sqrt(np.maximum(0, reach - 2.0 * self.top)))
         return inner, outer
 
-    def range(self, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def range(self, to: np.ndarray, part: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
         """For entries x pivots, the distances to the pivot that an answer can have; to: distances of anchors to pivots."""
-        inner, outer = self.radii()
-        far = to[self.anchor]
+        inner, outer = (r[part] for r in self.radii())
+        far = to[self.anchor[part]]
         return np.maximum(far - outer[:, None], inner[:, None] - far), far + outer[:, None]
 
 
@@ -277,42 +276,48 @@ def local_join(w: Wants, pieces: Iterator[tuple[np.ndarray, np.ndarray, float, f
     return entry, ids, score
 
 
+OWN = "grp long, file string, at long, rows long, d int, width int"
+LISTS = "node array<long>, slot array<long>, low array<long>, top array<long>"
+
+
 def join(groups: DataFrame, pieces: DataFrame, wants: DataFrame | None, k: int, same: bool, space: Space) -> DataFrame:
     """The first k rows of each entry of wants (grp, node, slot, low, top), by greatest score and smallest id, as FOUND.
 
     With ``same`` rows of the anchor's label count, without it all others.  wants None: every anchor, any score.
     """
-    first = _round(groups, pieces, wants, k, same, space, home=True)
-    bound = first.groupBy("grp", "node", "slot").agg(F.when(F.count("*") == k, F.min("score")).alias("bound")).where("bound is not null")
-    if wants is None:
-        nearer = bound.select("grp", "node", "slot", F.col("bound").alias("low"), F.lit(TOP).alias("top"))
-    else:
-        nearer = wants.join(bound, ["grp", "node", "slot"], "left").select("grp", "node", "slot", F.greatest("low", "bound").alias("low"), "top")
-    return _round(groups, pieces, written(nearer, "negative-bounds"), k, same, space, home=False, fill=wants is None)
-
-
-def _round(groups: DataFrame, pieces: DataFrame, wants: DataFrame | None, k: int, same: bool, space: Space, home: bool, fill: bool | None = None) -> DataFrame:
-    fill = wants is None if fill is None else fill
-    each = groups.select(F.col("number").alias("grp"), F.struct("file", "at", "rows", "d", "width").alias("own"), "d")
+    own = [x.split()[0] for x in OWN.split(", ")]
+    each = groups.withColumnRenamed("number", "grp").select(*own)
+    names = [x.split()[0] for x in LISTS.split(", ")]
     if wants is None:
-        each = each.withColumn("wants", F.lit(None).cast("array<struct<node:long,slot:long,low:long,top:long>>"))
+        each = each.select(*own, *[F.lit(None).cast("array<long>").alias(c) for c in names])
     else:  # at most GROUP anchors a group, and k entries an anchor
-        lists = wants.groupBy("grp").agg(F.collect_list(F.struct("node", F.col("slot").cast("long").alias("slot"), "low", "top")).alias("wants"))
-        each = each.join(lists, "grp", "left")
+        lists = wants.groupBy("grp").agg(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in names])).alias("w"))
+        each = each.join(lists, "grp").select(*own, *[F.col("w")[c].alias(c) for c in names])
     each = written(each, "negative-groups")
+    each = written(_searched(each, pieces, k, same, space, home=True), "negative-bounds")
+    found = _searched(each, pieces, k, same, space, home=False)
+    return written(found.withColumn("n", F.row_number().over(_by())).where(F.col("n") <= k).drop("n"), "negative-found")
+
+
+def _searched(each: DataFrame, pieces: DataFrame, k: int, same: bool, space: Space, home: bool) -> DataFrame:
+    """A round: groups with their wants meet the pieces that they might need.
+
+    The home round returns the groups again, with bounds that have risen; the other what was found, by task.
+    """
+
+    def wants(row, reader: Pieces) -> Wants:
+        given = None if row.node is None else (row.node, row.slot, row.low, row.top)
+        return Wants(reader.read(row.file, row.at, row.rows, row.d, row.width), row.d, given, space.most)
 
     def reach(batches):
-        """(grp, d, cell, low, high): the distances to the cell's pivot at which the group needs rows."""
+        """(grp, d, cell, least, most): the distances to the cell's pivot at which the group needs rows."""
         import pandas as pd
 
         reader = Pieces()
         for pdf in batches:
-            for grp, own, wanted in zip(pdf["grp"], pdf["own"], pdf["wants"]):
-                d = int(own["d"])
-                w = Wants(reader.read(**own), d, wanted, fill, space.most)
-                cells, pivots = space.at(d)
-                if not len(w.anchor):
-                    continue
+            for row in pdf.itertuples():
+                w = wants(row, reader)
+                cells, pivots = space.at(row.d)
                 to = distances(w.zero, pivots)
                 if home:
                     near = np.unique(np.argsort(to, axis=1, kind="stable")[:, :HOME])
@@ -321,56 +326,46 @@ def _round(groups: DataFrame, pieces: DataFrame, wants: DataFrame | None, k: int
                     near = np.arange(len(cells))
                     low, high = np.full(len(cells), np.inf), np.full(len(cells), -np.inf)
                     for c in range(0, len(w.anchor), 1024):
-                        part = slice(c, c + 1024)
-                        lo, hi = _part(w, part).range(to)
+                        lo, hi = w.range(to, slice(c, c + 1024))
                         low, high = np.minimum(low, np.where(lo <= hi, lo, np.inf).min(0)), np.maximum(high, np.where(lo <= hi, hi, -np.inf).max(0))
-                yield pd.DataFrame({"grp": grp, "d": np.int32(d), "cell": cells[near].astype(np.int32), "least": low - space.slack, "most": high + space.slack})
+                yield pd.DataFrame({"grp": row.grp, "d": np.int32(row.d), "cell": cells[near].astype(np.int32), "least": low - space.slack, "most": high + space.slack})
         reader.close()
 
     need = each.mapInPandas(reach, "grp long, d int, cell int, least double, most double")
-    have = pieces
-    if home:
-        from pyspark.sql import Window
-
-        have = pieces.withColumn("n", F.row_number().over(Window.partitionBy("d", "cell").orderBy("low", "number"))).where(F.col("n") <= HOME_PIECES)
+    have = pieces.where(F.col("nth") <= HOME_PIECES) if home else pieces
     pairs = need.join(have, ["d", "cell"]).where((F.col("low") <= F.col("most")) & (F.col("high") >= F.col("least")))
-    lists = pairs.groupBy("grp", "file").agg(F.collect_list(F.struct("file", "at", "rows", "d", "width", "cell", "low", "high")).alias("pieces"))
-    work = written(lists.join(each.drop("d"), "grp"), "negative-work")
+    by = ["grp"] if home else ["grp", "file"]
+    lists = pairs.groupBy(*by).agg(F.collect_list(F.struct("file", "at", "rows", "d", "width", "cell", "low", "high")).alias("pieces")).select("grp", "pieces")
+    work = written(each.join(lists, "grp", "left" if home else "inner"), "negative-work")
 
     def search(batches):
         import pandas as pd
 
         anchors, reader = Pieces(), Pieces()
         for pdf in batches:
-            for grp, own, wanted, refs in zip(pdf["grp"], pdf["own"], pdf["wants"], pdf["pieces"]):
-                w = Wants(anchors.read(**own), int(own["d"]), wanted, fill, space.most)
-                cells, pivots = space.at(int(own["d"]))
+            for row in pdf.itertuples():
+                w = wants(row, anchors)
+                cells, pivots = space.at(row.d)
                 number = dict(zip(cells.tolist(), range(len(cells))))
-                got = ((reader.read(r["file"], r["at"], r["rows"], r["d"], r["width"]), pivots[number[r["cell"]]], r["low"], r["high"]) for r in sorted(refs, key=lambda r: r["at"]))
+                refs = [] if row.pieces is None else sorted(row.pieces, key=lambda r: (r["file"], r["at"]))
+                got = ((reader.read(*(r[c] for c in ("file", "at", "rows", "d", "width"))), pivots[number[r["cell"]]], r["low"], r["high"]) for r in refs)
                 entry, ids, score = local_join(w, got, k, same, space)
-                yield pd.DataFrame({"grp": grp, "node": w.node[w.anchor[entry]], "slot": w.slot[entry].astype(np.int32), "id": ids, "score": score})
+                if home:
+                    lists = {"node": w.node[w.anchor], "slot": w.slot, "low": w.low, "top": w.top}
+                    yield pd.DataFrame({c: [getattr(row, c)] for c in ("grp", "file", "at", "rows", "d", "width")} | {c: [v] for c, v in lists.items()})
+                else:
+                    yield pd.DataFrame({"grp": row.grp, "node": w.node[w.anchor[entry]], "slot": w.slot[entry].astype(np.int32), "id": ids, "score": score})
         anchors.close()
         reader.close()
 
     tasks = max(1, min(work.count(), 100_000))
-    found = work.repartition(tasks).mapInPandas(search, FOUND)
-    rank = F.row_number().over(_by())
-    return written(found.withColumn("n", rank).where(F.col("n") <= k).drop("n"), "negative-found")
+    return work.repartition(tasks).mapInPandas(search, f"{OWN}, {LISTS}" if home else FOUND)
 
 
 def _by():
-    from pyspark.sql import Window
-
     return Window.partitionBy("grp", "node", "slot").orderBy(F.desc("score"), "id")
 
 
-def _part(w: Wants, part: slice) -> Wants:
-    out = object.__new__(Wants)
-    out.__dict__.update(w.__dict__)
-    out.anchor, out.slot, out.low, out.top = w.anchor[part], w.slot[part], w.low[part], w.top[part]
-    return out
-
-
 def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: int = 5, least: int = 80, of: int = 100, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Hard negatives of anchors, the rows whose id is divisible by ``every``.
 
@@ -384,8 +379,6 @@ def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: in
     no part.  Vectors of different lengths do not meet; empty ones score 0 with each other.  Rows that repeat
     an id are rows of their own, anchors as well.  An empty table gives no rows; other columns are not read.
     """
-    from pyspark.sql import Window
-
     spark = vectors.sparkSession
     prepare(spark)
     v = F.col("v")
@@ -402,7 +395,7 @@ def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: in
     chosen = [list(x) for x in dict.fromkeys(tuple(r["x"]) for r in chosen)]
     space, coarse = Space.of(chosen, most), Space.of(chosen[: math.ceil(anchors / GROUP)], most)
     rows = written(assigned(own.withColumn("node", F.monotonically_increasing_id()), space), "negative-cells")
-    pieces = filed(rows, n, FILE, PIECE, new_folder(spark, "negative-files"))
+    pieces = written(filed(rows, n, FILE, PIECE, new_folder(spark, "negative-files")), "negative-pieces")
     some = _unpacked(rows.where(F.col("id") % every == 0))
     groups = filed(assigned(some, coarse), anchors, GROUP * 16, GROUP, new_folder(spark, "negative-anchors"))
 

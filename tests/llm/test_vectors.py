@@ -71,7 +71,7 @@ def test_hard_negatives_skip_pieces():
     pivots = space.pivots[3]
     far = hard_negatives.distances(hard_negatives.augmented(x, space.most), pivots)
     cell, seen = far.argmin(1), []
-    w = hard_negatives.Wants(rows[:100], 3, None, True, space.most)
+    w = hard_negatives.Wants(rows[:100], 3, None, space.most)
 
     def pieces():
         for c in np.argsort(hard_negatives.distances(w.zero[:1], pivots)[0]):
