@@ -260,11 +260,14 @@ def link(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec
     rows = vectors.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vector_col)).cast("array<double>").alias("v")).withColumn("ok", F.coalesce(fine, F.lit(False)))
 
     def packed(batches):
-        for pdf in batches:
-            pdf["v"] = [np.asarray(x, np.float64).tobytes() if ok else None for x, ok in zip(pdf["v"], pdf["ok"], strict=True)]
-            yield pdf[["id", "v"]]
+        import pyarrow as pa
+
+        for b in batches:
+            v, ok = b.column("v"), b.column("ok").to_pylist()
+            ends, flat = v.offsets.to_pylist(), v.values.to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([flat[x:y].tobytes() if k else None for x, y, k in zip(ends, ends[1:], ok)], pa.binary())], ["id", "v"])
 
-    rows = written(rows.mapInPandas(packed, "id long, v binary").withColumn("key", F.unhex(F.sha2("v", 256))), "vectors")
+    rows = written(rows.mapInArrow(packed, "id long, v binary").withColumn("key", F.unhex(F.sha2("v", 256))), "vectors")
     same = rows.where("v is not null").groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("w"), F.first("v").alias("v"))
     same = written(same.select("key", "low", "w", "v", F.monotonically_increasing_id().alias("node")), "vector-classes")
     found = spark.createDataFrame([], "node long, links long, to long")

@@ -112,12 +112,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     shards = max(1, math.ceil(d.count() / shard_pieces))
     d = d.withColumn("shard", F.pmod("row", F.lit(shards)).cast("int"))
     kind = docs.schema[id_col].dataType.simpleString()
+    # ids reach pandas without nulls, which would make them doubles
+    d = d.select(F.coalesce("id", F.lit(0).cast(kind)).alias("id"), F.col("id").isNull().alias("no_id"), "piece", "first_word", "length", "shard", "row")
 
     def one(pdf):
-        pdf = pdf.sort_values(["id", "piece", "row"], kind="stable", na_position="last").reset_index(drop=True)
+        pdf = pdf.sort_values(["no_id", "id", "piece", "row"], kind="stable").reset_index(drop=True)
         got = best_fit(pdf["length"].tolist(), lengths)
         pdf["bin"], pdf["capacity"], pdf["bin_offset"] = zip(*got)
-        return pdf[["id", "piece", "first_word", "length", "shard", "bin", "capacity", "bin_offset"]]
+        return pdf[["id", "no_id", "piece", "first_word", "length", "shard", "bin", "capacity", "bin_offset"]]
 
-    out = d.groupBy("shard").applyInPandas(one, f"id {kind}, piece long, first_word long, length int, shard int, bin long, capacity int, bin_offset int")
-    return out.withColumnRenamed("id", id_col)
+    out = d.groupBy("shard").applyInPandas(one, f"id {kind}, no_id boolean, piece long, first_word long, length int, shard int, bin long, capacity int, bin_offset int")
+    return out.withColumn("id", F.when(~F.col("no_id"), F.col("id"))).drop("no_id").withColumnRenamed("id", id_col)

@@ -218,13 +218,15 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6000, tasks: int = 8) -> Model:
     """Fit on labelled rows whose id is not held out.
 
-    At most ``sample`` labels are used, those of least hash of the id; their documents are found by a join
-    that broadcasts only these labels, and only features and sums of word contexts reach the driver.  Null
-    labels and labels without a document are left out.
+    At most ``sample`` ids are used, those of least hash, each with one row: of labels that repeat an id the
+    greatest counts, of documents the text of least hash.  Documents are found by a join that broadcasts only
+    these labels, so at most ``sample`` rows of features reach the driver, beside the sums of word contexts.
+    Null ids, null labels and labels without a document are left out.
     """
-    ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
-    ids = ids.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id", "y").limit(sample)
-    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).join(F.broadcast(ids), "id")
+    ids = labels.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).cast("int").alias("y")).where("id is not null and y is not null")
+    ids = ids.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text")).join(F.broadcast(ids), "id")
+    rows = rows.groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     rows = written(rows.select("id", "text", "y").repartition(tasks, "id"), "quality-sample")
     vectors = corpus_vectors(docs, text_col)
 
@@ -247,13 +249,15 @@ def score(docs: DataFrame, model: Model, columns: list[str], text_col: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
+        import pyarrow as pa
+
         words, m = Words(), shared.value
-        for pdf in batches:
-            x = np.array([pooled(t, m.vectors, words) for t in pdf["text"]], np.float64).reshape(-1, FEATURES)
-            yield pdf[own].assign(score=m.score(x))
+        for b in batches:
+            x = np.array([pooled(t, m.vectors, words) for t in b.column(len(own)).to_pylist()], np.float64).reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(m.score(x), pa.float64())], [*own, "score"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep.schema.fields[:-1])
-    return keep.mapInPandas(work, f"{schema}, score double").toDF(*columns, "score")
+    return keep.mapInArrow(work, f"{schema}, score double").toDF(*columns, "score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **options) -> DataFrame:
@@ -264,11 +268,16 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     prepare(docs.sparkSession)
     scored = score(docs, fit(docs, labels, id_col, text_col, **options), [id_col], text_col)
-    return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    own = F.col(quoted(id_col))
+    return scored.select(own, held_out(own).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **options) -> DataFrame:
-    """The rows of docs that the classifier does not reject, with their columns."""
+    """The rows of docs that the classifier does not reject, with their columns, whatever their names.
+
+    A null text is empty and is scored like any other; rows with a null id, and rows that repeat an id or a
+    text, are each judged by their text; an empty table gives no rows.
+    """
     prepare(docs.sparkSession)
     model = fit(docs, labels, id_col, text_col, **options)
     rows = docs.select(whole_row(docs).alias("row"), F.col(quoted(text_col)).alias("text"))

@@ -27,34 +27,52 @@ PATTERNS = {
     "endpoint": r"""(?i)\b(?:https?|wss?|s3|jdbc:[a-z]+|amqps?|rediss?|mysql|postgres(?:ql)?|mongodb(?:\+srv)?)://[^\s"'<>]+""",
 }
 SPAN = "array<struct<s:int,k:int,e:int>>"
-RUN, STRETCH = 256, 4096
+RUN = 256
 
 
-def _spans(matches: str, pieces: str, k: int, keep: str = "true") -> Column:
-    """Spans of one kind from its matches and the pieces between them, in order; keep is SQL on the match m.
+def _gathered(array: str, zero: str, step: str, emit: str, value: str, last: str) -> Column:
+    """Spans that a pass over array emits, in order.
 
-    Spans are gathered in runs of RUN, so that a text with very many costs about in proportion to them.
+    st is the state so far and x the element: step is the state after it, value what it emits where emit holds,
+    last the spans that the final state adds.  Spark copies what a pass has gathered at every step, so that one
+    pass over n elements would cost n * n; they are taken in about sqrt(n) runs of sqrt(n), each gathered apart.
     """
+    none = f"cast(array() as {SPAN})"
+    within = lambda sql: sql.replace("st.", "o.st.")
+    length = f"greatest({RUN}, cast(ceil(sqrt(size(z))) as int))"
+    run = f"""aggregate(c, named_struct('st', acc.st, 'run', {none}),
+        (o, x) -> named_struct('st', {within(step)}, 'run', if({within(emit)}, concat(o.run, array({within(value)})), o.run)))"""
     return F.expr(f"""
-        aggregate(
-          zip_with({matches}, slice({pieces}, 1, size({matches})), (m, p) -> named_struct('a', length(p), 'b', length(m), 'keep', {keep})),
-          named_struct('at', 0, 'runs', cast(array() as array<{SPAN}>), 'run', cast(array() as {SPAN})),
-          (acc, x) -> named_struct('at', acc.at + x.a + x.b,
-              'runs', if(size(acc.run) = {RUN}, concat(acc.runs, array(acc.run)), acc.runs),
-              'run', concat(if(size(acc.run) = {RUN}, cast(array() as {SPAN}), acc.run),
-                  if(x.keep, array(named_struct('s', acc.at + x.a, 'k', {k}, 'e', acc.at + x.a + x.b)), cast(array() as {SPAN})))),
-          acc -> concat(flatten(acc.runs), acc.run))""")
+        aggregate(array({array}), {none}, (whole, z) -> case when size(z) > 0 then
+          aggregate(transform(sequence(0, (size(z) - 1) div {length}), i -> slice(z, cast(i * {length} + 1 as int), {length})),
+            named_struct('st', {zero}, 'out', {none}),
+            (acc, c) -> aggregate(array({run}), named_struct('st', {zero}, 'out', {none}), (same, r) -> named_struct('st', r.st, 'out', concat(acc.out, r.run))),
+            acc -> concat(acc.out, {last.replace("st.", "acc.st.")})) else {none} end)""")
+
+
+def _spans(matches: str, pieces: str, k: int, keep: str = "true") -> Column:
+    """Spans of one kind from its matches and the pieces between them, in order; keep is SQL on the match m."""
+    each = f"zip_with({matches}, slice({pieces}, 1, size({matches})), (m, p) -> named_struct('a', length(p), 'b', length(m), 'keep', {keep}))"
+    here = f"named_struct('s', st.at + x.a, 'k', {k}, 'e', st.at + x.a + x.b)"
+    return _gathered(each, "named_struct('at', 0)", "named_struct('at', st.at + x.a + x.b)", "x.keep", here, f"cast(array() as {SPAN})")
 
 
 def _apart(spans: str, others: str) -> Column:
-    """The spans that overlap none of others, which are looked up by the stretch of text they lie in."""
-    return F.expr(f"""
-        case when size({spans}) = 0 or size({others}) = 0 then {spans} else
-          aggregate(array(transform(sequence(0, array_max(transform({others}, b -> b.e div {STRETCH}))),
-              i -> filter({others}, b -> b.s div {STRETCH} <= i and b.e div {STRETCH} >= i))),
-            cast(array() as {SPAN}),
-            (none, at) -> filter({spans}, x -> not exists(slice(at, cast(x.s div {STRETCH} + 1 as int), cast(x.e div {STRETCH} - x.s div {STRETCH} + 1 as int)),
-                some -> exists(some, b -> b.s < x.e and x.s < b.e)))) end""")
+    """The spans, in order and apart from each other, that overlap none of others: one pass over both by start.
+
+    A span is held until the next one begins; any other that begins meanwhile and before its end drops it.
+    """
+    one, event = SPAN.removeprefix("array<").removesuffix(">"), "transform({}, b -> named_struct('s', b.s, 'o', {}, 'k', b.k, 'e', b.e))"
+    held = "case when x.o = 0 then if(x.s < st.held.e, null, st.held) when st.top <= x.s then named_struct('s', x.s, 'k', x.k, 'e', x.e) end"
+    left = _gathered(
+        f"array_sort(concat({event.format(others, 0)}, {event.format(spans, 1)}))",
+        f"named_struct('top', -1, 'held', cast(null as {one}))",
+        f"named_struct('top', if(x.o = 0, greatest(st.top, x.e), st.top), 'held', {held})",
+        "x.o = 1 and st.held is not null",
+        "st.held",
+        f"if(st.held is null, cast(array() as {SPAN}), array(st.held))",
+    )
+    return F.when(F.expr(f"size({spans}) = 0 or size({others}) = 0"), F.col(spans)).otherwise(left)
 
 
 def _listed(spans: Column) -> Column:

@@ -28,13 +28,20 @@ WITH RECURSIVE p AS (
 q AS (SELECT page_id, html, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM p),
 rules(verdict, h, pa) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
-tags AS (SELECT host, path, host || tail AS a, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM q),
-links AS (SELECT host, path, a, replace(CASE
+plain AS (SELECT host, path, host || tail AS a, regexp_replace(regexp_replace(html, '(?is)<!--.*?(-->|\z)|<script\b.*?(</script\b|\z)', ' ', 'g'), '\r', ' ', 'g') AS html FROM q),
+tags AS (SELECT host, path, a, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM plain WHERE a <> ''),
+links AS (SELECT host, path, a, string_split(replace(CASE
     WHEN regexp_matches(tag, '(?i)\brel\s*=\s*(?:canonical\b|"(?:[^">]*\s)?canonical[\s"]|''(?:[^''>]*\s)?canonical[\s''])') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-    WHEN regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) END, '&amp;', '&') AS t FROM tags),
-far AS (SELECT a, CASE WHEN strpos(t, '://') > 0 THEN substr(t, strpos(t, '://') + 3) WHEN starts_with(t, '//') THEN substr(t, 3)
-    WHEN starts_with(t, '/') THEN host || t ELSE host || regexp_replace(path, '[^/]*$', '') || t END AS r FROM links WHERE t <> ''),
-e AS (SELECT a, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(r, '^[^/?#]*([^#]*)', 1) AS b FROM far),
+    WHEN regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) END, '&amp;', '&'), '#')[1] AS t FROM tags),
+parsed AS (SELECT host, path, a, regexp_extract(t, '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?]*))?([^?]*)(.*)$', ['scheme', 'host', 'path', 'query']) AS u,
+  regexp_matches(t, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//') AS far FROM links WHERE t <> ''),
+merged AS (SELECT a, CASE WHEN far THEN translate(u.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE host END AS h, u.query AS query,
+    CASE WHEN far OR starts_with(u.path, '/') THEN u.path WHEN u.path = '' THEN path WHEN path = '' THEN '/' || u.path ELSE regexp_extract(path, '^.*/') || u.path END AS p,
+    far OR u.path <> '' OR u.query <> '' AS named FROM parsed WHERE far OR u.scheme = ''),
+steps AS (SELECT a, h, query, p, string_split(p, '/') AS l FROM merged WHERE named),
+e AS (SELECT a, h || CASE WHEN len(list_intersect(l, ['.', '..'])) = 0 THEN p ELSE
+    list_reduce(list_prepend('', l[2:]), lambda x, y: CASE WHEN y = '.' THEN x WHEN y = '..' THEN regexp_replace(x, '/[^/]*$', '') ELSE x || '/' || y END)
+    || CASE WHEN l[-1] IN ('.', '..') THEN '/' ELSE '' END END || query AS b FROM steps),
 both_ways AS (SELECT a, b FROM e WHERE a <> '' AND b <> '' UNION SELECT b, a FROM e WHERE a <> '' AND b <> ''),
 reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
 nodes AS (SELECT DISTINCT b AS node, regexp_extract(b, '^[^/?#]*') AS host, regexp_extract(b, '^[^/?#]*([^?#]*)', 1) AS path FROM both_ways),

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliarc.llm.common import prepare, written
+from foliarc.llm.common import prepare, quoted, written
 from foliarc.llm.graph import connected_components
 
 # Fixed values: (verdict, host, path).
@@ -47,22 +47,42 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return out
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its segments ``.`` and ``..``, which take the one before them away."""
+    parts = F.split(path, "/")
+    step = lambda done, part: F.when(part == ".", done).when(part == "..", F.regexp_replace(done, r"/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), part))
+    gone = F.aggregate(F.slice(parts, 2, F.size(parts)), F.lit(""), step)
+    gone = F.concat(gone, F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))
+    return F.when(path.rlike(r"^/(?:.*/)?\.\.?(?:/|$)"), gone).otherwise(path)
+
+
+def resolved(to: Column, host: Column, path: Column) -> Column:
+    """Host, path and query of what a reference names on a page of a host and path; null where it names no address.
+
+    References are those of RFC 3986, 5.2: with a scheme and authority, with an authority, from the root, a
+    query of the page itself, or relative to its folder; other schemes name nothing.  Fragments are left out.
+    """
+    to = F.regexp_extract(to, r"^[^#]*", 0)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    full = F.when(to == "", None).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), F.regexp_replace(to, r"^[^:]*://", ""))
+    full = full.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), None).when(to.startswith("//"), F.substring(to, 3, F.length(to)))
+    full = full.when(to.startswith("/"), F.concat(host, to)).when(to.startswith("?"), F.concat(host, path, to)).otherwise(F.concat(host, folder, to))
+    return F.concat(host_of(full), without_dots(path_of(full)), F.regexp_extract(full, r"^[^?]*(.*)", 1))
+
+
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): addresses of pages and of what their canonical links and refresh redirects name."""
-    tags = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    d = pages.where(F.col(html_col).rlike(r"(?i)canonical|refresh")).select(F.col(url_col).alias("url"), tags.alias("tags"))
+    """(a, b): addresses of pages and of what their canonical links and refresh redirects name, outside comments and scripts."""
+    html = F.regexp_replace(F.col(quoted(html_col)), r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\b|\z)", " ")
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
+    d = pages.where(F.col(quoted(html_col)).rlike(r"(?i)canonical|refresh")).select(F.col(quoted(url_col)).alias("url"), tags.alias("tags"))
     d = d.select("url", F.explode("tags").alias("tag"))
     link = F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
     link = link.when(F.col("tag").rlike(r"""(?i)http-equiv\s*=\s*["']?refresh"""), F.regexp_extract("tag", r"""(?i)\burl\s*=\s*["']?([^"'\s>;]+)""", 1))
     d = d.select("url", F.replace(link, F.lit("&amp;"), F.lit("&")).alias("to")).where("to != '' and to is not null")
     d = d.select("to", after_scheme(F.col("url")).alias("rest"))
     d = d.select("to", host_of(F.col("rest")).alias("host"), path_of(F.col("rest")).alias("path"), F.regexp_extract("rest", r"^[^/?#]*([^#]*)", 1).alias("tail"))
-    to = F.col("to")
-    full = F.when(to.contains("://"), after_scheme(to)).when(to.startswith("//"), F.substring(to, 3, F.length(to)))
-    full = full.when(to.startswith("/"), F.concat("host", "to")).otherwise(F.concat("host", F.regexp_replace("path", r"[^/]*$", ""), "to"))
-    d = d.select(F.concat("host", "tail").alias("a"), full.alias("rest"))
-    d = d.select("a", F.concat(host_of(F.col("rest")), F.regexp_extract("rest", r"^[^/?#]*([^#]*)", 1)).alias("b"))
-    return d.where("a != '' and b != '' and a != b").distinct()
+    d = d.select(F.concat("host", "tail").alias("a"), resolved(F.col("to"), F.col("host"), F.col("path")).alias("b")).where("a != ''")
+    return d.where("b != '' and a != b").distinct()
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -75,7 +95,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     """
     prepare(pages.sparkSession)
     rest = F.col("rest")
-    p = pages.select(F.col(id_col).alias("id"), after_scheme(F.col(url_col)).alias("rest"))
+    p = pages.select(F.col(quoted(id_col)).alias("id"), after_scheme(F.col(quoted(url_col))).alias("rest"))
     p = p.select("id", host_of(rest).alias("host"), path_of(rest).alias("path"), F.regexp_extract(rest, r"^[^/?#]*([^#]*)", 1).alias("tail"))
     p = p.select("id", "host", "path", F.concat("host", "tail").alias("address"))
     p = p.select("*", fitting_rule(F.col("host"), F.col("path"), rules, -1).alias("rule"), fitting_rule(F.col("host"), F.col("path"), rules, 0).alias("own"))

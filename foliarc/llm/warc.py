@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliarc.llm.common import file_system, new_folder, prepare, put_file
+from foliarc.llm.common import file_system, new_folder, prepare, put_file, quoted
 
 CHUNK = 1 << 20
 END = b"\r\n\r\n"
@@ -137,15 +137,15 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str =
     bytes the one with the largest id is a response and the others revisit it; rows that repeat that id are
     responses too; a null id never is the response unless all are null, when all are responses.
     """
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("bytes"))
+    html = F.coalesce(F.col(quoted(html_col)), F.lit(""))
+    p = pages.select(F.col(quoted(id_col)).cast("long").alias("page_id"), F.col(quoted(url_col)).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("bytes"))
     top = p.where(F.col("bytes") >= least).groupBy("sha", "bytes").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1 and top is not null")
     top = top.select(F.concat("sha", F.lit("")).alias("sha2"), "top", F.col("bytes").alias("bytes2"))
     p = p.join(top, (F.col("sha") == F.col("sha2")) & (F.col("bytes") == F.col("bytes2")), "left")
     p = p.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to"))
 
     def write(batches):
-        import pandas as pd
+        import pyarrow as pa
         from pyspark import TaskContext
 
         part, n = TaskContext.get().partitionId(), 0
@@ -157,16 +157,15 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str =
         def fill(out):
             nonlocal n
             with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=6, mtime=0) as z:
-                for pdf in _chain(first, batches):
-                    for page_id, url, html, refers in pdf.itertuples(index=False, name=None):
-                        page_id, refers = (None if pd.isna(x) else int(x) for x in (page_id, refers))
+                for b in _chain(first, batches):
+                    for page_id, url, html, refers in zip(*(c.to_pylist() for c in b.columns)):
                         z.write(record(page_id, url, html.encode(), refers, refers is not None))
                         n += 1
 
         put_file(path, fill)
-        yield pd.DataFrame({"path": [path], "records": [n]})
+        yield pa.RecordBatch.from_pydict({"path": [path], "records": [n]})
 
-    made = p.mapInPandas(write, "path string, records long")
+    made = p.mapInArrow(write, "path string, records long")
     made.write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema("path string, records long").parquet(f"{folder}/manifest")
 
@@ -198,10 +197,8 @@ def read_archives(index: DataFrame) -> DataFrame:
     """One row per record of the normalised archives, each fetched by its offset in the sidecar index."""
 
     def work(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for path in pdf["path"]:
+        for b in batches:
+            for path in b.column("path").to_pylist():
                 system, name = file_system(path)
                 with system.open_input_stream(f"{name}.idx", compression=None) as f:
                     entries = [json.loads(x) for x in f.read().decode().splitlines()]
@@ -210,11 +207,11 @@ def read_archives(index: DataFrame) -> DataFrame:
                     for x in entries:
                         rows.append(_row(read_record(f, x["offset"], x["length"])))
                         if len(rows) == 10_000:
-                            yield _frame(pd, rows)
+                            yield _batch(rows)
                             rows = []
-                yield _frame(pd, rows)
+                yield _batch(rows)
 
-    return _spread(index).mapInPandas(work, INDEX)
+    return _spread(index).mapInArrow(work, INDEX)
 
 
 def _id(urn: str):
@@ -231,9 +228,13 @@ def _row(r: dict) -> tuple:
     return _id(r["warc-record-id"]), size, digest, r["warc-type"], _id(r["warc-refers-to"]) if "warc-refers-to" in r else None
 
 
-def _frame(pd, rows: list):
-    out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-    return out.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
+def _batch(rows: list):
+    """Rows of INDEX; ids stay whole numbers beside nulls."""
+    import pyarrow as pa
+
+    names = [x.split()[0] for x in INDEX.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
 def archive(pages: DataFrame, folder: str | None = None, least: int = 0, **columns) -> DataFrame:

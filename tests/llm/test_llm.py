@@ -568,3 +568,103 @@ def test_components_of_a_long_path_and_of_text(spark):
     assert {r.component for r in connected_components(e).collect()} == {0}
     e = spark.createDataFrame([("b", "c"), ("é", "a"), ("c", "d"), (None, "x")], "a string, b string")
     assert {r.node: r.component for r in connected_components(e).collect()} == {"b": "b", "c": "b", "d": "b", "a": "a", "é": "a"}
+
+
+# ids and names
+BIG = [(1 << 53) + 1, (1 << 53) + 3, (1 << 62) + 1, None]
+
+
+def test_ids_are_whole_numbers_in_every_operator(spark):
+    html = spark.createDataFrame([(i, "https://a.org/", "<p>same</p>") for i in BIG] + [(7, "x", "<p>other</p>")], "page_id long, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive(html).collect()}
+    top = (1 << 62) + 1
+    assert got == {top: ("response", None), 7: ("response", None)} | {i: ("revisit", top) for i in BIG if i != top}
+    vectors = spark.createDataFrame([(i, [1.0, 0.01 * k]) for k, i in enumerate(BIG)] + [(None, [0.0, -1.0])], "vec_id long, embedding array<double>")
+    got = {(r.vec_id, r.n_links): r.component_id for r in cover_tree.link(vectors).collect()}
+    assert got == {(i, 3): BIG[0] for i in BIG} | {(None, 0): None}
+    d = docs(spark, [(i, f"words of text {k} " * 5) for k, i in enumerate(BIG)])
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, quality int")
+    got = {r.doc_id: r.held_out for r in quality.classify(d, labels).collect()}
+    assert got == {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in BIG}
+    packed = packing.pack(d).collect()
+    assert {r.doc_id for r in packed} == set(BIG) and len(packed) == 4
+
+
+def test_columns_with_odd_names(spark):
+    p = spark.createDataFrame([(1, "https://a.net/", "<p>x</p>")], "`a.id` long, `a.url` string, `a``html` string")
+    names = {"id_col": "a.id", "url_col": "a.url", "html_col": "a`html"}
+    assert warc.archive(p, **names).count() == 1 and judge_urls(p, **names).first()["verdict"] == "block"
+    d = spark.createDataFrame([(i, "good text " * (i + 1), i % 2) for i in range(1, 40)], "`a.id` long, `a.text` string, `a.y` int")
+    got = quality.classify(d.select("`a.id`", "`a.text`"), d.select("`a.id`", "`a.y`"), id_col="a.id", text_col="a.text", label_col="a.y")
+    assert got.columns[0] == "a.id" and got.count() == 39
+
+
+def test_quality_fits_on_no_more_rows_than_stated(spark, monkeypatch):
+    seen = []
+    fit = quality.fit_network
+    monkeypatch.setattr(quality, "fit_network", lambda v, x, y, **o: (seen.append(len(x)), fit(v, x, y, **o))[1])
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5]
+    d = docs(spark, [(ids[0], f"text {k % 7}") for k in range(3000)] + [(i, f"words {i}") for i in ids[1:]])
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)] + [(ids[0], 1)] * 50, "doc_id long, quality int")
+    for n in (2, len(ids)):
+        quality.fit(d, labels, sample=n)
+        quality.fit(d.where(f"doc_id = {ids[0]}"), labels, sample=n)
+    assert seen[0] == 2 and seen[2] == len(ids) and max(seen[1], seen[3]) <= 1
+
+
+# 5
+def test_secrets_cost_follows_the_number_of_spans(spark):
+    from time import time
+
+    took = []
+    for n in (20_000, 80_000):
+        text = " ".join(f"user_id={i:06d}x password=Aa1{i:09d}" for i in range(n))
+        start = time()
+        assert find_secrets(docs(spark, [(1, text)])).selectExpr("size(base) n", "size(linked) m").first() == (n, n)
+        took.append(time() - start)
+    assert took[1] < 40 and took[1] < 8 * took[0] + 4, took
+
+
+def test_apart_against_brute_force(spark):
+    from foliarc.llm import secrets
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(200):
+        cut = np.sort(rng.choice(90, 2 * int(rng.integers(0, 12)), replace=False))
+        own = [(int(a), 4, int(b)) for a, b in zip(cut[::2], cut[1::2])]
+        other = [(int(a), int(k), int(a + n)) for a, k, n in zip(rng.integers(0, 90, rng.integers(0, 6)), rng.integers(0, 4, 6), rng.integers(1, 12, 6))]
+        rows.append((i, own, other))
+    d = spark.createDataFrame(rows, f"i int, a {secrets.SPAN}, b {secrets.SPAN}")
+    for r in d.select("i", secrets._apart("a", "b").alias("x")).collect():
+        _, own, other = rows[r.i]
+        assert [tuple(x) for x in r.x] == [s for s in own if not any(o[0] < s[2] and s[0] < o[2] for o in other)]
+
+
+# 7
+def test_references_resolve_as_urllib_has_them(spark):
+    from urllib.parse import urldefrag, urljoin
+
+    from pyspark.sql import functions as F
+
+    from foliarc.llm import url_filters
+
+    pages = ["https://b.com", "https://b.com/", "https://b.com/d/y", "https://b.com/d/e/?q=1/2#f", "http://B.com/d/../x"]
+    links = ["y", "?p=1", "#top", "/r?x=/../", "../up", "./here", "a/./b/../c", "//c.org/z/w", "http://D.net/k?u=http://e/f", "z?v=http://x.y/", "..", "../..", "../../../over", "d/", ".", "mailto:a@b", "javascript:void(0)", "", "x/..", "..x/.y"]
+    d = spark.createDataFrame([(p, t) for p in pages for t in links], "url string, t string").withColumn("rest", url_filters.after_scheme(F.col("url")))
+    got = d.select("url", "t", url_filters.resolved(F.col("t"), url_filters.host_of(F.col("rest")), url_filters.path_of(F.col("rest"))).alias("b")).collect()
+    for r in got:
+        full = urldefrag(urljoin(r.url, r.t))[0]
+        if r.t.startswith(("#", "mailto:", "javascript:")) or not r.t:
+            assert not r.b
+            continue
+        host, _, tail = full.split("://", 1)[1].partition("/")
+        want = host.split("?")[0].lower() + (full.split("://", 1)[1][len(host.split("?")[0]):])
+        assert r.b == want, (r.url, r.t, r.b, want)
+
+
+def test_links_in_comments_and_scripts_are_none(spark):
+    tag = '<link rel="canonical" href="https://x.net/bad">'
+    html = [f"<!-- {tag} -->", f"<script>var s = '{tag}';</script>", f"<!-- open {tag}", tag, f"<SCRIPT type='a'>{tag}</script ><p>"]
+    p = spark.createDataFrame([(i, f"https://a{i}.org/", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in judge_urls(p).collect()} == {0: "allow", 1: "allow", 2: "allow", 3: "block", 4: "allow"}
