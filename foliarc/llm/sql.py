@@ -37,9 +37,9 @@ parsed AS (SELECT host, path, a, regexp_extract(t, '^(?:([A-Za-z][A-Za-z0-9+.-]*
   regexp_matches(t, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//') AS far FROM links WHERE t <> ''),
 merged AS (SELECT a, CASE WHEN far THEN translate(u.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE host END AS h, u.query AS query,
     CASE WHEN far OR starts_with(u.path, '/') THEN u.path WHEN u.path = '' THEN path WHEN path = '' THEN '/' || u.path ELSE regexp_extract(path, '^.*/') || u.path END AS p,
-    far OR u.path <> '' OR u.query <> '' AS named FROM parsed WHERE far OR u.scheme = ''),
-steps AS (SELECT a, h, query, p, string_split(p, '/') AS l FROM merged WHERE named),
-e AS (SELECT a, h || CASE WHEN len(list_intersect(l, ['.', '..'])) = 0 THEN p ELSE
+    NOT far AND u.path = '' AS own, far OR u.path <> '' OR u.query <> '' AS named FROM parsed WHERE far OR u.scheme = ''),
+steps AS (SELECT a, h, query, p, own, string_split(p, '/') AS l FROM merged WHERE named),
+e AS (SELECT a, h || CASE WHEN own OR len(list_intersect(l, ['.', '..'])) = 0 THEN p ELSE
     list_reduce(list_prepend('', l[2:]), lambda x, y: CASE WHEN y = '.' THEN x WHEN y = '..' THEN regexp_replace(x, '/[^/]*$', '') ELSE x || '/' || y END)
     || CASE WHEN l[-1] IN ('.', '..') THEN '/' ELSE '' END END || query AS b FROM steps),
 both_ways AS (SELECT a, b FROM e WHERE a <> '' AND b <> '' UNION SELECT b, a FROM e WHERE a <> '' AND b <> ''),

@@ -66,8 +66,9 @@ def resolved(to: Column, host: Column, path: Column) -> Column:
     folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
     full = F.when(to == "", None).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), F.regexp_replace(to, r"^[^:]*://", ""))
     full = full.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), None).when(to.startswith("//"), F.substring(to, 3, F.length(to)))
-    full = full.when(to.startswith("/"), F.concat(host, to)).when(to.startswith("?"), F.concat(host, path, to)).otherwise(F.concat(host, folder, to))
-    return F.concat(host_of(full), without_dots(path_of(full)), F.regexp_extract(full, r"^[^?]*(.*)", 1))
+    full = full.when(to.startswith("/"), F.concat(host, to)).otherwise(F.concat(host, folder, to))
+    full = F.concat(host_of(full), without_dots(path_of(full)), F.regexp_extract(full, r"^[^?]*(.*)", 1))
+    return F.when(to.startswith("?"), F.concat(host, path, to)).otherwise(full)
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
