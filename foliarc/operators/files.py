@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,33 @@ def matching(files: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return files.where(fits).select("path").distinct()
 
 
+def plain(path: Column) -> Column:
+    """A listed path as one of the local file system, where it is that; other schemes stay."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def dbh_results(spark: SparkSession, inputs: DataFrame, folders: Sequence[str], base: str) -> DataFrame:
+    """(file, dbh in cm, height) measured for inputs (file) by an external program, whose results lie beside them.
+
+    The result of base/a/b.las is b_dbh_and_heights.txt in a, a/b or a/b/b.las below any of the folders, the
+    first that there is in that order; its first line counts.
+    """
+    name = F.regexp_extract("file", "[^/]*$", 0)
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    within = F.regexp_replace(F.when(F.startswith("file", F.lit(f"{base}/")), F.substring("file", len(base) + 2, 1 << 30)).otherwise(F.col("file")), "[^/]*$", "")
+    text = F.concat(stem, F.lit("_dbh_and_heights.txt"))
+    places = [F.concat(F.lit(f.rstrip("/") + "/"), within, *below, text) for f in folders for below in ([], [stem, F.lit("/")], [stem, F.lit("/"), name, F.lit("/")])]
+    wanted = inputs.select("file", F.posexplode(F.array(*places)).alias("nth", "path"))
+    there = None
+    for f in folders:
+        some = list_files(spark, f, "*_dbh_and_heights.txt").select(plain(F.col("path")).alias("path"), F.col("path").alias("uri"))
+        there = some if there is None else there.union(some)
+    found = wanted.join(there, "path").groupBy("file").agg(F.min_by("path", "nth").alias("path"))
+    lines = decoded(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*_dbh_and_heights.txt").load(list(folders)).select(plain(F.col("path")).alias("path"), "content"))
+    lines = lines.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "value")).where(F.trim("value") != "")
+    return found.join(first_record(lines), "path").select("file", "dbh", "height")
+
+
 def analysed(files: DataFrame, extension: str = ".las", skip: Sequence[str] = (), out: str = "data/output", base: str = "data/input", limit: int = -1) -> DataFrame:
     """Paths with an extension (case counts) and without any of the skipped parts, with the folder their results go to; the first limit by path if that is above 0."""
     f = files.where(F.col("path").endswith(extension))
@@ -35,8 +62,10 @@ def analysed(files: DataFrame, extension: str = ".las", skip: Sequence[str] = ()
 
 def subfolders(paths: DataFrame, root: str) -> DataFrame:
     """Distinct folders directly below root."""
-    name = F.regexp_extract("path", f"^{root}/([^/]+)/", 1)
-    return paths.select(F.concat(F.lit(f"{root}/"), F.nullif(name, F.lit(""))).alias("path")).where("path is not null").distinct()
+    top = F.lit(f"{root}/")
+    rest = F.when(F.startswith("path", top), F.substring("path", len(root) + 2, 1 << 30))
+    name = F.when(F.contains(rest, F.lit("/")), F.substring_index(rest, "/", 1))
+    return paths.select(F.concat(top, F.nullif(name, F.lit(""))).alias("path")).where("path is not null").distinct()
 
 
 def leaf_folders(folders: DataFrame, tag: str = "[skip]") -> DataFrame:

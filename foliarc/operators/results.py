@@ -39,8 +39,15 @@ def rounded(results: DataFrame, digits: int = 3, half_even: bool = False) -> Dat
 
 
 def write_results(results: DataFrame, path: str, by: Sequence[str] = ()) -> None:
-    """One CSV table with a header, in a folder per value of ``by``."""
-    results.write.mode("overwrite").partitionBy(*by).option("header", True).csv(path)
+    """One CSV table with a header, in a folder per value of ``by``.
+
+    With ``by`` only the folders of these results are replaced, whatever else lies below path; without, path
+    is the table and is replaced.
+    """
+    if by:
+        results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).option("header", True).csv(path)
+    else:
+        results.write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

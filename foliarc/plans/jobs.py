@@ -14,7 +14,7 @@ from foliarc.functions.text import site_and_tree
 from foliarc.operators import files, hull, results
 from foliarc.plans.features import features
 from foliarc.schema import AnalysisConfig, ChannelLimit
-from foliarc.shared import attach
+from foliarc.shared import attach, exists, written
 from foliarc.sources import las
 
 # Settings of a sensor where none are given.
@@ -44,13 +44,13 @@ def read_settings(path: str | None = None) -> Settings:
         vertical_axis=ini.getint("data", "vertical_axis", fallback=2),
         file_count=ini.getint("data", "file_count", fallback=-1),
         paths_to_skip=tuple(x for x in ini.get("data", "paths_to_skip", fallback="").split(",") if x),
-        calculate_height=yes("analyses", "calculate_height"), calculate_dimensions=yes("analyses", "calculate_dimensions"),
+        calculate_dbh=yes("analyses", "calculate_dbh"), calculate_height=yes("analyses", "calculate_height"), calculate_dimensions=yes("analyses", "calculate_dimensions"),
         calculate_live_canopy=yes("analyses", "calculate_live_canopy_dims"), calculate_transparency=yes("analyses", "calculate_transparency"),
         mask_blue=yes("filtering", "mask_blue"), rgb_outlier_filter=yes("filtering", "rgb_outlier_filter"),
         rgb_outlier_percentage=number("filtering", "rgb_outlier_percentage", 5), density_threshold=number("filtering", "density_threshold", 0),
         smoothing_window=ini.getint("live_crown_id", "smoothing_window", fallback=5),
         ray_sample_count=ini.getint("transparency", "ray_sample_count", fallback=15_000),
-        heading="hashed" if ini.getboolean("transparency", "randomize_ray_trajectory", fallback=False) else "antipodal",
+        heading="hashed" if ini.getboolean("transparency", "randomize_ray_trajectory", fallback=True) else "antipodal",
         brightness_floor=number("transparency", "brightness_floor", 0), filter_non_photosynthetic_voxels=yes("transparency", "filter_non_photosynthetic_voxels"),
         limits=(ChannelLimit("ngrdi", min=number("transparency", "filter_channel_limit_grr", 0.005)), ChannelLimit("gli", min=number("transparency", "filter_channel_limit_gli", 0))),
         required_hits=ini.getint("transparency", "required_hits", fallback=2), energy_threshold=number("transparency", "energy_threshold", 0.1),
@@ -70,46 +70,66 @@ def read_sensor(folder: str) -> dict:
         return json.load(f)
 
 
+def found_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of the LAS files below a folder; nothing is opened."""
+    return files.list_files(spark, folder, "*.las").select(files.plain(F.col("path")).alias("path"), "length")
+
+
+def with_status(chosen: DataFrame, features: DataFrame) -> DataFrame:
+    """Features of every chosen file (file, error), with a status: unreadable, what an analysis said, no_voxels or ok."""
+    own = F.col("status") if "status" in features.columns else F.lit(None).cast("string")
+    out = chosen.join(features, "file", "left")
+    return out.withColumn("status", F.coalesce(F.concat(F.lit("unreadable: "), "error"), own, F.when(F.col("Voxel Size").isNull(), "no_voxels").otherwise("ok"))).drop("error")
+
+
 def predict(spark: SparkSession, settings: Settings, dbh: DataFrame | None = None) -> DataFrame:
     """Features of every LAS file below the input folder, one row per file and voxel size, with Site, Tree and status.
 
-    A file that cannot be read, or has no coloured voxel, is a row with its status and no features.  Rows are
-    written as CSV to the output folder, by site and tree, and all together to the final output.  dbh: (file,
-    dbh, height) measured elsewhere.
+    Files are listed and chosen first; only chosen ones are opened, their headers once for their errors.  A file
+    that cannot be read, or has no coloured voxel, is a row with its status and no features.  dbh: (file, dbh,
+    height) measured elsewhere; where it is not given and the settings ask for it, results that lie beside the
+    inputs or in the output folder are taken.
+
+    Rows are written as CSV to the output folder, by site and tree, and all together to the final output.  Of
+    the output folder only the folders of these sites and trees are replaced, once all rows are there.
     """
     las.register(spark)
     c = settings.analysis
-    read = spark.read.format("las").load(settings.input_dir)
     base = settings.input_dir.rstrip("/")
-    chosen = files.analysed(read.groupBy("file").agg(F.max("error").alias("error")).select(F.col("file").alias("path"), "error"), ".las", c.paths_to_skip, settings.output_dir, base, c.file_count)
-    chosen = chosen.select(F.col("path").alias("file"))
-    errors = read.groupBy("file").agg(F.max("error").alias("error"))
-    points = attach(read.where("error is null"), chosen, ["file"], "left_semi")
-    f = features(points, c, ("file",), dbh)
-    out = chosen.join(errors, "file").join(f, "file", "left")
-    own = F.col("status") if "status" in f.columns else F.lit(None).cast("string")
-    out = out.withColumn("status", F.coalesce(F.concat(F.lit("unreadable: "), "error"), own, F.when(F.col("Voxel Size").isNull(), "no_voxels").otherwise("ok"))).drop("error")
+    found = found_files(spark, settings.input_dir)
+    chosen = files.analysed(found, ".las", c.paths_to_skip, settings.output_dir, base, c.file_count).select("path")
+    chosen = written(las.headers(found.join(chosen, "path")), "chosen-files")
+    state = chosen.select(F.col("path").alias("file"), "error")
+    good = chosen.where("error is null")
+    if dbh is None and c.calculate_dbh:
+        folders = [f for f in dict.fromkeys((settings.output_dir, settings.input_dir)) if exists(spark, f)]
+        dbh = files.dbh_results(spark, state, folders, base)
+    points = las.read_files(good, ["x", "y", "z", "red", "green", "blue", "raw_class", "treeid"]).where("error is null").drop("error")
+    out = with_status(state, features(points, c, ("file",), dbh))
     site, tree = site_and_tree(F.concat(F.lit("data/output/"), F.substring("file", len(base) + 2, 1 << 30)))
-    out = results.rounded(out.withColumns({"Site": site, "Tree": F.regexp_replace(tree, r"\.las$", "")}))
+    out = written(results.rounded(out.withColumns({"Site": site, "Tree": F.regexp_replace(tree, r"\.las$", "")})), "results")
     results.write_results(out, settings.output_dir, ["Site", "Tree"])
-    done = results.read_table(spark, settings.output_dir, out.schema)
-    results.write_results(done, settings.final_output)
-    return done
+    results.write_results(out, settings.final_output)
+    return out
 
 
 def clip_folders(spark: SparkSession, cloud_path: str = "data/export", export_path: str = "data/clipped", quantile: float = 0.0, buffer_percent: float = 0.1, ignore_z: bool = False) -> DataFrame:
     """Clip the cloud of each folder to its cameras and write it, all fields kept, as one file named after the folder.
 
-    Returns (folder, status, output, points): ok, or which of the two files a folder lacks.
+    Folders are paired from a listing; only the two files of complete ones are opened.  Returns (folder,
+    status, output, points): ok, or which of the two files a folder lacks.
     """
     las.register(spark)
-    read = spark.read.format("las").option("raw", "true").load(cloud_path)
-    pairs = files.cloud_pairs(read.select(F.col("file").alias("path")).distinct())
+    found = found_files(spark, cloud_path)
+    pairs = files.cloud_pairs(found)
     pairs = pairs.withColumn("output", F.when(F.col("status") == "ok", F.concat(F.lit(export_path.rstrip("/") + "/"), F.regexp_extract("folder", "[^/]*$", 0), F.lit(".las"))))
+    pairs = written(pairs, "folder-pairs")
     ok = pairs.where("status = 'ok'")
-    good = read.where("error is null")
-    cloud = attach(good, ok.select("folder", F.col("cloud").alias("file")), ["file"])
-    cameras = attach(good, ok.select("folder", F.col("cameras").alias("file")), ["file"])
-    clipped = hull.clip(cloud, cameras.select("folder", "x", "y", "z"), quantile, buffer_percent, ignore_z, ("folder",))
+
+    def points(which: str, **options) -> DataFrame:
+        files_ = found.join(ok.select(F.col(which).alias("path")), "path")
+        return attach(las.read_files(files_, **options).where("error is null"), ok.select("folder", F.col(which).alias("file")), ["file"])
+
+    clipped = hull.clip(points("cloud", raw=True), points("cameras", columns=["x", "y", "z"]).select("folder", "x", "y", "z"), quantile, buffer_percent, ignore_z, ("folder",))
     made = las.write_like(clipped, ok.select(F.col("cloud").alias("file"), "output"))
     return pairs.join(made.select("output", "points"), "output", "left").select("folder", "status", "output", "points")

@@ -30,6 +30,7 @@ class AnalysisConfig:
     vertical_axis: int = 2
     file_count: int = -1
     paths_to_skip: tuple[str, ...] = ()
+    calculate_dbh: bool = True
     calculate_height: bool = True
     calculate_dimensions: bool = True
     calculate_live_canopy: bool = True

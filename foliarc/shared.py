@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 _ROOT = str(Path(__file__).resolve().parents[1])
 _OWN: dict[str, str] = {}
 FEW = 200_000  # rows of a table that may be broadcast
+LITTLE = 64 << 20  # bytes of its files, at most
 
 
 def prepare(spark: SparkSession) -> str:
@@ -46,6 +47,12 @@ def _hadoop(spark: SparkSession, place: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def exists(spark: SparkSession, place: str) -> bool:
+    """Whether a file or folder is there."""
+    system, path = _hadoop(spark, place)
+    return system.exists(path)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """URI of a folder in the shared folder that nothing else uses; it is not created, and what it holds by then is deleted as the application ends."""
     place = f"{prepare(spark)}/{name}-{uuid.uuid4().hex}"
@@ -94,21 +101,24 @@ def forget(*tables: DataFrame) -> None:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """``written``, with the number of its rows as ``df.rows``."""
+    """``written``, with the number of its rows as ``df.rows``, that of its files' bytes as ``df.bytes``."""
     out = written(df, name)
     out.rows = out.count()
+    system, path = _hadoop(df.sparkSession, out.inputFiles()[0].rsplit("/", 1)[0]) if out.inputFiles() else (None, None)
+    out.bytes = system.getContentSummary(path).getLength() if system else 0
     return out
 
 
 def attach(rows: DataFrame, per: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a table of one row per key, which is written first so that nothing above it is done again.
 
-    It is broadcast where it has at most FEW rows; else its keys are joined in a shuffle, in which adaptive
-    execution splits a hot key of rows.
+    It is broadcast where it has at most FEW rows and its files at most LITTLE bytes; else its keys are joined
+    in a shuffle, in which adaptive execution splits a hot key of rows.
     """
     if not hasattr(per, "rows"):
         per = kept(per, "per-key")
-    return rows.join(F.broadcast(per) if per.rows <= FEW else per, list(keys), how)
+    little = per.rows <= FEW and getattr(per, "bytes", 0) <= LITTLE
+    return rows.join(F.broadcast(per) if little else per, list(keys), how)
 
 
 def file_system(uri: str):

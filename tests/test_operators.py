@@ -164,9 +164,9 @@ def test_pipeline_resumes(tmp_path):
 
 
 def test_las_round_trip(spark, tmp_path):
-    from foliarc.sources.las import LasSource
+    from foliarc.sources import las
 
-    spark.dataSource.register(LasSource)
+    las.register(spark)
     d = spark.createDataFrame([(1.25, 2.5, -3.125, 7, 100, 200, 300, 2, 9), (1000.5, 0.0, 1.0, 0, 1, 2, 3, 5, 11)], "x double, y double, z double, intensity int, red int, green int, blue int, raw_class int, treeid long")
     d.coalesce(1).write.format("las").option("path", str(tmp_path / "out")).mode("append").save()
     got = spark.read.format("las").load(str(tmp_path / "out")).orderBy("x")
