@@ -668,3 +668,51 @@ def test_links_in_comments_and_scripts_are_none(spark):
     html = [f"<!-- {tag} -->", f"<script>var s = '{tag}';</script>", f"<!-- open {tag}", tag, f"<SCRIPT type='a'>{tag}</script ><p>"]
     p = spark.createDataFrame([(i, f"https://a{i}.org/", h) for i, h in enumerate(html)], "page_id long, url string, html string")
     assert {r.page_id: r.verdict for r in judge_urls(p).collect()} == {0: "allow", 1: "allow", 2: "allow", 3: "block", 4: "allow"}
+
+
+# 4, the index
+def test_index_is_found_again_and_a_batch_counts_once(spark, tmp_path, monkeypatch):
+    place = f"file://{tmp_path}/in-dex"
+    state = lambda i: {(r.keep_id, r.group_size) for r in i.rows().collect()}
+    first = DigestIndex(spark, place, buckets=3)
+    first.append(docs(spark, [(1, "a"), (2, "a"), (3, "b")]), batch="one")
+    first.close()
+    assert first.name not in [t.name for t in spark.catalog.listTables()]
+
+    again = DigestIndex(spark, place)  # as another application finds it: from the folder alone
+    assert again.buckets == 3 and state(again) == {(2, 2), (3, 1)}
+    again.append(docs(spark, [(1, "a"), (2, "a"), (3, "b")]), batch="one")
+    assert state(again) == {(2, 2), (3, 1)}
+
+    add, calls = DigestIndex._add, []
+
+    def breaks(self, rows, name):
+        calls.append(name)
+        if len(calls) == 2:
+            raise OSError("lost between the two writes")
+        add(self, rows, name)
+
+    more = docs(spark, [(9, "a"), (8, "c"), (7, "c")])
+    monkeypatch.setattr(DigestIndex, "_add", breaks)
+    with pytest.raises(OSError):
+        again.append(more, batch="two")
+    monkeypatch.setattr(DigestIndex, "_add", add)
+    again.append(more, batch="two")
+    want = {(2, 3), (3, 1), (8, 2)}
+    assert state(again) == want
+    again.append(more, batch="two")
+    assert state(again) == want
+    again.append(docs(spark, []), batch="none")
+
+    monkeypatch.setattr(DigestIndex, "_state", lambda self, g: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError):
+        again.compact()
+    monkeypatch.undo()
+    third = DigestIndex(spark, place)  # a compaction that stopped has changed nothing
+    assert state(third) == want
+    third.compact()
+    assert state(third) == want and state(DigestIndex(spark, place)) == want
+    third.append(docs(spark, [(20, "b"), (21, "d")]))
+    assert state(DigestIndex(spark, place)) == {(2, 3), (3, 2), (8, 2), (21, 1)}
+    third.drop()
+    assert not (tmp_path / "in-dex").exists()
