@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from foliarc.operators.enrich import coloured
 from foliarc.operators.metrics import largest_distance, percentile_box, within_box
 from foliarc.operators.voxel import CELL, KEYS
-from foliarc.shared import attach, written
+from foliarc.shared import attach, kept, written
 
 TILE = 20_000  # points of a tile, about, where points are spread evenly
 FACE = "a double, b double, c double, d double, v0 array<double>, v1 array<double>, v2 array<double>"
@@ -186,12 +186,47 @@ def corners(faces: DataFrame, keys: Sequence[str]) -> DataFrame:
     return faces.select(*keys, F.explode(F.array("v0", "v1", "v2")).alias("v")).where("v is not null").select(*keys, *[F.col("v")[i].alias(a) for i, a in enumerate("xyz")]).distinct()
 
 
+def flat_ends(points: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, x, y, z = 0): of clouds whose points lie in a plane or on a line, the points that can be furthest apart, in coordinates of that plane.
+
+    The plane of a cloud is found by three aggregates: its first point, the one furthest from it, and the one
+    furthest from the line through both.  Its hull is then that of two coordinates, built in tiles.
+    """
+    k = list(keys)
+    p = points.select(*k, *[F.col(a).cast("double").alias(a) for a in "xyz"]).where("x is not null and y is not null and z is not null")
+    at = F.struct("x", "y", "z")
+    less = lambda c, a: F.array(*[F.col(f"{c}.{i}") - F.col(f"{a}.{i}") for i in "xyz"])
+    dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+    scaled = lambda u, by: F.transform(u, lambda x: F.coalesce(F.try_divide(x, by), F.lit(0.0)))
+
+    first = kept(p.groupBy(*k).agg(F.min(at).alias("a")), "flat-first")
+    q = attach(p.withColumn("p", at), first, k)
+    far = dot(less("p", "a"), less("p", "a"))
+    second = kept(q.groupBy(*k, "a").agg(F.max_by("p", F.struct(far, F.col("p"))).alias("b")).select(*k, "a", F.sqrt(dot(less("b", "a"), less("b", "a"))).alias("long"), scaled(less("b", "a"), F.sqrt(dot(less("b", "a"), less("b", "a")))).alias("u")), "flat-lines")
+    q = attach(p.withColumn("p", at), second, k)
+    away = F.transform(less("p", "a"), lambda x, i: x - dot(less("p", "a"), F.col("u")) * F.get(F.col("u"), i))
+    q = q.withColumn("w", away)
+    # a cloud narrower than a ten-millionth of its length is a line: its width changes no distance by more than rounding does
+    wide = F.sqrt(dot(F.col("w"), F.col("w")))
+    third = q.groupBy(*k, "a", "u", "long").agg(F.max_by("w", F.struct(dot(F.col("w"), F.col("w")), F.col("p"))).alias("w"))
+    third = kept(third.select(*k, "a", "u", scaled(F.col("w"), F.when(wide > F.col("long") * 1e-7, wide)).alias("w")), "flat-planes")
+    q = attach(p.withColumn("p", at), third, k)
+    flat = written(q.select(*k, dot(less("p", "a"), F.col("u")).alias("x"), dot(less("p", "a"), F.col("w")).alias("y"), F.lit(0.0).alias("z")), "flat-points")
+    ring = hull_faces(flat, k, flat=True).select(*k, *[F.col("v0")[i].alias(a) for i, a in enumerate("xyz")])
+    line = flat.groupBy(*k).agg(F.array(F.min_by(at, "x"), F.max_by(at, "x")).alias("e")).select(*k, F.explode("e").alias("e")).select(*k, "e.*")
+    return ring.union(line).distinct()
+
+
 def spread(points: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Largest distance between two points of a cloud, of which only the hull's vertices are paired; all points where there is no hull."""
+    """Largest distance between two points of a cloud, of which only vertices of its hull are paired.
+
+    A cloud without a hull in space is flat: there the vertices are those of its hull in its plane, or the ends
+    of its line.  A single point, or points that repeat it, have distance 0.
+    """
     k = list(keys)
-    ends = corners(written(hull_faces(points, k), "hull"), k)
+    ends = written(corners(written(hull_faces(points, k), "hull"), k), "hull-ends")
     flat = points.select(*k, "x", "y", "z").join(ends.select(*k).distinct(), k, "left_anti")
-    return largest_distance(ends.union(flat), k)
+    return largest_distance(ends.union(flat_ends(flat, k)), k)
 
 
 def clip(points: DataFrame, cameras: DataFrame, quantile: float = 0.0, buffer_percent: float = 0.1, ignore_z: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliarc.operators.enrich import bounding_box
 from foliarc.operators.voxel import KEYS
@@ -41,9 +42,66 @@ def canopy_dimensions(voxels: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
     return box.select(*keys, "voxel_size", a.alias("width"), b.alias("length"))
 
 
+BINS = 4096  # of a round of exact_percentiles
+SORTED = 200_000  # values that a group may sort at the end
+
+
+def exact_percentiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], most: int = SORTED) -> DataFrame:
+    """(keys, p: array) equal to Spark's ``percentile``, for groups of any size in bounded memory.
+
+    ``percentile`` holds all distinct values of a group.  Here every rank that a share needs has an interval of
+    values, at first all of them; each round counts its values in BINS bins, of which one holds the rank and is
+    the next interval.  Once an interval has at most ``most`` values, or one value, they are sorted for the
+    rank.  Nulls and nan are left out; a group without values has no row.
+    """
+    k = list(keys)
+    v = rows.select(*k, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    ends = kept(v.groupBy(*k).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "percentile-ends")
+    place = lambda s: F.lit(float(s)) * (F.col("n") - 1)
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(place(s)), F.ceil(place(s))) for s in shares])))
+    open_ = ends.select(*k, F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), "lo", "hi")
+    done = None
+    while True:
+        open_ = kept(open_, "percentile-ranks")
+        ready = open_.where((F.col("inside") <= most) | (F.col("lo") == F.col("hi")))
+        done = ready if done is None else done.union(ready)
+        wide = kept(open_.where((F.col("inside") > most) & (F.col("lo") < F.col("hi"))), "percentile-wide")
+        if not wide.rows:
+            break
+        # halves before the difference, which then cannot overflow
+        part = F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS)
+        hit = attach(v, wide, k).where(F.col("v").between(F.col("lo"), F.col("hi"))).withColumn("bin", F.least(part, F.lit(BINS - 1)))
+        bins = hit.groupBy(*k, "rank", "below", "bin").agg(F.count("*").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        before = F.sum("m").over(Window.partitionBy(*k, "rank").orderBy("bin")) - F.col("m")
+        bins = bins.withColumn("below", F.col("below") + before).where((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("m")))
+        open_ = bins.select(*k, "rank", "below", F.col("m").alias("inside"), "lo", "hi")
+    done = kept(done, "percentile-found")
+    equal = done.where("lo = hi").select(*k, "rank", F.col("lo").alias("v"))
+    rest = kept(done.where("lo < hi"), "percentile-rest")
+    near = attach(v, rest, k).where(F.col("v").between(F.col("lo"), F.col("hi")))
+    nth = F.row_number().over(Window.partitionBy(*k, "rank").orderBy("v")) - 1
+    found = near.withColumn("nth", nth).where(F.col("nth") == F.col("rank") - F.col("below")).select(*k, "rank", "v")
+    got = equal.union(found).groupBy(*k).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+    at = lambda s, f: F.element_at("at", f(place(s)))
+    between = [F.when(F.floor(place(s)) == F.ceil(place(s)), at(s, F.floor)).otherwise((F.ceil(place(s)) - place(s)) * at(s, F.floor) + (place(s) - F.floor(place(s))) * at(s, F.ceil)) for s in shares]
+    return attach(got, ends.select(*k, "n"), k).select(*k, F.array(*between).alias("p"))
+
+
 def percentile_box(cameras: DataFrame, quantile: float = 0.0, buffer_ratio: float = 0.0, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Per cloud lo_ and hi_ of each axis: the quantile and its complement, padded by a share of the range."""
-    q = cameras.groupBy(*keys).agg(*[F.percentile(a, [quantile, 1.0 - quantile]).alias(a) for a in "xyz"])
+    """Per cloud lo_ and hi_ of each axis: the quantile and its complement, padded by a share of the range.
+
+    Clouds of many cameras have exact quantiles in bounded memory; with quantile 0 these are the ends.
+    """
+    if quantile == 0:
+        q = cameras.groupBy(*keys).agg(*[F.array(F.min(a), F.max(a)).alias(a) for a in "xyz"])
+    else:
+        sizes = kept(cameras.groupBy(*keys).agg(F.count("*").alias("cameras")), "camera-counts")
+        few = attach(cameras, sizes.where(F.col("cameras") <= SORTED), keys, "left_semi")
+        q = few.groupBy(*keys).agg(*[F.percentile(a, [quantile, 1.0 - quantile]).alias(a) for a in "xyz"])
+        if not sizes.where(F.col("cameras") > SORTED).isEmpty():
+            large = attach(cameras, sizes.where(F.col("cameras") > SORTED), keys, "left_semi")
+            axes = [exact_percentiles(large, keys, a, [quantile, 1.0 - quantile]).withColumnRenamed("p", a) for a in "xyz"]
+            q = q.unionByName(axes[0].join(axes[1], list(keys)).join(axes[2], list(keys)))
     pad = {a: (F.col(a)[1] - F.col(a)[0]) * buffer_ratio for a in "xyz"}
     return q.select(*keys, *[c for a in "xyz" for c in ((F.col(a)[0] - pad[a]).alias(f"lo_{a}"), (F.col(a)[1] + pad[a]).alias(f"hi_{a}"))])
 

@@ -304,3 +304,51 @@ def test_cells_by_colour(spark):
     assert sorted((r.ix, r.r, r.density) for r in enrich.recolour(v, c).collect()) == [(0, 0.9, 0.5), (7, 0.9, None)]
     assert sorted((r.ix, r.r, r.b) for r in enrich.colours_at(v, c).collect()) == [(0, 0.1, 0.3), (7, 0.0, 0.0)]
     assert enrich.recolour(v, c.limit(0)).collect() == v.collect()
+
+
+def test_largest_distance_of_flat_clouds(spark):
+    import numpy as np
+
+    from foliarc.operators import hull
+
+    rng = np.random.default_rng(8)
+    u, w = np.linalg.qr(rng.normal(0, 1, (3, 2)))[0].T
+    clouds = {
+        "plane": 5 + rng.normal(0, 2, (3000, 2)) @ np.array([u, w]),
+        "level": np.column_stack([rng.integers(0, 40, (2000, 2)), np.full(2000, 7.0)]),
+        "line": np.outer(rng.random(500), u + 2 * w) + 1,
+        "point": np.tile([1.0, 2.0, 3.0], (50, 1)),
+        "two": np.array([[0.0, 0, 0], [3, 4, 12]]),
+        "full": rng.normal(0, 1, (800, 3)),
+    }
+    d = spark.createDataFrame([(k, *map(float, p)) for k, x in clouds.items() for p in x] + [("plane", None, 1.0, 1.0)], "tree_id string, x double, y double, z double")
+    got = {r.tree_id: r.max_distance for r in hull.spread(d).collect()}
+    for k, x in clouds.items():
+        assert abs(got[k] - max(np.linalg.norm(x - p, axis=1).max() for p in x)) < 1e-9, k
+
+
+def test_many_coplanar_points_are_not_paired(spark):
+    from pyspark.sql import functions as F
+
+    from foliarc.operators import hull
+
+    d = spark.range(300_000).select(F.lit("a").alias("tree_id"), (F.rand(1) * 100).alias("x"), (F.rand(2) * 50).alias("y"), F.lit(2.0).alias("z")).union(spark.sql("select 'a', -1D, -1D, 2D union all select 'a', 101D, 51D, 2D"))
+    assert abs(hull.spread(d).first().max_distance - (102**2 + 52**2) ** 0.5) < 1e-9
+
+
+def test_exact_percentiles_equal_those_of_spark(spark):
+    from pyspark.sql import functions as F
+
+    from foliarc.operators.metrics import exact_percentiles
+
+    x = F.xxhash64("id") % 1000
+    d = spark.range(6000).select((F.col("id") % 5).alias("g"), "id", x.alias("x"))
+    v = F.when(F.col("g") == 0, F.exp(F.col("x") / 100.0)).when(F.col("g") == 1, F.lit(3.5)).when(F.col("g") == 2, F.floor(F.col("x") / 300)).when(F.col("g") == 3, F.col("x") * 1e305).otherwise(F.col("x") / 7)
+    d = d.withColumn("v", v).union(spark.sql("select 9L, 1L, 1L, 2.5D union all select 8L, 1L, 1L, cast(null as double) union all select 4L, 1L, 1L, cast('nan' as double)"))
+    shares = [0.0, 0.013, 0.5, 0.977, 1.0]
+    want = {r.g: r.p for r in d.where("not isnan(v)").groupBy("g").agg(F.percentile("v", shares).alias("p")).collect() if r.p}
+    for most in (60, 10_000):
+        got = {r.g: r.p for r in exact_percentiles(d, ["g"], "v", shares, most).collect()}
+        assert got.keys() == want.keys() - {8}
+        for g in got:
+            assert all(a == b or abs(a - b) <= 1e-12 * abs(b) for a, b in zip(got[g], want[g])), (g, got[g], want[g])
