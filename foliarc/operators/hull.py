@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from foliarc.operators.enrich import coloured
 from foliarc.operators.metrics import largest_distance, percentile_box, within_box
 from foliarc.operators.voxel import CELL, KEYS
-from foliarc.shared import attach, kept, written
+from foliarc.shared import attach, kept, quoted, written
 
 TILE = 20_000  # points of a tile, about, where points are spread evenly
 FACE = "a double, b double, c double, d double, v0 array<double>, v1 array<double>, v2 array<double>"
@@ -237,9 +237,59 @@ def clip(points: DataFrame, cameras: DataFrame, quantile: float = 0.0, buffer_pe
     k = list(keys)
     cams = within_box(cameras, percentile_box(cameras, quantile, 0.0, keys), keys)
     faces = written(hull_faces(cams, k, flat=ignore_z), "hull")
-    planes = plane_arrays(faces, k).join(largest_distance(corners(faces, k), keys), k)
-    p = attach(points, planes, k)
-    return p.where(inside(F.col("planes"), F.col("x"), F.col("y"), F.col("z"), F.col("max_distance") * buffer_percent)).drop("planes", "max_distance")
+    ends = written(corners(faces, k), "hull-ends")
+    hulls = plane_arrays(faces, k).join(largest_distance(ends, keys).select(*k, (F.col("max_distance") * buffer_percent).alias("buffer")), k)
+    return within_hull(points, hulls, ends, k)
+
+
+def hull_bricks(hulls: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, brick_x, brick_y, brick_z, cut, buffer) of the bricks of a grid that are not wholly outside the widened hull.
+
+    cut: the planes that pass through the brick; none where it lies inside.  A further layer of bricks around the
+    grid, numbers -1 and n, reaches to infinity.  A plane counts as passing where rounding leaves that open, so what a brick says is never wrong.
+    """
+    k = list(keys)
+    h = attach(hulls, grid, k)
+    tasks = max(int(h.sparkSession.conf.get("spark.sql.shuffle.partitions")), h.sparkSession.sparkContext.defaultParallelism)
+    for a in "xyz":
+        h = h.withColumn(f"brick_{a}", F.explode(F.sequence(F.lit(-1).cast("long"), F.col(f"n_{a}"))))
+        if a == "x":
+            h = h.repartition(tasks, *k, "brick_x")  # layers of a cloud are dealt, so one large hull keeps many tasks busy
+    lo = {a: F.when(F.col(f"brick_{a}") < 0, -1e300).otherwise(F.col(f"lo_{a}") + F.col(f"brick_{a}") * F.col(f"side_{a}")) for a in "xyz"}
+    hi = {a: F.when(F.col(f"brick_{a}") == F.col(f"n_{a}"), 1e300).otherwise(F.col(f"lo_{a}") + (F.col(f"brick_{a}") + 1) * F.col(f"side_{a}")) for a in "xyz"}
+    h = h.withColumns({f"from_{a}": lo[a] for a in "xyz"} | {f"to_{a}": hi[a] for a in "xyz"})
+
+    def reach(p, pick):
+        """Least or greatest signed distance of a brick's points from a plane."""
+        return sum((pick(p[c] * F.col(f"from_{a}"), p[c] * F.col(f"to_{a}")) for c, a in zip("abc", "xyz", strict=True)), p.d)
+
+    h = h.where(~F.exists("planes", lambda p: reach(p, F.least) > F.col("buffer") + F.col("slack")))
+    return h.select(*k, "brick_x", "brick_y", "brick_z", F.filter("planes", lambda p: reach(p, F.greatest) > F.col("buffer") - F.col("slack")).alias("cut"), "buffer")
+
+
+def within_hull(points: DataFrame, hulls: DataFrame, ends: DataFrame, keys: Sequence[str] = KEYS, bricks: int = 16) -> DataFrame:
+    """Points within buffer of all planes of their cloud's hull.
+
+    hulls: (keys, planes, buffer); ends: (keys, x, y, z), the corners of the hulls.  A point looks up its brick of
+    a grid over the hull's box: outside bricks drop it, inside ones keep it, and in a cut one it meets only the
+    planes that pass there.  Points with a null or non-finite coordinate, and clouds without a hull, are dropped.
+    """
+    k = list(keys)
+    box = ends.groupBy(*k).agg(*[f(F.col(a).cast("double")).alias(f"{n}_{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    n = {a: F.when(F.col(f"hi_{a}") > F.col(f"lo_{a}"), bricks).otherwise(1).cast("long") for a in "xyz"}
+    far = F.greatest(*[F.abs(f"{e}_{a}") for e in ("lo", "hi") for a in "xyz"])
+    side = {a: F.when(F.col(f"hi_{a}") > F.col(f"lo_{a}"), (F.col(f"hi_{a}") - F.col(f"lo_{a}")) / bricks).otherwise(1.0) for a in "xyz"}
+    grid = kept(box.select(*k, *[F.col(f"lo_{a}") for a in "xyz"], *[c.alias(f"{w}_{a}") for w, by in (("n", n), ("side", side)) for a, c in by.items()], ((far + 1) * 1e-12).alias("slack")), "hull-grid")
+    table = kept(hull_bricks(hulls, grid, k), "hull-bricks")
+
+    at = lambda a: F.least(F.greatest(F.floor((F.col(f"point.{a}") - F.col(f"lo_{a}")) / F.col(f"side_{a}")), F.lit(-1).cast("long")), F.col(f"n_{a}"))
+    p = points.select(*k, F.struct(*[F.col(quoted(c)) for c in points.columns if c not in k]).alias("point"))
+    p = p.where(" and ".join(f"point.{a} is not null and cast(point.{a} as double) * 0 = 0" for a in "xyz"))
+    p = attach(p, grid, k).withColumns({f"brick_{a}": at(a) for a in "xyz"}).select(*k, "point", "brick_x", "brick_y", "brick_z")
+    p = attach(p, table, [*k, "brick_x", "brick_y", "brick_z"])
+    x, y, z = (F.col(f"point.{a}") for a in "xyz")
+    p = p.where(F.forall("cut", lambda q: q.a * x + q.b * y + q.c * z + q.d <= F.col("buffer")))
+    return p.select(*[F.col(c) if c in k else F.col(f"point.{quoted(c)}") for c in points.columns])
 
 
 def obj_lines(faces: DataFrame, keys: Sequence[str], offset: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:

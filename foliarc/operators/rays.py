@@ -1,7 +1,8 @@
 """Light transmission: rays from a sphere through the canopy's voxels.
 
 A hull and a grid box are convex, so the steps of a ray inside either are one run of step numbers, found in
-closed form from the planes; only steps inside the box are made into rows, and matched with voxels by key.
+closed form from the planes.  Voxels are bits of bricks of 8 x 8 x 8 cells; a ray is matched with the bricks it
+enters, so empty space costs no join, and the bits of a brick tell which of its steps meet a voxel.
 """
 
 from __future__ import annotations
@@ -70,26 +71,76 @@ def kept_rays(r: DataFrame, planes: DataFrame, keys: Sequence[str] = KEYS, step:
     return j.where(~miss & (first <= last)).drop("planes")
 
 
-def march(kept: DataFrame, step: float = 0.5) -> DataFrame:
-    """A row for every step inside the grid box: adds k, ix, iy, iz."""
+def _ranged(kept: DataFrame, step: float) -> DataFrame:
+    """Add lo and hi: the first and last step number that can lie in the grid box, one more on either side; rays without any are left out."""
     axes = F.array(*[F.struct(F.col(f"o{a}").alias("o"), F.col(f"d{a}").alias("d"), F.col(f"n{a}").cast("double").alias("n")) for a in "xyz"])
     ends = lambda x: F.struct(F.when(x.d > 0, -x.o / x.d).when(x.d < 0, (x.n - x.o) / x.d).otherwise(-1e9).alias("near"), F.when(x.d > 0, (x.n - x.o) / x.d).when(x.d < 0, -x.o / x.d).otherwise(1e9).alias("far"))
     m = kept.withColumn("ends", F.transform(axes, ends))
     near, far = F.array_max(F.transform("ends", lambda e: e.near)), F.array_min(F.transform("ends", lambda e: e.far))
     lo, hi = F.greatest(F.lit(1.0), F.floor(near / step) - 1), F.least(F.lit(float(STEPS)), F.ceil(far / step) + 1)
-    m = m.withColumns({"lo": lo.cast("long"), "hi": hi.cast("long")}).where("lo <= hi").drop("ends")
-    m = m.withColumn("k", F.explode(F.sequence("lo", "hi")))
-    m = m.withColumns({f"p{a}": F.round(F.col(f"o{a}") + F.col(f"d{a}") * (F.col("k") * step), 9) for a in "xyz"})
+    return m.withColumns({"lo": lo.cast("long"), "hi": hi.cast("long")}).where("lo <= hi").drop("ends")
+
+
+def _cell(a: str, k: Column, step: float) -> Column:
+    """The cell along an axis of step k.  Half of 1e-9 is added, so that a step that close below a border counts as beyond it, as if positions were rounded to nine places."""
+    return F.floor(F.col(f"o{a}") + F.col(f"d{a}") * (k * step) + 5e-10).cast("long")
+
+
+def _boxed(cells: Sequence[Column]) -> Column:
+    x, y, z = (c.between(0, F.col(f"n{a}") - 1) for a, c in zip("xyz", cells, strict=True))
+    return x & y & z
+
+
+def march(kept: DataFrame, step: float = 0.5) -> DataFrame:
+    """A row for every step inside the grid box: adds k, ix, iy, iz."""
+    m = _ranged(kept, step).withColumn("k", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
+    m = m.withColumns({f"i{a}": _cell(a, F.col("k"), step) for a in "xyz"})
+    return m.where(_boxed([F.col(c) for c in CELL]))
+
+
+def occupancy(voxels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, voxel_size, bx, by, bz, bits): a row per brick of 8 x 8 x 8 cells that holds a voxel, with a bit for each of its cells, a long per layer."""
+    bit = F.expr("shiftleft(1L, cast((iy & 7) * 8 + (ix & 7) as int))")
+    layer = lambda s: F.bit_or(F.when(F.col("iz").bitwiseAND(7) == s, bit).otherwise(F.lit(0).cast("long")))
+    b = voxels.groupBy(*keys, "voxel_size", *[F.expr(f"shiftright(i{a}, 3)").alias(f"b{a}") for a in "xyz"])
+    return b.agg(F.array(*[layer(s) for s in range(8)]).alias("bits"))
+
+
+def entries(kept: DataFrame, step: float = 0.5) -> DataFrame:
+    """A row for every brick that a ray's steps enter: adds k, the first step in it, last, the number of no earlier than its last one, and bx, by, bz.
+
+    Cells along an axis rise or fall with k, so a brick is entered once.
+    """
+    m = _ranged(kept, step).withColumn("k", F.explode(F.sequence("lo", "hi")))
+    m = m.withColumns({f"i{a}": _cell(a, F.col("k"), step) for a in "xyz"}).where(_boxed([F.col(c) for c in CELL]))
+    before = [_cell(a, F.col("k") - 1, step) for a in "xyz"]
+    same = _boxed(before)
+    for a, c in zip("xyz", before, strict=True):
+        same = same & (F.shiftright(c, 3) == F.shiftright(f"i{a}", 3))
+    m = m.where((F.col("k") == F.col("lo")) | ~same).withColumns({f"b{a}": F.shiftright(f"i{a}", 3) for a in "xyz"})
+    last = F.col("hi")
     for a in "xyz":
-        m = m.where((F.col(f"p{a}") >= 0) & (F.col(f"p{a}") < F.col(f"n{a}")))
-    return m.withColumns({f"i{a}": F.floor(f"p{a}").cast("long") for a in "xyz"}).drop("lo", "hi", "px", "py", "pz")
+        border = F.when(F.col(f"d{a}") > 0, F.col(f"b{a}") * 8 + 8).when(F.col(f"d{a}") < 0, F.col(f"b{a}") * 8)
+        last = F.least(last, (F.ceil((border - F.col(f"o{a}")) / F.col(f"d{a}") / step) + 1).cast("long"))
+    return m.withColumn("last", F.greatest(F.col("k"), last)).drop("lo", "hi", *CELL)
 
 
 def hits(kept: DataFrame, voxels: DataFrame, keys: Sequence[str] = KEYS, step: float = 0.5) -> DataFrame:
-    """(keys, voxel_size, ray_id, k, cell) for every step in a voxel with density_norm above 0."""
+    """(keys, voxel_size, ray_id, k, cell) for every step in a voxel with density_norm above 0.
+
+    Bricks that a ray enters are matched with those that hold a voxel, by broadcast where these are few; only
+    within them steps are made into rows, which a bit keeps or drops.  Steps through empty bricks meet nothing.
+    """
     k = [*keys, "voxel_size"]
-    full = voxels.where((F.col("density_norm") > 0) & ~F.isnan("density_norm")).select(*k, *CELL)
-    return march(kept, step).select(*k, "ray_id", "k", *CELL).join(full, [*k, *CELL])
+    full = occupancy(voxels.where((F.col("density_norm") > 0) & ~F.isnan("density_norm")), keys)
+    ray = [*k, "ray_id", *[f"{c}{a}" for c in "odn" for a in "xyz"]]
+    e = attach(entries(kept.select(*ray), step), full, [*k, "bx", "by", "bz"])
+    e = e.withColumn("k", F.explode(F.sequence("k", "last"))).withColumns({f"i{a}": _cell(a, F.col("k"), step) for a in "xyz"})
+    for a in "xyz":
+        e = e.where(F.shiftright(f"i{a}", 3) == F.col(f"b{a}"))
+    at = F.expr("cast((iy & 7) * 8 + (ix & 7) as int)")
+    e = e.where(_boxed([F.col(c) for c in CELL]) & (F.getbit(F.get("bits", F.col("iz").bitwiseAND(7).cast("int")), at) == 1))
+    return e.select(*k, "ray_id", "k", *CELL)
 
 
 def transmission(kept: DataFrame, hit: DataFrame, keys: Sequence[str] = KEYS, energy: float = 1.0, required: int = 2, threshold: float = 0.1, dissipation: float = 0.5) -> DataFrame:

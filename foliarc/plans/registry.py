@@ -250,7 +250,8 @@ def halfspace_clip(spark, sf):
     c = view(spark, sf, "cameras").groupBy("tree_id").agg(*[f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
     plane = lambda i, s: F.struct(*[F.lit(float(s if i == j else 0)).alias(k) for j, k in enumerate("abc")], (F.col(f"lo_{'xyz'[i]}") if s < 0 else -F.col(f"hi_{'xyz'[i]}")).alias("d"))
     planes = c.select("tree_id", F.array(*[plane(i, s) for i in range(3) for s in (-1, 1)]).alias("planes"))
-    return points(spark, sf).join(planes, "tree_id").where(hull.inside(F.col("planes"), F.col("x"), F.col("y"), F.col("z"), 0.1)).select(*POINT, *six("x", "y", "z"))
+    ends = c.select("tree_id", F.explode(F.array(*[F.struct(*[F.col(f"{e}_{a}").alias(a) for a in "xyz"]) for e in ("lo", "hi")])).alias("e")).select("tree_id", "e.*")
+    return hull.within_hull(points(spark, sf), planes.withColumn("buffer", F.lit(0.1)), ends).select(*POINT, *six("x", "y", "z"))
 
 
 @query

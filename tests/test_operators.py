@@ -352,3 +352,55 @@ def test_exact_percentiles_equal_those_of_spark(spark):
         assert got.keys() == want.keys() - {8}
         for g in got:
             assert all(a == b or abs(a - b) <= 1e-12 * abs(b) for a, b in zip(got[g], want[g])), (g, got[g], want[g])
+
+
+@pytest.mark.parametrize("flat", [False, True])
+def test_clip_by_bricks_equals_all_planes(spark, flat):
+    rng = np.random.default_rng(11)
+    cams = [(t, *(rng.normal(0, 1, 3) * (5, 2, 1) + t * 1e5).tolist()) for t in (1, 2) for _ in range(60)]
+    pts = [(t, i, *(rng.normal(0, 1, 3) * (6, 3, 2) + t * 1e5).tolist()) for t in (1, 2, 3) for i in range(1500)]
+    pts += [(*c[:1], -1 - i, *c[1:]) for i, c in enumerate(cams)]  # corners lie on the planes
+    pts += [(1, -1000, None, 1e5, 1e5), (1, -1001, math.nan, 1e5, 1e5), (1, -1002, 1e5, 1e5, math.inf), (1, -1003, 1e9, 1e5, 1e5), (None, -1004, 1e5, 1e5, 1e5)]
+    c = spark.createDataFrame(cams, "tree_id int, x double, y double, z double")
+    p = spark.createDataFrame(pts, "tree_id int, i int, x double, y double, z double").withColumn("brick_x", F.lit("own")).withColumn("cut", F.lit(7)).withColumn("a.b", F.lit(1))
+    for share in (0.0, 0.1):
+        faces = hull.hull_faces(c, ["tree_id"], flat).select("tree_id", "a", "b", "c", "d").toPandas()
+        far = metrics.largest_distance(hull.corners(hull.hull_faces(c, ["tree_id"], flat), ["tree_id"]), ["tree_id"]).toPandas().set_index("tree_id").max_distance
+        want = set()
+        for t, i, *q in pts:
+            f = faces[faces.tree_id == t]
+            if t in (1, 2) and all(v is not None and math.isfinite(v) for v in q) and all(a * q[0] + b * q[1] + e * q[2] + d <= far[t] * share for a, b, e, d in f[["a", "b", "c", "d"]].to_numpy()):
+                want.add((t, i))
+        got = hull.clip(p, c, 0.0, share, ignore_z=flat)
+        assert got.columns == p.columns and {(r.tree_id, r.i) for r in got.collect()} == want and len(want) > 500
+
+
+def test_an_inner_brick_meets_no_planes_and_none_meets_all(spark):
+    rng = np.random.default_rng(12)
+    q = rng.normal(0, 1, (300, 3))
+    c = spark.createDataFrame([(1, *v.tolist()) for v in q / np.linalg.norm(q, axis=1, keepdims=True)], "tree_id int, x double, y double, z double")
+    faces = hull.hull_faces(c, ["tree_id"])
+    hulls = hull.plane_arrays(faces, ["tree_id"]).withColumn("buffer", F.lit(0.0))
+    grid = spark.createDataFrame([(1, *[-1.0] * 3, *[16] * 3, *[0.125] * 3, 1e-12)], "tree_id int, lo_x double, lo_y double, lo_z double, n_x long, n_y long, n_z long, side_x double, side_y double, side_z double, slack double")
+    b = hull.hull_bricks(hulls, grid, ["tree_id"]).where(" and ".join(f"brick_{a} between 0 and 15" for a in "xyz")).select(F.size("cut").alias("n")).toPandas().n
+    assert faces.count() > 500 and (b == 0).sum() > 500 and b.max() < 100 and len(b) < 3500
+
+
+def test_hits_by_bricks_equal_a_join_of_all_steps(spark):
+    rng = np.random.default_rng(13)
+    n = (37, 20, 29)
+    cells = {tuple(int(v) for v in rng.integers(0, n)) for _ in range(700)} | {(x, y, z) for x in range(8, 12) for y in range(8) for z in range(20, 29)}
+    v = spark.createDataFrame([(1, 0.5, *c, 0.5 if sum(c) % 5 else (0.0 if c[0] % 2 else math.nan)) for c in cells], "tree_id int, voxel_size double, ix long, iy long, iz long, density_norm double")
+    e = spark.createDataFrame([(1, 0.5, *n), (2, 0.5, 0, 3, 3)], "tree_id int, voxel_size double, nx long, ny long, nz long")
+    full = {c for c in cells if sum(c) % 5}
+    for heading in ("antipodal", "hashed"):
+        r = rays.rays(e, 300, heading)
+        steps = rays.march(r).collect()
+        want = sorted((x.ray_id, x.k, x.ix, x.iy, x.iz) for x in steps if x.tree_id == 1 and (x.ix, x.iy, x.iz) in full)
+        got = sorted((x.ray_id, x.k, x.ix, x.iy, x.iz) for x in rays.hits(r, v).collect())
+        assert got == want and len(got) > 300
+        joined = [(x.tree_id, x.ray_id, x.bx, x.by, x.bz) for x in rays.entries(r).collect()]
+        assert len(joined) == len(set(joined)) and len(joined) * 3 < len(steps)
+    assert rays.hits(r, v.limit(0)).count() == 0
+    bits = rays.occupancy(v.where("density_norm > 0")).select(F.aggregate("bits", F.lit(0), lambda a, b: a + F.bit_count(b)).alias("n")).agg(F.sum("n")).first()[0]
+    assert bits == len(full)
