@@ -404,3 +404,26 @@ def test_hits_by_bricks_equal_a_join_of_all_steps(spark):
     assert rays.hits(r, v.limit(0)).count() == 0
     bits = rays.occupancy(v.where("density_norm > 0")).select(F.aggregate("bits", F.lit(0), lambda a, b: a + F.bit_count(b)).alias("n")).agg(F.sum("n")).first()[0]
     assert bits == len(full)
+
+
+def test_numbers_and_runs_over_ranges(spark):
+    rng = np.random.default_rng(14)
+    rows = [(c, int(i), bool(rng.random() < 0.3)) for c, n in ((1, 700), (2, 5), (3, 1), (4, 0)) for i in rng.permutation(n)]
+    rows += [(None, 5, False)] + [(5, i, False) for i in range(300)]
+    f = spark.createDataFrame(rows, "chunk_id int, idx int, aligned boolean").repartition(5)
+    part = batching.numbered(f.where("chunk_id = 1"), "chunk_id", "idx")
+    assert all(r.n0 == r.idx for r in part.collect()) and part.count() == 700
+    runs, pairs = {}, set()
+    for c in (1, 2, 3, 5):
+        run, before = [], 0
+        for _, i, aligned in sorted(r for r in rows if r[0] == c):
+            run, before = ([], before + 1) if aligned else ([*run, i], before)
+            if not aligned:
+                runs[c, i] = (before, (len(run) - 1) // 4)
+                pairs |= {(c, leader, i) for leader in run[-3:]}
+    got = batching.unaligned_runs(f, 4)
+    assert got.columns == ["chunk_id", "idx", "aligned", "run", "batch"] and {(r.chunk_id, r.idx): (r.run, r.batch) for r in got.collect()} == runs
+    follow = [tuple(r) for r in batching.following_unaligned(f, 3).collect()]
+    assert len(follow) == len(pairs) and set(follow) == pairs
+    empty = f.limit(0)
+    assert batching.unaligned_runs(empty, 4).count() == batching.following_unaligned(empty, 3).count() == batching.sliding_windows(empty, 4, 1).count() == 0
