@@ -1,7 +1,8 @@
 """Convex hulls as planes, and clipping against them.
 
-Only hull construction needs a grouped Python function.  It runs in two rounds: first over tiles of a cloud, of
-which only the corners of each tile's own hull go on to the round that takes a cloud as a whole.  Voxel hulls
+Only hull construction needs a grouped Python function.  It runs over tiles of a cloud, of which only the corners
+of each tile's own hull go on, then over squares of MERGE by MERGE tiles, round by round, until one more square
+is the cloud as a whole.  Voxel hulls
 are built from the lowest and highest cell of each column, since no other cell can be a vertex.
 """
 
@@ -19,6 +20,7 @@ from foliarc.operators.voxel import CELL, KEYS
 from foliarc.shared import attach, kept, quoted, written
 
 TILE = 20_000  # points of a tile, about, where points are spread evenly
+MERGE = 3  # tiles along a side that a round joins
 FACE = "a double, b double, c double, d double, v0 array<double>, v1 array<double>, v2 array<double>"
 
 
@@ -142,17 +144,23 @@ def hull_faces(points: DataFrame, keys: Sequence[str], flat: bool = False) -> Da
 
         got = facets_2d(pdf[["x", "y"]].to_numpy(float)) if flat else facets(pdf[["x", "y", "z"]].to_numpy(float))
         if not len(got):
-            return pdf[[*keys, "x", "y", "z"]]
+            return pdf[[*keys, "tx", "ty", "x", "y", "z"]]
         ends = np.unique(got.reshape(-1, got.shape[-1]), axis=0)
         axes = ["x", "y", "z"][: ends.shape[1]]
-        return pdf[[*keys, "x", "y", "z"]].merge(pd.DataFrame(ends, columns=axes), on=axes)
+        return pdf[[*keys, "tx", "ty", "x", "y", "z"]].merge(pd.DataFrame(ends, columns=axes), on=axes)
 
     p = points.select(*keys, "x", "y", "z").where("x is not null and y is not null and z is not null")
     box = p.groupBy(*keys).agg(*[f(a).cast("double").alias(f"{n}_{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))], F.ceil(F.pow(F.count("*") / TILE, 0.5)).alias("side"))
+    box = kept(box, "hull-tiles")
+    side = int(box.agg(F.max("side")).first()[0] or 1)
     tile = lambda a: F.least(F.floor((F.col(a) - F.col(f"lo_{a}")) / F.greatest(F.col(f"hi_{a}") - F.col(f"lo_{a}"), F.lit(1e-9)) * F.col("side")), F.col("side") - 1)
     p = attach(p, box, keys).withColumns({"tx": tile("x"), "ty": tile("y")})
-    axes = ", x {}, y {}, z {}".format(*[points.schema[a].dataType.simpleString() for a in "xyz"])
+    axes = ", tx long, ty long, x {}, y {}, z {}".format(*[points.schema[a].dataType.simpleString() for a in "xyz"])
     p = p.groupBy(*keys, "tx", "ty").applyInPandas(tile_corners, f"{schema}{axes}")
+    while side > MERGE:
+        side = -(-side // MERGE)
+        p = p.withColumns({t: F.floor(F.col(t) / MERGE).cast("long") for t in ("tx", "ty")})
+        p = p.groupBy(*keys, "tx", "ty").applyInPandas(tile_corners, f"{schema}{axes}")
     return p.groupBy(*keys).applyInPandas(work, f"{schema}, {FACE}")
 
 

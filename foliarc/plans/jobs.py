@@ -14,7 +14,7 @@ from foliarc.functions.text import site_and_tree
 from foliarc.operators import files, hull, results
 from foliarc.plans.features import features
 from foliarc.schema import AnalysisConfig, ChannelLimit
-from foliarc.shared import attach, exists, written
+from foliarc.shared import METRICS, attach, exists, measured, stage, written
 from foliarc.sources import las
 
 # Settings of a sensor where none are given.
@@ -82,7 +82,7 @@ def with_status(chosen: DataFrame, features: DataFrame) -> DataFrame:
     return out.withColumn("status", F.coalesce(F.concat(F.lit("unreadable: "), "error"), own, F.when(F.col("Voxel Size").isNull(), "no_voxels").otherwise("ok"))).drop("error")
 
 
-def predict(spark: SparkSession, settings: Settings, dbh: DataFrame | None = None) -> DataFrame:
+def predict(spark: SparkSession, settings: Settings, dbh: DataFrame | None = None, metrics: str | None = None) -> DataFrame:
     """Features of every LAS file below the input folder, one row per file and voxel size, with Site, Tree and status.
 
     Files are listed and chosen first; only chosen ones are opened, their headers once for their errors.  A file
@@ -92,7 +92,19 @@ def predict(spark: SparkSession, settings: Settings, dbh: DataFrame | None = Non
 
     Rows are written as CSV to the output folder, by site and tree, and all together to the final output.  Of
     the output folder only the folders of these sites and trees are replaced, once all rows are there.
+
+    metrics: a folder of Parquet to which the stages of this run are added, a failed one with its error: started,
+    seconds, rows and bytes.  Rows are observed as they are written; nothing is read again for them.
     """
+    with measured() as stages:
+        try:
+            return _predicted(spark, settings, dbh)
+        finally:
+            if metrics and stages:
+                spark.createDataFrame(stages, METRICS).coalesce(1).write.mode("append").parquet(metrics)
+
+
+def _predicted(spark: SparkSession, settings: Settings, dbh: DataFrame | None) -> DataFrame:
     las.register(spark)
     c = settings.analysis
     base = settings.input_dir.rstrip("/")
@@ -108,8 +120,10 @@ def predict(spark: SparkSession, settings: Settings, dbh: DataFrame | None = Non
     out = with_status(state, features(points, c, ("file",), dbh))
     site, tree = site_and_tree(F.concat(F.lit("data/output/"), F.substring("file", len(base) + 2, 1 << 30)))
     out = written(results.rounded(out.withColumns({"Site": site, "Tree": F.regexp_replace(tree, r"\.las$", "")})), "results")
-    results.write_results(out, settings.output_dir, ["Site", "Tree"])
-    results.write_results(out, settings.final_output)
+    with stage("output by site and tree"):
+        results.write_results(out, settings.output_dir, ["Site", "Tree"])
+    with stage("final output"):
+        results.write_results(out, settings.final_output)
     return out
 
 

@@ -1,6 +1,7 @@
 """Stages run in order, with retries, and resumed from a manifest.
 
-A manifest is JSON: the state, the fingerprint of the main stages' names and how many are done.
+A manifest is JSON, at a path or a URI of any file system that Arrow reads: the state, the fingerprint of the main
+stages' names and how many are done.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import os
 from collections.abc import Callable
 from enum import Enum
 
+from foliarc.shared import file_system, put_file
+
 log = logging.getLogger(__name__)
 
 
@@ -51,6 +54,19 @@ class Task:
         return True
 
 
+def _uri(path: str) -> str:
+    return path if ":/" in path else os.path.abspath(path)
+
+
+def _manifest(path: str) -> dict | None:
+    """What a manifest says; None where there is none."""
+    system, place = file_system(_uri(path))
+    if not system.get_file_info(place).is_file:
+        return None
+    with system.open_input_stream(place) as f:
+        return json.loads(f.read())
+
+
 class Pipeline:
     def __init__(self, max_retries: int = 3):
         self.tasks: dict[Kind, list[Task]] = {k: [] for k in Kind}
@@ -75,9 +91,8 @@ class Pipeline:
         return [(k.value, i, t.name) for k in Kind for i, t in enumerate(self.tasks[k])]
 
     def save(self, path: str, state: State, done: int) -> None:
-        with open(f"{path}.part", "w") as f:
-            json.dump({"fingerprint": self.fingerprint(), "done": done, "state": state}, f)
-        os.replace(f"{path}.part", path)
+        text = json.dumps({"fingerprint": self.fingerprint(), "done": done, "state": state})
+        put_file(_uri(path), lambda out: out.write(text.encode()))
 
     def _each(self, kind: Kind, state: State) -> bool:
         return all(any(t.run(state) for _ in range(self.max_retries + 1)) for t in self.tasks[kind])
@@ -88,9 +103,7 @@ class Pipeline:
         A manifest that exists is resumed; one of other stages raises.
         """
         state, done = State() if state is None else state, 0
-        if manifest and os.path.exists(manifest):
-            with open(manifest) as f:
-                m = json.load(f)
+        if manifest and (m := _manifest(manifest)):
             if m["fingerprint"] != self.fingerprint():
                 raise ValueError("the manifest belongs to a pipeline of other stages")
             state.update(m["state"])

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
+import datetime
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[1])
 _OWN: dict[str, str] = {}
 FEW = 200_000  # rows of a table that may be broadcast
 LITTLE = 64 << 20  # bytes of its files, at most
+METRICS = "stage string, started timestamp, seconds double, rows long, bytes long, error string"
+_STAGES: contextvars.ContextVar[list | None] = contextvars.ContextVar("stages", default=None)
 
 
 def prepare(spark: SparkSession) -> str:
@@ -73,13 +78,52 @@ def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, was)
 
 
+@contextlib.contextmanager
+def measured() -> Iterator[list[dict]]:
+    """A list that gets a row of METRICS for every stage that ends inside, tables that ``written`` writes among them."""
+    stages: list[dict] = []
+    token = _STAGES.set(stages)
+    try:
+        yield stages
+    finally:
+        _STAGES.reset(token)
+
+
+@contextlib.contextmanager
+def stage(name: str) -> Iterator[dict]:
+    """Time what runs inside as a stage; rows and bytes are what the caller puts into the row.  A failed stage has its error."""
+    row = {"stage": name, "started": datetime.datetime.now(), "rows": None, "bytes": None, "error": None}
+    start = time.monotonic()
+    try:
+        yield row
+    except Exception as e:
+        row["error"] = f"{type(e).__name__}: {e}"[:1000]
+        raise
+    finally:
+        row["seconds"] = time.monotonic() - start
+        if (stages := _STAGES.get()) is not None:
+            stages.append(row)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Within ``measured`` its rows are counted as they are written, not in a pass of their own.
+    """
     spark = df.sparkSession
     place = new_folder(spark, name)
-    with short_lived_shuffles(spark):
+    schema = df.schema
+    with short_lived_shuffles(spark), stage(name) as row:
+        seen = None
+        if _STAGES.get() is not None:
+            seen = Observation()
+            df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
         df.write.option("compression", "zstd").parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+        if seen is not None:
+            row["rows"] = seen.get.get("rows", 0)
+            system, path = _hadoop(spark, place)
+            row["bytes"] = system.getContentSummary(path).getLength()
+    return spark.read.schema(schema).parquet(place)
 
 
 def quoted(name: str) -> str:

@@ -70,7 +70,9 @@ def test_predict_two_trees_and_a_broken_file(spark, tmp_path):
     measured = tmp_path / "out" / "site1" / "tree1" / "tree1_dbh_and_heights.txt"
     measured.write_text("4.25 0.31 1 2\n9 9 9 9\n")
     ini.write_text(f"[data]\ninput_dir={tmp_path}/in\noutput_dir={tmp_path}/out\nfinal_output={tmp_path}/results\npaths_to_skip=skipme\n[voxelation]\nvoxel_size=0.25\n[transparency]\nray_sample_count=200\n")
-    got = jobs.predict(spark, jobs.read_settings(str(ini))).toPandas().sort_values("file")
+    got = jobs.predict(spark, jobs.read_settings(str(ini)), metrics=f"{tmp_path}/metrics").toPandas().sort_values("file")
+    stages = spark.read.parquet(f"{tmp_path}/metrics").toPandas().set_index("stage")
+    assert stages.rows["chosen-files"] == 3 and stages.rows["results"] == 3 and stages.bytes["results"] > 0 and "final output" in stages.index and (stages.seconds > 0).all() and stages.error.isna().all()
     assert got.status.str.startswith("unreadable").sum() == 1 and (got.status == "ok").sum() == 2 and len(got) == 3
     good = got[got.status == "ok"]
     assert good.Height.between(3.5, 5).all() and good.Transparency.between(0, 100).all() and good.Tree.tolist() == ["tree1", "tree2"] and set(good.Site) == {"site1"}

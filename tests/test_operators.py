@@ -427,3 +427,41 @@ def test_numbers_and_runs_over_ranges(spark):
     assert len(follow) == len(pairs) and set(follow) == pairs
     empty = f.limit(0)
     assert batching.unaligned_runs(empty, 4).count() == batching.following_unaligned(empty, 3).count() == batching.sliding_windows(empty, 4, 1).count() == 0
+
+
+def test_hulls_merge_over_many_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    d = spark.createDataFrame([(t, *rng.integers(0, 40, 3).astype(float).tolist()) for t in (1, 2) for _ in range(1500)] + [(3, 1.0, 1.0, 1.0)], "tree_id int, x double, y double, z double")
+    for flat in (False, True):
+        planes = lambda: {tuple(np.round(r[:5], 9)) for r in hull.hull_faces(d, ["tree_id"], flat).collect()}
+        whole = planes()  # a face of many points in one plane may be cut into other triangles, its plane is the same
+        with monkeypatch.context() as m:
+            m.setattr(hull, "TILE", 10)
+            m.setattr(hull, "MERGE", 2)
+            assert planes() == whole and len(whole) > 8
+
+
+def test_stages_are_measured(spark):
+    from foliarc import shared
+
+    d = spark.range(100).withColumn("v", F.col("id") * 2)
+    with shared.measured() as stages:
+        shared.written(d.where("id < 30"), "few")
+        shared.written(d.where("id < 0"), "none")
+        with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+            shared.written(d.select((F.col("v") / F.lit(0)).alias("w")), "broken")
+    assert [(r["stage"], r["rows"], r["error"] is None) for r in stages] == [("few", 30, True), ("none", 0, True), ("broken", None, False)]
+    assert stages[0]["bytes"] > 0 and all(r["seconds"] > 0 for r in stages)
+    assert spark.createDataFrame(stages, shared.METRICS).count() == 3
+    shared.written(d, "unmeasured")
+    assert len(stages) == 3
+
+
+def test_manifest_at_a_uri(tmp_path):
+    from foliarc.plans.tasks import Pipeline, State
+
+    runs = []
+    p = Pipeline(max_retries=0).add(lambda: runs.append(1)).add(lambda state: state.get("go", False))
+    at = f"file://{tmp_path}/deep/manifest.json"
+    assert not p.run(State(), at) and p.run(State(go=True), at)  # the second run starts at the stage that failed
+    assert runs == [1] and (tmp_path / "deep" / "manifest.json").exists()
