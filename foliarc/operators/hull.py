@@ -114,61 +114,84 @@ def facets_2d(p: np.ndarray) -> np.ndarray:
 def hull_faces(points: DataFrame, keys: Sequence[str], flat: bool = False) -> DataFrame:
     """(keys, a, b, c, d, v0, v1, v2): a row per face with unit outward normal (a, b, c); inside is a x + b y + c z + d <= 0.
 
-    Clouds without a hull (fewer than 4 points, or flat ones) have no rows.  flat: hull of x and y only, c = 0.
+    Clouds without a hull (fewer than 4 points, flat ones, or such as ``hull_outcomes`` has an error for) have
+    no rows.  flat: hull of x and y only, c = 0.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema.fields)
+    return hull_outcomes(points, keys, flat).where("error is null").drop("error")
 
-    def work(pdf):
-        import pandas as pd
 
-        q = pdf[["x", "y", "z"]].to_numpy(float)
+def hull_outcomes(points: DataFrame, keys: Sequence[str], flat: bool = False) -> DataFrame:
+    """The rows of ``hull_faces`` with error, which is null there.
+
+    A cloud that fails is one row of nulls with its error, and does not stop the others: one with a non-finite
+    coordinate, which no task sees, or one whose hull cannot be built.  Points with a null coordinate are left out.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema.fields)
+
+    def faces_of(q):
         rows = []
         if flat:
             for s, e in facets_2d(q):
                 n = np.array([e[1] - s[1], s[0] - e[0], 0.0])
                 n /= np.linalg.norm(n)
-                rows.append((*n, -n[:2] @ s, [*s, 0.0], [*e, 0.0], None))
+                rows.append((*n, -n[:2] @ s, [*s, 0.0], [*e, 0.0], None, None))
         else:
             for f in facets(q):
                 n = np.cross(f[1] - f[0], f[2] - f[0])
                 n /= np.linalg.norm(n)
-                rows.append((*n, -n @ f[0], *[v.tolist() for v in f]))
-        out = pd.DataFrame(rows, columns=["a", "b", "c", "d", "v0", "v1", "v2"])
+                rows.append((*n, -n @ f[0], *[v.tolist() for v in f], None))
+        return rows
+
+    def work(pdf):
+        import pandas as pd
+
+        try:
+            rows = faces_of(pdf[["x", "y", "z"]].to_numpy(float))
+        except Exception as e:
+            rows = [(*[None] * 7, f"{type(e).__name__}: {e}"[:1000])]
+        out = pd.DataFrame(rows, columns=["a", "b", "c", "d", "v0", "v1", "v2", "error"])
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
     def tile_corners(pdf):
-        """The points of a tile that can be corners of the whole; all of them where the tile is flat."""
+        """The points of a tile that can be corners of the whole; all of them where the tile is flat, or its hull fails."""
         import pandas as pd
 
-        got = facets_2d(pdf[["x", "y"]].to_numpy(float)) if flat else facets(pdf[["x", "y", "z"]].to_numpy(float))
+        points = pdf[[*keys, "tx", "ty", "x", "y", "z"]]
+        try:
+            got = facets_2d(pdf[["x", "y"]].to_numpy(float)) if flat else facets(pdf[["x", "y", "z"]].to_numpy(float))
+        except Exception:
+            return points
         if not len(got):
-            return pdf[[*keys, "tx", "ty", "x", "y", "z"]]
+            return points
         ends = np.unique(got.reshape(-1, got.shape[-1]), axis=0)
         axes = ["x", "y", "z"][: ends.shape[1]]
-        return pdf[[*keys, "tx", "ty", "x", "y", "z"]].merge(pd.DataFrame(ends, columns=axes), on=axes)
+        return points.merge(pd.DataFrame(ends, columns=axes), on=axes)
 
     p = points.select(*keys, "x", "y", "z").where("x is not null and y is not null and z is not null")
-    box = p.groupBy(*keys).agg(*[f(a).cast("double").alias(f"{n}_{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))], F.ceil(F.pow(F.count("*") / TILE, 0.5)).alias("side"))
+    finite = " and ".join(f"cast({a} as double) * 0 = 0" for a in "xyz")
+    box = p.groupBy(*keys).agg(*[f(a).cast("double").alias(f"{n}_{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))], F.ceil(F.pow(F.count("*") / TILE, 0.5)).alias("side"), F.bool_and(F.expr(finite)).alias("finite"))
     box = kept(box, "hull-tiles")
-    side = int(box.agg(F.max("side")).first()[0] or 1)
+    side = int(box.where("finite").agg(F.max("side")).first()[0] or 1)
     tile = lambda a: F.least(F.floor((F.col(a) - F.col(f"lo_{a}")) / F.greatest(F.col(f"hi_{a}") - F.col(f"lo_{a}"), F.lit(1e-9)) * F.col("side")), F.col("side") - 1)
-    p = attach(p, box, keys).withColumns({"tx": tile("x"), "ty": tile("y")})
+    p = attach(p, box, keys).where("finite").withColumns({"tx": tile("x"), "ty": tile("y")})
     axes = ", tx long, ty long, x {}, y {}, z {}".format(*[points.schema[a].dataType.simpleString() for a in "xyz"])
     p = p.groupBy(*keys, "tx", "ty").applyInPandas(tile_corners, f"{schema}{axes}")
     while side > MERGE:
         side = -(-side // MERGE)
         p = p.withColumns({t: F.floor(F.col(t) / MERGE).cast("long") for t in ("tx", "ty")})
         p = p.groupBy(*keys, "tx", "ty").applyInPandas(tile_corners, f"{schema}{axes}")
-    return p.groupBy(*keys).applyInPandas(work, f"{schema}, {FACE}")
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in FACE.split(", "))]
+    failed = box.where("not finite").select(*keys, *none, F.lit("a coordinate is not finite").alias("error"))
+    return p.groupBy(*keys).applyInPandas(work, f"{schema}, {FACE}, error string").union(failed)
 
 
-def voxel_hull(voxels: DataFrame, floor: float = 0.0, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Hull of the cells of voxels with a colour above the floor."""
+def voxel_hull(voxels: DataFrame, floor: float = 0.0, keys: Sequence[str] = KEYS, outcomes: bool = False) -> DataFrame:
+    """Hull of the cells of voxels with a colour above the floor; outcomes: as ``hull_outcomes`` has it, error included."""
     k = [*keys, "voxel_size"]
     ends = voxels.where(coloured(floor)).groupBy(*k, "ix", "iy").agg(F.array(F.min("iz"), F.max("iz")).alias("z"))
-    return hull_faces(ends.select(*k, F.col("ix").alias("x"), F.col("iy").alias("y"), F.explode("z").alias("z")).distinct(), k)
+    return (hull_outcomes if outcomes else hull_faces)(ends.select(*k, F.col("ix").alias("x"), F.col("iy").alias("y"), F.explode("z").alias("z")).distinct(), k)
 
 
 def plane_arrays(faces: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -242,12 +265,19 @@ def clip(points: DataFrame, cameras: DataFrame, quantile: float = 0.0, buffer_pe
 
     Cameras outside the quantile band of any axis are left out first.  Clouds without cameras or hull lose all points.
     """
+    _, hulls, ends = camera_hulls(cameras, quantile, buffer_percent, ignore_z, keys)
+    return within_hull(points, hulls, ends, keys)
+
+
+def camera_hulls(cameras: DataFrame, quantile: float = 0.0, buffer_percent: float = 0.1, ignore_z: bool = False, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``within_hull`` takes for hulls of cameras: (keys, error) of clouds that failed, (keys, planes, buffer) and corners of the others'."""
     k = list(keys)
     cams = within_box(cameras, percentile_box(cameras, quantile, 0.0, keys), keys)
-    faces = written(hull_faces(cams, k, flat=ignore_z), "hull")
+    outcomes = written(hull_outcomes(cams, k, flat=ignore_z), "hull")
+    faces = outcomes.where("error is null").drop("error")
     ends = written(corners(faces, k), "hull-ends")
     hulls = plane_arrays(faces, k).join(largest_distance(ends, keys).select(*k, (F.col("max_distance") * buffer_percent).alias("buffer")), k)
-    return within_hull(points, hulls, ends, k)
+    return outcomes.where("error is not null").select(*k, "error"), hulls, ends
 
 
 def hull_bricks(hulls: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:

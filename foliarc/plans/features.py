@@ -31,16 +31,25 @@ def canopy(voxels: DataFrame, crowns: DataFrame, keys: Sequence[str] = KEYS) ->
 
 
 def transparency(voxels: DataFrame, crowns: DataFrame, config: AnalysisConfig, keys: Sequence[str] = KEYS, planes: DataFrame | None = None) -> DataFrame:
-    """(keys, voxel_size, sample, transparency) of every cloud with a live crown; -100 where no ray meets the hull."""
+    """(keys, voxel_size, sample, transparency, error) of every cloud with a live crown; -100 where no ray meets the hull.
+
+    A cloud whose hull fails has no transparency but its error; the others have theirs.
+    """
     k = [*keys, "voxel_size"]
     v = canopy(voxels, crowns, keys)
+    failed = None
     if planes is None:
-        planes = hull.plane_arrays(hull.voxel_hull(v, config.brightness_floor, keys), k)
+        outcomes = written(hull.voxel_hull(v, config.brightness_floor, keys, outcomes=True), "hull")
+        planes = hull.plane_arrays(outcomes.where("error is null"), k)
+        failed = kept(outcomes.where("error is not null").select(*k, "error"), "hull-errors")
     full = enrich.channel_limits(v, config.limits) if config.filter_non_photosynthetic_voxels else v
     extents = kept(v.groupBy(*k).agg(*[F.max(f"n{a}").alias(f"n{a}") for a in "xyz"]), "extents")
     aimed = rays.kept_rays(rays.rays(extents, config.ray_sample_count, config.heading), kept(planes, "planes"), keys)
     t = rays.transmission(aimed, rays.hits(aimed, full, keys), keys, config.initial_energy, config.required_hits, config.energy_threshold, config.ray_dissipation_factor)
-    return attach(extents.select(*k), t, k, "left").select(*k, F.lit(config.ray_sample_count).cast("long").alias("sample"), F.coalesce("transparency", F.lit(-100.0)).alias("transparency"))
+    out = attach(extents.select(*k), t, k, "left")
+    out = out.withColumn("error", F.lit(None).cast("string")) if failed is None else attach(out, failed, k, "left")
+    ok = F.col("error").isNull()
+    return out.select(*k, F.when(ok, F.lit(config.ray_sample_count).cast("long")).alias("sample"), F.when(ok, F.coalesce("transparency", F.lit(-100.0))).alias("transparency"), "error")
 
 
 def features(points: DataFrame, config: AnalysisConfig = AnalysisConfig(), keys: Sequence[str] = KEYS, dbh: DataFrame | None = None) -> DataFrame:
@@ -72,4 +81,8 @@ def features(points: DataFrame, config: AnalysisConfig = AnalysisConfig(), keys:
         if config.calculate_transparency:
             t = transparency(v, c, config, keys).withColumnsRenamed({"sample": "Transparency Sample", "transparency": "Transparency"})
             out = attach(out, t, k, "left")
+            failed = F.concat(F.lit("hull: "), "error")
+            if "status" in out.columns:  # what the crown says comes first
+                failed = F.when(F.col("status") != "ok", F.col("status")).otherwise(F.coalesce(failed, "status"))
+            out = out.withColumn("status", failed).drop("error")
     return out.withColumnRenamed("voxel_size", "Voxel Size")

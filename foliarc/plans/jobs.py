@@ -14,7 +14,7 @@ from foliarc.functions.text import site_and_tree
 from foliarc.operators import files, hull, results
 from foliarc.plans.features import features
 from foliarc.schema import AnalysisConfig, ChannelLimit
-from foliarc.shared import METRICS, attach, exists, measured, stage, written
+from foliarc.shared import METRICS, attach, exists, kept, measured, stage, written
 from foliarc.sources import las
 
 # Settings of a sensor where none are given.
@@ -131,7 +131,9 @@ def clip_folders(spark: SparkSession, cloud_path: str = "data/export", export_pa
     """Clip the cloud of each folder to its cameras and write it, all fields kept, as one file named after the folder.
 
     Folders are paired from a listing; only the two files of complete ones are opened.  Returns (folder,
-    status, output, points): ok, or which of the two files a folder lacks.
+    status, output, points): ok, which of the two files a folder lacks, unreadable: and why, hull: and why the
+    cameras' hull could not be built, no_hull where they have none, or no_points where nothing lies within
+    and the file holds none.  A folder that fails has no file and does not stop the others.
     """
     las.register(spark)
     found = found_files(spark, cloud_path)
@@ -140,10 +142,19 @@ def clip_folders(spark: SparkSession, cloud_path: str = "data/export", export_pa
     pairs = written(pairs, "folder-pairs")
     ok = pairs.where("status = 'ok'")
 
+    heads = written(las.headers(found.join(ok.select(F.explode(F.array("cloud", "cameras")).alias("path")), "path")), "folder-files")
+    unread = ok.join(heads.where("error is not null"), F.col("path").isin(F.col("cloud"), F.col("cameras"))).groupBy("folder").agg(F.min("error").alias("unreadable"))
+    ok = kept(ok.join(unread, "folder", "left_anti"), "folders-read")
+
     def points(which: str, **options) -> DataFrame:
         files_ = found.join(ok.select(F.col(which).alias("path")), "path")
         return attach(las.read_files(files_, **options).where("error is null"), ok.select("folder", F.col(which).alias("file")), ["file"])
 
-    clipped = hull.clip(points("cloud", raw=True), points("cameras", columns=["x", "y", "z"]).select("folder", "x", "y", "z"), quantile, buffer_percent, ignore_z, ("folder",))
-    made = las.write_like(clipped, ok.select(F.col("cloud").alias("file"), "output"))
-    return pairs.join(made.select("output", "points"), "output", "left").select("folder", "status", "output", "points")
+    failed, hulls, ends = hull.camera_hulls(points("cameras", columns=["x", "y", "z"]).select("folder", "x", "y", "z"), quantile, buffer_percent, ignore_z, ("folder",))
+    clipped = hull.within_hull(points("cloud", raw=True), hulls, ends, ("folder",))
+    whole = ok.join(hulls.select("folder"), "folder", "left_semi")
+    made = written(las.write_like(clipped, whole.select(F.col("cloud").alias("file"), "output")), "clipped-files")
+    out = pairs.join(made.select("output", "points"), "output", "left").join(unread, "folder", "left").join(failed, "folder", "left").join(hulls.select("folder", F.lit(True).alias("hull")), "folder", "left")
+    why = F.when(F.col("status") != "ok", F.col("status")).when(F.col("unreadable").isNotNull(), F.concat(F.lit("unreadable: "), "unreadable")).when(F.col("error").isNotNull(), F.concat(F.lit("hull: "), "error"))
+    why = why.when(F.col("hull").isNull(), "no_hull").when(F.coalesce("points", F.lit(0)) == 0, "no_points").otherwise("ok")
+    return out.select("folder", why.alias("status"), F.when(why.isin("ok", "no_points"), F.col("output")).alias("output"), "points")

@@ -100,6 +100,35 @@ def test_clip_over_folders(spark, tmp_path):
     assert new[las.layout(str(tmp_path / "out/a.las")).start :] == a[inside].tobytes()
 
 
+def test_a_folder_that_fails_does_not_stop_the_others(spark, tmp_path):
+    data, a = las_14(300, 7)
+    corners = np.array([[i, j, k] for i in (1.0, 3.0) for j in (1.0, 3.0) for k in (1.0, 3.0)])
+    cameras = {"good": corners, "far": corners + 1000, "pair": corners[:2], "broken": None}
+    for name, xyz in cameras.items():
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / f"in/{name}/pointcloud.las").write_bytes(data)
+        (tmp_path / f"in/{name}/camera_positions.las").write_bytes(b"LASF" + b"\0" * 40 if xyz is None else las.las_bytes({c: xyz[:, i] for i, c in enumerate("xyz")}))
+    got = {r.folder.rsplit("/", 1)[1]: r for r in jobs.clip_folders(spark, str(tmp_path / "in"), str(tmp_path / "out"), 0.0, 0.0).collect()}
+    assert {n: r.status.split(":")[0] for n, r in got.items()} == {"good": "ok", "far": "no_points", "pair": "no_hull", "broken": "unreadable"}
+    assert got["good"].points > 0 and got["far"].points == 0 and got["pair"].output is None and got["broken"].output is None
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["far.las", "good.las"]
+
+
+def test_a_hull_that_fails_is_a_status(spark, tmp_path, monkeypatch):
+    for name, seed in (("tree1", 1), ("tree2", 2)):
+        (tmp_path / "in/site").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"in/site/{name}.las").write_bytes(las.las_bytes(tree(seed=seed)))
+
+    def facets(p):
+        raise ValueError("no such hull")
+
+    monkeypatch.setattr(jobs.hull, "facets", facets)
+    ini = tmp_path / "predict.ini"
+    ini.write_text(f"[data]\ninput_dir={tmp_path}/in\noutput_dir={tmp_path}/out\nfinal_output={tmp_path}/results\n[voxelation]\nvoxel_size=0.25\n[transparency]\nray_sample_count=50\n")
+    got = jobs.predict(spark, jobs.read_settings(str(ini))).toPandas()
+    assert got.status.tolist() == ["hull: ValueError: no such hull"] * 2 and got.Transparency.isna().all() and got.Height.notna().all() and got["Live Canopy Base"].notna().all()
+
+
 def test_settings_and_sensor(tmp_path):
     s = jobs.read_settings()
     assert s.analysis == jobs.AnalysisConfig(heading="hashed") and s.input_dir == "data/input"

@@ -465,3 +465,21 @@ def test_manifest_at_a_uri(tmp_path):
     at = f"file://{tmp_path}/deep/manifest.json"
     assert not p.run(State(), at) and p.run(State(go=True), at)  # the second run starts at the stage that failed
     assert runs == [1] and (tmp_path / "deep" / "manifest.json").exists()
+
+
+def test_a_cloud_without_a_sound_hull_does_not_stop_the_others(spark, monkeypatch):
+    corners = [(float(i), float(j), float(k)) for i in (0, 2) for j in (0, 3) for k in (0, 4)]
+    clouds = {1: corners, 2: [*corners, (float("inf"), 0.0, 0.0)], 3: [*corners, (float("nan"), 0.0, 0.0)], 4: corners[:3], 5: corners * 2}
+    p = spark.createDataFrame([(k, *x) for k, v in clouds.items() for x in v] + [(6, None, 0.0, 0.0)], "tree_id long, x double, y double, z double")
+    usual = hull.facets
+
+    def facets(q):
+        if len(q) > 8:
+            raise ArithmeticError("two of each")
+        return usual(q)
+
+    monkeypatch.setattr(hull, "facets", facets)
+    got = hull.hull_outcomes(p, ["tree_id"]).toPandas()
+    errors = got[got.error.notna()].set_index("tree_id").error.to_dict()
+    assert errors == {2: "a coordinate is not finite", 3: "a coordinate is not finite", 5: "ArithmeticError: two of each"}
+    assert set(got[got.error.isna()].tree_id) == {1} and {r.tree_id for r in hull.hull_faces(p, ["tree_id"]).collect()} == {1}
