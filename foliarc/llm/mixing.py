@@ -75,7 +75,8 @@ def _tilts(cells: DataFrame, targets: DataFrame, most: int = 2, steps: int = 60)
         newton = F.col("x0") - F.try_divide(F.col("gap"), F.col("slope"))
         inside = (newton > F.coalesce("lo", F.lit(float("-inf")))) & (newton < F.coalesce("hi", F.lit(float("inf"))))
         middle = F.when(F.col("lo").isNull(), F.col("hi") * 2 - 1).when(F.col("hi").isNull(), F.col("lo") * 2 + 1).otherwise((F.col("lo") + F.col("hi")) / 2)
-        done = ~F.col("open") | (F.abs("gap") <= F.greatest(F.col("goal").cast("double") * 1e-9, F.lit(float(ONE)) / 8)) | (F.col("hi") - F.col("lo") < 1e-14)
+        narrow = F.coalesce(F.col("hi") - F.col("lo") < 1e-14, F.lit(False))  # never while the bracket is open on one side
+        done = ~F.col("open") | (F.abs("gap") <= F.greatest(F.col("goal").cast("double") * 1e-9, F.lit(float(ONE)) / 8)) | narrow
         now = was.select("source", "mean", "goal", (~F.coalesce(done, F.lit(True))).alias("open"), F.when(F.coalesce(done, F.lit(True)), F.col("x0")).when(inside, newton).otherwise(middle).alias("x"), "lo", "hi")
         was, lam = lam, written(now, "mix-tilts")
         forget(was)

@@ -9,8 +9,9 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
-from foliarc.llm import cover_tree, order_minhash, packing, quality, queries, sql, token_ids, warc
+from foliarc.llm import cover_tree, mixing, order_minhash, packing, quality, queries, sql, token_ids, warc
 from foliarc.llm.exact_dedup import DigestIndex, exact_dedup, keep_distinct
 from foliarc.llm.graph import connected_components
 from foliarc.llm.mixing import mix, mixed_rows
@@ -185,6 +186,40 @@ def test_mix_odd_rows(spark):
     assert rows.columns == d.columns and rows.count() == got.copies.sum()
 
 
+def test_mix_solves_the_dual(spark):
+    """Tilts against bisection in numpy: at them the dual's derivative is zero, and copies follow the tilted rates."""
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(["w"] * int(rng.geometric(0.02 * (1 + i % 3)))), f"s{min(int(rng.exponential(1.2)), 4)}") for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = d.groupBy("source", mixing.word_count(F.col("text")).alias("size")).agg(F.count("*").alias("n"))
+    targets = mixing.source_targets(sizes.select("source", (F.col("size") * F.col("n")).alias("size")))
+    tilts = {r.source: r.tilt for r in mixing._tilts(sizes, targets).collect()}
+    goal = {r.source: r.target for r in targets.collect()}
+    got = mixing.mix(d).toPandas()
+    tilted = 0
+    for source, part in got.groupby("source"):
+        size = part["size"].to_numpy(float)
+        assert part.taken.sum() <= 2 * size.sum() and abs(part.taken.sum() - goal[source]) < size.min() + 1
+        if goal[source] >= 2 * size.sum():
+            assert (part.copies == 2).all()
+            continue
+        tilted += 1
+        low, high = -1.0, 1.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (np.minimum(2, np.exp(np.minimum(mid * size, 1))) * size).sum() < goal[source] else (low, mid)
+        assert abs(tilts[source] - low) < 1e-5 * abs(low)  # steps stop an eighth of a word from the target
+        rate = np.minimum(2, np.exp(np.minimum(tilts[source] * size, 1)))
+        assert abs((rate * size).sum() - goal[source]) < 0.13
+        by = part.assign(want=rate).groupby("size").agg(copies=("copies", "sum"), want=("want", "sum"))
+        off = (by.copies - by.want).abs()
+        assert (off < 1).mean() > 0.95 and (off * by.index).max() < 2 * size.max() + 1, (source, off.max())
+        longer = np.arange(1, int(size.max()))  # what all documents longer than each length are given, by cumulative rounding
+        sums = [abs((part.copies - rate)[size > x].sum()) for x in longer[::10]]
+        assert max(sums) < 4
+    assert tilted >= 2 and len({round(t, 6) for t in tilts.values() if t is not None}) > 1
+
+
 # 4
 def test_exact_dedup_odd_rows(spark):
     got = exact_dedup(docs(spark, ODD)).toPandas()

@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from conftest import SF
 
-from foliarc.llm import queries
+from foliarc.llm import order_minhash, queries
 from foliarc.llm.order_minhash import edit_distance
 
 CLASSES = (50, 200, 1000, math.inf)  # upper bounds of the shorter text's shingles
@@ -81,6 +81,44 @@ def test_all_links_of_a_table(spark):
     assert other == 0 and all(n == m for n, m in found.values())
 
 
+def planted(rng, pairs):
+    """Texts two by two, and per pair the number of shingles: substitutions, in one block or apart, leave 0.80 to 0.85 of labelled shingles."""
+    texts, sizes = [], []
+    for least, most, count in pairs:
+        for k in range(count):
+            n = int(rng.integers(least, most)) + 4
+            a = rng.integers(0, 10**8, n)
+            b = a.copy()
+            gone = int((n - 4) * (1 - (s := rng.uniform(0.8, 0.85))) / (1 + s))  # shingles that differ on either side
+            if k % 2:
+                at = int(rng.integers(4, n - gone - 4))
+                b[at : at + max(1, gone - 4)] = rng.integers(0, 10**8, max(1, gone - 4))
+            else:
+                at = np.sort(4 + 5 * rng.permutation((n - 8) // 5)[: max(1, gone // 5)])
+                at = np.concatenate([at, at[-1] + 1 + np.arange(max(0, gone - 5 * len(at)))])
+                b[at] = rng.integers(0, 10**8, len(at))
+            texts += [" ".join(f"v{x}" for x in t) for t in (a, b)]
+            sizes.append(n - 4)
+    return texts, sizes
+
+
+def test_planted_pairs_are_found_by_class(spark, tmp_path):
+    """A thousand pairs just above the threshold, each of which links by the exact rule; recall by length."""
+    texts, sizes = planted(np.random.default_rng(8), [(50, 200, 500), (200, 1000, 350), (1000, 2000, 150)])
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op10_order_minhash(spark, str(tmp_path)).toPandas().set_index("doc_id").class_id.to_dict()
+    words, all_of, found = order_minhash.Words(), Counter(), Counter()
+    for i, n in enumerate(sizes):
+        a, b = (words.codes(texts[j].split()) for j in (2 * i, 2 * i + 1))
+        assert order_minhash.similar(a, b)
+        c = next(c for c in CLASSES if n < c)
+        all_of[c] += 1
+        found[c] += got[2 * i] == got[2 * i + 1]
+    print("planted pairs found", {c: (found[c], all_of[c]) for c in CLASSES})
+    assert sum(all_of.values()) == 1000 and all(found[c] >= 0.99 * all_of[c] for c in all_of)
+    assert len({*got.values()}) == 2000 - sum(found.values())
+
+
 @pytest.mark.parametrize("similarity", [0.8, 0.9])
 def test_all_links_against_all_pairs(similarity):
     rng = np.random.default_rng(5)
