@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliarc.functions.charset import PAGES, guessed
+from foliarc.shared import prepare
+
 
 def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """(path, modified, length) of all files below a folder; contents are not read."""
@@ -87,16 +90,59 @@ def first_record(lines: DataFrame) -> DataFrame:
     return f.select("path", F.try_element_at(part, F.lit(1)).cast("double").alias("height"), (F.try_element_at(part, F.lit(2)).cast("double") * 100).alias("dbh"))
 
 
-def decoded(files: DataFrame, charset: str | None = None) -> DataFrame:
-    """(path, text) of binary files; without a charset by byte order mark, else UTF-8 where the bytes are that, else Latin-1."""
-    c = F.col("content")
+def decoded(files: DataFrame, charset: str | None = None, pages: Sequence[str] = PAGES) -> DataFrame:
+    """(path, text) of binary files; without a charset as ``detected`` has it, pages being those it chooses among."""
     if charset:
-        return files.select("path", F.decode(c, charset).alias("text"))
+        return files.select("path", F.decode("content", charset).alias("text"))
+    return detected(files, pages).select("path", "text")
+
+
+def detected(files: DataFrame, pages: Sequence[str] = PAGES) -> DataFrame:
+    """(path, charset, confidence, text) of binary files (path, content).
+
+    By byte order mark, else UTF-8 where the bytes are that; the rest is UTF-16 where most bytes at odd or even
+    places are 0, else the code page of one byte a character that its pairs of bytes are likeliest in: a guess,
+    with its lead over the next one as confidence.  An empty file is UTF-8, null content has nulls.  Code pages
+    of several bytes a character are not told apart, name them as charset.
+    """
+    prepare(files.sparkSession)
+    c = F.col("content")
     start = lambda x: F.hex(F.substring(c, 1, len(x) // 2)) == x
     rest = lambda n: F.substring(c, n + 1, F.octet_length(c))
-    text = F.when(start("EFBBBF"), rest(3).cast("string")).when(start("FFFE"), F.decode(rest(2), "UTF-16LE")).when(start("FEFF"), F.decode(rest(2), "UTF-16BE"))
-    text = text.when(F.is_valid_utf8(c.cast("string")), c.cast("string")).otherwise(F.decode(c, "ISO-8859-1"))
-    return files.select("path", text.alias("text"))
+    marked = {"EFBBBF": ("utf_8", rest(3).cast("string")), "FFFE": ("utf_16_le", F.decode(rest(2), "UTF-16LE")), "FEFF": ("utf_16_be", F.decode(rest(2), "UTF-16BE"))}
+    plain_text = F.is_valid_utf8(c.cast("string")) & ~F.contains(c, F.lit(b"\0"))
+    known = F.lit(None).cast("struct<charset: string, confidence: double, text: string>")
+    for mark, (name, text) in reversed([*marked.items(), ("", ("utf_8", c.cast("string")))]):
+        known = F.when(start(mark) if mark else plain_text, F.struct(F.lit(name).alias("charset"), F.lit(1.0).alias("confidence"), text.alias("text"))).otherwise(known)
+    f = files.select("path", "content", known.alias("known"))
+    f = f.withColumn("found", F.coalesce("known", guessed(F.when(F.col("known").isNull(), c), pages)))
+    return f.select("path", "found.*")
+
+
+def on_each(files: DataFrame, work: Callable[[str], object]) -> DataFrame:
+    """(path, result, error) of a function called with every path of files in tasks; result is its value as text, error why it failed.
+
+    A path that fails does not stop the others.  A lost task is run again, so work should bear being repeated.
+    Null paths and repeated ones are left out; no files give no rows.
+    """
+    prepare(files.sparkSession)
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for path in b["path"]:
+                try:
+                    value = work(path)
+                    rows.append((path, None if value is None else str(value), None))
+                except Exception as e:
+                    rows.append((path, None, f"{type(e).__name__}: {e}"[:1000]))
+            yield pd.DataFrame(rows, columns=["path", "result", "error"]).astype(object)
+
+    p = files.select("path").where("path is not null").distinct()
+    tasks = max(1, min(-(-p.count() // 4), 10_000))  # files differ in cost, so tasks are small
+    return p.repartition(tasks, "path").mapInPandas(run, "path string, result string, error string")
 
 
 def cloud_pairs(files: DataFrame, cloud: str = "pointcloud.las", cameras: str = "camera_positions.las") -> DataFrame:

@@ -483,3 +483,58 @@ def test_a_cloud_without_a_sound_hull_does_not_stop_the_others(spark, monkeypatc
     errors = got[got.error.notna()].set_index("tree_id").error.to_dict()
     assert errors == {2: "a coordinate is not finite", 3: "a coordinate is not finite", 5: "ArithmeticError: two of each"}
     assert set(got[got.error.isna()].tree_id) == {1} and {r.tree_id for r in hull.hull_faces(p, ["tree_id"]).collect()} == {1}
+
+
+# sentences made up for this test
+SENTENCES = {
+    "cp1252": ["Der Förster prüft die Bäume am Fluß, größere Äste fallen später.", "La forêt brûlée repousse déjà, ça étonne les élèves près du ruisseau.", "El árbol más pequeño creció en otoño; mañana lo medirá la compañía."],
+    "cp1250": ["Zażółć gęślą jaźń, a potem zmierz wysokość każdego świerka w lesie.", "Příliš žluťoučký kůň běžel k řece, kde rostou vysoké smrky a břízy."],
+    "iso8859_2": ["Zażółć gęślą jaźń, a potem zmierz wysokość każdego świerka w lesie."],
+    "cp1251": ["Лесник измеряет высоту каждого дерева и записывает её в журнал.", "Весной берёзы растут быстрее, чем старые сосны у реки."],
+    "koi8_r": ["Лесник измеряет высоту каждого дерева и записывает её в журнал."],
+    "cp866": ["Лесник измеряет высоту каждого дерева и записывает её в журнал."],
+    "iso8859_5": ["Лесник измеряет высоту каждого дерева и записывает её в журнал."],
+    "cp1253": ["Ο δασολόγος μετρά το ύψος κάθε δέντρου και το γράφει στο βιβλίο."],
+    "utf_16_le": ["height of each tree"], "utf_16_be": ["height of each tree"], "utf_8": ["Лесник und Förster", ""],
+}
+
+
+def test_code_pages_are_told_apart(spark, monkeypatch):
+    from foliarc.functions import charset
+
+    rows = [(f"{page}/{i}", t.encode(page), page, t) for page, ts in SENTENCES.items() for i, t in enumerate(ts)]
+    rows += [("mark/8", b"\xef\xbb\xbf" + "é".encode(), "utf_8", "é"), ("mark/16", b"\xff\xfe" + "é".encode("utf-16-le"), "utf_16_le", "é"), ("null", None, None, None), ("one", b"\xe9", "cp1252", "é"), ("nul", "a\0bé".encode(), "utf_8", "a\0bé")]
+    long = "Лесник измеряет высоту. " * 100_000
+    rows.append(("long", long.encode("cp1251"), "cp1251", long))
+    got = files.detected(spark.createDataFrame([r[:2] for r in rows], "path string, content binary")).toPandas().set_index("path")
+    for path, _, page, text in rows:
+        assert got.charset[path] == page and got.text[path] == text, (path, got.charset[path])
+    assert got.confidence.drop("null").between(0, 1).all() and np.isnan(got.confidence["null"])
+    whole = charset.likeliest(rows[0][1])
+    monkeypatch.setattr(charset, "CHUNK", 7)
+    assert charset.likeliest(rows[0][1]) == whole and charset.likeliest(b"") == ("cp1252", 1.0)
+
+
+def test_a_path_that_fails_is_a_row(spark, tmp_path):
+    for i in range(9):
+        (tmp_path / f"f{i}.txt").write_text("7" * i)
+
+    def work(path):
+        n = int(open(path).read())  # the empty file has none
+        return None if n == 7 else n
+
+    p = spark.createDataFrame([(str(tmp_path / f"f{i}.txt"),) for i in range(9)] + [(str(tmp_path / "gone"),), (None,), (str(tmp_path / "f2.txt"),)], "path string")
+    got = {r.path.rsplit("/", 1)[1]: (r.result, r.error) for r in files.on_each(p, work).collect()}
+    assert len(got) == 10 and got["f2.txt"] == ("77", None) and got["f1.txt"] == (None, None)
+    assert got["f0.txt"][1].startswith("ValueError") and got["gone"][1].startswith("FileNotFoundError")
+    assert files.on_each(p.limit(0), work).count() == 0
+
+
+def test_callables_of_users(spark):
+    """Filters, masks and channels that callers bring stand beside the library's own."""
+    v = spark.createDataFrame([(1, 0.5, i, 0, 0, 10, 0.1 * (i + 1), 0.4, 0.2, 0.1 * (i + 1), 4, 1) for i in range(6)], "tree_id long, voxel_size double, ix long, iy long, iz long, n long, r double, g double, b double, density double, cls int, treeid long")
+    more = dict(enrich.CHANNELS) | {"warm": lambda: F.col("r") - F.col("b"), "column": lambda: F.col("ix") * 10}
+    got = enrich.enrich(v, filters=(enrich.remove_ground, lambda d: d.where("ix != 1")), masks=(F.col("r") < 0.55,), post=(lambda d: d.withColumn("g", F.col("g") / 2),), channels=more).toPandas().sort_values("ix")
+    assert got.r.round(6).tolist() == [0.1, 0.3, 0.4, 0.5] and got.g.tolist() == [0.2] * 4
+    assert np.allclose(got.warm, got.r - 0.2) and got.column.tolist() == (got.ix * 10).tolist() and {"gli", "ngrdi", "exr", "density_norm"} <= set(got.columns)
+    assert enrich.enrich(v, channels={}).columns == [*v.columns, "nx", "ny", "nz", "density_norm"]
