@@ -5,6 +5,8 @@ Numbers within a chunk come from ``numbered``, so a chunk of any length spreads
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,11 +88,15 @@ def following_unaligned(frames: DataFrame, size: int, key: str = KEY, order: str
     return f.join(leaders, [key, "nth"]).select(key, "leader", "member")
 
 
-def frame_masks(frames: DataFrame, masks: DataFrame) -> DataFrame:
-    """Frames with the path of the mask named after them, null without one."""
+def frame_masks(frames: DataFrame, masks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Frames with the path of the mask named after them, null without one.
+
+    Frames whose names repeat are told apart by keys, columns that frames and masks share.  A mask listed twice is one.
+    """
     stem = F.regexp_replace("name", r"\.[^.]*$", "")
-    m = masks.select(F.regexp_replace(F.regexp_replace("mask", r"^.*/", ""), r"_mask\.png$", "").alias("stem"), "mask")
-    return frames.withColumn("stem", stem).join(m, "stem", "left").drop("stem")
+    m = masks.select(*keys, "mask").distinct()
+    m = m.select(*keys, F.regexp_replace(F.regexp_replace("mask", r"^.*/", ""), r"_mask\.png$", "").alias("stem"), "mask")
+    return frames.withColumn("stem", stem).join(m, [*keys, "stem"], "left").select(*frames.columns, "mask")
 
 
 def chosen_chunk(chunks: DataFrame, key: str = "project", merged: str = "Merged Chunk") -> DataFrame:

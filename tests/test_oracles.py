@@ -18,6 +18,27 @@ def test_oracle(name, spark, duck, same):
     assert same(got, duck.sql(registry.ORACLES[name]).df())
 
 
+def on_events(spark, events, folder, name):
+    """(query, SQL) over a table of events, as pandas frames."""
+    import duckdb
+
+    events.write.parquet(f"{folder}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet')")
+    return registry.QUERIES[name](spark, str(folder)).toPandas(), c.sql(registry.ORACLES[name]).df()
+
+
+def seven_digits(spark):
+    """Events with ids from 999,800 on, whose names the view cuts to six digits; five of them are there twice."""
+    e = spark.read.parquet(f"{SF}/events.parquet").withColumn("event_id", F.col("event_id") + 999_800)
+    return e.unionByName(e.where("event_id between 999998 and 1000002"))
+
+
+def test_frame_masks_where_names_repeat(spark, same, tmp_path):
+    got, want = on_events(spark, seven_digits(spark), tmp_path, "frame_masks")
+    assert len(set(want.name)) < len(set(want.event_id)) < len(want) and same(got, want)
+
+
 def test_every_query_is_checked():
     here = {"hull3d_planes", "hull_volume", "hull_obj", "clip_hull", "clip_hull_flat", "largest_component", "features_full"}
     assert set(registry.QUERIES) - set(registry.ORACLES) == here and set(registry.ORACLES) <= set(registry.QUERIES)
